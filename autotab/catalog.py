@@ -306,3 +306,496 @@ def q_residual_hist(spark, d):
 SELECT ROUND(GREATEST(1.0, CAST(COUNT(*) - SUM(y) AS DOUBLE) / SUM(y)), 6) AS pos_weight FROM scored""")
 def q_pos_weight(spark, d):
     return rounded(M.pos_weight(fx.scored(spark, d)))
+
+
+# ---------------------------------------------------------------------------
+# Cleaning, profiling, labels (2.1, 2.2, 2.4)
+# ---------------------------------------------------------------------------
+from .functions import cleaning as C  # noqa: E402
+from .operators import labels as L  # noqa: E402
+from .operators import profile as P  # noqa: E402
+
+# RE2 spelling of cleaning.BLANK_PATTERN
+BLANK_RE2 = (r"^[\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+             r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]*$")
+
+
+def _blank(c):
+    return f"CASE WHEN regexp_matches({c}, '{BLANK_RE2}') THEN NULL ELSE {c} END"
+
+
+def union(parts):
+    return "\nUNION ALL\n".join(parts)
+
+
+@query("load_clean", W(DOCS_NULLS) + f"""
+SELECT doc_id, {_blank('text')} AS text, {_blank('lang')} AS lang, {_blank('source')} AS source,
+       n_chars, quality, toxic
+FROM docs_nulls""")
+def q_load_clean(spark, d):
+    return C.clean_frame(fx.docs_nulls(spark, d), tokens=False)
+
+
+DOCS_COLS = ["doc_id", "text", "lang", "source", "n_chars", "quality", "toxic"]
+
+
+@query("sparse_columns", W(DOCS_NULLS) + union([
+    f"SELECT '{c}' AS column, ROUND(AVG(CAST({c} IS NULL AS DOUBLE)), 6) AS null_frac, "
+    f"CAST(AVG(CAST({c} IS NULL AS DOUBLE)) > 0.5 AS INTEGER) AS dropped FROM docs_nulls"
+    for c in DOCS_COLS if c != "quality"]))
+def q_sparse_columns(spark, d):
+    return rounded(P.sparse_columns(fx.docs_nulls(spark, d), target="quality", threshold=0.5))
+
+
+@query("profile_nulls", W(DOCS_NULLS, "nc AS (" + union([
+    f"SELECT '{c}' AS column, CAST(SUM(CAST({c} IS NULL AS BIGINT)) AS BIGINT) AS n_null, "
+    f"ROUND(AVG(CAST({c} IS NULL AS DOUBLE)), 6) AS null_frac FROM docs_nulls" for c in DOCS_COLS]) + ")")
+       + 'SELECT * FROM nc WHERE n_null > 0 ORDER BY n_null DESC, "column" LIMIT 10')
+def q_profile_nulls(spark, d):
+    return rounded(P.profile_nulls(fx.docs_nulls(spark, d), topn=10))
+
+
+EV_TOP = ["user_id", "event_type"]
+
+
+@query("profile_top_values", W(EVENTS_CAT, "vc AS (" + union([
+    f"SELECT '{c}' AS column, CAST({c} AS VARCHAR) AS value, COUNT(*) AS count FROM events_cat "
+    f"WHERE {c} IS NOT NULL GROUP BY 2" for c in EV_TOP]) + ")") + """
+SELECT "column", value, count, rank FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY "column" ORDER BY count DESC, value) AS INTEGER) AS rank FROM vc) t
+WHERE rank <= 5""")
+def q_profile_top_values(spark, d):
+    return P.profile_top_values(fx.events_cat(spark, d), EV_TOP, topn=5).withColumn("rank", F.col("rank").cast("int"))
+
+
+@query("id_like_columns", W(EVENTS_CAT) + union([
+    f"SELECT '{c}' AS column, COUNT(DISTINCT {c}) AS n_distinct, "
+    f"ROUND(COUNT(DISTINCT {c}) / GREATEST(COUNT(*), 1), 6) AS unique_ratio, "
+    f"CAST(COUNT(DISTINCT {c}) / GREATEST(COUNT(*), 1) > 0.9 AS INTEGER) AS is_id FROM events_cat"
+    for c in ["event_id", "user_id"]]))
+def q_id_like(spark, d):
+    return rounded(P.id_like_columns(fx.events_cat(spark, d)))
+
+
+def _docs_mi(spark, d):
+    from .operators.features import MissingIndicators
+    df = fx.docs_nulls(spark, d)
+    return MissingIndicators().fit(df).transform(df)
+
+
+@query("missing_indicators", W(DOCS_NULLS) + """
+SELECT doc_id, CAST(quality IS NULL AS INTEGER) AS MI__quality, CAST(toxic IS NULL AS INTEGER) AS MI__toxic
+FROM docs_nulls""")
+def q_missing_indicators(spark, d):
+    return _docs_mi(spark, d).select("doc_id", "MI__quality", "MI__toxic")
+
+
+@query("column_roles", W(DOCS_NULLS) + union(
+    [f"SELECT '{c}' AS column, 'categorical' AS kind, 'categorical' AS role" for c in ["text", "lang", "source"]]
+    + [f"SELECT '{c}' AS column, 'numeric' AS kind, CASE WHEN COUNT(DISTINCT {c}) <= 2 THEN 'binary' "
+       f"ELSE 'continuous' END AS role FROM docs_nulls" for c in ["doc_id", "n_chars", "quality", "toxic"]]
+    + ["SELECT 'MI__quality', 'numeric', 'binary'", "SELECT 'MI__toxic', 'numeric', 'binary'"]))
+def q_column_roles(spark, d):
+    return P.column_roles(_docs_mi(spark, d))
+
+
+EV_STR = ["user_id", "event_type", "props", "ts_text"]
+DATE_RE2 = r"^\s*\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2}(\.\d+)?)?)?\s*$"
+
+
+@query("date_columns", W(EVENTS_CAT) + union(
+    ["SELECT 'ts' AS column, 1.0 AS parsed_frac, 1 AS is_date"]
+    + [f"SELECT '{c}', ROUND(AVG(ok), 6), CAST(AVG(ok) > 0.8 AS INTEGER) FROM ("
+       f"SELECT CAST(regexp_matches({c}, '{DATE_RE2}') AND TRY_CAST(trim({c}) AS TIMESTAMP) IS NOT NULL AS DOUBLE) AS ok "
+       f"FROM events_cat WHERE {c} IS NOT NULL ORDER BY {H('event_id', 0)}, event_id LIMIT 200) t" for c in EV_STR]))
+def q_date_columns(spark, d):
+    return rounded(P.date_columns(fx.events_cat(spark, d), key="event_id"))
+
+
+OML_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority", "o_year",
+            "c_acctbal", "c_mktsegment", "n_name", "urgent"]
+
+
+@query("group_like_columns", W(ORDERS_ML) + union([
+    f"SELECT '{c}' AS column, ROUND(COUNT(DISTINCT {c}) / COUNT(*), 6) AS unique_ratio, "
+    f"CAST(COUNT(DISTINCT {c}) / COUNT(*) <= 0.5 AND "
+    f"({' OR '.join(f'contains(lower({chr(39)}{c}{chr(39)}), {chr(39)}{h}{chr(39)})' for h in P.GROUP_HINTS)}) AS INTEGER)"
+    f" AS is_group FROM orders_ml" for c in OML_COLS]))
+def q_group_like(spark, d):
+    return rounded(P.group_like_columns(fx.orders_ml(spark, d)))
+
+
+TASK_COLS = ["o_orderstatus", "o_totalprice", "o_orderpriority", "o_year", "urgent", "c_acctbal"]
+
+
+@query("detect_task", W(ORDERS_ML) + union([
+    f"SELECT '{c}' AS column, COUNT(DISTINCT {c}) AS n_distinct, COUNT(*) AS n_rows, "
+    f"CASE WHEN COUNT(DISTINCT {c}) <= 20 THEN 'classification' ELSE 'regression' END AS task, "
+    + ("'classification'" if c in ("o_orderstatus", "o_orderpriority") else
+       f"CASE WHEN COUNT(DISTINCT {c}) <= GREATEST(20, FLOOR(COUNT(*) * 0.05)) THEN 'classification' "
+       f"ELSE 'regression' END")
+    + f" AS task_relative FROM orders_ml" for c in TASK_COLS]))
+def q_detect_task(spark, d):
+    return P.task_table(fx.orders_ml(spark, d), TASK_COLS)
+
+
+@query("class_imbalance", W(DOCS_ML, "cc AS (SELECT quality, COUNT(*) AS n FROM docs_ml GROUP BY quality)") + """
+SELECT COUNT(*) AS n_classes,
+       ROUND(CASE WHEN COUNT(*) < 2 THEN 1.0 ELSE MAX(n) / MIN(n) END, 6) AS ratio,
+       ROUND(CASE WHEN COUNT(*) < 2 THEN 1.0 WHEN COUNT(*) = 2 THEN MIN(n) / SUM(n) ELSE MAX(n) / SUM(n) END, 6)
+         AS pos_rate
+FROM cc""")
+def q_class_imbalance(spark, d):
+    return rounded(P.class_imbalance(fx.docs_ml(spark, d), "quality"))
+
+
+@query("balanced_weights", W(DOCS_ML, "cc AS (SELECT quality, COUNT(*) AS n FROM docs_ml GROUP BY quality)") + """
+SELECT doc_id, d.quality, ROUND((SELECT SUM(n) FROM cc) / ((SELECT COUNT(*) FROM cc) * cc.n), 6) AS weight
+FROM docs_ml d JOIN cc ON d.quality = cc.quality""")
+def q_balanced_weights(spark, d):
+    return rounded(P.balanced_weights(fx.docs_ml(spark, d), "quality").select("doc_id", "quality", "weight"))
+
+
+SKEW_COLS = ["o_orderkey", "o_custkey", "o_totalprice", "o_year", "c_acctbal", "urgent"]
+
+
+@query("skewness", W(ORDERS_ML) + union([
+    f"SELECT '{c}' AS column, ROUND(CASE WHEN VAR_POP({c}) = 0 THEN 0.0 ELSE SKEWNESS({c}) END, 6) AS skew, "
+    f"CAST(ABS(CASE WHEN VAR_POP({c}) = 0 THEN 0.0 ELSE SKEWNESS({c}) END) >= 1.0 AS INTEGER) AS skewed "
+    f"FROM orders_ml" for c in SKEW_COLS]))
+def q_skewness(spark, d):
+    return rounded(P.skewness(fx.orders_ml(spark, d), SKEW_COLS))
+
+
+EV_CAT = ["ts", "user_id", "event_type", "props", "ts_text"]
+
+
+@query("high_card_columns", W(EVENTS_CAT) + union([
+    f"SELECT '{c}' AS column, COUNT(DISTINCT {c}) + MAX(CAST({c} IS NULL AS INTEGER)) AS n_distinct, "
+    f"CAST(COUNT(DISTINCT {c}) + MAX(CAST({c} IS NULL AS INTEGER)) >= 50 AS INTEGER) AS high_card FROM events_cat"
+    for c in EV_CAT]))
+def q_high_card(spark, d):
+    return P.high_card_columns(fx.events_cat(spark, d), EV_CAT)
+
+
+CORR_COLS = ["o_totalprice", "c_acctbal", "o_year", "urgent"]
+
+
+@query("correlation_matrix", W(ORDERS_ML) + union([
+    f"SELECT '{a}' AS col_a, '{b}' AS col_b, " + ("1.0 AS corr" if a == b else f"ROUND(CORR({a}, {b}), 6) AS corr FROM orders_ml")
+    for a in CORR_COLS for b in CORR_COLS]))
+def q_corr(spark, d):
+    return rounded(P.correlation_matrix(fx.orders_ml(spark, d), CORR_COLS))
+
+
+CF_COLS = ["o_totalprice", "pred", "c_acctbal", "urgent"]
+
+
+@query("correlation_filter", W(ORDERS_REG) + union([
+    f"SELECT '{b}' AS column, CAST(" + (" OR ".join(f"ABS(CORR({a}, {b})) > 0.98" for a in CF_COLS[:j]) or "FALSE")
+    + " AS INTEGER) AS dropped" + (" FROM orders_reg" if j else "") for j, b in enumerate(CF_COLS)]))
+def q_corr_filter(spark, d):
+    return P.correlation_filter(fx.orders_reg(spark, d), CF_COLS, 0.98)
+
+
+@query("rare_categories", W(EVENTS_CAT) + union([
+    f"SELECT '{c}' AS column, CAST({c} AS VARCHAR) AS value, COUNT(*) AS count, "
+    f"ROUND(COUNT(*) / (SELECT COUNT(*) FROM events_cat), 6) AS freq FROM events_cat GROUP BY 2 "
+    f"HAVING COUNT(*) / (SELECT COUNT(*) FROM events_cat) < 0.01" for c in ["event_type", "user_id"]]))
+def q_rare(spark, d):
+    return rounded(P.rare_categories(fx.events_cat(spark, d), ["event_type", "user_id"], min_freq=0.01))
+
+
+@query("encode_target", W(ORDERS_ML, """
+m AS (SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS y
+      FROM (SELECT DISTINCT CAST(o_orderstatus AS VARCHAR) AS label FROM orders_ml) t)""")
+       + "SELECT o_orderkey, m.y FROM orders_ml JOIN m ON o_orderstatus = m.label")
+def q_encode_target(spark, d):
+    df, _ = L.encode_target(fx.orders_ml(spark, d), "o_orderstatus", out="y")
+    return df.select("o_orderkey", "y")
+
+
+def _pos_inputs(spark, d):
+    dm = fx.docs_ml(spark, d)
+    om = fx.orders_ml(spark, d).withColumn("urgent_yn", F.when(F.col("urgent") == 1, "Y").otherwise("N"))
+    en = fx.docs_nulls(spark, d).withColumn("english", F.when(F.col("lang") == "en", "english").otherwise("other"))
+    return [("docs_ml.quality", dm, "quality"), ("orders_ml.o_orderstatus", om, "o_orderstatus"),
+            ("orders_ml.urgent_yn", om, "urgent_yn"), ("documents.english", en, "english")]
+
+
+@query("positive_label", W(ORDERS_ML, DOCS_ML, DOCS_NULLS) + """
+SELECT 'docs_ml.quality' AS source, '1' AS positive_label
+UNION ALL SELECT 'orders_ml.o_orderstatus',
+  CASE WHEN (SELECT COUNT(DISTINCT o_orderstatus) FROM orders_ml) = 2 THEN 'x' ELSE NULL END
+UNION ALL SELECT 'orders_ml.urgent_yn', 'Y'
+UNION ALL SELECT 'documents.english', (SELECT v FROM (
+    SELECT CASE WHEN lang = 'en' THEN 'english' ELSE 'other' END AS v, COUNT(*) AS n FROM docs_nulls GROUP BY 1) t
+    ORDER BY n, v LIMIT 1)""")
+def q_positive_label(spark, d):
+    out = None
+    for name, df, col in _pos_inputs(spark, d):
+        r = L.positive_label(df, col).select(F.lit(name).alias("source"), "positive_label")
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+@query("binary_labels", W(DOCS_NULLS, """
+v AS (SELECT doc_id, CASE WHEN lang = 'en' THEN 'english' ELSE 'other' END AS english, quality FROM docs_nulls),
+pos AS (SELECT english AS p FROM v GROUP BY 1 ORDER BY COUNT(*), 1 LIMIT 1)""") + """
+SELECT doc_id, CAST(CASE WHEN quality IS NULL THEN NULL WHEN quality = 1 THEN 1 ELSE 0 END AS INTEGER) AS quality01,
+       CAST(CASE WHEN english = (SELECT p FROM pos) THEN 1 ELSE 0 END AS INTEGER) AS english01
+FROM v""")
+def q_binary_labels(spark, d):
+    df = fx.docs_nulls(spark, d).withColumn("english", F.when(F.col("lang") == "en", "english").otherwise("other"))
+    df, _ = L.binary_labels(df, "quality", out="quality01")
+    df, _ = L.binary_labels(df, "english", out="english01")
+    return df.select("doc_id", "quality01", "english01")
+
+
+@query("remap_labels", W(ORDERS_ML) + """
+SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN '0' WHEN 'O' THEN '1' ELSE o_orderstatus END AS y
+FROM orders_ml""")
+def q_remap(spark, d):
+    return L.remap_labels(fx.orders_ml(spark, d), "o_orderstatus", mapping={"F": 0, "O": 1}, out="y").select(
+        "o_orderkey", "y")
+
+
+@query("boolish", W(DOCS_NULLS) + """
+SELECT doc_id,
+  CAST(CASE WHEN lower(trim(CAST(quality AS VARCHAR))) IN ('y','yes','si','s','true','1') THEN TRUE
+            WHEN lower(trim(CAST(quality AS VARCHAR))) IN ('n','no','false','0') THEN FALSE END AS INTEGER) AS quality_bool,
+  CAST(CASE WHEN lower(trim(lang)) IN ('y','yes','si','s','true','1') THEN TRUE
+            WHEN lower(trim(lang)) IN ('n','no','false','0') THEN FALSE END AS INTEGER) AS lang_bool
+FROM docs_nulls""")
+def q_boolish(spark, d):
+    df = fx.docs_nulls(spark, d)
+    return df.select("doc_id", C.boolish(F.col("quality")).cast("int").alias("quality_bool"),
+                     C.boolish(F.col("lang")).cast("int").alias("lang_bool"))
+
+
+# ---------------------------------------------------------------------------
+# Feature transforms (2.5), splits (2.6), sources (2.1)
+# ---------------------------------------------------------------------------
+from .operators import features as FT  # noqa: E402
+from .operators import split as SP  # noqa: E402
+
+
+@query("ordinal_map", W(ORDERS_ML) + """
+SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 WHEN '3-MEDIUM' THEN 3 END
+  AS o_orderpriority
+FROM orders_ml""")
+def q_ordinal_map(spark, d):
+    m = FT.OrdinalMapper({"o_orderpriority": {"1-URGENT": 1, "2-HIGH": 2, "3-MEDIUM": 3}})
+    return m.transform(fx.orders_ml(spark, d)).select("o_orderkey", "o_orderpriority")
+
+
+def _freq_sql(c):
+    return (f"CASE WHEN (SELECT COUNT(DISTINCT {c}) FROM events_cat) >= 40 THEN "
+            f"ROUND(COUNT(*) OVER (PARTITION BY {c}) / (SELECT COUNT(*) FROM events_cat), 6) END")
+
+
+@query("freq_encode", W(EVENTS_CAT) + f"""
+SELECT event_id, {_freq_sql('user_id')} AS user_id, event_type, {_freq_sql('props')} AS props
+FROM events_cat""")
+def q_freq_encode(spark, d):
+    df = fx.events_cat(spark, d).select("event_id", "user_id", "event_type", "props")
+    enc = FT.FrequencyEncoder(threshold=40, exclude=["event_id"]).fit(df)
+    out = enc.transform(df)
+    # event_type has 5 values (< 40): left as text
+    return rounded(out.select("event_id", "user_id", "event_type", "props"))
+
+
+@query("rare_group", W(ORDERS_ML) + """
+SELECT o_orderkey,
+  CASE WHEN COUNT(*) OVER (PARTITION BY n_name) >= 0.05 * (SELECT COUNT(*) FROM orders_ml) THEN n_name
+       ELSE '__OTHER__' END AS n_name,
+  CASE WHEN COUNT(*) OVER (PARTITION BY c_mktsegment) >= 0.05 * (SELECT COUNT(*) FROM orders_ml) THEN c_mktsegment
+       ELSE '__OTHER__' END AS c_mktsegment
+FROM orders_ml""")
+def q_rare_group(spark, d):
+    df = fx.orders_ml(spark, d).select("o_orderkey", "n_name", "c_mktsegment")
+    m = FT.RareCategoryGrouper(min_freq=0.05, cols=["n_name", "c_mktsegment"]).fit(df)
+    return m.transform(df).select("o_orderkey", "n_name", "c_mktsegment")
+
+
+@query("collapse_rare", W(EVENTS_CAT) + """
+SELECT event_id, CASE WHEN user_id IS NOT NULL AND COUNT(*) OVER (PARTITION BY user_id) < 70 THEN '__OTHER__'
+                      ELSE user_id END AS user_id
+FROM events_cat""")
+def q_collapse_rare(spark, d):
+    df = fx.events_cat(spark, d).select("event_id", "user_id")
+    return FT.collapse_rare_categories(df, "user_id", min_count=70).select("event_id", "user_id")
+
+
+@query("hash_columns", W(DOCS_ML) + union([
+    f"SELECT '{c}' AS column, ROUND(AVG(length({c})), 6) AS avg_len, "
+    f"ROUND(COUNT(DISTINCT {c}) / GREATEST(COUNT(*), 1), 6) AS unique_ratio, "
+    f"CAST(COALESCE(AVG(length({c})) >= 20, FALSE) OR COUNT(DISTINCT {c}) / GREATEST(COUNT(*), 1) >= 0.5 AS INTEGER)"
+    f" AS hashed FROM docs_ml" for c in ["text", "lang", "source"]]))
+def q_hash_columns(spark, d):
+    return rounded(FT.auto_hash_columns(fx.docs_ml(spark, d), ["text", "lang", "source"]))
+
+
+@query("hash_tokens")
+def q_hash_tokens(spark, d):
+    """Rows-only: bucket ids come from Spark's murmur3 FeatureHasher."""
+    from pyspark.ml.functions import vector_to_array
+    df = fx.docs_ml(spark, d)
+    m = FT.HashingEncoder(cols=["lang", "source"], n_features=512).fit(df)
+    arr = vector_to_array(F.col("hash_features"))
+    return m.transform(df).select("doc_id", F.aggregate(arr, F.lit(0.0), lambda a, b: a + b).alias("token_total"),
+                                  F.size(F.filter(arr, lambda v: v != 0)).alias("n_nonzero"))
+
+
+@query("impute_numeric", W(DOCS_NULLS) + """
+SELECT doc_id, COALESCE(CAST(quality AS DOUBLE), (SELECT MEDIAN(quality) FROM docs_nulls)) AS quality,
+       COALESCE(CAST(toxic AS DOUBLE), (SELECT MEDIAN(toxic) FROM docs_nulls)) AS toxic,
+       COALESCE(CAST(n_chars AS DOUBLE), (SELECT MEDIAN(n_chars) FROM docs_nulls)) AS n_chars
+FROM docs_nulls""")
+def q_impute_numeric(spark, d):
+    df = fx.docs_nulls(spark, d).select("doc_id", "quality", "toxic", "n_chars")
+    m = FT.NumericImputer(cols=["quality", "toxic", "n_chars"]).fit(df)
+    return rounded(m.transform(df))
+
+
+@query("impute_categorical", W(DOCS_NULLS, """
+v AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'good' WHEN quality = 0 THEN 'bad' END AS quality_txt, lang
+      FROM docs_nulls),
+m AS (SELECT quality_txt AS mv FROM v WHERE quality_txt IS NOT NULL GROUP BY 1 ORDER BY COUNT(*) DESC, 1 LIMIT 1),
+ml AS (SELECT lang AS mv FROM v WHERE lang IS NOT NULL GROUP BY 1 ORDER BY COUNT(*) DESC, 1 LIMIT 1)""") + """
+SELECT doc_id, COALESCE(quality_txt, (SELECT mv FROM m)) AS quality_txt, COALESCE(lang, (SELECT mv FROM ml)) AS lang
+FROM v""")
+def q_impute_categorical(spark, d):
+    df = fx.docs_nulls(spark, d).select(
+        "doc_id", F.when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "bad").alias("quality_txt"), "lang")
+    m = FT.CategoricalImputer(cols=["quality_txt", "lang"]).fit(df)
+    return m.transform(df)
+
+
+def _yj_sql(x, lam):
+    return (f"CASE WHEN {x} >= 0 THEN (CASE WHEN {lam} = 0 THEN LN(1 + {x}) ELSE (POWER({x} + 1, {lam}) - 1) / {lam} END)"
+            f" ELSE (CASE WHEN {lam} = 2 THEN -LN(1 - {x}) ELSE -(POWER(1 - {x}, 2 - {lam}) - 1) / (2 - {lam}) END) END")
+
+
+YJ_COLS = ["o_totalprice", "c_acctbal"]
+
+
+@query("yeo_johnson", W(ORDERS_ML, """
+g AS (SELECT CAST(ROUND(-2.0 + i * 0.1, 10) AS DOUBLE) AS lam FROM range(0, 41) r(i)),
+ll AS (""" + union([
+    f"SELECT '{c}' AS column, lam, -COUNT(*) / 2.0 * LN(VAR_POP({_yj_sql(c, 'lam')})) + (lam - 1) * "
+    f"SUM(SIGN({c}) * LN(1 + ABS({c}))) AS loglik FROM orders_ml, g GROUP BY lam" for c in YJ_COLS]) + ")")
+       + 'SELECT "column", ROUND(arg_max(lam, loglik), 6) AS lambda FROM ll GROUP BY "column"')
+def q_yeo_johnson(spark, d):
+    df = fx.orders_ml(spark, d)
+    m = FT.YeoJohnson(cols=YJ_COLS, refine=False).fit(df)
+    rows = [(c, float(v)) for c, v in m.state["lambdas"].items()]
+    return rounded(spark.createDataFrame(rows, "column string, lambda double"))
+
+
+SCALE_COLS = ["o_totalprice", "c_acctbal", "o_year"]
+
+
+@query("standard_scale", W(ORDERS_ML) + "SELECT o_orderkey, " + ", ".join(
+    f"ROUND(({c} - AVG({c}) OVER ()) / CASE WHEN STDDEV_POP({c}) OVER () = 0 THEN 1 ELSE STDDEV_POP({c}) OVER () END, 6)"
+    f" AS {c}" for c in SCALE_COLS) + " FROM orders_ml")
+def q_standard_scale(spark, d):
+    df = fx.orders_ml(spark, d).select("o_orderkey", *SCALE_COLS)
+    return rounded(FT.StandardScalerPop(cols=SCALE_COLS).fit(df).transform(df))
+
+
+VAR_COLS = ["o_totalprice", "c_acctbal", "o_year", "urgent", "one"]
+
+
+@query("variance_filter", W(ORDERS_ML) + union([
+    f"SELECT '{c}' AS column, ROUND(VAR_POP({c}), 2) AS variance, CAST(VAR_POP({c}) > 0.0 AS INTEGER) AS kept "
+    f"FROM (SELECT *, 1 AS one FROM orders_ml) t" for c in VAR_COLS]))
+def q_variance_filter(spark, d):
+    df = fx.orders_ml(spark, d).withColumn("one", F.lit(1))
+    m = FT.VarianceFilter(cols=VAR_COLS, threshold=0.0).fit(df)
+    rows = [(c, m.state["variances"][c], 0 if c in m.state["drop"] else 1) for c in VAR_COLS]
+    # variances reach 1e10 here: 2 decimals keep ~13 significant digits
+    return rounded(spark.createDataFrame(rows, "column string, variance double, kept int"), 2)
+
+
+OH_COLS = ["c_mktsegment", "o_orderpriority"]
+
+
+@query("one_hot", W(ORDERS_ML) + union([
+    f"SELECT o_orderkey, '{c}=' || cat AS feature, CAST({c} = cat AS DOUBLE) AS value FROM orders_ml, "
+    f"(SELECT DISTINCT {c} AS cat FROM orders_ml) t" for c in OH_COLS]))
+def q_one_hot(spark, d):
+    df = fx.orders_ml(spark, d).select("o_orderkey", *OH_COLS)
+    m = FT.OneHot(cols=OH_COLS).fit(df)
+    out = m.transform(df)
+    names = m.output_columns()
+    return out.select("o_orderkey", F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(f"`{n}`").alias("value"))
+                                                        for n in names])).alias("e")).select("o_orderkey", "e.*")
+
+
+OE_COLS = ["c_mktsegment", "o_orderpriority", "n_name"]
+
+
+@query("ordinal_encode", W(ORDERS_ML) + "SELECT o_orderkey, " + ", ".join(
+    f"CAST(DENSE_RANK() OVER (ORDER BY {c}) - 1 AS DOUBLE) AS {c}" for c in OE_COLS) + " FROM orders_ml")
+def q_ordinal_encode(spark, d):
+    df = fx.orders_ml(spark, d).select("o_orderkey", *OE_COLS)
+    return FT.OrdinalEncode(cols=OE_COLS).fit(df).transform(df)
+
+
+MI_FEATURES = ["o_totalprice", "c_acctbal", "o_year", "urgent", "c_mktsegment", "n_name", "o_orderpriority"]
+
+
+def _mi_bin_sql(c, continuous):
+    if not continuous:
+        return f"CAST({c} AS VARCHAR)"
+    qs = f"(SELECT quantile_cont({c}, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9]) FROM orders_ml)"
+    return "CAST(" + " + ".join(f"CASE WHEN {c} > {qs}[{i}] THEN 1 ELSE 0 END" for i in range(1, 10)) + " AS VARCHAR)"
+
+
+@query("mutual_info_topk", W(ORDERS_ML, "long AS (" + union([
+    f"SELECT '{c}' AS feature, {_mi_bin_sql(c, c in ('o_totalprice', 'c_acctbal'))} AS b, o_orderstatus AS y "
+    f"FROM orders_ml" for c in MI_FEATURES]) + """),
+cell AS (SELECT feature, b, y, COUNT(*) AS nxy FROM long GROUP BY ALL),
+px AS (SELECT feature, b, SUM(nxy) AS nx FROM cell GROUP BY ALL),
+py AS (SELECT y, COUNT(*) AS ny FROM orders_ml GROUP BY o_orderstatus, y),
+mi AS (SELECT cell.feature, SUM(nxy / (SELECT COUNT(*) FROM orders_ml) *
+              LN(nxy * (SELECT COUNT(*) FROM orders_ml) / (nx * ny))) AS mi
+       FROM cell JOIN px USING (feature, b) JOIN py USING (y) GROUP BY cell.feature)""").replace(
+    "py AS (SELECT y, COUNT(*) AS ny FROM orders_ml GROUP BY o_orderstatus, y)",
+    "py AS (SELECT o_orderstatus AS y, COUNT(*) AS ny FROM orders_ml GROUP BY 1)") + """
+SELECT feature, ROUND(mi, 6) AS mi, rank FROM (
+  SELECT *, CAST(row_number() OVER (ORDER BY mi DESC, feature) AS INTEGER) AS rank FROM mi) t WHERE rank <= 4""")
+def q_mutual_info(spark, d):
+    df = fx.orders_ml(spark, d)
+    return rounded(FT.select_k_best_mi(df, MI_FEATURES, "o_orderstatus", k=4))
+
+
+@query("stratified_folds", W(DOCS_ML) + f"""
+SELECT doc_id, quality,
+       CAST((row_number() OVER (PARTITION BY quality ORDER BY {H('doc_id', 42)}, doc_id) - 1) % 5 AS INTEGER) AS fold
+FROM docs_ml""")
+def q_stratified_folds(spark, d):
+    return SP.stratified_folds(fx.docs_ml(spark, d), "quality", ["doc_id"], k=5).select("doc_id", "quality", "fold")
+
+
+@query("kfold", W(ORDERS_ML) + f"""
+SELECT o_orderkey, CAST((row_number() OVER (ORDER BY {H('o_orderkey', 42)}, o_orderkey) - 1) % 5 AS INTEGER) AS fold
+FROM orders_ml""")
+def q_kfold(spark, d):
+    return SP.kfold(fx.orders_ml(spark, d), ["o_orderkey"], k=5).select("o_orderkey", "fold")
+
+
+@query("stratified_split", W(DOCS_ML) + f"""
+SELECT doc_id, quality,
+       CAST(row_number() OVER (PARTITION BY quality ORDER BY {H('doc_id', 42)}, doc_id) - 1
+            < CEIL(COUNT(*) OVER (PARTITION BY quality) * 0.2) AS INTEGER) AS is_valid
+FROM docs_ml""")
+def q_stratified_split(spark, d):
+    return SP.stratified_split(fx.docs_ml(spark, d), "quality", ["doc_id"], 0.2).select("doc_id", "quality", "is_valid")
+
+
+@query("sample_rows", W(DOCS_NULLS) + f"""
+SELECT doc_id, n_chars FROM docs_nulls ORDER BY {H('doc_id', 42)}, doc_id LIMIT 100""")
+def q_sample_rows(spark, d):
+    return SP.sample_rows(fx.docs_nulls(spark, d), ["doc_id"], 100).select("doc_id", "n_chars")

@@ -27,31 +27,36 @@ def _clean(df: DataFrame, col: str) -> DataFrame:
 
 def order_statistics(df: DataFrame, col: str, ranks: list[int], bins: int = DEFAULT_BINS,
                      max_collect: int = DEFAULT_MAX_COLLECT, _stats=None) -> dict[int, float]:
-    """Exact values at 0-based ``ranks`` of the non-null values of ``col``."""
+    """Exact values at 0-based ``ranks`` of the non-null values of ``col``.
+
+    Ranks that share a bracket share its histogram pass."""
     x = _clean(df, col)
     if _stats is None:
         _stats = x.agg(F.count(F.lit(1)).alias("n"), F.min("__x").alias("lo"),
                        F.max("__x").alias("hi")).first()
     n, mn, mx = int(_stats["n"]), _stats["lo"], _stats["hi"]
-    out: dict[int, float] = {}
-    for r in sorted(set(int(v) for v in ranks)):
-        if r in out:
-            continue
+    want = sorted(set(int(v) for v in ranks))
+    for r in want:
         if not 0 <= r < n:
             raise ValueError(f"rank {r} out of range for {n} values")
-        lo, hi, below, cnt = mn, mx, 0, n
-        for _ in range(256):
+    out: dict[int, float] = {}
+    pending = {r: (mn, mx, 0, n) for r in want}
+    for _ in range(256):
+        if not pending:
+            return out
+        brackets: dict[tuple, list[int]] = {}
+        for r, br in pending.items():
+            brackets.setdefault(br, []).append(r)
+        pending = {}
+        for (lo, hi, below, cnt), rs in brackets.items():
             if lo == hi:
-                out[r] = lo
-                break
+                out.update({r: lo for r in rs})
+                continue
             inside = x.where((F.col("__x") >= lo) & (F.col("__x") <= hi))
             if cnt <= max_collect:
                 vals = sorted(v[0] for v in inside.collect())
-                out[r] = vals[r - below]
-                for r2 in ranks:  # resolve other ranks that fall in the fetched window
-                    if below <= r2 < below + len(vals) and r2 not in out:
-                        out[r2] = vals[r2 - below]
-                break
+                out.update({r: vals[r - below] for r in rs})
+                continue
             # halves avoid overflow when hi - lo exceeds the double range
             scale = (F.col("__x") / 2 - lo / 2) / (hi / 2 - lo / 2)
             bucket = F.least(F.floor(scale * bins), F.lit(bins - 1)).cast("int")
@@ -60,15 +65,14 @@ def order_statistics(df: DataFrame, col: str, ranks: list[int], bins: int = DEFA
                          F.max("__x").alias("hi"))
                     .collect())
             hist.sort(key=lambda h: h["b"])
-            acc = below
-            for h in hist:
-                if acc <= r < acc + h["c"]:
-                    below, lo, hi, cnt = acc, h["lo"], h["hi"], h["c"]
-                    break
-                acc += h["c"]
-        else:  # pragma: no cover - defensive
-            raise RuntimeError("order statistic did not converge")
-    return out
+            for r in rs:
+                acc = below
+                for h in hist:
+                    if acc <= r < acc + h["c"]:
+                        pending[r] = (h["lo"], h["hi"], acc, h["c"])
+                        break
+                    acc += h["c"]
+    raise RuntimeError("order statistics did not converge")  # pragma: no cover
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: list[float], **kw) -> list[float | None]:

@@ -80,3 +80,20 @@ def prefix_sums(g: DataFrame, order_col: str, value_cols: list[str], by: list[st
     for v in value_cols:
         d = d.withColumn(f"{prefix}{v}", F.coalesce(F.sum(v).over(wr), F.lit(0)) + F.col(f"__o_{v}"))
     return d.drop("__ok", "__bk", *[f"__o_{v}" for v in value_cols])
+
+
+def top_n_per_group(df: DataFrame, group_cols: list[str], order_cols: list, n: int,
+                    spread_col: str | None = None, buckets: int = 256, out: str = "rank") -> DataFrame:
+    """Exact top-n rows per group without ranking a whole group in one task.
+
+    Stage 1 ranks inside (group, hash bucket of ``spread_col``) and keeps n per
+    bucket; stage 2 ranks the at most n·buckets survivors per group.
+    ``order_cols`` are Column sort expressions (e.g. ``F.col('c').desc()``).
+    """
+    d = df
+    if spread_col is not None and buckets > 1:
+        d = d.withColumn("__sb", F.pmod(F.xxhash64(F.col(spread_col)), F.lit(buckets)))
+        w1 = Window.partitionBy(*group_cols, "__sb").orderBy(*order_cols)
+        d = d.withColumn("__r1", F.row_number().over(w1)).where(F.col("__r1") <= n).drop("__r1", "__sb")
+    w2 = Window.partitionBy(*group_cols).orderBy(*order_cols)
+    return d.withColumn(out, F.row_number().over(w2)).where(F.col(out) <= n)
