@@ -799,3 +799,132 @@ def q_stratified_split(spark, d):
 SELECT doc_id, n_chars FROM docs_nulls ORDER BY {H('doc_id', 42)}, doc_id LIMIT 100""")
 def q_sample_rows(spark, d):
     return SP.sample_rows(fx.docs_nulls(spark, d), ["doc_id"], 100).select("doc_id", "n_chars")
+
+
+# ---------------------------------------------------------------------------
+# Preprocessing assembly, sinks (2.1, 2.5 T18, 2.2 P11)
+# ---------------------------------------------------------------------------
+from .operators import preprocess as PP  # noqa: E402
+from .plans.config import PreprocessConfig, SystemConfig  # noqa: E402
+
+PF_FEATS = ["o_totalprice", "c_acctbal", "urgent", "c_mktsegment", "o_orderpriority"]
+
+
+def _pre_no_power():
+    return PreprocessConfig(power_transform=False)
+
+
+@query("preprocess_full", W(ORDERS_ML) + union(
+    [f"SELECT o_orderkey, '{c}' AS feature, ROUND(({c} - AVG({c}) OVER ()) / CASE WHEN STDDEV_POP({c}) OVER () = 0 "
+     f"THEN 1 ELSE STDDEV_POP({c}) OVER () END, 6) AS value FROM orders_ml" for c in ["o_totalprice", "c_acctbal"]]
+    + ["SELECT o_orderkey, 'urgent', CAST(urgent AS DOUBLE) FROM orders_ml"]
+    + [f"SELECT o_orderkey, '{c}=' || cat, CAST({c} = cat AS DOUBLE) FROM orders_ml, "
+       f"(SELECT DISTINCT {c} AS cat FROM orders_ml) t" for c in ["c_mktsegment", "o_orderpriority"]]))
+def q_preprocess_full(spark, d):
+    """Logistic-family preprocessing of orders_ml: median impute → population scaling for
+    continuous columns, binary passthrough, mode impute → one-hot for categoricals; the
+    assembled vector is unpacked to (key, feature, value)."""
+    from pyspark.ml.functions import vector_to_array
+    df = fx.orders_ml(spark, d)
+    pre = PP.Preprocessor(PF_FEATS, "logistic", "classification", _pre_no_power()).fit(df)
+    names = pre.feature_names
+    out = pre.transform(df).select("o_orderkey", vector_to_array("features").alias("v"))
+    long = out.select("o_orderkey", F.explode(F.arrays_zip(F.array(*[F.lit(n) for n in names]).alias("feature"),
+                                                         F.col("v").alias("value"))).alias("e"))
+    return rounded(long.select("o_orderkey", "e.feature", "e.value"))
+
+
+@query("export_preprocessed", W(ORDERS_ML) + """
+SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS y,
+       o_totalprice, c_acctbal, CAST(urgent AS DOUBLE) AS urgent,
+       CAST(DENSE_RANK() OVER (ORDER BY c_mktsegment) - 1 AS DOUBLE) AS c_mktsegment,
+       CAST(DENSE_RANK() OVER (ORDER BY o_orderpriority) - 1 AS DOUBLE) AS o_orderpriority
+FROM orders_ml""".replace("CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END",
+                          "CAST(DENSE_RANK() OVER (ORDER BY o_orderstatus) - 1 AS DOUBLE)"))
+def q_export_preprocessed(spark, d):
+    """rf-family matrix (no scaling, ordinal codes) with the encoded target ``y`` first."""
+    df, _ = L.encode_target(fx.orders_ml(spark, d), "o_orderstatus", out="label")
+    df = df.withColumn("label", F.col("label").cast("double"))
+    pre = PP.Preprocessor(PF_FEATS, "rf", "classification", _pre_no_power()).fit(df)
+    return rounded(PP.export_matrix(pre, df, "label", key=["o_orderkey"]))
+
+
+@query("align_columns", W(DOCS_NULLS) + """
+SELECT doc_id, CAST(n_chars AS DOUBLE) AS n_chars, lang, CAST(NULL AS VARCHAR) AS c_segment, quality
+FROM docs_nulls""")
+def q_align_columns(spark, d):
+    df = fx.docs_nulls(spark, d)
+    return PP.align_columns(df, [("doc_id", "bigint"), ("n_chars", "double"), ("lang", "string"),
+                                 ("c_segment", "string"), ("quality", "int")])
+
+
+@query("feature_schema", W(ORDERS_ML) + """
+SELECT CAST(row_number() OVER () - 1 AS INTEGER) AS position, column_name AS "column",
+       CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double'
+                        WHEN 'VARCHAR' THEN 'string' ELSE lower(column_type) END AS dtype
+FROM (DESCRIBE SELECT * FROM orders_ml) t""")
+def q_feature_schema(spark, d):
+    return PP.feature_schema(fx.orders_ml(spark, d))
+
+
+# ---------------------------------------------------------------------------
+# Plan (2.4 A9, 2.10 M16)
+# ---------------------------------------------------------------------------
+from .plans import plan as PL  # noqa: E402
+
+DOCS_X = ["text", "lang", "source", "n_chars", "toxic"]
+
+
+def _docs_plan(spark, d):
+    df = fx.docs_ml(spark, d)
+    prof = PL.plan_profile(df.select(*DOCS_X), df, "quality")
+    return prof
+
+
+PLAN_PROFILE_CTE = DOCS_ML + """,
+sk AS (SELECT (CASE WHEN VAR_POP(n_chars) = 0 THEN 0 ELSE SKEWNESS(n_chars) END) AS s_n_chars,
+              (CASE WHEN VAR_POP(toxic) = 0 THEN 0 ELSE SKEWNESS(toxic) END) AS s_toxic FROM docs_ml),
+hc AS (SELECT concat_ws(',', CASE WHEN COUNT(DISTINCT text) + MAX(CAST(text IS NULL AS INTEGER)) >= 50 THEN 'text' END,
+                        CASE WHEN COUNT(DISTINCT lang) + MAX(CAST(lang IS NULL AS INTEGER)) >= 50 THEN 'lang' END,
+                        CASE WHEN COUNT(DISTINCT source) + MAX(CAST(source IS NULL AS INTEGER)) >= 50 THEN 'source' END)
+              AS high_card FROM docs_ml),
+cc AS (SELECT quality, COUNT(*) AS n FROM docs_ml GROUP BY quality),
+prof AS (SELECT (SELECT COUNT(*) FROM docs_ml) AS n_samples, 5 AS n_features, 2 AS n_num, 3 AS n_cat,
+                concat_ws(',', CASE WHEN ABS(s_n_chars) >= 1 THEN 'n_chars' END,
+                               CASE WHEN ABS(s_toxic) >= 1 THEN 'toxic' END) AS skewed,
+                (SELECT high_card FROM hc) AS high_card,
+                (SELECT CASE WHEN COUNT(*) < 2 THEN 1.0 ELSE MAX(n) / MIN(n) END FROM cc) AS imbalance_ratio,
+                (SELECT CASE WHEN COUNT(DISTINCT quality) <= 20 THEN 'classification' ELSE 'regression' END
+                 FROM docs_ml) AS task
+         FROM sk)
+"""
+
+
+@query("plan_profile", "WITH " + PLAN_PROFILE_CTE + """
+SELECT CAST(n_samples AS BIGINT) AS n_samples, CAST(n_features AS BIGINT) AS n_features, CAST(n_num AS BIGINT) AS n_num,
+       CAST(n_cat AS BIGINT) AS n_cat, skewed, high_card, ROUND(imbalance_ratio, 6) AS imbalance_ratio, task FROM prof""")
+def q_plan_profile(spark, d):
+    return rounded(PL.profile_frame(spark, _docs_plan(spark, d)))
+
+
+@query("auto_plan", "WITH " + PLAN_PROFILE_CTE + """,
+it AS (SELECT ROUND_EVEN(90 * 1.0 / (2.2 + CASE WHEN n_samples >= 5000 THEN 2.2 ELSE 1.8 END), 0) AS a,
+              ROUND_EVEN(90 * 1.2 / (2.2 + CASE WHEN n_samples >= 5000 THEN 2.2 ELSE 1.8 END), 0) AS b,
+              ROUND_EVEN(90 * CASE WHEN n_samples >= 5000 THEN 2.2 ELSE 1.8 END /
+                         (2.2 + CASE WHEN n_samples >= 5000 THEN 2.2 ELSE 1.8 END), 0) AS c FROM prof p2)
+SELECT task, CASE WHEN imbalance_ratio >= 1.5 THEN 'f1_macro' ELSE 'roc_auc' END AS primary_metric,
+       CASE WHEN imbalance_ratio >= 1.5 THEN 'balanced' END AS class_weight, 1 AS do_calibration,
+       CASE WHEN n_samples >= 10000 THEN 'halving' ELSE 'random' END AS search_strategy,
+       CAST(imbalance_ratio >= 2.0 AND n_samples <= 50000 AS INTEGER) AS resample,
+       CAST(skewed <> '' AS INTEGER) AS power_transform, 10 AS select_k_best,
+       CAST(n_samples AS BIGINT) AS n_samples, CAST(n_features AS BIGINT) AS n_features, CAST(n_num AS BIGINT) AS n_num,
+       CAST(n_cat AS BIGINT) AS n_cat, ROUND(imbalance_ratio, 6) AS imbalance_ratio, skewed, high_card,
+       'logistic=' || CAST(GREATEST(a, 3) + CASE WHEN 90 - GREATEST(a,3) - GREATEST(b,3) - GREATEST(c,3) >= 1 THEN 1
+                                                 WHEN 90 - GREATEST(a,3) - GREATEST(b,3) - GREATEST(c,3) <= -1 THEN -1 ELSE 0 END AS INTEGER)
+       || ';rf=' || CAST(GREATEST(b, 3) + CASE WHEN ABS(90 - GREATEST(a,3) - GREATEST(b,3) - GREATEST(c,3)) >= 2 THEN
+                                               SIGN(90 - GREATEST(a,3) - GREATEST(b,3) - GREATEST(c,3)) ELSE 0 END AS INTEGER)
+       || ';gbt=' || CAST(GREATEST(c, 3) AS INTEGER) AS model_iters
+FROM prof, it""")
+def q_auto_plan(spark, d):
+    """Plan for docs_ml (target quality) with default configuration."""
+    return rounded(PL.plan_frame(spark, PL.build_auto_plan(_docs_plan(spark, d), SystemConfig())))

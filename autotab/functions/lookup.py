@@ -27,6 +27,8 @@ def max_broadcast_rows(spark) -> int:
 def sized(small: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Return ``broadcast(small)`` when its row count is within the bound."""
     bound = max_broadcast_rows(small.sparkSession) if max_rows is None else max_rows
+    if bound <= 0:  # caller knows the side is large: plain shuffle join
+        return small
     small = small.persist(StorageLevel.MEMORY_AND_DISK)  # counted once, reused by the join
     n = small.limit(bound + 1).count()
     return F.broadcast(small) if n <= bound else small

@@ -73,8 +73,9 @@ def accuracy(df: DataFrame, y_true: str = "y", y_pred: str = "y_pred") -> DataFr
     return df.agg(F.avg((F.col(y_true) == F.col(y_pred)).cast("double")).alias("accuracy"))
 
 
-def per_label_counts(df: DataFrame, y_true: str = "y", y_pred: str = "y_pred") -> DataFrame:
-    """(label, tp, n_true, n_pred) over labels in y_true ∪ y_pred."""
+def per_label_counts(df: DataFrame, y_true: str = "y", y_pred: str = "y_pred", by=None) -> DataFrame:
+    """(by..., label, tp, n_true, n_pred) over labels in y_true ∪ y_pred."""
+    by = list(by or [])
     t, p = F.col(y_true).cast("string"), F.col(y_pred).cast("string")
     hit = (t == p).cast("long")
     ev = F.explode(F.array(
@@ -82,20 +83,22 @@ def per_label_counts(df: DataFrame, y_true: str = "y", y_pred: str = "y_pred") -
                  F.lit(0).cast("long").alias("np")),
         F.struct(p.alias("label"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("nt"),
                  F.lit(1).cast("long").alias("np"))))
-    return (df.select(ev.alias("e")).select("e.*")
-              .groupBy("label").agg(F.sum("tp").alias("tp"), F.sum("nt").alias("n_true"),
-                                    F.sum("np").alias("n_pred")))
+    return (df.select(*by, ev.alias("e")).select(*by, "e.*")
+              .groupBy(*by, "label").agg(F.sum("tp").alias("tp"), F.sum("nt").alias("n_true"),
+                                         F.sum("np").alias("n_pred")))
 
 
-def f1_per_label(df: DataFrame, y_true: str = "y", y_pred: str = "y_pred") -> DataFrame:
-    c = per_label_counts(df, y_true, y_pred)
+def f1_per_label(df: DataFrame, y_true: str = "y", y_pred: str = "y_pred", by=None) -> DataFrame:
+    by = list(by or [])
+    c = per_label_counts(df, y_true, y_pred, by)
     den = F.col("n_true") + F.col("n_pred")
-    return c.select("label", F.when(den == 0, 0.0).otherwise(2 * F.col("tp") / den).alias("f1"))
+    return c.select(*by, "label", F.when(den == 0, 0.0).otherwise(2 * F.col("tp") / den).alias("f1"))
 
 
-def f1_macro(df: DataFrame, y_true: str = "y", y_pred: str = "y_pred") -> DataFrame:
+def f1_macro(df: DataFrame, y_true: str = "y", y_pred: str = "y_pred", by=None) -> DataFrame:
     """Unweighted mean of per-label F1 over labels seen in y_true or y_pred (0/0 → 0)."""
-    return f1_per_label(df, y_true, y_pred).agg(F.avg("f1").alias("f1_macro"))
+    by = list(by or [])
+    return f1_per_label(df, y_true, y_pred, by).groupBy(*by).agg(F.avg("f1").alias("f1_macro"))
 
 
 def confusion_matrix(df: DataFrame, y_true: str = "y", y_pred: str = "y_pred",
@@ -287,3 +290,27 @@ def binary_summary(df: DataFrame, label: str = "y", score: str = "score", y_pred
         out["accuracy"] = accuracy(df, label, y_pred).first()["accuracy"]
         out["f1_macro"] = f1_macro(df, label, y_pred).first()["f1_macro"]
     return out
+
+
+# Metric names where larger is better; regression errors are negated.
+def metric_by(df: DataFrame, metric: str, by: list[str], task: str) -> DataFrame:
+    """(by..., value) of a named metric over a scored table (y, y_pred[, proba, score])."""
+    if metric == "roc_auc" and task == "classification":
+        return roc_auc(df, "y", "score", by).withColumnRenamed("roc_auc", "value")
+    if metric in ("roc_auc_ovr",):
+        per = roc_auc(df.select(*by, "y", F.posexplode("proba").alias("cls", "p"))
+                        .select(*by, "cls", (F.col("y") == F.col("cls")).cast("int").alias("yb"), "p"),
+                      "yb", "p", [*by, "cls"])
+        return per.groupBy(*by).agg(F.avg("roc_auc").alias("value"))
+    if metric == "f1_macro":
+        return f1_macro(df, "y", "y_pred", by).withColumnRenamed("f1_macro", "value")
+    if metric == "accuracy":
+        return df.groupBy(*by).agg(F.avg((F.col("y") == F.col("y_pred")).cast("double")).alias("value"))
+    e = F.col("y").cast("double") - F.col("y_pred").cast("double")
+    if metric in ("neg_root_mean_squared_error", "rmse"):
+        return df.groupBy(*by).agg((-F.sqrt(F.avg(e * e))).alias("value"))
+    if metric in ("neg_mean_absolute_error", "mae"):
+        return df.groupBy(*by).agg((-F.avg(F.abs(e))).alias("value"))
+    if metric == "r2":
+        return df.groupBy(*by).agg((1 - F.sum(e * e) / (F.var_pop(F.col("y")) * F.count(F.lit(1)))).alias("value"))
+    raise ValueError(f"unknown metric {metric}")

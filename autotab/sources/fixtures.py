@@ -83,3 +83,12 @@ def scored_multi(spark: SparkSession, d: str) -> DataFrame:
     pmax = F.array_max("proba")
     df = df.withColumn("y_pred", (F.array_position("proba", pmax) - 1).cast("int"))
     return df.select("o_orderkey", "y", "proba", "y_pred")
+
+
+def scored_multi_b(spark: SparkSession, d: str) -> DataFrame:
+    """A second 3-class member on orders: md5 draws (seeds 200..202), bonus 0.2 on the true class."""
+    base = scored_multi(spark, d).select("o_orderkey", "y")
+    raws = [unit_uniform("o_orderkey", seed=200 + j) + F.when(F.col("y") == j, 0.2).otherwise(0.0) for j in range(3)]
+    df = base.withColumn("raw", F.array(*raws))
+    tot = F.aggregate("raw", F.lit(0.0), lambda a, b: a + b)
+    return df.withColumn("proba", F.transform("raw", lambda v: v / tot)).select("o_orderkey", "y", "proba")
