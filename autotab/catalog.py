@@ -928,3 +928,309 @@ FROM prof, it""")
 def q_auto_plan(spark, d):
     """Plan for docs_ml (target quality) with default configuration."""
     return rounded(PL.plan_frame(spark, PL.build_auto_plan(_docs_plan(spark, d), SystemConfig())))
+
+
+# ---------------------------------------------------------------------------
+# Models, search, ensembles, explanations (2.10), X1, T7, T15, R1
+# ---------------------------------------------------------------------------
+from .functions.proba import raw_to_proba  # noqa: E402
+from .operators import calibrate as CA  # noqa: E402
+from .operators import ensemble as EN  # noqa: E402
+from .operators import explain as EX  # noqa: E402
+from .operators import search as SE  # noqa: E402
+from .operators.models import feature_importance, fit_model, model_context, scored_frame  # noqa: E402
+from .plans import registry as RG  # noqa: E402
+
+DOCS_FEATS = ["lang", "source", "n_chars", "toxic"]
+ORD_FEATS = ["o_totalprice", "c_acctbal", "o_year", "c_mktsegment", "n_name", "o_orderpriority"]
+
+
+def _docs_folds(spark, d, family, k=3, weight=False):
+    df = fx.docs_ml(spark, d)
+    df = SP.stratified_folds(df, "quality", ["doc_id"], k=k, out="fold")
+    wc = None
+    if weight:
+        df = P.balanced_weights(df, "quality", out="w")
+        wc = "w"
+    return SE.prepare_folds(df, ["doc_id"], "quality", DOCS_FEATS, family, "classification", k, "fold", wc,
+                            _pre_no_power())
+
+
+def _orders_folds(spark, d, family, k=3):
+    df, _ = L.encode_target(fx.orders_ml(spark, d), "o_orderstatus", out="status_idx")
+    df = SP.stratified_folds(df, "status_idx", ["o_orderkey"], k=k, out="fold")
+    return SE.prepare_folds(df, ["o_orderkey"], "status_idx", ORD_FEATS, family, "classification", k, "fold", None,
+                            _pre_no_power())
+
+
+def _fit_all(spark, df, feats, family, task, label, spec_name, params, key):
+    pre = PP.Preprocessor(feats, family, task, _pre_no_power()).fit(df)
+    x = pre.transform(df).select(*key, F.col(label).cast("double").alias("label"), "features")
+    ctx = model_context(x, task, len(pre.feature_names))
+    spec = RG.registry(task, ctx["n_rows"])[spec_name]
+    model = fit_model(spec, params, x, ctx)
+    return pre, model, x
+
+
+@query("fit_logistic")
+def q_fit_logistic(spark, d):
+    """L2 logistic regression (C=1) on docs_ml; in-sample predictions."""
+    df = fx.docs_ml(spark, d)
+    pre, model, x = _fit_all(spark, df, DOCS_FEATS, "logistic", "classification", "quality", "logistic", {"C": 1.0},
+                             ["doc_id"])
+    return scored_frame(model.transform(x), "classification", keep=["doc_id"]).drop("proba")
+
+
+@query("fit_elasticnet")
+def q_fit_elasticnet(spark, d):
+    """Elastic net (alpha 0.01, l1_ratio 0.5) predicting o_totalprice on orders_ml."""
+    df = fx.orders_ml(spark, d)
+    pre, model, x = _fit_all(spark, df, ["c_acctbal", "o_year", "urgent", "c_mktsegment", "o_orderpriority"],
+                             "linear", "regression", "o_totalprice", "linear", {"alpha": 0.01, "l1_ratio": 0.5},
+                             ["o_orderkey"])
+    return scored_frame(model.transform(x), "regression", keep=["o_orderkey"])
+
+
+@query("fit_rf")
+def q_fit_rf(spark, d):
+    """Random forest on the 10-class embeddings."""
+    df = fx.vec_ml(spark, d)
+    from pyspark.ml.functions import array_to_vector
+    x = df.select("vec_id", F.col("label").cast("double").alias("label"),
+                  array_to_vector(F.transform("embedding", lambda v: v.cast("double"))).alias("features"))
+    ctx = model_context(x, "classification", 64)
+    m = fit_model(RG.classification_registry()["rf"], {"numTrees": 30, "maxDepth": 8}, x, ctx)
+    return scored_frame(m.transform(x), "classification", keep=["vec_id"]).drop("proba", "score")
+
+
+@query("fit_gbt")
+def q_fit_gbt(spark, d):
+    """Gradient-boosted trees (binary) on docs_ml."""
+    df = fx.docs_ml(spark, d)
+    pre, model, x = _fit_all(spark, df, DOCS_FEATS, "gbt", "classification", "quality", "gbt",
+                             {"maxIter": 20, "maxDepth": 3}, ["doc_id"])
+    return scored_frame(model.transform(x), "classification", keep=["doc_id"]).drop("proba")
+
+
+@query("fit_mlp")
+def q_fit_mlp(spark, d):
+    """Multilayer perceptron (64 → 32 → 10) on the embeddings."""
+    from pyspark.ml.functions import array_to_vector
+    df = fx.vec_ml(spark, d)
+    x = df.select("vec_id", F.col("label").cast("double").alias("label"),
+                  array_to_vector(F.transform("embedding", lambda v: v.cast("double"))).alias("features"))
+    ctx = model_context(x, "classification", 64)
+    m = fit_model(RG.classification_registry()["mlp"], {"hidden": 32, "maxIter": 50}, x, ctx)
+    return scored_frame(m.transform(x), "classification", keep=["vec_id"]).drop("proba", "score")
+
+
+@query("oof_predictions")
+def q_oof(spark, d):
+    """3-fold out-of-fold logistic predictions of o_orderstatus (every order predicted once)."""
+    folds = _orders_folds(spark, d, "logistic")
+    spec = RG.classification_registry()["logistic"]
+    oof = SE.oof_predictions(spec, {"C": 1.0}, folds, "classification", ["o_orderkey"])
+    return oof.select("o_orderkey", "y", "y_pred", "fold", *[F.element_at("proba", j + 1).alias(f"proba_{j}")
+                                                            for j in range(3)])
+
+
+@query("search_leaderboard")
+def q_search(spark, d):
+    """Random search (4 draws) for logistic C on docs_ml, 3 stratified folds, macro F1."""
+    folds = _docs_folds(spark, d, "logistic", weight=True)
+    res = SE.random_search(RG.classification_registry()["logistic"], folds, "classification", ["doc_id"],
+                           "f1_macro", n_iter=4)
+    return SE.leaderboard_frame(spark, [res]).drop("seconds")
+
+
+@query("halving_leaderboard")
+def q_halving(spark, d):
+    """Successive halving (factor 3) over 4 random-forest draws on orders_ml, accuracy."""
+    folds = _orders_folds(spark, d, "rf")
+    spec = RG.classification_registry()["rf"]
+    spec.space = {"numTrees": [10, 20], "maxDepth": [3, 5], "minInstancesPerNode": [1],
+                  "featureSubsetStrategy": ["sqrt"]}
+    res = SE.halving_search(spec, folds, "classification", ["o_orderkey"], "accuracy", n_iter=4)
+    return SE.leaderboard_frame(spark, [res]).drop("seconds")
+
+
+@query("calibrate")
+def q_calibrate(spark, d):
+    """Isotonic calibration of logistic probabilities per fold, averaged (docs_ml)."""
+    folds = _docs_folds(spark, d, "logistic")
+    spec = RG.classification_registry()["logistic"]
+    cal = CA.calibrate(spec, {"C": 1.0}, folds)
+    x = folds[0].train.unionByName(folds[0].valid)
+    return CA.calibrated_scores(cal, x, ["doc_id"]).drop("proba")
+
+
+@query("gbt_early_stop")
+def q_gbt_early_stop(spark, d):
+    """GBT on embeddings (label 0 vs rest) with a 20 % stratified validation share to pick the
+    number of rounds, refitted on all rows."""
+    from pyspark.ml.functions import array_to_vector
+    df = fx.vec_ml(spark, d)
+    x = df.select("vec_id", (F.col("label") == 0).cast("double").alias("label"),
+                  array_to_vector(F.transform("embedding", lambda v: v.cast("double"))).alias("features"))
+    model, rounds = CA.gbt_early_stop(x, ["vec_id"], "classification", max_iter=50, maxDepth=3)
+    return scored_frame(model.transform(x), "classification", keep=["vec_id"]).drop("proba").withColumn(
+        "rounds", F.lit(rounds))
+
+
+@query("blend", W(SCORED_MULTI, f"""
+mb AS (SELECT o_orderkey, y,
+              {U('o_orderkey', 200)} + CASE WHEN y = 0 THEN 0.2 ELSE 0.0 END AS r0,
+              {U('o_orderkey', 201)} + CASE WHEN y = 1 THEN 0.2 ELSE 0.0 END AS r1,
+              {U('o_orderkey', 202)} + CASE WHEN y = 2 THEN 0.2 ELSE 0.0 END AS r2 FROM sm0),
+b AS (SELECT a.o_orderkey,
+             a.p0 * (2.0 / 3) + mb.r0 / (mb.r0 + mb.r1 + mb.r2) * (1.0 / 3) AS p0,
+             a.p1 * (2.0 / 3) + mb.r1 / (mb.r0 + mb.r1 + mb.r2) * (1.0 / 3) AS p1,
+             a.p2 * (2.0 / 3) + mb.r2 / (mb.r0 + mb.r1 + mb.r2) * (1.0 / 3) AS p2
+      FROM scored_multi a JOIN mb ON a.o_orderkey = mb.o_orderkey)""") + """
+SELECT o_orderkey, ROUND(p0, 6) AS p0, ROUND(p1, 6) AS p1, ROUND(p2, 6) AS p2,
+       CAST(CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END AS INTEGER) AS y_pred
+FROM b""")
+def q_blend(spark, d):
+    """Weighted (2:1) blend of two 3-class probability tables, argmax prediction."""
+    out = EN.blend_scored([fx.scored_multi(spark, d), fx.scored_multi_b(spark, d)], ["o_orderkey"], [2, 1])
+    return rounded(out.select("o_orderkey", *[F.element_at("proba", j + 1).alias(f"p{j}") for j in range(3)],
+                              "y_pred"))
+
+
+@query("raw_to_proba", W(SCORED_MULTI, """
+m AS (SELECT o_orderkey, 3 * p0 AS z0, 3 * p1 AS z1, 3 * p2 AS z2, GREATEST(3 * p0, 3 * p1, 3 * p2) AS mx
+      FROM scored_multi),
+e AS (SELECT o_orderkey, EXP(z0 - mx) AS e0, EXP(z1 - mx) AS e1, EXP(z2 - mx) AS e2 FROM m)""") + """
+SELECT o_orderkey, ROUND(e0 / (e0 + e1 + e2), 6) AS p0, ROUND(e1 / (e0 + e1 + e2), 6) AS p1,
+       ROUND(e2 / (e0 + e1 + e2), 6) AS p2, ROUND(1 / (1 + EXP(-(3 * p1 - 1))), 6) AS sig
+FROM e JOIN scored_multi USING (o_orderkey)""")
+def q_raw_to_proba(spark, d):
+    """Softmax of 3-class margins (3·p) and sigmoid of a 1-D margin (3·p1 − 1)."""
+    sm = fx.scored_multi(spark, d)
+    z = F.transform("proba", lambda v: v * 3)
+    out = sm.select("o_orderkey", raw_to_proba(z, True).alias("pm"),
+                    raw_to_proba(F.element_at("proba", 2) * 3 - 1, False).alias("pb"))
+    return rounded(out.select("o_orderkey", *[F.element_at("pm", j + 1).alias(f"p{j}") for j in range(3)],
+                              F.element_at("pb", 2).alias("sig")))
+
+
+@query("stacking")
+def q_stacking(spark, d):
+    """Stacking logistic + random forest on docs_ml (3 folds): out-of-fold base probabilities
+    feed a logistic meta model."""
+    folds = _docs_folds(spark, d, "rf")
+    reg = RG.classification_registry()
+    bases = [(reg["logistic"], {"C": 1.0}), (reg["rf"], {"numTrees": 20, "maxDepth": 5})]
+    meta_model, meta, cols, _ = EN.stacking(bases, folds, "classification", ["doc_id"])
+    return EN.stacked_oof_scores(meta_model, meta, ["doc_id"], "classification").drop("proba")
+
+
+@query("feature_importance")
+def q_feature_importance(spark, d):
+    """Random-forest importances on orders_ml (status), named by the preprocessor."""
+    df, _ = L.encode_target(fx.orders_ml(spark, d), "o_orderstatus", out="status_idx")
+    pre, model, _ = _fit_all(spark, df, ORD_FEATS, "rf", "classification", "status_idx", "rf",
+                             {"numTrees": 20, "maxDepth": 5}, ["o_orderkey"])
+    return spark.createDataFrame(feature_importance(model, pre.feature_names), "feature string, importance double")
+
+
+PI_FEATS = ["o_totalprice", "urgent", "c_acctbal"]
+
+
+def _pi_scorer(df):
+    """Fixed linear scorer: 0.9·o_totalprice + 1000·urgent + 0.5·c_acctbal against the target copy."""
+    return df.select(F.col("target").alias("y"),
+                     (F.lit(0.9) * F.col("o_totalprice") + F.lit(1000.0) * F.col("urgent")
+                      + F.lit(0.5) * F.col("c_acctbal")).alias("y_pred"))
+
+
+def _pi_sql():
+    parts = []
+    for f in PI_FEATS:
+        for r in range(5):
+            sa, sb = f"42-{f}-{r}-a", f"42-{f}-{r}-b"
+            cols = ", ".join(("b.v AS " + c) if c == f else ("a." + c) for c in PI_FEATS)
+            parts.append(
+                f"SELECT '{f}' AS feature, {r} AS rep, SQRT(AVG(POWER(target - (0.9 * o_totalprice + 1000.0 * urgent "
+                f"+ 0.5 * c_acctbal), 2))) AS rmse FROM (SELECT a.target, {cols} FROM "
+                f"(SELECT *, row_number() OVER (ORDER BY CAST(('0x' || substr(md5(CAST(o_orderkey AS VARCHAR) || '#{sa}'), 1, 15)) AS BIGINT), o_orderkey) AS ra FROM pi) a "
+                f"JOIN (SELECT {f} AS v, row_number() OVER (ORDER BY CAST(('0x' || substr(md5(CAST(o_orderkey AS VARCHAR) || '#{sb}'), 1, 15)) AS BIGINT), o_orderkey) AS rb FROM pi) b "
+                f"ON a.ra = b.rb) t")
+    return union(parts)
+
+
+PI_SQL = W(ORDERS_ML, "pi AS (SELECT o_orderkey, o_totalprice AS target, o_totalprice, urgent, c_acctbal FROM orders_ml)",
+           "base AS (SELECT SQRT(AVG(POWER(target - (0.9 * o_totalprice + 1000.0 * urgent + 0.5 * c_acctbal), 2))) AS rmse FROM pi)",
+           "perm AS (" + _pi_sql() + ")",
+           """imp AS (SELECT feature, AVG(perm.rmse - base.rmse) AS m, STDDEV_POP(perm.rmse - base.rmse) AS s
+                      FROM perm, base GROUP BY feature)""")
+
+
+@query("permutation_importance", PI_SQL + """
+SELECT feature, ROUND(m, 4) AS importance_mean, ROUND(s, 4) AS importance_std,
+       CAST(row_number() OVER (ORDER BY m DESC, feature) AS INTEGER) AS rank FROM imp""")
+def q_permutation_importance(spark, d):
+    """Permutation importance (5 seeded repeats, RMSE drop) of a fixed linear scorer on orders_ml."""
+    df = fx.orders_ml(spark, d).select("o_orderkey", F.col("o_totalprice").alias("target"), *PI_FEATS)
+    out = EX.permutation_importance(_pi_scorer, df, PI_FEATS, ["o_orderkey"], "rmse", "regression", repeats=5)
+    return rounded(out, 4)
+
+
+@query("prune_features", PI_SQL + """
+SELECT feature, ROUND(m, 4) AS importance_mean,
+       CAST(feature IN (SELECT feature FROM imp WHERE m <= 5000 ORDER BY m, feature LIMIT 1) AS INTEGER) AS dropped
+FROM imp""")
+def q_prune(spark, d):
+    """Pruning advice over the permutation importances: drop ≤ 5000, at most 1 feature."""
+    df = fx.orders_ml(spark, d).select("o_orderkey", F.col("o_totalprice").alias("target"), *PI_FEATS)
+    imp = EX.permutation_importance(_pi_scorer, df, PI_FEATS, ["o_orderkey"], "rmse", "regression", repeats=5)
+    return rounded(EX.prune_features(imp, drop_below=5000.0, max_drop=1), 4)
+
+
+@query("learning_curve")
+def q_learning_curve(spark, d):
+    """Logistic learning curve on docs_ml: 5 nested training fractions × 3 folds, accuracy."""
+    folds = _docs_folds(spark, d, "logistic")
+    return EX.learning_curve(RG.classification_registry()["logistic"], {"C": 1.0}, folds, "classification",
+                             ["doc_id"], "accuracy")
+
+
+T975_4 = 2.7764451051977987  # Fixed value: Student-t 97.5 % quantile, 4 degrees of freedom.
+
+
+@query("cv_confidence_interval", W(ORDERS_REG, f"""
+f AS (SELECT o_totalprice, pred,
+             (row_number() OVER (ORDER BY {H('o_orderkey', 42)}, o_orderkey) - 1) % 5 AS fold FROM orders_reg),
+s AS (SELECT fold, SQRT(AVG((o_totalprice - pred) * (o_totalprice - pred))) AS v FROM f GROUP BY fold)""") + f"""
+SELECT ROUND(AVG(v), 4) AS mean, ROUND(AVG(v) - {T975_4} * STDDEV_SAMP(v) / SQRT(COUNT(*)), 4) AS low,
+       ROUND(AVG(v) + {T975_4} * STDDEV_SAMP(v) / SQRT(COUNT(*)), 4) AS high, COUNT(*) AS n FROM s""")
+def q_cv_ci(spark, d):
+    """95 % t-interval of per-fold RMSE (5 folds) of the stand-in regression predictions."""
+    df = SP.kfold(fx.orders_reg(spark, d), ["o_orderkey"], k=5)
+    e = F.col("o_totalprice") - F.col("pred")
+    scores = df.groupBy("fold").agg(F.sqrt(F.avg(e * e)).alias("value"))
+    return rounded(EX.cv_confidence_interval(scores), 4)
+
+
+@query("smote", W(DOCS_ML) + """
+SELECT quality, MAX(COUNT(*)) OVER () AS n FROM docs_ml GROUP BY quality""")
+def q_smote(spark, d):
+    """SMOTE (k=5) on docs_ml numeric features: class counts after oversampling."""
+    from pyspark.ml.feature import VectorAssembler
+    df = fx.docs_ml(spark, d)
+    x = VectorAssembler(inputCols=["n_chars", "toxic"], outputCol="features").transform(df)
+    from .operators.smote import smote
+    out = smote(x.select("doc_id", "quality", "features"), "quality", ["doc_id"])
+    return out.groupBy("quality").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("svd")
+def q_svd(spark, d):
+    """Truncated SVD (k = 8, uncentred) of the embeddings; projected rows."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from .operators.svd import TruncatedSVD
+    df = fx.vec_ml(spark, d).select("vec_id", array_to_vector(F.transform("embedding", lambda v: v.cast("double")))
+                                    .alias("features"))
+    m = TruncatedSVD(k=8, inputCol="features", outputCol="svd").fit(df)
+    arr = vector_to_array(F.col("svd"))
+    return m.transform(df).select("vec_id", *[arr[i].alias(f"svd_{i}") for i in range(m.k)])

@@ -26,18 +26,18 @@ def hash_rank(df: DataFrame, hash_col: str, tie_cols: list[str], by: list[str] |
     """
     by = list(by or [])
     shift = HASH_BITS - bits
-    d = df.withColumn("__hb", F.shiftright(F.col(hash_col), shift))
-    counts = d.groupBy(*by, "__hb").agg(F.count(F.lit(1)).alias("__cnt"))
-    w = Window.partitionBy(*by).orderBy("__hb")
+    d = df.withColumn("__hbkt", F.shiftright(F.col(hash_col), shift))
+    counts = d.groupBy(*by, "__hbkt").agg(F.count(F.lit(1)).alias("__cnt"))
+    w = Window.partitionBy(*by).orderBy("__hbkt")
     offs = counts.withColumn("__off", F.sum("__cnt").over(w) - F.col("__cnt"))
-    cols = [*by, "__hb", "__off"]
+    cols = [*by, "__hbkt", "__off"]
     if size_col:
         offs = offs.withColumn(size_col, F.sum("__cnt").over(Window.partitionBy(*by)))
         cols.append(size_col)
-    d = null_safe_join(d, offs.select(*cols), [*by, "__hb"], how="inner")
-    w2 = Window.partitionBy(*by, "__hb").orderBy(F.col(hash_col), *[F.col(c) for c in tie_cols])
+    d = null_safe_join(d, offs.select(*cols), [*by, "__hbkt"], how="inner")
+    w2 = Window.partitionBy(*by, "__hbkt").orderBy(F.col(hash_col), *[F.col(c) for c in tie_cols])
     return (d.withColumn(out, (F.row_number().over(w2) - 1 + F.col("__off")).cast("bigint"))
-             .drop("__hb", "__off"))
+             .drop("__hbkt", "__off"))
 
 
 def range_bounds(df: DataFrame, col: str, n_buckets: int, accuracy: int = 10_000) -> list[float]:

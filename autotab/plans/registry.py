@@ -46,10 +46,15 @@ def _gbt_space(bucket: str) -> dict[str, list]:
             "subsamplingRate": [0.7, 0.85, 1.0]}
 
 
+def _w(ctx) -> dict:
+    """weightCol only when a weight column is in use (None would be passed to the JVM as null)."""
+    return {"weightCol": ctx["weight_col"]} if ctx.get("weight_col") else {}
+
+
 def _logistic(params, ctx):
     c = float(params.get("C", 1.0))
     wsum = float(ctx.get("weight_sum") or ctx.get("n_rows") or 1.0)
-    return LogisticRegression(featuresCol="features", labelCol="label", weightCol=ctx.get("weight_col") or None,
+    return LogisticRegression(featuresCol="features", labelCol="label", **_w(ctx),
                               regParam=1.0 / (c * wsum), elasticNetParam=0.0, standardization=False,
                               maxIter=int(params.get("maxIter", 200)), family="auto")
 
@@ -59,32 +64,32 @@ def _elasticnet(params, ctx):
     std_y = float(ctx.get("std_y") or 1.0)
     a, b = alpha * l1, alpha * (1 - l1) * std_y
     reg = a + b
-    return LinearRegression(featuresCol="features", labelCol="label", weightCol=ctx.get("weight_col") or None,
+    return LinearRegression(featuresCol="features", labelCol="label", **_w(ctx),
                             regParam=reg, elasticNetParam=(a / reg if reg > 0 else 0.0), standardization=False,
                             solver="normal" if l1 == 0 else "auto", maxIter=200)
 
 
 def _rf_cls(params, ctx):
-    return RandomForestClassifier(featuresCol="features", labelCol="label", weightCol=ctx.get("weight_col") or None,
+    return RandomForestClassifier(featuresCol="features", labelCol="label", **_w(ctx),
                                   seed=42, **params)
 
 
 def _rf_reg(params, ctx):
-    return RandomForestRegressor(featuresCol="features", labelCol="label", weightCol=ctx.get("weight_col") or None,
+    return RandomForestRegressor(featuresCol="features", labelCol="label", **_w(ctx),
                                  seed=42, **params)
 
 
 def _gbt_cls(params, ctx):
-    g = GBTClassifier(featuresCol="features", labelCol="label", weightCol=ctx.get("weight_col") or None,
+    g = GBTClassifier(featuresCol="features", labelCol="label", **_w(ctx),
                       seed=42, **params)
     if int(ctx.get("n_classes") or 2) > 2:
         return OneVsRest(classifier=g, featuresCol="features", labelCol="label",
-                         weightCol=ctx.get("weight_col") or None, parallelism=2)
+                         parallelism=2, **_w(ctx))
     return g
 
 
 def _gbt_reg(params, ctx):
-    return GBTRegressor(featuresCol="features", labelCol="label", weightCol=ctx.get("weight_col") or None,
+    return GBTRegressor(featuresCol="features", labelCol="label", **_w(ctx),
                         seed=42, **params)
 
 
