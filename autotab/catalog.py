@@ -1234,3 +1234,65 @@ def q_svd(spark, d):
     m = TruncatedSVD(k=8, inputCol="features", outputCol="svd").fit(df)
     arr = vector_to_array(F.col("svd"))
     return m.transform(df).select("vec_id", *[arr[i].alias(f"svd_{i}") for i in range(m.k)])
+
+
+# ---------------------------------------------------------------------------
+# Full training run (M23), holdout scoring (M22), incremental scoring (R1)
+# ---------------------------------------------------------------------------
+from .operators import holdout as HO  # noqa: E402
+from .operators import train as TR  # noqa: E402
+
+
+def docs_config(budget: int = 2, folds: int = 3) -> SystemConfig:
+    cfg = SystemConfig()
+    cfg.data.target = "quality"
+    cfg.data.key = ["doc_id"]
+    cfg.data.features = ["lang", "source", "n_chars", "toxic", "text"]
+    cfg.cv.folds = folds
+    cfg.cv.n_iter_search = budget
+    cfg.train.model_names = ["logistic", "rf"]
+    cfg.train.mode = "custom"
+    cfg.preprocess.power_transform = False
+    return cfg
+
+
+def train_docs(spark, d, budget: int = 2, folds: int = 3, where=None):
+    df = fx.docs_ml(spark, d)
+    if where is not None:
+        df = df.where(where)
+    return TR.train_system(df, docs_config(budget, folds), budget_scale=0.05)
+
+
+@query("train_report")
+def q_train_report(spark, d):
+    """Automatic training run on docs_ml (target quality): plan, CV search of logistic and
+    random forest, OOF metrics, calibration, refit. Returns the leaderboard."""
+    res = train_docs(spark, d)
+    return res.leaderboard.drop("seconds")
+
+
+@query("score_holdout")
+def q_score_holdout(spark, d):
+    """Train on docs_ml rows outside fold 0 of a 5-fold split, score fold 0 as holdout with the
+    best-F1 threshold; predictions (doc_id, y, y_pred, y_score)."""
+    df = SP.stratified_folds(fx.docs_ml(spark, d), "quality", ["doc_id"], k=5, seed=7, out="hfold")
+    train = df.where("hfold != 0").drop("hfold")
+    hold = df.where("hfold = 0").drop("hfold")
+    res = TR.train_system(train, docs_config(), budget_scale=0.05)
+    preds, _ = HO.score_holdout(res.bundle, hold, threshold="f1")
+    return preds
+
+
+@query("stream_score")
+def q_stream_score(spark, d):
+    """Incremental scoring: a model trained on docs_ml scores the documents ⋈ labels rows that
+    arrive as files (availableNow trigger, checkpointed); returns the per-batch status table."""
+    import uuid
+    from .session import checkpoint_dir
+    from .streaming.score import stream_score
+    base = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    res = train_docs(spark, d)
+    src = fx.docs_ml(spark, d)
+    src.repartition(4).write.mode("overwrite").parquet(f"{base}/incoming")
+    stream_score(spark, res.bundle, f"{base}/incoming", src.schema, f"{base}/checkpoint", f"{base}/out")
+    return spark.read.parquet(f"{base}/out/status").select("batch_id", "n_rows", "status")

@@ -35,16 +35,20 @@ def sized(small: DataFrame, max_rows: int | None = None) -> DataFrame:
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left",
-                   max_rows: int | None = None) -> DataFrame:
+                   max_rows: int | None = None, broadcast: bool | None = None) -> DataFrame:
     """Join on ``keys`` with NULL-safe equality (NULL matches NULL), right side size-checked.
 
-    Right-hand key columns are dropped from the result.
+    ``broadcast`` True/False skips the check when the caller already knows the size
+    (e.g. a count taken at fit time). Right-hand key columns are dropped from the result.
     """
     if not keys:
         raise ValueError("null_safe_join needs at least one key")
     r = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys],
                      *[c for c in right.columns if c not in keys])
-    r = sized(r, max_rows)
+    if broadcast is None:
+        r = sized(r, max_rows)
+    elif broadcast:
+        r = F.broadcast(r)
     cond = reduce(lambda a, b: a & b, [left[k].eqNullSafe(r[f"__r_{k}"]) for k in keys])
     out = left.join(r, cond, how)
     return out.drop(*[f"__r_{k}" for k in keys])

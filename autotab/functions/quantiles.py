@@ -25,82 +25,131 @@ def _clean(df: DataFrame, col: str) -> DataFrame:
     return df.select(x.alias("__x")).where(F.col("__x").isNotNull() & ~F.isnan("__x"))
 
 
-def order_statistics(df: DataFrame, col: str, ranks: list[int], bins: int = DEFAULT_BINS,
-                     max_collect: int = DEFAULT_MAX_COLLECT, _stats=None) -> dict[int, float]:
-    """Exact values at 0-based ``ranks`` of the non-null values of ``col``.
-
-    Ranks that share a bracket share its histogram pass."""
-    x = _clean(df, col)
-    if _stats is None:
-        _stats = x.agg(F.count(F.lit(1)).alias("n"), F.min("__x").alias("lo"),
-                       F.max("__x").alias("hi")).first()
-    n, mn, mx = int(_stats["n"]), _stats["lo"], _stats["hi"]
-    want = sorted(set(int(v) for v in ranks))
-    for r in want:
-        if not 0 <= r < n:
-            raise ValueError(f"rank {r} out of range for {n} values")
-    out: dict[int, float] = {}
-    pending = {r: (mn, mx, 0, n) for r in want}
+def _stats(df: DataFrame, cols: list[str]) -> dict:
+    aggs = []
+    for i, c in enumerate(cols):
+        x = F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+        aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
+    r = df.agg(*aggs).first()
+    return {c: (int(r[f"n{i}"]), r[f"lo{i}"], r[f"hi{i}"]) for i, c in enumerate(cols)}
+
+
+def multi_order_statistics(df: DataFrame, requests: dict[str, list[int]], bins: int = DEFAULT_BINS,
+                           max_collect: int = DEFAULT_MAX_COLLECT, stats: dict | None = None) -> dict:
+    """Exact values at 0-based ranks for several columns at once: {(column, rank): value}.
+
+    Every pass is one scan for all open brackets of all columns: rows inside a bracket are
+    tagged with (bracket id, bucket) and counted with a map-side combined aggregate."""
+    cols = list(requests)
+    stats = stats or _stats(df, cols)
+    out: dict = {}
+    pending = {}
+    for c in cols:
+        n, lo, hi = stats[c]
+        for r in set(int(v) for v in requests[c]):
+            if not 0 <= r < n:
+                raise ValueError(f"rank {r} out of range for {n} values of {c}")
+            pending[(c, r)] = (c, lo, hi, 0, n)
     for _ in range(256):
         if not pending:
             return out
-        brackets: dict[tuple, list[int]] = {}
-        for r, br in pending.items():
-            brackets.setdefault(br, []).append(r)
+        brackets: dict[tuple, list] = {}
+        for cr, br in pending.items():
+            brackets.setdefault(br, []).append(cr[1])
         pending = {}
-        for (lo, hi, below, cnt), rs in brackets.items():
+        small, big = [], []
+        for br, rs in brackets.items():
+            c, lo, hi, below, cnt = br
             if lo == hi:
-                out.update({r: lo for r in rs})
-                continue
-            inside = x.where((F.col("__x") >= lo) & (F.col("__x") <= hi))
-            if cnt <= max_collect:
-                vals = sorted(v[0] for v in inside.collect())
-                out.update({r: vals[r - below] for r in rs})
-                continue
-            # halves avoid overflow when hi - lo exceeds the double range
-            scale = (F.col("__x") / 2 - lo / 2) / (hi / 2 - lo / 2)
-            bucket = F.least(F.floor(scale * bins), F.lit(bins - 1)).cast("int")
-            hist = (inside.groupBy(bucket.alias("b"))
-                    .agg(F.count(F.lit(1)).alias("c"), F.min("__x").alias("lo"),
-                         F.max("__x").alias("hi"))
+                out.update({(c, r): lo for r in rs})
+            elif cnt <= max_collect:
+                small.append((br, rs))
+            else:
+                big.append((br, rs))
+        if small:
+            tags = [F.when((F.col(br[0]).cast("double") >= br[1]) & (F.col(br[0]).cast("double") <= br[2]),
+                           F.struct(F.lit(i).alias("b"), F.col(br[0]).cast("double").alias("x")))
+                    for i, (br, _) in enumerate(small)]
+            got: dict[int, list] = {}
+            for row in df.select(F.explode(F.array(*tags)).alias("t")).where(F.col("t").isNotNull()).select("t.*").collect():
+                got.setdefault(row["b"], []).append(row["x"])
+            for i, (br, rs) in enumerate(small):
+                vals = sorted(got.get(i, []))
+                out.update({(br[0], r): vals[r - br[3]] for r in rs})
+        if big:
+            tags = []
+            for i, (br, _) in enumerate(big):
+                c, lo, hi = br[0], br[1], br[2]
+                x = F.col(c).cast("double")
+                scale = (x / 2 - lo / 2) / (hi / 2 - lo / 2)  # halves avoid overflow of hi - lo
+                bucket = F.least(F.floor(scale * bins), F.lit(bins - 1)).cast("int")
+                tags.append(F.when((x >= lo) & (x <= hi), F.struct(F.lit(i).alias("b"), bucket.alias("k"), x.alias("x"))))
+            hist = (df.select(F.explode(F.array(*tags)).alias("t")).where(F.col("t").isNotNull()).select("t.*")
+                    .groupBy("b", "k").agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("lo"), F.max("x").alias("hi"))
                     .collect())
-            hist.sort(key=lambda h: h["b"])
-            for r in rs:
-                acc = below
-                for h in hist:
-                    if acc <= r < acc + h["c"]:
-                        pending[r] = (h["lo"], h["hi"], acc, h["c"])
-                        break
-                    acc += h["c"]
+            per: dict[int, list] = {}
+            for h in hist:
+                per.setdefault(h["b"], []).append(h)
+            for i, (br, rs) in enumerate(big):
+                hs = sorted(per.get(i, []), key=lambda h: h["k"])
+                for r in rs:
+                    acc = br[3]
+                    for h in hs:
+                        if acc <= r < acc + h["c"]:
+                            pending[(br[0], r)] = (br[0], h["lo"], h["hi"], acc, h["c"])
+                            break
+                        acc += h["c"]
     raise RuntimeError("order statistics did not converge")  # pragma: no cover
 
 
+def order_statistics(df: DataFrame, col: str, ranks: list[int], **kw) -> dict[int, float]:
+    """Exact values at 0-based ``ranks`` of the non-null values of ``col``."""
+    res = multi_order_statistics(df, {col: ranks}, **kw)
+    return {r: v for (_, r), v in res.items()}
+
+
+def multi_quantiles(df: DataFrame, cols: list[str], probs: list[float], **kw) -> dict[str, list]:
+    """Linear-interpolated quantiles (position (n-1)·p, as numpy / Spark ``percentile``) for
+    several columns, sharing scans."""
+    st = _stats(df, cols)
+    req, pos = {}, {}
+    for c in cols:
+        n = st[c][0]
+        if n == 0:
+            continue
+        req[c] = []
+        for p in probs:
+            x = (n - 1) * float(p)
+            req[c] += [math.floor(x), math.ceil(x)]
+    vals = multi_order_statistics(df, req, stats=st, **kw) if req else {}
+    out = {}
+    for c in cols:
+        n = st[c][0]
+        if n == 0:
+            out[c] = [None for _ in probs]
+            continue
+        res = []
+        for p in probs:
+            x = (n - 1) * float(p)
+            lo_i, hi_i = math.floor(x), math.ceil(x)
+            a, b = vals[(c, lo_i)], vals[(c, hi_i)]
+            res.append(a if lo_i == hi_i else a + (b - a) * (x - lo_i))
+        out[c] = res
+    return out
+
+
 def exact_quantiles(df: DataFrame, col: str, probs: list[float], **kw) -> list[float | None]:
-    """Quantiles with linear interpolation at position (n-1)*p (numpy / Spark ``percentile``)."""
-    x = _clean(df, col)
-    st = x.agg(F.count(F.lit(1)).alias("n"), F.min("__x").alias("lo"), F.max("__x").alias("hi")).first()
-    n = int(st["n"])
-    if n == 0:
-        return [None for _ in probs]
-    need = []
-    for p in probs:
-        pos = (n - 1) * float(p)
-        need += [math.floor(pos), math.ceil(pos)]
-    vals = order_statistics(df, col, need, _stats=st, **kw)
-    res = []
-    for p in probs:
-        pos = (n - 1) * float(p)
-        lo_i, hi_i = math.floor(pos), math.ceil(pos)
-        a, b = vals[lo_i], vals[hi_i]
-        frac = pos - lo_i
-        res.append(a if lo_i == hi_i else a + (b - a) * frac)
-    return res
+    return multi_quantiles(df, [col], probs, **kw)[col]
 
 
 def exact_median(df: DataFrame, col: str, **kw) -> float | None:
     return exact_quantiles(df, col, [0.5], **kw)[0]
 
 
+def medians(df: DataFrame, cols: list[str], **kw) -> dict[str, float | None]:
+    return {c: v[0] for c, v in multi_quantiles(df, cols, [0.5], **kw).items()}
+
+
 def modes(df: DataFrame, cols: list[str]) -> dict[str, object]:
     """Most frequent non-null value per column; ties go to the smallest value.
 

@@ -34,19 +34,30 @@ def hash_rank(df: DataFrame, hash_col: str, tie_cols: list[str], by: list[str] |
     if size_col:
         offs = offs.withColumn(size_col, F.sum("__cnt").over(Window.partitionBy(*by)))
         cols.append(size_col)
-    d = null_safe_join(d, offs.select(*cols), [*by, "__hbkt"], how="inner")
+    if by:
+        d = null_safe_join(d, offs.select(*cols), [*by, "__hbkt"], how="inner")
+    else:  # at most 2**bits rows: a proven bound, broadcast without counting
+        d = d.join(F.broadcast(offs.select(*cols)), "__hbkt")
     w2 = Window.partitionBy(*by, "__hbkt").orderBy(F.col(hash_col), *[F.col(c) for c in tie_cols])
     return (d.withColumn(out, (F.row_number().over(w2) - 1 + F.col("__off")).cast("bigint"))
              .drop("__hbkt", "__off"))
 
 
-def range_bounds(df: DataFrame, col: str, n_buckets: int, accuracy: int = 10_000) -> list[float]:
-    """Approximate range-partition bounds of ``col`` (a bounded list of n_buckets-1 values)."""
+SINGLE_TASK_ROWS = 200_000
+
+
+def range_bounds(df: DataFrame, col: str, n_buckets: int, accuracy: int = 10_000,
+                 single_task_rows: int = SINGLE_TASK_ROWS) -> list[float]:
+    """Approximate range-partition bounds of ``col`` (a bounded list of n_buckets-1 values);
+    empty when the input is small enough for one window task."""
     if n_buckets <= 1:
         return []
     probs = [i / n_buckets for i in range(1, n_buckets)]
-    row = df.select(F.percentile_approx(F.col(col).cast("double"), probs, accuracy).alias("b")).first()
-    vals = row["b"] if row and row["b"] is not None else []
+    row = df.select(F.percentile_approx(F.col(col).cast("double"), probs, accuracy).alias("b"),
+                    F.count(F.lit(1)).alias("n")).first()
+    if row is None or row["n"] <= single_task_rows:
+        return []
+    vals = row["b"] if row["b"] is not None else []
     return sorted({float(v) for v in vals if v is not None})
 
 
@@ -63,12 +74,14 @@ def prefix_sums(g: DataFrame, order_col: str, value_cols: list[str], by: list[st
     okey = (-F.col(order_col).cast("double")) if descending else F.col(order_col).cast("double")
     d = g.withColumn("__ok", okey)
     bounds = range_bounds(d, "__ok", n_buckets)
-    if bounds:
-        splits = [float("-inf"), *bounds, float("inf")]
-        d = Bucketizer(splits=splits, inputCol="__ok", outputCol="__bk",
-                       handleInvalid="keep").transform(d)
-    else:
-        d = d.withColumn("__bk", F.lit(0.0))
+    if not bounds:  # small input: one window partition per group, no offsets needed
+        frame_end = Window.currentRow if inclusive else -1
+        wr = Window.partitionBy(*by).orderBy("__ok").rowsBetween(Window.unboundedPreceding, frame_end)
+        for v in value_cols:
+            d = d.withColumn(f"{prefix}{v}", F.coalesce(F.sum(v).over(wr), F.lit(0)))
+        return d.drop("__ok")
+    splits = [float("-inf"), *bounds, float("inf")]
+    d = Bucketizer(splits=splits, inputCol="__ok", outputCol="__bk", handleInvalid="keep").transform(d)
     tot = d.groupBy(*by, "__bk").agg(*[F.sum(v).alias(f"__t_{v}") for v in value_cols])
     wb = Window.partitionBy(*by).orderBy("__bk")
     offs = tot.select(*by, "__bk", *[(F.sum(f"__t_{v}").over(wb) - F.col(f"__t_{v}")).alias(f"__o_{v}")

@@ -19,13 +19,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.lookup import null_safe_join
-from ..functions.quantiles import exact_median, exact_quantiles, modes
+from ..functions.quantiles import exact_quantiles, medians, modes, multi_quantiles
 from .profile import categorical_columns, distinct_counts, null_counts, numeric_columns
 
 OTHER = "__OTHER__"
 NA_TOKEN = "__NA__"
 
 
+def _small(table: DataFrame, state: dict) -> bool:
+    """Whether a fitted lookup may be broadcast: its row count, taken once at fit time, is within bound."""
+    from ..functions.lookup import max_broadcast_rows
+    return state.get("table_rows", 1 << 62) <= max_broadcast_rows(table.sparkSession)
+
+
 class _Fitted(Model):
     """Model base: fitted state is plain Python data in ``state`` (JSON-serialisable)
     plus optional lookup DataFrames in ``tables``."""
@@ -88,7 +94,7 @@ class FrequencyEncoderModel(_Fitted):
             m = freq.where(F.col("column") == c).select(F.col("value").alias(f"__fv_{c}"),
                                                          F.col("freq").alias(f"__ff_{c}"))
             out = out.withColumn(f"__fv_{c}", F.col(c).cast("string"))
-            out = null_safe_join(out, m, [f"__fv_{c}"], how="left")
+            out = null_safe_join(out, m, [f"__fv_{c}"], how="left", broadcast=_small(m, self.state))
             out = out.withColumn(c, F.coalesce(F.col(f"__ff_{c}"), F.lit(0.0))).drop(f"__fv_{c}", f"__ff_{c}")
         return out
 
@@ -115,7 +121,7 @@ class FrequencyEncoder(Estimator):
                                              for c in cols])).alias("e")).select("e.*")
         freq = (long.groupBy("column", "value").agg((F.count(F.lit(1)) / F.lit(float(n))).alias("freq"))
                 .persist(StorageLevel.MEMORY_AND_DISK))
-        return FrequencyEncoderModel({"cols": cols, "n": n}, {"freq": freq})
+        return FrequencyEncoderModel({"cols": cols, "n": n, "table_rows": freq.count()}, {"freq": freq})
 
 
 # --- T3 / T4 rare categories ------------------------------------------------
@@ -130,7 +136,7 @@ class RareCategoryGrouperModel(_Fitted):
             k = keep.where(F.col("column") == c).select(F.col("value").alias(f"__kv_{c}"),
                                                          F.lit(1).alias(f"__kk_{c}"))
             out = out.withColumn(f"__kv_{c}", F.col(c).cast("string"))
-            out = null_safe_join(out, k, [f"__kv_{c}"], how="left")
+            out = null_safe_join(out, k, [f"__kv_{c}"], how="left", broadcast=_small(k, self.state))
             out = out.withColumn(c, F.when(F.col(f"__kk_{c}").isNull(), F.lit(OTHER)).otherwise(F.col(c)))
             out = out.drop(f"__kv_{c}", f"__kk_{c}")
         return out
@@ -153,7 +159,7 @@ class RareCategoryGrouper(Estimator):
         keep = (long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
                 .where(F.col("cnt") >= F.lit(bound)).select("column", "value")
                 .persist(StorageLevel.MEMORY_AND_DISK))
-        return RareCategoryGrouperModel({"cols": cols, "bound": bound}, {"keep": keep})
+        return RareCategoryGrouperModel({"cols": cols, "bound": bound, "table_rows": keep.count()}, {"keep": keep})
 
 
 def collapse_rare_categories(df: DataFrame, col: str, min_freq: float = 0.01, min_count: int | None = None,
@@ -225,7 +231,7 @@ class NumericImputer(Estimator):
     def _fit(self, df):
         cols = list(self.cols if self.cols is not None else numeric_columns(df))
         if self.strategy == "median":
-            vals = {c: exact_median(df, c) for c in cols}
+            vals = medians(df, cols) if cols else {}
         elif self.strategy == "mean":
             r = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in cols]).first() if cols else {}
             vals = {c: r[c] for c in cols}
@@ -473,31 +479,38 @@ class OrdinalEncodeModel(_Fitted):
 
 # --- T16 mutual information ---------------------------------------------------
 
-def binned(df: DataFrame, col: str, n_bins: int = 10) -> tuple:
-    """Bin expression for MI: the value itself when a column has ≤ n_bins distinct values,
-    else the number of inner decile edges strictly below the value."""
-    nd = df.agg(F.count_distinct(F.col(col)).alias("d")).first()["d"]
-    if nd <= n_bins or col not in numeric_columns(df):
-        return F.col(col).cast("string"), None
-    edges = exact_quantiles(df, col, [i / n_bins for i in range(1, n_bins)])
-    x = F.col(col).cast("double")
-    b = sum((F.when(x > F.lit(e), 1).otherwise(0) for e in edges), F.lit(0))
-    return F.when(x.isNull(), F.lit(None).cast("string")).otherwise(b.cast("string")), edges
+def bin_expressions(df: DataFrame, cols: list[str], n_bins: int = 10) -> dict:
+    """MI bin per column: the value itself (as text) for non-numeric columns or ≤ n_bins
+    distinct values, else the number of inner decile edges strictly below the value.
+    Distinct counts and all decile edges come from shared scans."""
+    nd = {r["column"]: r["n_distinct"] for r in distinct_counts(df, cols).collect()}
+    nums = set(numeric_columns(df))
+    cont = [c for c in cols if c in nums and nd[c] > n_bins]
+    edges = multi_quantiles(df, cont, [i / n_bins for i in range(1, n_bins)]) if cont else {}
+    out = {}
+    for c in cols:
+        if c not in edges:
+            out[c] = F.col(c).cast("string")
+            continue
+        x = F.col(c).cast("double")
+        b = sum((F.when(x > F.lit(e), 1).otherwise(0) for e in edges[c]), F.lit(0))
+        out[c] = F.when(x.isNull(), F.lit(None).cast("string")).otherwise(b.cast("string"))
+    return out
 
 
 def mutual_information(df: DataFrame, features: list[str], target: str, task: str = "classification",
                        n_bins: int = 10) -> DataFrame:
     """(feature, mi): Σ p_xy·ln(p_xy / (p_x·p_y)) over (bin, target) cells, all features in
     one unpivot + aggregate. Continuous features (and a regression target) use decile bins."""
-    exprs = {c: binned(df, c, n_bins)[0] for c in features}
-    ty = F.col(target).cast("string") if task == "classification" else binned(df, target, n_bins)[0]
+    exprs = bin_expressions(df, features + ([target] if task != "classification" else []), n_bins)
+    ty = F.col(target).cast("string") if task == "classification" else exprs[target]
     base = df.select(ty.alias("__y"), *[exprs[c].alias(f"__b_{i}") for i, c in enumerate(features)])
     long = base.select("__y", F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"__b_{i}").alias("b"))
                                                    for i, c in enumerate(features)])).alias("e")).select("e.feature", "e.b", "__y")
     n = df.count()
     cell = long.groupBy("feature", "b", "__y").agg(F.count(F.lit(1)).alias("nxy"))
     px = cell.groupBy("feature", "b").agg(F.sum("nxy").alias("nx"))
-    py = long.where(F.col("feature") == features[0]).groupBy("__y").agg(F.count(F.lit(1)).alias("ny"))
+    py = cell.where(F.col("feature") == features[0]).groupBy("__y").agg(F.sum("nxy").alias("ny"))
     j = null_safe_join(null_safe_join(cell, px, ["feature", "b"], how="inner"), py, ["__y"], how="inner")
     term = F.col("nxy") / F.lit(float(n)) * F.log(F.col("nxy") * F.lit(float(n)) / (F.col("nx") * F.col("ny")))
     return j.groupBy("feature").agg(F.sum(term).alias("mi"))

@@ -14,7 +14,10 @@ def scored_frame(pred: DataFrame, task: str, keep: list[str], label: str = "labe
     """Uniform prediction table: keep columns, y, y_pred, and for classification
     ``proba`` (array) and ``score`` (= proba[1])."""
     cols = pred.columns
-    out = [F.col(c) for c in keep] + [F.col(label).alias("y")]
+    if task == "classification":
+        out = [F.col(c) for c in keep] + [F.col(label).cast("int").alias("y")]
+    else:
+        out = [F.col(c) for c in keep] + [F.col(label).cast("double").alias("y")]
     if task == "classification":
         if "probability" in cols:
             proba = vector_to_array(F.col("probability"))

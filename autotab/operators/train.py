@@ -53,7 +53,7 @@ class TrainedBundle:
             x = x.withColumn("label", F.lit(None).cast("double"))
         if self.calibrated is not None:
             out = self.calibrated.transform(x)
-            return out.select(*self.key, F.col("label").alias("y"), F.col("prediction").cast("int").alias("y_pred"),
+            return out.select(*self.key, F.col("label").cast("int").alias("y"), F.col("prediction").cast("int").alias("y_pred"),
                               "proba", F.element_at("proba", 2).alias("score"))
         return scored_frame(self.model.transform(x), self.task, keep=self.key)
 
@@ -150,7 +150,8 @@ def train_system(df: DataFrame, cfg: SystemConfig, budget_scale: float = 1.0) ->
         ts = time.time()
         res = search(spec, folds, task, dc.key, metric, n_iter, plan.search_strategy, cfg.cv.random_state,
                      cfg.cv.parallelism)
-        res.oof = oof_predictions(spec, res.best_params, folds, task, dc.key).persist(StorageLevel.MEMORY_AND_DISK)
+        if res.oof is None:
+            res.oof = oof_predictions(spec, res.best_params, folds, task, dc.key).persist(StorageLevel.MEMORY_AND_DISK)
         oofs[name] = res.oof
         res.seconds = time.time() - ts
         results.append(res)
@@ -168,7 +169,7 @@ def train_system(df: DataFrame, cfg: SystemConfig, budget_scale: float = 1.0) ->
     calibrated = None
     one_vs_rest = best_spec.family == "gbt" and (n_classes or 2) > 2  # margins only, no probabilities
     if task == "classification" and cfg.train.calibrate and best_spec.probabilistic and not one_vs_rest:
-        calibrated = calibrate(best_spec, best.best_params, fold_cache[kind])
+        calibrated = calibrate(best_spec, best.best_params, fold_cache[kind], best.fold_models)
     importances = feature_importance(model, pre.feature_names)
     expected = [(c, t) for c, t in df.dtypes if c in set(feats) | {dc.target} | set(dc.key)]
     labels_info = {"mapping": mapping, "classes": sorted(mapping, key=mapping.get) if mapping else None}

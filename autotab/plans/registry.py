@@ -56,7 +56,7 @@ def _logistic(params, ctx):
     wsum = float(ctx.get("weight_sum") or ctx.get("n_rows") or 1.0)
     return LogisticRegression(featuresCol="features", labelCol="label", **_w(ctx),
                               regParam=1.0 / (c * wsum), elasticNetParam=0.0, standardization=False,
-                              maxIter=int(params.get("maxIter", 200)), family="auto")
+                              maxIter=int(params.get("maxIter", 100)), family="auto")
 
 
 def _elasticnet(params, ctx):

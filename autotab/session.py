@@ -19,6 +19,9 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    "spark.driver.memory": "16g",
+    "spark.sql.ui.explainMode": "simple",
+    "spark.sql.maxPlanStringLength": "100000",
 }
 
 
