@@ -276,10 +276,15 @@ class ImputerModel(_Fitted):
 
 # --- T10 Yeo-Johnson ----------------------------------------------------------
 
-def yeo_johnson_expr(x, lam: float):
-    """ψ_λ(x) as a Column expression."""
-    pos = F.log1p(x) if abs(lam) < 1e-12 else (F.pow(x + 1, F.lit(lam)) - 1) / F.lit(lam)
-    neg = -F.log1p(-x) if abs(lam - 2) < 1e-12 else -(F.pow(1 - x, F.lit(2 - lam)) - 1) / F.lit(2 - lam)
+def yeo_johnson_expr(x, lam):
+    """ψ_λ(x) as a Column expression; ``lam`` is a float or a Column."""
+    lam_c = lam if not isinstance(lam, (int, float)) else F.lit(float(lam))
+    if isinstance(lam, (int, float)):
+        pos = F.log1p(x) if abs(lam) < 1e-12 else (F.pow(x + 1, lam_c) - 1) / lam_c
+        neg = -F.log1p(-x) if abs(lam - 2) < 1e-12 else -(F.pow(1 - x, 2 - lam_c) - 1) / (2 - lam_c)
+    else:
+        pos = F.when(F.abs(lam_c) < 1e-12, F.log1p(x)).otherwise((F.pow(x + 1, lam_c) - 1) / lam_c)
+        neg = F.when(F.abs(lam_c - 2) < 1e-12, -F.log1p(-x)).otherwise(-(F.pow(1 - x, 2 - lam_c) - 1) / (2 - lam_c))
     return F.when(x >= 0, pos).otherwise(neg)
 
 
@@ -288,22 +293,24 @@ def default_lambda_grid(step: float = 0.1, lo: float = -2.0, hi: float = 2.0) ->
     return [round(lo + i * step, 10) for i in range(k + 1)]
 
 
-def yeo_johnson_loglik(df: DataFrame, cols: list[str], grid: list[float]) -> DataFrame:
-    """(column, lambda, loglik) for every λ on the grid, all from one aggregate:
-    −n/2·ln(var_pop(ψ_λ)) + (λ−1)·Σ sign(x)·ln(1+|x|)."""
-    aggs = []
-    for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
-        aggs += [F.count(x).alias(f"__n{i}"), F.sum(F.signum(x) * F.log1p(F.abs(x))).alias(f"__s{i}")]
-        aggs += [F.var_pop(yeo_johnson_expr(x, lam)).alias(f"__v{i}_{j}") for j, lam in enumerate(grid)]
-    a = df.agg(*aggs)
-    structs = []
-    for i, c in enumerate(cols):
-        for j, lam in enumerate(grid):
-            ll = (-F.col(f"__n{i}") / 2 * F.log(F.col(f"__v{i}_{j}")) + F.lit(lam - 1) * F.col(f"__s{i}"))
-            structs.append(F.struct(F.lit(c).alias("column"), F.lit(float(lam)).alias("lambda"),
-                                    F.when(F.col(f"__v{i}_{j}") > 0, ll).alias("loglik")))
-    return a.select(F.explode(F.array(*structs)).alias("e")).select("e.*")
+def yeo_johnson_loglik(df: DataFrame, cols: list[str], grid) -> DataFrame:
+    """(column, lambda, loglik) for every λ on the grid:
+    −n/2·ln(var_pop(ψ_λ)) + (λ−1)·Σ sign(x)·ln(1+|x|).
+
+    Rows are expanded to (column, λ) pairs and reduced with a map-side combined
+    aggregate, so the generated code stays small for any grid size. ``grid`` is one list
+    for all columns or a dict column → list."""
+    per_col = grid if isinstance(grid, dict) else {c: grid for c in cols}
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x"),
+                                                  F.array(*[F.lit(float(v)) for v in per_col[c]]).alias("lams"))
+                                         for c in cols])).alias("e")).select("e.column", "e.x", "e.lams")
+    long = long.where(F.col("x").isNotNull() & ~F.isnan("x"))
+    pairs = long.select("column", "x", F.explode("lams").alias("lambda"))
+    agg = pairs.groupBy("column", "lambda").agg(
+        F.count(F.lit(1)).alias("n"), F.var_pop(yeo_johnson_expr(F.col("x"), F.col("lambda"))).alias("v"),
+        F.sum(F.signum("x") * F.log1p(F.abs("x"))).alias("s"))
+    ll = -F.col("n") / 2 * F.log(F.col("v")) + (F.col("lambda") - 1) * F.col("s")
+    return agg.select("column", "lambda", F.when(F.col("v") > 0, ll).alias("loglik"))
 
 
 class YeoJohnson(Estimator):
@@ -327,11 +334,9 @@ class YeoJohnson(Estimator):
             if self.refine:
                 step = (grid[1] - grid[0]) if len(grid) > 1 else 0.1
                 fine = {c: [lams[c] + step * (k - 10) / 10 for k in range(21)] for c in cols}
-                for c in cols:
-                    ll2 = yeo_johnson_loglik(df, [c], fine[c]).where(F.col("loglik").isNotNull())
-                    r = ll2.agg(F.max(F.struct("loglik", "lambda")).alias("m")).first()
-                    if r["m"] is not None:
-                        lams[c] = float(r["m"]["lambda"])
+                ll2 = yeo_johnson_loglik(df, cols, fine).where(F.col("loglik").isNotNull())
+                for r in ll2.groupBy("column").agg(F.max(F.struct("loglik", "lambda")).alias("m")).collect():
+                    lams[r["column"]] = float(r["m"]["lambda"])
         stats = {}
         if self.standardize and cols:
             r = df.agg(*[x for i, c in enumerate(cols) for x in (
