@@ -1243,24 +1243,23 @@ from .operators import holdout as HO  # noqa: E402
 from .operators import train as TR  # noqa: E402
 
 
-def docs_config(budget: int = 2, folds: int = 3) -> SystemConfig:
+def docs_config(budget: int = 2, folds: int = 3, models=("logistic", "rf"), calibrate: bool = True) -> SystemConfig:
     cfg = SystemConfig()
     cfg.data.target = "quality"
     cfg.data.key = ["doc_id"]
     cfg.data.features = ["lang", "source", "n_chars", "toxic", "text"]
     cfg.cv.folds = folds
     cfg.cv.n_iter_search = budget
-    cfg.train.model_names = ["logistic", "rf"]
+    cfg.train.model_names = list(models)
+    cfg.train.calibrate = calibrate
     cfg.train.mode = "custom"
     cfg.preprocess.power_transform = False
     return cfg
 
 
-def train_docs(spark, d, budget: int = 2, folds: int = 3, where=None):
+def train_docs(spark, d, budget: int = 2, folds: int = 3, models=("logistic", "rf"), calibrate: bool = True):
     df = fx.docs_ml(spark, d)
-    if where is not None:
-        df = df.where(where)
-    return TR.train_system(df, docs_config(budget, folds), budget_scale=0.05)
+    return TR.train_system(df, docs_config(budget, folds, models, calibrate), budget_scale=0.05)
 
 
 @query("train_report")
@@ -1278,7 +1277,7 @@ def q_score_holdout(spark, d):
     df = SP.stratified_folds(fx.docs_ml(spark, d), "quality", ["doc_id"], k=5, seed=7, out="hfold")
     train = df.where("hfold != 0").drop("hfold")
     hold = df.where("hfold = 0").drop("hfold")
-    res = TR.train_system(train, docs_config(), budget_scale=0.05)
+    res = TR.train_system(train, docs_config(models=("logistic",)), budget_scale=0.05)
     preds, _ = HO.score_holdout(res.bundle, hold, threshold="f1")
     return preds
 
@@ -1291,8 +1290,54 @@ def q_stream_score(spark, d):
     from .session import checkpoint_dir
     from .streaming.score import stream_score
     base = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    res = train_docs(spark, d)
+    res = train_docs(spark, d, models=("logistic",), calibrate=False)
     src = fx.docs_ml(spark, d)
     src.repartition(4).write.mode("overwrite").parquet(f"{base}/incoming")
     stream_score(spark, res.bundle, f"{base}/incoming", src.schema, f"{base}/checkpoint", f"{base}/out")
     return spark.read.parquet(f"{base}/out/status").select("batch_id", "n_rows", "status")
+
+
+# ---------------------------------------------------------------------------
+# Additional views of E4/E5, E7 and P20
+# ---------------------------------------------------------------------------
+
+@query("metric_avg_precision_ovr", W(SCORED_MULTI, """
+ex AS (SELECT 0 AS cls, CAST(y = 0 AS INTEGER) AS yb, p0 AS s FROM scored_multi
+       UNION ALL SELECT 1, CAST(y = 1 AS INTEGER), p1 FROM scored_multi
+       UNION ALL SELECT 2, CAST(y = 2 AS INTEGER), p2 FROM scored_multi),
+g AS (SELECT cls, s, CAST(SUM(yb) AS DOUBLE) AS p, CAST(COUNT(*) - SUM(yb) AS DOUBLE) AS n FROM ex GROUP BY cls, s),
+c AS (SELECT *, SUM(p) OVER w AS tp, SUM(p + n) OVER w AS a
+      FROM g WINDOW w AS (PARTITION BY cls ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+per AS (SELECT cls, SUM(p * tp / a) / SUM(p) AS ap FROM c GROUP BY cls)""")
+       + "SELECT ROUND(AVG(ap), 6) AS avg_precision FROM per")
+def q_avg_precision_ovr(spark, d):
+    """Macro one-vs-rest average precision of the 3-class orders table."""
+    return rounded(M.avg_precision_ovr(fx.scored_multi(spark, d)))
+
+
+@query("confusion_matrix_best_f1", W(SCORED, THRESH_GRID, """
+bt AS (SELECT t FROM f1 ORDER BY f1 DESC, i ASC LIMIT 1),
+lab AS (SELECT DISTINCT l FROM (SELECT CAST(y AS VARCHAR) AS l FROM scored UNION ALL SELECT '0' UNION ALL SELECT '1') t),
+pr AS (SELECT CAST(y AS VARCHAR) AS y_true,
+              CAST(CAST(LEAST(GREATEST(score, 0.0), 1.0) >= (SELECT t FROM bt) AS INTEGER) AS VARCHAR) AS y_pred
+       FROM scored),
+cnt AS (SELECT y_true, y_pred, COUNT(*) AS n FROM pr GROUP BY 1, 2)""") + """
+SELECT a.l AS y_true, b.l AS y_pred, CAST(COALESCE(cnt.n, 0) AS BIGINT) AS n
+FROM lab a JOIN lab b ON TRUE LEFT JOIN cnt ON cnt.y_true = a.l AND cnt.y_pred = b.l""")
+def q_confusion_best(spark, d):
+    """Confusion matrix after predicting with the best-F1 grid threshold."""
+    s = fx.scored(spark, d)
+    t = M.best_threshold_f1(s).first()["threshold"]
+    return M.confusion_matrix(M.apply_threshold(s, t, "score", "y_at_t"), "y", "y_at_t")
+
+
+@query("detect_task_relative", W(ORDERS_ML) + union([
+    f"SELECT '{c}' AS column, " + ("'classification'" if c in ("o_orderstatus", "o_orderpriority") else
+                                   f"CASE WHEN COUNT(DISTINCT {c}) <= GREATEST(20, FLOOR(COUNT(*) * 0.05)) "
+                                   f"THEN 'classification' ELSE 'regression' END") + " AS task FROM orders_ml"
+    for c in TASK_COLS]))
+def q_detect_task_relative(spark, d):
+    """Relative task rule per candidate target: numeric → classification iff distinct ≤ max(20, 5 % of rows)."""
+    df = fx.orders_ml(spark, d)
+    rows = [(c, P.detect_task_relative(df, c)) for c in TASK_COLS]
+    return spark.createDataFrame(rows, "column string, task string")

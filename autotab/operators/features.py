@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.lookup import null_safe_join
+from ..session import cut_lineage
 from ..functions.quantiles import exact_quantiles, medians, modes, multi_quantiles
 from .profile import categorical_columns, distinct_counts, null_counts, numeric_columns
 
@@ -119,8 +120,9 @@ class FrequencyEncoder(Estimator):
         n = df.count()
         long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
                                              for c in cols])).alias("e")).select("e.*")
-        freq = (long.groupBy("column", "value").agg((F.count(F.lit(1)) / F.lit(float(n))).alias("freq"))
-                .persist(StorageLevel.MEMORY_AND_DISK))
+        # the fitted map is written to the shared checkpoint folder: scoring plans no
+        # longer carry the training lineage, and a lost executor does not re-run the fit
+        freq = cut_lineage(long.groupBy("column", "value").agg((F.count(F.lit(1)) / F.lit(float(n))).alias("freq")))
         return FrequencyEncoderModel({"cols": cols, "n": n, "table_rows": freq.count()}, {"freq": freq})
 
 
@@ -156,9 +158,8 @@ class RareCategoryGrouper(Estimator):
         bound = self.min_freq * n if self.min_freq < 1.0 else int(self.min_freq)
         long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
                                              for c in cols])).alias("e")).select("e.*")
-        keep = (long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
-                .where(F.col("cnt") >= F.lit(bound)).select("column", "value")
-                .persist(StorageLevel.MEMORY_AND_DISK))
+        keep = cut_lineage(long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
+                           .where(F.col("cnt") >= F.lit(bound)).select("column", "value"))
         return RareCategoryGrouperModel({"cols": cols, "bound": bound, "table_rows": keep.count()}, {"keep": keep})
 
 
