@@ -523,14 +523,24 @@ def _pos_inputs(spark, d):
             ("orders_ml.urgent_yn", om, "urgent_yn"), ("documents.english", en, "english")]
 
 
-@query("positive_label", W(ORDERS_ML, DOCS_ML, DOCS_NULLS) + """
-SELECT 'docs_ml.quality' AS source, '1' AS positive_label
-UNION ALL SELECT 'orders_ml.o_orderstatus',
-  CASE WHEN (SELECT COUNT(DISTINCT o_orderstatus) FROM orders_ml) = 2 THEN 'x' ELSE NULL END
-UNION ALL SELECT 'orders_ml.urgent_yn', 'Y'
-UNION ALL SELECT 'documents.english', (SELECT v FROM (
-    SELECT CASE WHEN lang = 'en' THEN 'english' ELSE 'other' END AS v, COUNT(*) AS n FROM docs_nulls GROUP BY 1) t
-    ORDER BY n, v LIMIT 1)""")
+def _pos_sql(name, table, expr):
+    """Positive-label rule in SQL for one text-valued column expression."""
+    return (f"SELECT '{name}' AS source, (SELECT CASE WHEN (SELECT COUNT(*) FROM g) <> 2 THEN NULL "
+            f"WHEN (SELECT MIN(pref) FROM g) < 1000000 THEN (SELECT v FROM g ORDER BY pref LIMIT 1) "
+            f"ELSE (SELECT v FROM g ORDER BY n, v LIMIT 1) END FROM (SELECT 1) one) AS positive_label "
+            f"FROM (SELECT 1) z") .replace("FROM g", f"FROM (SELECT v, COUNT(*) AS n, {PREF_CASE} AS pref FROM "
+                                            f"(SELECT CAST({expr} AS VARCHAR) AS v FROM {table} WHERE {expr} IS NOT NULL) s "
+                                            f"GROUP BY v) g")
+
+
+PREF_CASE = "CASE v WHEN '1' THEN 0 WHEN 'True' THEN 1 WHEN 'Y' THEN 2 WHEN 'y' THEN 3 WHEN 'Yes' THEN 4 WHEN 'YES' THEN 5 WHEN 'Si' THEN 6 WHEN 'SI' THEN 7 WHEN 'S' THEN 8 WHEN 'TRUE' THEN 9 ELSE 1000000 END"
+
+
+@query("positive_label", W(ORDERS_ML, DOCS_ML, DOCS_NULLS) + union([
+    _pos_sql("docs_ml.quality", "docs_ml", "quality"),
+    _pos_sql("orders_ml.o_orderstatus", "orders_ml", "o_orderstatus"),
+    _pos_sql("orders_ml.urgent_yn", "orders_ml", "CASE WHEN urgent = 1 THEN 'Y' ELSE 'N' END"),
+    _pos_sql("documents.english", "docs_nulls", "CASE WHEN lang = 'en' THEN 'english' ELSE 'other' END")]))
 def q_positive_label(spark, d):
     out = None
     for name, df, col in _pos_inputs(spark, d):
@@ -1334,8 +1344,8 @@ def q_confusion_best(spark, d):
 @query("detect_task_relative", W(ORDERS_ML) + union([
     f"SELECT '{c}' AS column, " + ("'classification'" if c in ("o_orderstatus", "o_orderpriority") else
                                    f"CASE WHEN COUNT(DISTINCT {c}) <= GREATEST(20, FLOOR(COUNT(*) * 0.05)) "
-                                   f"THEN 'classification' ELSE 'regression' END") + " AS task FROM orders_ml"
-    for c in TASK_COLS]))
+                                   f"THEN 'classification' ELSE 'regression' END") + " AS task"
+    + ("" if c in ("o_orderstatus", "o_orderpriority") else " FROM orders_ml") for c in TASK_COLS]))
 def q_detect_task_relative(spark, d):
     """Relative task rule per candidate target: numeric → classification iff distinct ≤ max(20, 5 % of rows)."""
     df = fx.orders_ml(spark, d)

@@ -100,3 +100,17 @@ def test_yeo_johnson_expression_matches_definition(spark):
 def test_auto_k():
     assert FT.auto_k(5) == 10 and FT.auto_k(100) == 60 and FT.auto_k(1000) == 80
     assert FT.clamp_k(10, 5) == 4
+
+
+def test_svd_matches_numpy(spark):
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+    from autotab.operators.svd import TruncatedSVD
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(60, 5)) + np.array([1.0, 0.0, 2.0, 0.0, 0.5])
+    df = spark.createDataFrame([(i, Vectors.dense(r.tolist())) for i, r in enumerate(x)], ["i", "features"])
+    m = TruncatedSVD(k=3).fit(df)
+    s = np.linalg.svd(x, compute_uv=False)[:3]
+    assert m.state["singular_values"] == pytest.approx(list(s), rel=1e-6)
+    out = np.array([r["svd"].toArray() for r in m.transform(df).orderBy("i").collect()])
+    assert np.abs(out).sum(axis=0) == pytest.approx(np.abs(x @ np.array(m.state["components"]).T).sum(axis=0))
