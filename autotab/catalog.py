@@ -683,8 +683,8 @@ def q_impute_categorical(spark, d):
 
 
 def _yj_sql(x, lam):
-    return (f"CASE WHEN {x} >= 0 THEN (CASE WHEN {lam} = 0 THEN LN(1 + {x}) ELSE (POWER({x} + 1, {lam}) - 1) / {lam} END)"
-            f" ELSE (CASE WHEN {lam} = 2 THEN -LN(1 - {x}) ELSE -(POWER(1 - {x}, 2 - {lam}) - 1) / (2 - {lam}) END) END")
+    return (f"CASE WHEN {x} >= 0 THEN (CASE WHEN {lam} = 0 THEN LN(1 + {x}) ELSE (EXP({lam} * LN(1 + {x})) - 1) / {lam} END)"
+            f" ELSE (CASE WHEN {lam} = 2 THEN -LN(1 - {x}) ELSE -(EXP((2 - {lam}) * LN(1 - {x})) - 1) / (2 - {lam}) END) END")
 
 
 YJ_COLS = ["o_totalprice", "c_acctbal"]

@@ -80,6 +80,10 @@ def prefix_sums(g: DataFrame, order_col: str, value_cols: list[str], by: list[st
         for v in value_cols:
             d = d.withColumn(f"{prefix}{v}", F.coalesce(F.sum(v).over(wr), F.lit(0)))
         return d.drop("__ok")
+    # large input: write the grouped rows once to the shared checkpoint folder, so the
+    # totals, the offsets and the bucket windows below read it instead of recomputing it
+    from ..session import cut_lineage
+    d = cut_lineage(d)
     splits = [float("-inf"), *bounds, float("inf")]
     d = Bucketizer(splits=splits, inputCol="__ok", outputCol="__bk", handleInvalid="keep").transform(d)
     tot = d.groupBy(*by, "__bk").agg(*[F.sum(v).alias(f"__t_{v}") for v in value_cols])

@@ -278,14 +278,19 @@ class ImputerModel(_Fitted):
 # --- T10 Yeo-Johnson ----------------------------------------------------------
 
 def yeo_johnson_expr(x, lam):
-    """ψ_λ(x) as a Column expression; ``lam`` is a float or a Column."""
-    lam_c = lam if not isinstance(lam, (int, float)) else F.lit(float(lam))
+    """ψ_λ(x) as a Column expression; ``lam`` is a float or a Column.
+
+    (1+x)^λ is written exp(λ·ln(1+x)) so that ln(1+|x|) is one common subexpression
+    shared by every λ of a grid (Spark evaluates it once per row)."""
+    lp = F.log1p(x)          # x >= 0 branch
+    ln = F.log1p(-x)         # x < 0 branch
     if isinstance(lam, (int, float)):
-        pos = F.log1p(x) if abs(lam) < 1e-12 else (F.pow(x + 1, lam_c) - 1) / lam_c
-        neg = -F.log1p(-x) if abs(lam - 2) < 1e-12 else -(F.pow(1 - x, 2 - lam_c) - 1) / (2 - lam_c)
+        lam = float(lam)
+        pos = lp if abs(lam) < 1e-12 else (F.exp(lp * F.lit(lam)) - 1) / F.lit(lam)
+        neg = -ln if abs(lam - 2) < 1e-12 else -(F.exp(ln * F.lit(2 - lam)) - 1) / F.lit(2 - lam)
     else:
-        pos = F.when(F.abs(lam_c) < 1e-12, F.log1p(x)).otherwise((F.pow(x + 1, lam_c) - 1) / lam_c)
-        neg = F.when(F.abs(lam_c - 2) < 1e-12, -F.log1p(-x)).otherwise(-(F.pow(1 - x, 2 - lam_c) - 1) / (2 - lam_c))
+        pos = F.when(F.abs(lam) < 1e-12, lp).otherwise((F.exp(lp * lam) - 1) / lam)
+        neg = F.when(F.abs(lam - 2) < 1e-12, -ln).otherwise(-(F.exp(ln * (2 - lam)) - 1) / (2 - lam))
     return F.when(x >= 0, pos).otherwise(neg)
 
 
@@ -298,20 +303,32 @@ def yeo_johnson_loglik(df: DataFrame, cols: list[str], grid) -> DataFrame:
     """(column, lambda, loglik) for every λ on the grid:
     −n/2·ln(var_pop(ψ_λ)) + (λ−1)·Σ sign(x)·ln(1+|x|).
 
-    Rows are expanded to (column, λ) pairs and reduced with a map-side combined
-    aggregate, so the generated code stays small for any grid size. ``grid`` is one list
-    for all columns or a dict column → list."""
+    Per row, ψ_λ(x) for the whole grid is one vector of generated expressions (sharing
+    ln(1+|x|)); the per-λ variances come from ``Summarizer`` over that vector in a single
+    pass, so rows are not multiplied by the grid size. ``grid`` is one list for all
+    columns or a dict column → list."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
     per_col = grid if isinstance(grid, dict) else {c: grid for c in cols}
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x"),
-                                                  F.array(*[F.lit(float(v)) for v in per_col[c]]).alias("lams"))
-                                         for c in cols])).alias("e")).select("e.column", "e.x", "e.lams")
-    long = long.where(F.col("x").isNotNull() & ~F.isnan("x"))
-    pairs = long.select("column", "x", F.explode("lams").alias("lambda"))
-    agg = pairs.groupBy("column", "lambda").agg(
-        F.count(F.lit(1)).alias("n"), F.var_pop(yeo_johnson_expr(F.col("x"), F.col("lambda"))).alias("v"),
-        F.sum(F.signum("x") * F.log1p(F.abs("x"))).alias("s"))
-    ll = -F.col("n") / 2 * F.log(F.col("v")) + (F.col("lambda") - 1) * F.col("s")
-    return agg.select("column", "lambda", F.when(F.col("v") > 0, ll).alias("loglik"))
+    aggs = []
+    for i, c in enumerate(cols):
+        x = F.col(c).cast("double")
+        ok = x.isNotNull() & ~F.isnan(x)
+        psi = F.when(ok, array_to_vector(F.array(*[yeo_johnson_expr(x, float(v)) for v in per_col[c]])))
+        aggs += [Summarizer.metrics("variance", "count").summary(psi).alias(f"__m{i}"),
+                 F.sum(F.when(ok, F.signum(x) * F.log1p(F.abs(x)))).alias(f"__s{i}")]
+    r = df.agg(*aggs).first()
+    rows = []
+    for i, c in enumerate(cols):
+        m = r[f"__m{i}"]
+        n = int(m["count"]) if m is not None else 0
+        var = m["variance"].toArray() if m is not None and n > 0 else []
+        ssum = r[f"__s{i}"] or 0.0
+        for j, lam in enumerate(per_col[c]):
+            v = float(var[j]) * (n - 1) / n if n > 1 else 0.0   # sample → population variance
+            ll = (-n / 2 * math.log(v) + (lam - 1) * ssum) if v > 0 else None
+            rows.append((c, float(lam), ll))
+    return df.sparkSession.createDataFrame(rows, "column string, lambda double, loglik double")
 
 
 class YeoJohnson(Estimator):

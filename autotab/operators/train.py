@@ -21,7 +21,7 @@ from . import metrics as M
 from . import profile as P
 from .calibrate import calibrate
 from .features import MissingIndicators
-from .labels import encode_target
+from .labels import encode_target, index_labels
 from .models import feature_importance, fit_model, model_context, scored_frame
 from .preprocess import Preprocessor
 from .search import leaderboard_frame, oof_predictions, prepare_folds, release, search
@@ -111,7 +111,10 @@ def train_system(df: DataFrame, cfg: SystemConfig, budget_scale: float = 1.0) ->
             task = "classification"
     mapping_df = None
     if task == "classification":
-        d, mapping_df = encode_target(d, dc.target, out="__label")
+        if isinstance(d.schema[dc.target].dataType, P.NUMERIC_TYPES):
+            d, mapping_df = index_labels(d, dc.target, out="__label")
+        else:
+            d, mapping_df = encode_target(d, dc.target, out="__label")
     else:
         d = d.withColumn("__label", F.col(dc.target).cast("double"))
     mapping = {r["label"]: r["index"] for r in mapping_df.collect()} if mapping_df is not None else None
@@ -186,6 +189,7 @@ def train_system(df: DataFrame, cfg: SystemConfig, budget_scale: float = 1.0) ->
     }
     for kind_folds in fold_cache.values():
         release(kind_folds)
+    d.unpersist()
     if cfg.train.output_dir:
         write_artifacts(spark, cfg.train.output_dir, report, lb, best.oof, importances)
     return TrainResult(report, lb, best.oof, bundle, importances)

@@ -33,7 +33,7 @@ def test_report_shape(trained):
     rep = trained.report
     assert rep["task"] == "classification"
     assert rep["best_models"][0]["metrics"]["roc_auc"] is not None
-    assert rep["labels_info"]["classes"] is None  # numeric target stays as is
+    assert rep["labels_info"]["classes"] == ["0", "1"]  # numeric classes indexed in natural order
 
 
 def test_save_load_same_predictions(spark, trained, tmp_path):
