@@ -1066,11 +1066,13 @@ def q_halving(spark, d):
 
 @query("calibrate")
 def q_calibrate(spark, d):
-    """Isotonic calibration of logistic probabilities per fold, averaged (docs_ml)."""
-    folds = _docs_folds(spark, d, "logistic")
-    spec = RG.classification_registry()["logistic"]
-    cal = CA.calibrate(spec, {"C": 1.0}, folds)
-    x = folds[0].train.unionByName(folds[0].valid)
+    """Isotonic calibration of logistic probabilities per fold, averaged (docs_ml): fold
+    models and isotonic maps share one preprocessor's feature space."""
+    df = SP.stratified_folds(fx.docs_ml(spark, d), "quality", ["doc_id"], k=3, out="fold")
+    pre = PP.Preprocessor(DOCS_FEATS, "logistic", "classification", _pre_no_power()).fit(df)
+    x = pre.transform(df).select("doc_id", "fold", F.col("quality").cast("double").alias("label"), "features")
+    folds = SE.folds_of_matrix(x, "fold", 3, "classification", len(pre.feature_names))
+    cal = CA.calibrate(RG.classification_registry()["logistic"], {"C": 1.0}, folds)
     return CA.calibrated_scores(cal, x, ["doc_id"]).drop("proba")
 
 

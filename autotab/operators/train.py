@@ -24,7 +24,7 @@ from .features import MissingIndicators
 from .labels import encode_target, index_labels
 from .models import feature_importance, fit_model, model_context, scored_frame
 from .preprocess import Preprocessor
-from .search import leaderboard_frame, oof_predictions, prepare_folds, release, search
+from .search import folds_of_matrix, leaderboard_frame, oof_predictions, prepare_folds, release, search
 from .split import kfold, stratified_folds
 
 log = logging.getLogger("autotab")
@@ -165,14 +165,17 @@ def train_system(df: DataFrame, cfg: SystemConfig, budget_scale: float = 1.0) ->
     metrics_best = oof_metrics(best.oof, task, n_classes)
     # refit the winner on all rows
     pre = Preprocessor(feats, best_spec.family, task, cfg.preprocess, target="__label", select_k=sel_k).fit(d)
-    allx = pre.transform(d).select(*dc.key, F.col("__label").alias("label"),
+    allx = pre.transform(d).select(*dc.key, F.col("__label").alias("label"), folds_col,
                                    *([weight_col] if weight_col and best_spec.supports_weight else []), "features")
+    allx = allx.persist(StorageLevel.MEMORY_AND_DISK)
     ctx = model_context(allx, task, len(pre.feature_names), weight_col if best_spec.supports_weight else None)
     model = fit_model(best_spec, best.best_params, allx, ctx)
     calibrated = None
     one_vs_rest = best_spec.family == "gbt" and (n_classes or 2) > 2  # margins only, no probabilities
     if task == "classification" and cfg.train.calibrate and best_spec.probabilistic and not one_vs_rest:
-        calibrated = calibrate(best_spec, best.best_params, fold_cache[kind], best.fold_models)
+        cal_folds = folds_of_matrix(allx, folds_col, cfg.cv.folds, task, len(pre.feature_names),
+                                    weight_col if best_spec.supports_weight else None)
+        calibrated = calibrate(best_spec, best.best_params, cal_folds)
     importances = feature_importance(model, pre.feature_names)
     expected = [(c, t) for c, t in df.dtypes if c in set(feats) | {dc.target} | set(dc.key)]
     labels_info = {"mapping": mapping, "classes": sorted(mapping, key=mapping.get) if mapping else None}
@@ -190,6 +193,7 @@ def train_system(df: DataFrame, cfg: SystemConfig, budget_scale: float = 1.0) ->
     for kind_folds in fold_cache.values():
         release(kind_folds)
     d.unpersist()
+    allx.unpersist()
     if cfg.train.output_dir:
         write_artifacts(spark, cfg.train.output_dir, report, lb, best.oof, importances)
     return TrainResult(report, lb, best.oof, bundle, importances)
