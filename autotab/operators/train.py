@@ -16,6 +16,7 @@ from ..functions.cleaning import clean_frame
 from ..plans.config import SystemConfig
 from ..plans.plan import build_auto_plan, plan_profile
 from ..plans.registry import registry
+from ..session import cut_lineage
 from ..sources.tables import strip_column_names
 from . import metrics as M
 from . import profile as P
@@ -137,7 +138,12 @@ def train_system(df: DataFrame, cfg: SystemConfig, budget_scale: float = 1.0) ->
     if task == "classification" and plan.class_weight == "balanced":
         d = P.balanced_weights(d, "__label", out="__w")
         weight_col = "__w"
-    d = d.persist(StorageLevel.MEMORY_AND_DISK)
+    # the prepared training table (clean, labels, indicators, folds, weights) is written once
+    # to the shared checkpoint folder: every fold, candidate and refit reads it with a short
+    # plan, and a lost executor recomputes from here instead of from the raw input
+    prepared = cut_lineage(d)
+    d.unpersist()
+    d = prepared
     reg = registry(task, profile["n_samples"])
     results, fold_cache, oofs = [], {}, {}
     sel_k = plan.preprocess["select_k_best"] if cfg.preprocess.select_k_best not in (None, 0) else None
