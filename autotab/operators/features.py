@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import math
 
-from pyspark import StorageLevel
 from pyspark.ml import Estimator, Model
 from pyspark.ml.feature import FeatureHasher, VectorAssembler
 from pyspark.sql import DataFrame, Window
@@ -20,7 +19,7 @@ from pyspark.sql.types import StringType
 
 from ..functions.lookup import null_safe_join
 from ..session import cut_lineage
-from ..functions.quantiles import exact_quantiles, medians, modes, multi_quantiles
+from ..functions.quantiles import medians, modes, multi_quantiles
 from .profile import categorical_columns, distinct_counts, null_counts, numeric_columns
 
 OTHER = "__OTHER__"

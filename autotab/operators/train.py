@@ -153,7 +153,7 @@ def train_system(df: DataFrame, cfg: SystemConfig, budget_scale: float = 1.0) ->
         if kind not in fold_cache:
             fold_cache[kind] = prepare_folds(d, dc.key, "__label", feats, spec.family, task, cfg.cv.folds,
                                              folds_col, weight_col if spec.supports_weight else None,
-                                             cfg.preprocess, sel_k)
+                                             cfg.preprocess, sel_k, cut=False)
         folds = fold_cache[kind]
         n_iter = max(1, int(round(plan.model_iters[name] * budget_scale)))
         ts = time.time()
