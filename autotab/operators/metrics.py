@@ -103,18 +103,20 @@ def f1_macro(df: DataFrame, y_true: str = "y", y_pred: str = "y_pred", by=None)
 
 def confusion_matrix(df: DataFrame, y_true: str = "y", y_pred: str = "y_pred",
                      max_labels: int = 1000) -> DataFrame:
-    """Dense confusion matrix in long form (y_true, y_pred, n) over sorted labels, zeros included."""
+    """Dense confusion matrix in long form (y_true, y_pred, n) over sorted labels, zeros included.
+
+    One aggregate gives the non-zero cells (at most labels² rows, checked against
+    ``max_labels``); the dense grid is filled in from those cells."""
     spark = df.sparkSession
     t, p = F.col(y_true).cast("string"), F.col(y_pred).cast("string")
-    counts = df.groupBy(t.alias("y_true"), p.alias("y_pred")).agg(F.count(F.lit(1)).alias("n"))
-    labels = (counts.select(F.explode(F.array("y_true", "y_pred")).alias("l")).distinct()
-              .orderBy("l").limit(max_labels + 1).collect())
-    labels = [r["l"] for r in labels]
+    cells = (df.groupBy(t.alias("y_true"), p.alias("y_pred")).agg(F.count(F.lit(1)).alias("n"))
+             .limit(max_labels * max_labels + 1).collect())
+    labels = sorted({c["y_true"] for c in cells} | {c["y_pred"] for c in cells}, key=lambda v: (v is None, v))
     if len(labels) > max_labels:
         raise ValueError(f"confusion matrix over more than {max_labels} labels")
-    grid = spark.createDataFrame([(a, b) for a in labels for b in labels], "y_true string, y_pred string")
-    return (grid.join(counts, ["y_true", "y_pred"], "left")
-                .select("y_true", "y_pred", F.coalesce("n", F.lit(0)).cast("long").alias("n")))
+    got = {(c["y_true"], c["y_pred"]): c["n"] for c in cells}
+    rows = [(a, b, int(got.get((a, b), 0))) for a in labels for b in labels]
+    return spark.createDataFrame(rows, "y_true string, y_pred string, n long")
 
 
 def _totals(groups: DataFrame) -> tuple[int, int]:
