@@ -25,20 +25,29 @@ def permute_column(df: DataFrame, col: str, key: list[str], seed: str) -> DataFr
 
 
 def permutation_importance(score_fn, df: DataFrame, features: list[str], key: list[str], metric: str,
-                           task: str, repeats: int = 5, seed: int = 42) -> DataFrame:
+                           task: str, repeats: int = 5, seed: int = 42, parallelism: int = 4) -> DataFrame:
     """(feature, importance_mean, importance_std, rank): mean drop of ``metric`` (higher is
     better) when one feature is permuted, over ``repeats`` seeded permutations.
 
     ``score_fn(frame) -> scored frame`` with y and y_pred / score columns."""
+    from ..session import cut_lineage
     spark = df.sparkSession
+    # the input is read d·repeats + 1 times: write it once to the shared checkpoint folder
+    df = cut_lineage(df)
     base = M.metric_by(score_fn(df).withColumn("__g", F.lit(0)), metric, ["__g"], task).first()["value"]
+    from concurrent.futures import ThreadPoolExecutor
+
+    def drop(fr):
+        f, r = fr
+        p = permute_column(df, f, key, f"{seed}-{f}-{r}")
+        return base - M.metric_by(score_fn(p).withColumn("__g", F.lit(0)), metric, ["__g"], task).first()["value"]
+    # the d·repeats permutations are independent jobs: submit a few concurrently
+    tasks = [(f, r) for f in features for r in range(repeats)]
+    with ThreadPoolExecutor(max_workers=parallelism) as ex:
+        results = dict(zip(tasks, ex.map(drop, tasks)))
     rows = []
     for f in features:
-        drops = []
-        for r in range(repeats):
-            p = permute_column(df, f, key, f"{seed}-{f}-{r}")
-            v = M.metric_by(score_fn(p).withColumn("__g", F.lit(0)), metric, ["__g"], task).first()["value"]
-            drops.append(base - v)
+        drops = [results[(f, r)] for r in range(repeats)]
         m = sum(drops) / len(drops)
         s = math.sqrt(sum((x - m) ** 2 for x in drops) / len(drops))
         rows.append((f, float(m), float(s)))
