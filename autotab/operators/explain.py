@@ -86,14 +86,20 @@ def learning_curve(spec, params, folds, task: str, key: list[str], metric: str,
     from ..functions.keys import unit_uniform
     spark = folds[0].train.sparkSession
     rows = []
+    from concurrent.futures import ThreadPoolExecutor
+
+    def one(fd, frac):
+        tr = fd.train if frac >= 1.0 else fd.train.where(unit_uniform(*key, seed=seed) < F.lit(float(frac)))
+        model = fit_model(spec, params, tr, fd.ctx)
+        out = []
+        for data in (tr, fd.valid):
+            sc = scored_frame(model.transform(data), task, keep=[]).withColumn("__g", F.lit(0))
+            out.append(M.metric_by(sc, metric, ["__g"], task).first()["value"])
+        return out
     for frac in sizes:
-        tr_s, va_s = [], []
-        for fd in folds:
-            tr = fd.train if frac >= 1.0 else fd.train.where(unit_uniform(*key, seed=seed) < F.lit(float(frac)))
-            model = fit_model(spec, params, tr, fd.ctx)
-            for data, acc in ((tr, tr_s), (fd.valid, va_s)):
-                sc = scored_frame(model.transform(data), task, keep=[]).withColumn("__g", F.lit(0))
-                acc.append(M.metric_by(sc, metric, ["__g"], task).first()["value"])
+        with ThreadPoolExecutor(max_workers=len(folds)) as ex:  # folds fit as concurrent jobs
+            got = list(ex.map(lambda fd: one(fd, frac), folds))
+        tr_s, va_s = [g[0] for g in got], [g[1] for g in got]
 
         def ms(v):
             v = [x for x in v if x is not None]
