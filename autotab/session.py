@@ -22,6 +22,8 @@ DEFAULT_CONF = {
     "spark.driver.memory": "16g",
     "spark.sql.ui.explainMode": "simple",
     "spark.sql.maxPlanStringLength": "100000",
+    # checkpoint files of fitted lookups / grouped scores are removed once unreferenced
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
