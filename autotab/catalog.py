@@ -600,19 +600,29 @@ def q_ordinal_map(spark, d):
 
 
 def _freq_sql(c):
-    return (f"CASE WHEN (SELECT COUNT(DISTINCT {c}) FROM events_cat) >= 40 THEN "
-            f"ROUND(COUNT(*) OVER (PARTITION BY {c}) / (SELECT COUNT(*) FROM events_cat), 6) END")
+    enc = f"(SELECT COUNT(DISTINCT {c}) FROM events_cat) >= 40"
+    return (f"CASE WHEN {enc} THEN ROUND(COUNT(*) OVER (PARTITION BY {c}) / (SELECT COUNT(*) FROM events_cat), 6) END"
+            f" AS {c}_freq, CASE WHEN NOT ({enc}) THEN {c} END AS {c}_raw")
 
 
-@query("freq_encode", W(EVENTS_CAT) + f"""
-SELECT event_id, {_freq_sql('user_id')} AS user_id, event_type, {_freq_sql('props')} AS props
-FROM events_cat""")
+FE_COLS = ["user_id", "event_type", "props"]
+
+
+@query("freq_encode", W(EVENTS_CAT) + "SELECT event_id, " + ", ".join(_freq_sql(c) for c in FE_COLS)
+       + " FROM events_cat")
 def q_freq_encode(spark, d):
-    df = fx.events_cat(spark, d).select("event_id", "user_id", "event_type", "props")
+    """Frequency encoding (threshold 40 distinct values) of the event text columns: for each
+    column, ``<c>_freq`` holds the encoded value when the column qualified, ``<c>_raw``
+    the untouched text when it did not."""
+    df = fx.events_cat(spark, d).select("event_id", *FE_COLS)
     enc = FT.FrequencyEncoder(threshold=40, exclude=["event_id"]).fit(df)
-    out = enc.transform(df)
-    # event_type has 5 values (< 40): left as text
-    return rounded(out.select("event_id", "user_id", "event_type", "props"))
+    out = enc.transform(df.select("event_id", *FE_COLS, *[F.col(c).alias(f"__raw_{c}") for c in FE_COLS]))
+    cols = []
+    for c in FE_COLS:
+        done = c in enc.state["cols"]
+        cols.append((F.col(c) if done else F.lit(None)).cast("double").alias(f"{c}_freq"))
+        cols.append((F.lit(None) if done else F.col(f"__raw_{c}")).cast("string").alias(f"{c}_raw"))
+    return rounded(out.select("event_id", *cols))
 
 
 @query("rare_group", W(ORDERS_ML) + """
