@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +39,7 @@ def content_key(col: str = "text") -> Column:
 def slices(batches: Iterator[pa.RecordBatch], text: int, chars: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
     """Cuts record batches by the summed byte length of column ``text`` (one very long text stays whole)."""
     for b in batches:
-        lens = pa.compute.binary_length(b.column(text)).to_pylist()
+        lens = pc.binary_length(b.column(text)).to_pylist()
         start = total = 0
         for i, n in enumerate(lens):
             total += n or 0
