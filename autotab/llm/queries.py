@@ -3,6 +3,11 @@
 from __future__ import annotations
 
 from .bpe import op7_bpe
+from .chat import OP9_SQL, op9_chat
+from .licenses import op5_licenses
+from .mixing import OP10_SQL, op10_mixing
+from .quality import op3_quality
+from .topk import OP6_SQL, op6_topk
 
-QUERIES = {f.__name__: f for f in (op7_bpe,)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op3_quality, op5_licenses, op6_topk, op7_bpe, op9_chat, op10_mixing)}
+ORACLE = {"op6_topk": OP6_SQL, "op9_chat": OP9_SQL, "op10_mixing": OP10_SQL}
