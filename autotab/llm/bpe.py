@@ -20,6 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,59 +73,103 @@ class MergeTable:
         for token, i in self.special.items():
             self.pieces[i] = token.encode()
         self.pre_token = regex.compile(PRE_TOKEN)
-        self.cache: dict[str, np.ndarray] = {}
-
-    def merge_words(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of each (non-empty) word."""
+        self.piece_bytes = np.frombuffer(b"".join(self.pieces), dtype=np.uint8)
+        self.piece_sizes = np.fromiter(map(len, self.pieces), np.int64, len(self.pieces))
+        self.piece_starts = np.cumsum(self.piece_sizes) - self.piece_sizes
+        self.forget()
+
+    def ranks_of(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank of each pair (NO_RANK: none) and its place among the sorted keys."""
+        pair = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
+        return np.where(self.keys[at] == pair, self.ranks[at], NO_RANK), at
+
+    def merge_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the (non-empty) words behind each other, and how many each word has."""
         lens = np.fromiter(map(len, words), np.int64, len(words))
         sym = self.first[np.frombuffer(b"".join(words), dtype=np.uint8)]
         word = np.repeat(np.arange(len(words)), lens)
-        out: list[np.ndarray | None] = [None] * len(words)
+        rank, at = np.full(len(sym), NO_RANK), np.zeros(len(sym), dtype=np.int64)
+        inner = np.flatnonzero(word[:-1] == word[1:])  # the last symbol of a word starts no pair
+        rank[inner], at[inner] = self.ranks_of(sym[inner], sym[inner + 1])
+        done: list[tuple[np.ndarray, np.ndarray]] = []
         while len(sym):
-            pair = sym[:-1] << 32 | sym[1:]
-            at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
-            rank = np.full(len(sym), NO_RANK)  # the last symbol of a word starts no pair
-            hit = (self.keys[at] == pair) & (word[:-1] == word[1:])
-            rank[:-1][hit] = self.ranks[at[hit]]
             starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
             sizes = np.diff(np.r_[starts, len(sym)])
             low = np.minimum.reduceat(rank, starts)
-            for k in np.flatnonzero(low == NO_RANK):
-                out[word[starts[k]]] = sym[starts[k]:starts[k] + sizes[k]]
             going = low != NO_RANK
-            if not going.any():
-                break
-            mine = np.repeat(np.where(going, low, -1), sizes)
-            best = rank == mine
+            if not going.all():
+                rest = np.repeat(~going, sizes)
+                done.append((word[rest], sym[rest]))
+                sym, word, rank, at, low, sizes = sym[~rest], word[~rest], rank[~rest], at[~rest], low[going], sizes[going]
+                if not len(sym):
+                    break
             # in a run of neighbouring places (a a a ...) every second one merges, from the left
-            places = np.flatnonzero(best)
+            places = np.flatnonzero(rank == np.repeat(low, sizes))
             fresh = np.r_[True, places[1:] != places[:-1] + 1]
             runs = np.maximum.accumulate(np.where(fresh, np.arange(len(places)), 0))
             places = places[(np.arange(len(places)) - runs) % 2 == 0]
             if not self.ordered:
                 places = places[np.r_[True, word[places[1:]] != word[places[:-1]]]]
             sym[places] = self.made[at[places]]
-            keep = np.repeat(going, sizes)
+            keep = np.ones(len(sym), dtype=bool)
             keep[places + 1] = False
-            sym, word = sym[keep], word[keep]
-        return out
-
-    def encode(self, texts: list[str]) -> list[list[np.ndarray]]:
-        """For each text the ids of its words, in order."""
+            places = places - np.arange(len(places))
+            sym, word, rank, at = sym[keep], word[keep], rank[keep], at[keep]
+            # only pairs beside a merged symbol have changed
+            near = np.zeros(len(sym), dtype=bool)
+            near[places] = near[places[places > 0] - 1] = True
+            rank[near] = NO_RANK
+            redo = np.flatnonzero(near)
+            redo = redo[redo < len(sym) - 1]
+            redo = redo[word[redo] == word[redo + 1]]
+            rank[redo], at[redo] = self.ranks_of(sym[redo], sym[redo + 1])
+        if not done:
+            return np.empty(0, np.int64), lens
+        word, sym = (np.concatenate(x) for x in zip(*done, strict=True))
+        order = np.argsort(word, kind="stable")
+        return sym[order], np.bincount(word, minlength=len(words))
+
+    def forget(self) -> None:
+        self.cache = {t: i for i, t in enumerate(self.special)}
+        self.known, self.sizes = np.array(list(self.special.values()), np.int64), np.ones(len(self.special), np.int64)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts behind each other, and how many each text has."""
         cut, cache = self.pre_token.findall, self.cache
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        split = [self.split_special.split(t) if self.split_special else [t] for t in texts]
-        parts = [[[p] if k % 2 else cut(p) for k, p in enumerate(s) if p] for s in split]
-        marks = [[k % 2 for k, p in enumerate(s) if p] for s in split]
-        new = list({w for text, odd in zip(parts, marks, strict=True) for ws, o in zip(text, odd, strict=True) if not o for w in ws if w not in cache})
-        for w, ids in zip(new, self.merge_words([w.encode() for w in new]), strict=True):
-            cache[w] = ids.astype(np.int32)
-        own = {t: np.array([i], dtype=np.int32) for t, i in self.special.items()}
-        return [[own[w] if o else cache[w] for ws, o in zip(text, odd, strict=True) for w in ws] for text, odd in zip(parts, marks, strict=True)]
-
-    def decode(self, ids: list[int]) -> str:
-        return b"".join([self.pieces[i] for i in ids]).decode("utf-8", "replace")
+        words, ends = [], []
+        for t in texts:
+            if self.special and any(x in t for x in self.special):
+                for k, part in enumerate(self.split_special.split(t)):
+                    words += [part] if k % 2 else cut(part)
+            else:
+                words += cut(t)
+            ends.append(len(words))
+        new = list(set(words).difference(cache))
+        if len(cache) + len(new) > CACHE_WORDS:
+            self.forget()
+            cache = self.cache
+            new = list(set(words).difference(cache))
+        ids, sizes = self.merge_words([w.encode() for w in new])
+        cache.update(zip(new, range(len(cache), len(cache) + len(new)), strict=True))
+        self.known, self.sizes = np.concatenate([self.known, ids]), np.concatenate([self.sizes, sizes])
+        which = np.fromiter(map(cache.__getitem__, words), np.int64, len(words))
+        out = gather(self.known, np.cumsum(self.sizes) - self.sizes, self.sizes, which)
+        upto = np.r_[0, np.cumsum(self.sizes[which])]
+        return out, np.diff(upto[np.r_[0, np.array(ends, dtype=np.int64)]])
+
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
+        """Texts of the ids that lie behind each other, ``counts`` of them in each text."""
+        data = gather(self.piece_bytes, self.piece_starts, self.piece_sizes, ids).tobytes()
+        upto = np.r_[0, np.cumsum(self.piece_sizes[ids])][np.r_[0, np.cumsum(counts)]].tolist()
+        return [data[a:b].decode("utf-8", "replace") for a, b in zip(upto[:-1], upto[1:], strict=True)]
+
+
+def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The pieces ``which`` of ``values`` behind each other."""
+    n = sizes[which]
+    shift = starts[which] - (np.cumsum(n) - n)
+    return values[np.repeat(shift, n) + np.arange(int(n.sum()))]
 
 
 @lru_cache(maxsize=2)
@@ -141,10 +186,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") ->
     schema = StructType([*src.drop(text).schema, StructField(out, ArrayType(IntegerType()))])
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        words = merge_table(path).encode(b.column(b.num_columns - 1).to_pylist())
-        counts = [sum(map(len, w)) for w in words]
-        flat = [x for w in words for x in w]
-        values = pa.array(np.concatenate(flat) if flat else np.empty(0, np.int32), pa.int32())
+        ids, counts = merge_table(path).encode(b.column(b.num_columns - 1).to_pylist())
+        values = pa.array(ids.astype(np.int32))
         offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
         return pa.RecordBatch.from_arrays([*b.columns[:-1], pa.ListArray.from_arrays(offsets, values)], names=[*b.schema.names[:-1], out])
 
@@ -160,8 +203,10 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
         m = merge_table(path)
         for b in batches:
             for start in range(0, b.num_rows, 1000):
-                s = b.slice(start, 1000)
-                yield pa.RecordBatch.from_arrays([*s.columns, pa.array([m.decode(x or ()) for x in s.column(at).to_pylist()], pa.string())], names=[*s.schema.names, out])
+                part = b.slice(start, 1000)
+                x = part.column(at)
+                texts = m.decode(x.flatten().to_numpy(), pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, out])
 
     return df.mapInArrow(run, schema)
 

@@ -24,9 +24,19 @@ def odd_texts():
 
 def test_ids_and_text_equal_the_library():
     t, m, texts = library(), bpe.MergeTable(PATH), odd_texts()
-    for text, words, e in zip(texts, m.encode(texts), t.encode_batch(texts, add_special_tokens=False), strict=True):
-        assert [int(i) for w in words for i in w] == e.ids
-        assert m.decode(e.ids) == t.decode(e.ids, skip_special_tokens=False) == text
+    ids, counts = m.encode(texts)
+    want = t.encode_batch(texts, add_special_tokens=False)
+    assert counts.tolist() == [len(e.ids) for e in want]
+    assert ids.tolist() == [i for e in want for i in e.ids]
+    assert m.decode(ids, counts) == [t.decode(e.ids, skip_special_tokens=False) for e in want] == texts
+
+
+def test_memory_of_words_is_bounded(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 5)
+    m = bpe.MergeTable(PATH)
+    first = m.encode(["one two three four five six seven", "one two"])[0].tolist()
+    m.encode(["other words come in here now"])
+    assert m.encode(["one two three four five six seven", "one two"])[0].tolist() == first
 
 
 def test_frame_with_nulls_repeats_and_clashing_names(spark):
