@@ -8,7 +8,7 @@ the array. Nothing is trained; the vocabulary file is a parameter.
 
 Cases: a NULL text is the empty text and has no ids; an empty table gives an empty table;
 repeated rows are encoded each; the other columns pass through untouched, whatever their
-names (a column already called like the output column is an error). Texts are encoded whole;
+names (one called like the output column is replaced). Texts are encoded whole;
 special tokens of the file that stand in a text get their own ids, as the tokenizers library
 does by default.
 """
@@ -179,9 +179,7 @@ def merge_table(path: str) -> MergeTable:
 
 def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
     """``docs`` without ``text``, with the ids of its texts as ``out`` (array<int>)."""
-    rest = [c for c in docs.columns if c != text]
-    if out in rest:
-        raise ValueError(f"column {out} exists already")
+    rest = [c for c in docs.columns if c not in (text, out)]
     src = docs.select(*[F.col(f"`{c}`") for c in rest], F.coalesce(F.col(text), F.lit("")).alias(text))
     schema = StructType([*src.drop(text).schema, StructField(out, ArrayType(IntegerType()))])
 
@@ -196,6 +194,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") ->
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` with the text of its ``ids`` as ``out``; NULL ids give the empty text."""
+    df = df.drop(out)
     schema = StructType([*df.schema, StructField(out, StringType())])
     at = df.columns.index(ids)
 

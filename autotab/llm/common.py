@@ -62,3 +62,15 @@ def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
                 yield out
 
     return df.mapInArrow(run, schema)
+
+
+def carried(df: DataFrame, *keep: str) -> DataFrame:
+    """``keep`` as columns and all others inside one struct, out of the way of an operator's own names."""
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in keep]
+    return df.select(*keep, F.struct(F.lit(0).alias("_"), *rest).alias("__row"))
+
+
+def restored(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Undoes ``carried``: the given columns, from the frame where it has them and else from the struct."""
+    inside = set(df.schema["__row"].dataType.names)
+    return df.select(*[F.col("__row").getField(c).alias(c) if c in inside else F.col(f"`{c}`") for c in columns])

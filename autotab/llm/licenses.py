@@ -9,7 +9,8 @@ worse one, ``with`` raises its left side half of the way to 1. The score of a do
 least openness of what it holds, as all its notices bind together.
 
 Cases: a NULL text is empty (no words, no places, empty labels, score 0); an empty table gives
-an empty table; repeated rows are scanned each; other columns pass through. An expression with
+an empty table; repeated rows are scanned each; other columns pass through, except those called
+like a result, which are replaced. An expression with
 unbalanced brackets or missing operands gives no label.
 """
 
@@ -138,7 +139,7 @@ def scan_text(text: str) -> tuple:
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without ``text``, with the columns of ``COLUMNS``."""
-    rest = [c for c in docs.columns if c != text]
+    rest = [c for c in docs.columns if c != text and c not in dict(COLUMNS)]
     src = docs.select(*[F.col(f"`{c}`") for c in rest], F.coalesce(F.col(text), F.lit("")).alias(text))
     schema = StructType([*src.drop(text).schema, *(StructField(n, t) for n, t in COLUMNS)])
     kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]

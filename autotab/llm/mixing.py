@@ -15,8 +15,8 @@ the tree, one number per source and shard) is all that stands together.
 
 Cases: a NULL or wordless text has size 0 and counts as taken with 0 words; a NULL source is a
 source of its own, last in order; equal ids are ordered by size, equal rows are interchangeable
-and each drawn by itself; an empty table gives an empty table. Other columns pass through; the
-columns that the operator adds (``ADDED``) must not exist.
+and each drawn by itself; an empty table gives an empty table. Other columns pass through;
+those called like one that the operator adds (``ADDED``) are replaced.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import HASH_BITS, row_hash
 from ..functions.ranking import hash_rank
 from ..session import cut_lineage
-from .common import WORD, table, whole_text
+from .common import WORD, carried, restored, table, whole_text
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 BLOCK_WORDS, SHARD_BLOCKS, RANGE_ROWS, SEED = 4096, 1024, 8192, 17
@@ -116,14 +116,15 @@ def assign_shards(blocks: DataFrame, seed: int = SEED) -> DataFrame:
 
 def mix(docs: DataFrame) -> DataFrame:
     """The drawn documents, one row for each time a document is taken, with ``ADDED``; ordered by
-    (shard, hash) they are the shuffled shards. ``docs`` may bring ``size`` along instead of ``text``."""
-    if clash := set(ADDED[1:]) & set(docs.columns):
-        raise ValueError(f"columns exist already: {sorted(clash)}")
-    sized = docs if "size" in docs.columns else docs.withColumn("size", size_of(whole_text()))
+    (shard, hash) they are the shuffled shards. ``docs`` brings ``size`` or ``text``."""
+    keep = ["doc_id", "source", *[c for c in ("text", "size") if c in docs.columns and (c == "text" or "text" not in docs.columns)]]
+    sized = carried(docs.drop(*[c for c in ADDED if c not in keep]), *keep)
+    sized = sized if "size" in keep else sized.withColumn("size", size_of(whole_text()))
     narrow = cut_lineage(sized.select("doc_id", "source", "size"))
     sources = cut_lineage(source_targets(narrow))
     blocks = cut_lineage(drawn(positions(narrow, sources)).select("source_key", "block").distinct())
-    return drawn(positions(sized, sources)).join(assign_shards(blocks), ["source_key", "block"])
+    out = drawn(positions(sized, sources)).join(assign_shards(blocks), ["source_key", "block"])
+    return restored(out, [*[c for c in docs.columns if c not in ADDED], *ADDED])
 
 
 def shuffled(mixed: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import content_key, map_texts, slices, table, whole_text
+from .common import carried, content_key, map_texts, restored, slices, table, whole_text
 from .graph import components
 from .tokens import U, mix, shingles
 
@@ -240,9 +240,9 @@ def first_of_class(docs: DataFrame) -> DataFrame:
     c = classes(docs)
     keep = c.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("k")).select(
         F.col("k.doc_id").alias("kid"), F.col("k.node").alias("knode"))
-    d = docs.withColumn("__node", content_key())
-    kept = d.join(keep, (F.col("__node") == F.col("knode")) & F.col("doc_id").eqNullSafe(F.col("kid")), "left_semi")
-    return kept.dropDuplicates(["__node", "doc_id"]).select(docs.columns)
+    d = carried(docs, "doc_id", "text").withColumn("node", content_key())
+    kept = d.join(keep, (F.col("node") == F.col("knode")) & F.col("doc_id").eqNullSafe(F.col("kid")), "left_semi")
+    return restored(kept.dropDuplicates(["node", "doc_id"]), docs.columns)
 
 
 def op4_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

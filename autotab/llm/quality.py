@@ -12,7 +12,7 @@ from good documents is used; a signal without gain or evidence rejects nothing.
 Cases: a NULL text has no words and fails the base rule (fewer than 20 words); a NULL language is a
 stratum of its own; strata without enough labels keep all that the base rule keeps; NULL labels
 count for nothing; repeated documents or labels count each; an empty table gives an empty table.
-Other columns pass through; a document column called like a signal is an error.
+Other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..session import cut_lineage
-from .common import SPACES, map_texts, table
+from .common import SPACES, carried, map_texts, restored, table
 
 ALPHA, DELTA, GOOD_WEIGHT, MIN_GAIN = 0.02, 0.05, 10.0, 0.02
 WINDOW = 8
@@ -110,9 +110,7 @@ def measure(texts: list[str]) -> list[list[int]]:
 
 def with_counts(docs: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame:
     """``docs`` with the columns COUNTS."""
-    if clash := set(COUNTS) & set(docs.columns):
-        raise ValueError(f"columns exist already: {sorted(clash)}")
-    rest = [c for c in docs.columns if c != text]
+    rest = [c for c in docs.columns if c != text and c not in COUNTS]
     src = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(text))
     kept = src if keep_text else src.drop(text)
     schema = StructType([*kept.schema, *(StructField(c, LongType()) for c in COUNTS)])
@@ -153,7 +151,7 @@ def fit_cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "lang", a
     """One row per stratum: the stratum and a cutoff column ``cut_<signal>`` for each signal (NULL: no rule).
     ``measured``: doc_id, stratum and COUNTS; base failures take no part, as they go anyway."""
     names = list(signals())
-    good = labels.where(F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("__id"), F.col("quality").alias("__good"))
+    good = labels.select("doc_id", "quality").where(F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("__id"), F.col("quality").alias("__good"))
     each = F.array(*[F.struct(F.lit(n).alias("signal"), x.cast("double").alias("value")) for n, x in signals().items()])
     above = F.lit(len(GRID))
     for i in reversed(range(len(GRID))):  # the first, loosest cutoff that lies below the value
@@ -186,7 +184,7 @@ def judge(measured: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> Dat
 def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the rules keep, with their columns as they were."""
     cutoffs = cut_lineage(fit_cutoffs(with_counts(docs.select("doc_id", "lang", "text"), keep_text=False), labels))
-    return judge(with_counts(docs), cutoffs).where("kept").select(docs.columns)
+    return restored(judge(with_counts(carried(docs, "doc_id", "lang", "text")), cutoffs).where("kept"), docs.columns)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

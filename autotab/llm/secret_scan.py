@@ -12,7 +12,7 @@ dropped after matching, so they still use up their characters.
 
 Cases: a NULL text is empty and has no findings; empty tables give empty tables; repeated paths
 are reported each; an empty ledger is a ledger never written. Columns of ``versions`` beside the
-text pass through ``findings_of``; a column called ``blob`` or ``findings`` is an error.
+text pass through; one called ``blob`` or ``findings`` is replaced in ``findings_of``.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
-from .common import table, whole_text
+from .common import carried, restored, table, whole_text
 
 
 @dataclass(frozen=True)
@@ -113,8 +113,6 @@ def update_ledger(versions: DataFrame, path: str, rules: tuple[Rule, ...] = RULE
 
 def findings_of(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", keep_text: bool = False) -> DataFrame:
     """Every path with the findings of its blob under the current rule versions (an array, empty if none)."""
-    if clash := {"blob", "findings"} & set(versions.columns):
-        raise ValueError(f"columns exist already: {sorted(clash)}")
     addressed = versions.withColumn("blob", address(whole_text(text)))
     addressed = addressed if keep_text else addressed.drop(text)
     kinds = [r.kind for r in rules]
@@ -147,8 +145,8 @@ def fresh_ledger(spark: SparkSession) -> str:
 def redact_documents(docs: DataFrame) -> DataFrame:
     """``docs`` with the secrets in their texts marked out."""
     ledger = update_ledger(docs, fresh_ledger(docs.sparkSession))
-    found = findings_of(docs, ledger, keep_text=True)
-    return found.withColumn("text", redacted(F.col("text"), F.col("findings"))).select(docs.columns)
+    found = findings_of(carried(docs, "text"), ledger, keep_text=True)
+    return restored(found.withColumn("text", redacted(F.col("text"), F.col("findings"))), docs.columns)
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
