@@ -39,7 +39,7 @@ from .tokens import U, mix, shingles
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, BAND_ROWS = 24, 5
 K = BANDS * BAND_ROWS
-CHUNK = 256
+CHUNK, SALTS = 256, 32
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -187,13 +187,15 @@ def links_in_tile(nodes: list[bytes], labels: list[bytes], texts: list[str]) ->
 
 def tiled(named: DataFrame, payload: DataFrame) -> DataFrame:
     """Links (a, b) between the classes (label) of each cluster. ``named``: node, cluster, label."""
-    apart = named.groupBy("cluster").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("cluster")
-    sizes = named.join(apart, "cluster").groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"))
-    large = F.when(F.col("n") > CHUNK, F.col("label"))
-    sizes = sizes.withColumn("pure", large)
-    rest = sizes.where("pure is null").groupBy("cluster").agg(F.sum("n").alias("rest"))
-    of = (named.join(sizes, ["cluster", "label"]).join(rest, "cluster", "left")
-          .withColumn("sub", F.pmod(F.xxhash64("node"), F.ceil(F.when(F.col("pure").isNull(), F.col("rest")).otherwise(F.col("n")) / CHUNK)))
+    # clusters and large classes are joined by a salt as well, so that the rows of one that is large spread over tasks
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    sizes = named.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"))
+    apart = (sizes.groupBy("cluster").agg(F.count(F.lit(1)).alias("classes"), F.sum(F.when(F.col("n") <= CHUNK, F.col("n"))).alias("rest"))
+             .where("classes > 1").select("cluster", "rest", salts))
+    large = sizes.where(F.col("n") > CHUNK).select("cluster", "label", "n", F.col("label").alias("pure"), salts)
+    of = (named.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+          .join(apart, ["cluster", "salt"]).join(large, ["cluster", "label", "salt"], "left")
+          .withColumn("sub", F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(F.coalesce("n", "rest") / CHUNK)))
           .withColumn("chunk", F.xxhash64("cluster", "pure", "sub")))
     of = cut_lineage(of.select("node", "label", "cluster", "chunk", "pure"))
     chunks = of.select("cluster", "chunk", "pure").distinct()
