@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -9,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
+
 #: A word is a longest run of characters other than these (ASCII white space).
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
@@ -74,3 +78,15 @@ def restored(df: DataFrame, columns: list[str]) -> DataFrame:
     """Undoes ``carried``: the given columns, from the frame where it has them and else from the struct."""
     inside = set(df.schema["__row"].dataType.names)
     return df.select(*[F.col("__row").getField(c).alias(c) if c in inside else F.col(f"`{c}`") for c in columns])
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a compressed table in the shared checkpoint folder: what stands before need not run again, and
+    the shuffle files of the stages behind it can go (else they stay until the driver collects its garbage)."""
+    spark, path = df.sparkSession, f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4()}"
+    schema = df.schema
+    df.write.option("compression", "zstd").parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)

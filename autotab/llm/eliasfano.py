@@ -9,7 +9,8 @@ import tempfile
 import numpy as np
 
 U = np.uint64
-FULL = U(0xFFFFFFFFFFFFFFFF)
+#: Numbers that a search decodes at a time.
+CHUNK = 16_384
 
 
 def select_in_word(words: np.ndarray, k: np.ndarray) -> np.ndarray:
@@ -32,7 +33,6 @@ class EliasFano:
     def __init__(self, arrays: dict[str, np.ndarray], n: int, bits: int):
         self.low, self.high, self.ones = arrays["low"], arrays["high"], arrays["ones"]
         self.n, self.bits = n, bits
-        self.zeros = np.arange(1, len(self.ones) + 1) * 64 - self.ones
 
     @classmethod
     def build(cls, values: np.ndarray, universe: int) -> EliasFano:
@@ -69,34 +69,38 @@ class EliasFano:
         place = word * 64 + select_in_word(self.high[word], i - before)
         return ((place - i) << self.bits) | self.lows(i)
 
-    def zero(self, k: np.ndarray) -> np.ndarray:
-        """Place of the k-th zero of the high bits."""
-        word = np.searchsorted(self.zeros, k, side="right")
-        before = np.where(word > 0, self.zeros[np.maximum(word - 1, 0)], 0)
-        return word * 64 + select_in_word(self.high[word] ^ FULL, k - before)
+    def decoded(self, first: int, last: int) -> np.ndarray:
+        """The numbers first .. last - 1."""
+        if last <= first:
+            return np.empty(0, dtype=np.int64)
+        word = int(np.searchsorted(self.ones, first, side="right"))
+        stop = int(np.searchsorted(self.ones, last - 1, side="right")) + 1
+        place = np.flatnonzero(np.unpackbits(np.ascontiguousarray(self.high[word:stop]).view(np.uint8), bitorder="little"))
+        skip = first - (int(self.ones[word - 1]) if word else 0)
+        i = np.arange(first, last)
+        return ((place[skip:skip + last - first] + word * 64 - i) << self.bits) | self.lows(i)
 
     def find(self, x: np.ndarray) -> np.ndarray:
-        """Index of each ``x`` (not negative), -1 where it is not in the sequence."""
+        """Index of each ``x`` (not negative), -1 where it is not in the sequence. The queries are taken in order;
+        a chunk is decoded when some fall into it, and gives the first number not below each of them."""
+        out = np.full(len(x), -1, dtype=np.int64)
         if not self.n or not len(x):
-            return np.full(len(x), -1, dtype=np.int64)
-        top = x >> self.bits
-        inside = top < len(self.high) * 64 - self.n - 64
-        h = np.where(inside, top, 0)
-        end = self.zero(h) - h
-        begin = np.where(h > 0, self.zero(np.maximum(h - 1, 0)) - np.maximum(h - 1, 0), 0)
-        end = np.where(inside, end, begin)
-        want, last = x & ((1 << self.bits) - 1), end.copy()
-        while True:  # the low bits of one high part are sorted
-            live = np.flatnonzero(begin < end)
-            if not len(live):
-                break
-            middle = (begin[live] + end[live]) >> 1
-            less = self.lows(middle) < want[live]
-            begin[live] = np.where(less, middle + 1, begin[live])
-            end[live] = np.where(less, end[live], middle)
-        there = begin < last
-        there[there] = self.lows(begin[there]) == want[there]
-        return np.where(there, begin, -1)
+            return out
+        order = None if (x[1:] >= x[:-1]).all() else np.argsort(x, kind="stable")
+        q = x if order is None else x[order]
+        heads = np.arange(0, self.n, CHUNK)
+        cut = np.r_[np.searchsorted(q, self.access(heads)), len(q)]
+        found = np.full(len(q), -1, dtype=np.int64)
+        for k in np.flatnonzero(cut[1:] > cut[:-1]):
+            some = q[cut[k]:cut[k + 1]]
+            values = self.decoded(int(heads[k]), min(self.n, int(heads[k]) + CHUNK))
+            at = np.searchsorted(values, some)
+            at[at == len(values)] = 0
+            found[cut[k]:cut[k + 1]] = np.where(values[at] == some, at + heads[k], -1)
+        if order is None:
+            return found
+        out[order] = found
+        return out
 
 
 def code(x: np.ndarray) -> np.ndarray:
@@ -145,8 +149,8 @@ class Trie:
     def look_up(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the count of each context (u, v) and of the probability of w in it; 0: not seen."""
         known = (u < self.words) & (v < self.words)
-        vs, back = np.unique(v, return_inverse=True)
-        k = self.middle.find(vs)[back]
+        runs = np.flatnonzero(np.r_[True, v[1:] != v[:-1]]) if len(v) else np.zeros(0, np.int64)
+        k = np.repeat(self.middle.find(v[runs]), np.diff(np.r_[runs, len(v)]))
         k = np.where(known, k, -1)
         counts, probabilities = np.zeros(len(u), dtype=np.uint16), np.zeros(len(u), dtype=np.uint16)
         at = np.flatnonzero(k >= 0)

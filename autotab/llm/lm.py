@@ -30,8 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
-from .common import slices, table
+from .common import slices, stored, table
 from .eliasfano import Trie, decode
 from .tokens import U, joined, mix, word_hashes, words
 
@@ -111,7 +110,9 @@ def word_answers(rows: DataFrame) -> DataFrame:
         h, at = np.unique(np.concatenate(lists), return_inverse=True)
         total = np.bincount(at, weights=np.concatenate(counts), minlength=len(h)).astype(np.int64)
         cut = np.cumsum([0, *map(len, lists)])
-        out = [(b, 1, shard, 0, 0, [pack(at[i:j], gaps=True), pack(total[at[i:j]])]) for b, i, j in zip(pdf["block"], cut[:-1], cut[1:], strict=True)]
+        number = np.empty(len(h), dtype=np.int64)  # frequent words get small ids
+        number[np.argsort(-total, kind="stable")] = np.arange(len(h))
+        out = [(b, 1, shard, 0, 0, [pack(number[at[i:j]]), pack(total[at[i:j]])]) for b, i, j in zip(pdf["block"], cut[:-1], cut[1:], strict=True)]
         frame = pd.DataFrame(out, columns=["block", "kind", "shard", "n", "known", "data"])
         frame.loc[0, ["n", "known"]] = [int(total.sum()), int((total > 0).sum())]
         return frame
@@ -151,7 +152,7 @@ class Block:
         train = np.bincount(self.which, weights=1.0 - self.held[self.text[self.at]], minlength=len(key)).astype(np.int64)
         with np.errstate(over="ignore"):
             shard = (mix(mix(u.astype(U)) + v.astype(U)) % U(shards)).astype(np.int64)
-        self.order = np.lexsort((w, u, v, shard))
+        self.order = np.argsort(shard.astype(np.uint16) if shards < 1 << 16 else shard, kind="stable")
         self.u, self.v, self.w, self.n = (x[self.order] for x in (u, v, w, train))
         self.cut = np.searchsorted(shard[self.order], np.arange(shards + 1))
 
@@ -160,7 +161,7 @@ class Block:
         v, u, w = self.v[i], self.u[i], self.w[i]
         new = np.r_[True, (u[1:] != u[:-1]) | (v[1:] != v[:-1])]
         size = np.diff(np.r_[np.flatnonzero(new), len(u)])
-        return [pack(v[new], gaps=True), pack(u[new]), pack(size), pack(w), pack(self.n[i])]
+        return [pack(v[new]), pack(u[new]), pack(size), pack(w), pack(self.n[i])]
 
     def score(self, answers: list[tuple[int, list[bytes]]], n: int, known: int, train_docs: int) -> tuple[np.ndarray, ...]:
         counts, probabilities = np.zeros(len(self.u)), np.zeros(len(self.u))
@@ -183,32 +184,44 @@ class Block:
         return self.lens + 1, add(c[word] > 0).astype(np.int64), add(np.log10(base)), add(np.log10(three))
 
 
-def merged(pdf: pd.DataFrame) -> tuple[list[tuple[np.ndarray, ...]], Trie]:
-    """The trigrams of each payload of a shard, and the trie of those with training counts."""
-    parts = []
-    for d in pdf["data"]:
-        v, u, size, w, n = map(unpack, d)
-        parts.append((np.repeat(u, size), np.repeat(v, size), w, n))
-    u, v, w, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+def merged(payloads: list[list[bytes]]) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray, tuple[np.ndarray, ...], np.ndarray]:
+    """Of a shard's payloads: (contexts, trigrams) of each, the number of every context and trigram among the distinct
+    ones, the distinct trigrams (u, v, w) ordered by (v, u, w), and their training counts."""
+    v, u, size, w, n = ([unpack(d[i]) for d in payloads] for i in range(5))
+    sizes = [(len(a), len(b)) for a, b in zip(v, w, strict=True)]
+    v, u, size, w, n = (np.concatenate(x) for x in (v, u, size, w, n))
+    order = np.lexsort((u, v))
+    new = np.r_[True, (v[order][1:] != v[order][:-1]) | (u[order][1:] != u[order][:-1])]
+    context = np.empty(len(v), dtype=np.int64)
+    context[order] = np.cumsum(new) - 1
+    v, u = v[order][new], u[order][new]
+    width = int(w.max(initial=0)).bit_length() + 1
+    key = np.repeat(context, size) << width | w
+    assert len(v).bit_length() + width < 63, "a shard holds too many contexts"
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    new = np.r_[True, key[1:] != key[:-1]]
+    gram = np.empty(len(key), dtype=np.int64)
+    gram[order] = np.cumsum(new) - 1
+    key, n = key[new], np.add.reduceat(n[order], np.flatnonzero(new))
+    return sizes, context, gram, (u[key >> width], v[key >> width], key & ((1 << width) - 1)), n
+
+
+def trie_of(grams: tuple[np.ndarray, ...], n: np.ndarray) -> Trie:
     seen = n > 0
-    u, v, w, n = u[seen], v[seen], w[seen], n[seen]
-    order = np.lexsort((w, u, v))
-    u, v, w, n = u[order], v[order], w[order], n[order]
-    first = np.flatnonzero(np.r_[True, (u[1:] != u[:-1]) | (v[1:] != v[:-1]) | (w[1:] != w[:-1])]) if len(u) else np.zeros(0, np.int64)
-    n = np.add.reduceat(n, first) if len(first) else n
-    return parts, Trie.build(u[first], v[first], w[first], n, NONE, PRIOR)
+    return Trie.build(*(x[seen] for x in grams), n[seen], NONE, PRIOR)
 
 
 def trigram_answers(payloads: DataFrame) -> DataFrame:
     """For each (block, shard) the codes of its contexts and trigrams, from the shard's memory-mapped trie."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts, trie = merged(pdf)
-        trie = trie.mapped()
-        out = []
-        for (u, v, w, _), block, shard in zip(parts, pdf["block"], pdf["shard"], strict=True):
-            counts, probabilities = trie.look_up(u, v, w)
-            new = np.r_[True, (u[1:] != u[:-1]) | (v[1:] != v[:-1])]
-            out.append((block, 2, shard, 0, 0, [pack(counts[new].astype(np.int64)), pack(probabilities.astype(np.int64))]))
+        sizes, context, gram, grams, n = merged(pdf["data"].tolist())
+        counts, probabilities = trie_of(grams, n).mapped().look_up(*grams)
+        first = np.flatnonzero(np.r_[True, (grams[0][1:] != grams[0][:-1]) | (grams[1][1:] != grams[1][:-1])])
+        counts, out, i, j = counts[first].astype(np.int64), [], 0, 0
+        for (contexts, trigrams), block, shard in zip(sizes, pdf["block"], pdf["shard"], strict=True):
+            out.append((block, 2, shard, 0, 0, [pack(counts[context[i:i + contexts]]), pack(probabilities[gram[j:j + trigrams]].astype(np.int64))]))
+            i, j = i + contexts, j + trigrams
         return pd.DataFrame(out, columns=["block", "kind", "shard", "n", "known", "data"])
 
     return payloads.groupBy("shard").applyInPandas(run, BLOCKS)
@@ -216,9 +229,9 @@ def trigram_answers(payloads: DataFrame) -> DataFrame:
 
 def score(docs: DataFrame) -> DataFrame:
     """Scores of all ``docs`` (doc_id, text, held_out boolean) under the model of those not held out."""
-    rows = cut_lineage(read_blocks(docs))
+    rows = stored(read_blocks(docs))
     blocks = rows.where("kind = 0")
-    found = cut_lineage(word_answers(rows.where("kind = 1")))
+    found = stored(word_answers(rows.where("kind = 1")))
     tokens, train_docs = (int(x or 0) for x in blocks.agg(F.sum("n"), F.sum("known")).first())
     n, known = (int(x or 0) for x in found.agg(F.sum("n"), F.sum("known")).first())
     n, known = n + train_docs, known + (train_docs > 0)  # the end token is one word, once in each text
@@ -237,7 +250,9 @@ def score(docs: DataFrame) -> DataFrame:
                              "held_out": b.held.astype(bool), "n_tokens": n_tokens, "n_known": n_known, "train_tokens": n, "base_score": base, "score": own})
 
     payloads = blocks.groupBy("block").cogroup(found.groupBy("block")).applyInPandas(send, BLOCKS)
-    answers = found.unionByName(cut_lineage(trigram_answers(payloads)))
+    grams = trigram_answers(payloads)
+    del payloads
+    answers = found.unionByName(stored(grams))
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
         finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
