@@ -25,8 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
-from .common import content_key, map_texts, slices, table, whole_text
+from .common import content_key, map_texts, slices, stored, table, whole_text
 from .tokens import BASE, BASE_INVERSE, U, joined, mix, powers_upto, prefix_hashes
 
 LENGTH, GRAM = 200, 32
@@ -244,24 +243,23 @@ def cut(texts: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(node, text, spans): texts with the windows that occur elsewhere, equal texts counted once. ``docs``: node, text."""
-    found = cut_lineage(anchors(docs))
+    found = anchors(docs).repartition("gram")  # dealt out once, for counting and for joining
     occurrence = F.xxhash64("node", "place")
     repeated = found.groupBy("gram").agg(F.min(occurrence).alias("a"), F.max(occurrence).alias("b")).where("a <> b").select("gram")
-    places = found.join(repeated, "gram", "left_semi").groupBy("node").agg(F.sort_array(F.collect_set("place")).alias("places"))
-    suspects = cut_lineage(long_texts(docs).join(places, "node").dropDuplicates(["node"]))
+    places = stored(found.join(repeated, "gram", "left_semi").groupBy("node").agg(F.sort_array(F.collect_set("place")).alias("places")))
+    suspects = stored(long_texts(docs).join(places, "node").dropDuplicates(["node"]))
     cuts = segments(suspects).withColumn("name", F.unhex(F.md5("segment")))
-    cuts = cut_lineage(cuts)
     distinct = cuts.groupBy("gram", "name").agg(F.first("segment").alias("segment"), F.count(F.lit(1)).alias("n"))
-    hits = sort_segments(distinct)
+    hits = stored(sort_segments(distinct))
     spans = (cuts.select("node", "start", "name").join(hits, "name")
              .groupBy("node").agg(F.collect_list(F.struct((F.col("start") + F.col("first")).alias("start"), (F.col("start") + F.col("last") + LENGTH).alias("stop"))).alias("spans")))
-    return suspects.select("node", "text").join(spans, "node")
+    return suspects.select("node", "text").join(stored(spans), "node")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, node, n_bytes, n_removed, n_spans, kept_sha256 for every row of ``docs`` (doc_id, text)."""
     d = docs.select("doc_id", whole_text().alias("text")).withColumn("node", content_key())
-    between = cut(repeated_spans(d)).drop("kept")
+    between = stored(cut(repeated_spans(d)).drop("kept"))
     copies = d.groupBy("node").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
     rows = d.select("doc_id", "node", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
     out = rows.join(copies, "node", "left").join(between, "node", "left")
