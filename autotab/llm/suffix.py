@@ -3,8 +3,8 @@
 Every byte covered by a string of ``LENGTH`` bytes that starts anywhere else as well is removed.
 The work is dealt out so that equal strings meet: each window of LENGTH bytes has an anchor, the
 GRAM-byte gram with the smallest hash in it, which its content alone determines. Grams are counted
-over all texts; a window whose anchor gram occurs as an anchor only once is unique and goes no further. The rest is cut to segments (windows with one anchor, next to each other), equal segments
-are merged before the shuffle and keep their number, and segments of equal anchors come to one task.
+over all texts; a window whose anchor gram occurs as an anchor only once is unique and goes no further. The rest is cut to segments (windows with one anchor gram, next to each other), equal segments
+are merged before the shuffle and keep their number, and segments of one anchor gram come to one task.
 A task sorts the suffixes of its segments by the difference-cover method: the triples at positions
 1 and 2 modulo 3 are sorted and named, names are sorted recursively until they differ, the suffixes at 0 modulo 3 are merged in by one symbol and the next rank.
 Neighbours in suffix order are compared over their first LENGTH bytes; a class of equal strings
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import content_key, map_texts, slices, stored, table, whole_text
 from .tokens import BASE, BASE_INVERSE, U, joined, mix, powers_upto, prefix_hashes
 
-LENGTH, GRAM = 200, 32
+LENGTH, GRAM = 200, 64
 REACH = LENGTH - GRAM  # a window at s holds the grams that start at s .. s + REACH
 #: A task's segments are sorted together in runs of about so many bytes; equal anchors stay in one run.
 RUN_BYTES = 4_000_000
@@ -69,15 +69,25 @@ def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return data, starts, h, at[inside], anchors[inside]
 
 
+def runs(at: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last index of each run of neighbouring windows with one key (in periodic text the places of
+    a gram follow each other closely; its windows are one run all the same)."""
+    if not len(at):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    first = np.flatnonzero(np.r_[True, (at[1:] != at[:-1] + 1) | (key[1:] != key[:-1])])
+    return first, np.r_[first[1:], len(at)] - 1
+
+
 def long_texts(docs: DataFrame) -> DataFrame:
     return docs.where(F.octet_length("text") >= LENGTH).select("node", "text")
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """(gram, node, place) of all anchors."""
+    """(gram, node, place) of the anchors: one of each run of windows, two where the run has several places."""
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        _, starts, h, _, anchor = windows([t.encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()])
-        anchor = np.unique(anchor)
+        _, starts, h, at, anchor = windows([t.encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()])
+        first, last = runs(at, h[anchor])
+        anchor = np.unique(np.r_[anchor[first], anchor[last]])
         text = np.searchsorted(starts, anchor, side="right") - 1
         return pa.RecordBatch.from_arrays([pa.array(h[anchor].view(np.int64)) if len(anchor) else pa.array([], pa.int64()), b.column(0).take(pa.array(text)),
                                            pa.array((anchor - starts[text]).astype(np.int32))], names=["gram", "node", "place"])
@@ -94,15 +104,16 @@ def segments(suspects: DataFrame) -> DataFrame:
                 data, starts, h, at, anchor = windows([t.encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()])
                 places = b.column(2)
                 known = np.repeat(starts, places.value_lengths().to_numpy(zero_copy_only=False)) + places.flatten().to_numpy()
-                good = np.isin(anchor, known)
-                at, anchor = at[good], anchor[good]
+                key = h[anchor]
+                good = np.isin(key, h[known])
+                at, key = at[good], key[good]
                 if not len(at):
                     continue
-                first = np.flatnonzero(np.r_[True, (at[1:] != at[:-1] + 1) | (anchor[1:] != anchor[:-1])])
-                begin, end = at[first], at[np.r_[first[1:], len(at)] - 1] + LENGTH
+                first, last = runs(at, key)
+                begin, end = at[first], at[last] + LENGTH
                 text = np.searchsorted(starts, begin, side="right") - 1
                 raw = data.tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(h[anchor[first]].view(np.int64)), b.column(0).take(pa.array(text)), pa.array((begin - starts[text]).astype(np.int32)),
+                yield pa.RecordBatch.from_arrays([pa.array(key[first].view(np.int64)), b.column(0).take(pa.array(text)), pa.array((begin - starts[text]).astype(np.int32)),
                                                   pa.array([raw[i:j] for i, j in zip(begin.tolist(), end.tolist(), strict=True)], pa.binary())], names=["gram", "node", "start", "segment"])
 
     return suspects.select("node", "text", "places").mapInArrow(run, "gram long, node binary, start int, segment binary")
@@ -116,7 +127,7 @@ def dense(parts: list[np.ndarray]) -> np.ndarray:
         if (int(key.max(initial=0)) + 1) * top >= 1 << 62:
             key = dense([key])
         key = key * top + p
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     new = np.r_[True, key[order][1:] != key[order][:-1]]
     out = np.empty(len(key), dtype=np.int64)
     out[order] = np.cumsum(new)
@@ -142,7 +153,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     placed = placed[placed < n]
     one, two = placed[placed % 3 == 1], placed[placed % 3 == 2]
     # a suffix at 0 compares with one at 1 by a symbol and the next rank, with one at 2 by two symbols and a rank
-    zero = zero[np.argsort(p[zero] * wide + rank[zero + 1], kind="stable")]
+    zero = zero[np.argsort(p[zero] * wide + rank[zero + 1])]
     both = np.r_[zero, two]
     far = dense([p[both], p[both + 1]]) * wide + rank[both + 2]
     before = np.searchsorted(p[one] * wide + rank[one + 1], p[zero] * wide + rank[zero + 1]) + np.searchsorted(far[len(zero):], far[:len(zero)])
@@ -246,22 +257,22 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     found = anchors(docs).repartition("gram")  # dealt out once, for counting and for joining
     occurrence = F.xxhash64("node", "place")
     repeated = found.groupBy("gram").agg(F.min(occurrence).alias("a"), F.max(occurrence).alias("b")).where("a <> b").select("gram")
-    places = stored(found.join(repeated, "gram", "left_semi").groupBy("node").agg(F.sort_array(F.collect_set("place")).alias("places")))
-    suspects = stored(long_texts(docs).join(places, "node").dropDuplicates(["node"]))
+    places = stored(found.join(repeated.hint("shuffle_hash"), "gram", "left_semi").groupBy("node").agg(F.sort_array(F.collect_set("place")).alias("places")))
+    suspects = stored(long_texts(docs).join(places.hint("shuffle_hash"), "node").dropDuplicates(["node"]))
     cuts = segments(suspects).withColumn("name", F.unhex(F.md5("segment")))
     distinct = cuts.groupBy("gram", "name").agg(F.first("segment").alias("segment"), F.count(F.lit(1)).alias("n"))
     hits = stored(sort_segments(distinct))
     spans = (cuts.select("node", "start", "name").join(hits, "name")
              .groupBy("node").agg(F.collect_list(F.struct((F.col("start") + F.col("first")).alias("start"), (F.col("start") + F.col("last") + LENGTH).alias("stop"))).alias("spans")))
-    return suspects.select("node", "text").join(stored(spans), "node")
+    return suspects.select("node", "text").join(stored(spans).hint("shuffle_hash"), "node")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, node, n_bytes, n_removed, n_spans, kept_sha256 for every row of ``docs`` (doc_id, text)."""
     d = docs.select("doc_id", whole_text().alias("text")).withColumn("node", content_key())
     between = stored(cut(repeated_spans(d)).drop("kept"))
-    copies = d.groupBy("node").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    rows = d.select("doc_id", "node", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
+    rows = stored(d.select("doc_id", "node", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole")))
+    copies = rows.groupBy("node").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
     out = rows.join(copies, "node", "left").join(between, "node", "left")
     gone = F.col("copies").isNotNull() & (F.col("n_bytes") >= LENGTH)  # every window of a copied text starts elsewhere, too
     return out.select("doc_id", "node", "n_bytes", F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
