@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -17,7 +18,7 @@ from ..session import checkpoint_dir
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 #: Whole documents are handed to numpy in slices of about so many characters.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,6 +88,8 @@ def stored(df: DataFrame) -> DataFrame:
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # plans are dropped first, then what only they referred to
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
     return spark.read.schema(schema).parquet(path)

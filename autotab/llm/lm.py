@@ -37,7 +37,7 @@ from .tokens import U, joined, mix, word_hashes, words
 START, END, NONE, OWN = 0, 1, 2, 3
 PRIOR = 20.0
 FOLDS, HELD = 7, 2
-BLOCK_CHARS, SHARD_WORDS, SHARD_TOKENS = 8_000_000, 2_000_000, 3_000_000
+BLOCK_CHARS, SHARD_TOKENS = 6_000_000, 2_000_000
 BLOCKS = "block long, kind int, shard int, n long, known long, data array<binary>"
 
 
@@ -250,9 +250,7 @@ def score(docs: DataFrame) -> DataFrame:
                              "held_out": b.held.astype(bool), "n_tokens": n_tokens, "n_known": n_known, "train_tokens": n, "base_score": base, "score": own})
 
     payloads = blocks.groupBy("block").cogroup(found.groupBy("block")).applyInPandas(send, BLOCKS)
-    grams = trigram_answers(payloads)
-    del payloads
-    answers = found.unionByName(stored(grams))
+    answers = found.unionByName(trigram_answers(payloads))  # the exchange of the blocks above serves here, too
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
         finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
