@@ -328,6 +328,19 @@ def union(parts):
     return "\nUNION ALL\n".join(parts)
 
 
+@query("read_csv", """
+SELECT doc_id, CASE WHEN trim(text, chr(32) || chr(9) || chr(10) || chr(13)) <> '' THEN md5(text) END AS text_md5, lang, source, n_chars FROM documents""")
+def q_read_csv(spark, d):
+    """documents written as quoted CSV (texts hold line breaks, quotes and separators) and read back."""
+    import uuid
+    from .session import checkpoint_dir
+    from .sources.tables import read_csv
+    path = f"{checkpoint_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    (read_table(spark, d, "documents").write.option("header", True).option("quoteAll", True).option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    return read_csv(spark, path).select("doc_id", F.md5("text").alias("text_md5"), "lang", "source", "n_chars")
+
+
 @query("load_clean", W(DOCS_NULLS) + f"""
 SELECT doc_id, {_blank('text')} AS text, {_blank('lang')} AS lang, {_blank('source')} AS source,
        n_chars, quality, toxic
@@ -407,9 +420,9 @@ DATE_RE2 = r"^\s*\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2}(\.\d+)?)?)?\s*$"
     ["SELECT 'ts' AS column, 1.0 AS parsed_frac, 1 AS is_date"]
     + [f"SELECT '{c}', ROUND(AVG(ok), 6), CAST(AVG(ok) > 0.8 AS INTEGER) FROM ("
        f"SELECT CAST(regexp_matches({c}, '{DATE_RE2}') AND TRY_CAST(trim({c}) AS TIMESTAMP) IS NOT NULL AS DOUBLE) AS ok "
-       f"FROM events_cat WHERE {c} IS NOT NULL ORDER BY {H('event_id', 0)}, event_id LIMIT 200) t" for c in EV_STR]))
+       f"FROM events_cat WHERE {c} IS NOT NULL) t" for c in EV_STR]))
 def q_date_columns(spark, d):
-    return rounded(P.date_columns(fx.events_cat(spark, d), key="event_id"))
+    return rounded(P.date_columns(fx.events_cat(spark, d)))
 
 
 OML_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority", "o_year",
@@ -825,13 +838,12 @@ def q_sample_rows(spark, d):
 # Preprocessing assembly, sinks (2.1, 2.5 T18, 2.2 P11)
 # ---------------------------------------------------------------------------
 from .operators import preprocess as PP  # noqa: E402
-from .plans.config import PreprocessConfig, SystemConfig  # noqa: E402
 
 PF_FEATS = ["o_totalprice", "c_acctbal", "urgent", "c_mktsegment", "o_orderpriority"]
 
 
 def _pre_no_power():
-    return PreprocessConfig(power_transform=False)
+    return PP.PreprocessOptions(power_transform=False)
 
 
 @query("preprocess_full", W(ORDERS_ML) + union(
@@ -927,27 +939,18 @@ def q_plan_profile(spark, d):
     return rounded(PL.profile_frame(spark, _docs_plan(spark, d)))
 
 
-@query("auto_plan", "WITH " + PLAN_PROFILE_CTE + """,
-it AS (SELECT ROUND_EVEN(90 * 1.0 / (2.2 + CASE WHEN n_samples >= 5000 THEN 2.2 ELSE 1.8 END), 0) AS a,
-              ROUND_EVEN(90 * 1.2 / (2.2 + CASE WHEN n_samples >= 5000 THEN 2.2 ELSE 1.8 END), 0) AS b,
-              ROUND_EVEN(90 * CASE WHEN n_samples >= 5000 THEN 2.2 ELSE 1.8 END /
-                         (2.2 + CASE WHEN n_samples >= 5000 THEN 2.2 ELSE 1.8 END), 0) AS c FROM prof p2)
+@query("auto_plan", "WITH " + PLAN_PROFILE_CTE + """
 SELECT task, CASE WHEN imbalance_ratio >= 1.5 THEN 'f1_macro' ELSE 'roc_auc' END AS primary_metric,
        CASE WHEN imbalance_ratio >= 1.5 THEN 'balanced' END AS class_weight, 1 AS do_calibration,
-       CASE WHEN n_samples >= 10000 THEN 'halving' ELSE 'random' END AS search_strategy,
-       CAST(imbalance_ratio >= 2.0 AND n_samples <= 50000 AS INTEGER) AS resample,
+       'random' AS search_strategy, CAST(imbalance_ratio >= 2.0 AS INTEGER) AS resample,
        CAST(skewed <> '' AS INTEGER) AS power_transform, 10 AS select_k_best,
        CAST(n_samples AS BIGINT) AS n_samples, CAST(n_features AS BIGINT) AS n_features, CAST(n_num AS BIGINT) AS n_num,
        CAST(n_cat AS BIGINT) AS n_cat, ROUND(imbalance_ratio, 6) AS imbalance_ratio, skewed, high_card,
-       'logistic=' || CAST(GREATEST(a, 3) + CASE WHEN 90 - GREATEST(a,3) - GREATEST(b,3) - GREATEST(c,3) >= 1 THEN 1
-                                                 WHEN 90 - GREATEST(a,3) - GREATEST(b,3) - GREATEST(c,3) <= -1 THEN -1 ELSE 0 END AS INTEGER)
-       || ';rf=' || CAST(GREATEST(b, 3) + CASE WHEN ABS(90 - GREATEST(a,3) - GREATEST(b,3) - GREATEST(c,3)) >= 2 THEN
-                                               SIGN(90 - GREATEST(a,3) - GREATEST(b,3) - GREATEST(c,3)) ELSE 0 END AS INTEGER)
-       || ';gbt=' || CAST(GREATEST(c, 3) AS INTEGER) AS model_iters
-FROM prof, it""")
+       'logistic=23;rf=27;gbt=40' AS model_iters FROM prof""")
 def q_auto_plan(spark, d):
-    """Plan for docs_ml (target quality) with default configuration."""
-    return rounded(PL.plan_frame(spark, PL.build_auto_plan(_docs_plan(spark, d), SystemConfig())))
+    """Plan for docs_ml (target quality) with default options: 90 draws dealt out 1 : 1.2 : 1.8."""
+    from .operators.train import RunOptions
+    return rounded(PL.plan_frame(spark, PL.make_plan(_docs_plan(spark, d), RunOptions())))
 
 
 # ---------------------------------------------------------------------------
@@ -965,7 +968,7 @@ DOCS_FEATS = ["lang", "source", "n_chars", "toxic"]
 ORD_FEATS = ["o_totalprice", "c_acctbal", "o_year", "c_mktsegment", "n_name", "o_orderpriority"]
 
 
-def _docs_folds(spark, d, family, k=3, weight=False):
+def _docs_folds(spark, d, family, k=5, weight=False):
     df = fx.docs_ml(spark, d)
     df = SP.stratified_folds(df, "quality", ["doc_id"], k=k, out="fold")
     wc = None
@@ -976,7 +979,7 @@ def _docs_folds(spark, d, family, k=3, weight=False):
                             _pre_no_power())
 
 
-def _orders_folds(spark, d, family, k=3):
+def _orders_folds(spark, d, family, k=5):
     df, _ = L.encode_target(fx.orders_ml(spark, d), "o_orderstatus", out="status_idx")
     df = SP.stratified_folds(df, "status_idx", ["o_orderkey"], k=k, out="fold")
     return SE.prepare_folds(df, ["o_orderkey"], "status_idx", ORD_FEATS, family, "classification", k, "fold", None,
@@ -987,7 +990,7 @@ def _fit_all(spark, df, feats, family, task, label, spec_name, params, key):
     pre = PP.Preprocessor(feats, family, task, _pre_no_power()).fit(df)
     x = pre.transform(df).select(*key, F.col(label).cast("double").alias("label"), "features")
     ctx = model_context(x, task, len(pre.feature_names))
-    spec = RG.registry(task, ctx["n_rows"])[spec_name]
+    spec = RG.FAMILIES[task][spec_name]
     model = fit_model(spec, params, x, ctx)
     return pre, model, x
 
@@ -1019,7 +1022,7 @@ def q_fit_rf(spark, d):
     x = df.select("vec_id", F.col("label").cast("double").alias("label"),
                   array_to_vector(F.transform("embedding", lambda v: v.cast("double"))).alias("features"))
     ctx = model_context(x, "classification", 64)
-    m = fit_model(RG.classification_registry()["rf"], {"numTrees": 30, "maxDepth": 8}, x, ctx)
+    m = fit_model(RG.FAMILIES["classification"]["rf"], {"numTrees": 30, "maxDepth": 8}, x, ctx)
     return scored_frame(m.transform(x), "classification", keep=["vec_id"]).drop("proba", "score")
 
 
@@ -1040,37 +1043,64 @@ def q_fit_mlp(spark, d):
     x = df.select("vec_id", F.col("label").cast("double").alias("label"),
                   array_to_vector(F.transform("embedding", lambda v: v.cast("double"))).alias("features"))
     ctx = model_context(x, "classification", 64)
-    m = fit_model(RG.classification_registry()["mlp"], {"hidden": 32, "maxIter": 50}, x, ctx)
+    m = fit_model(RG.FAMILIES["classification"]["mlp"], {"hidden": 32, "maxIter": 50}, x, ctx)
     return scored_frame(m.transform(x), "classification", keep=["vec_id"]).drop("proba", "score")
 
 
 @query("oof_predictions")
 def q_oof(spark, d):
-    """3-fold out-of-fold logistic predictions of o_orderstatus (every order predicted once)."""
+    """5-fold out-of-fold logistic predictions of o_orderstatus (every order predicted once)."""
     folds = _orders_folds(spark, d, "logistic")
-    spec = RG.classification_registry()["logistic"]
+    spec = RG.FAMILIES["classification"]["logistic"]
     oof = SE.oof_predictions(spec, {"C": 1.0}, folds, "classification", ["o_orderkey"])
     return oof.select("o_orderkey", "y", "y_pred", "fold", *[F.element_at("proba", j + 1).alias(f"proba_{j}")
                                                             for j in range(3)])
 
 
+@query("oof_coverage", W(ORDERS_ML, f"""
+c AS (SELECT o_orderkey, CAST(DENSE_RANK() OVER (ORDER BY o_orderstatus) - 1 AS INTEGER) AS y FROM orders_ml),
+f AS (SELECT o_orderkey, y, CAST((row_number() OVER (PARTITION BY y ORDER BY {H('o_orderkey', 42)}, o_orderkey) - 1) % 5 AS INTEGER) AS fold FROM c)""") + """
+SELECT o_orderkey, y, fold, CAST(1 AS BIGINT) AS n, 1.0::DOUBLE AS proba_sum FROM f""")
+def q_oof_coverage(spark, d):
+    """Every order is predicted once, in its own fold, with its class and probabilities that sum to 1."""
+    p = q_oof(spark, d)
+    return rounded(p.groupBy("o_orderkey", "y", "fold").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("proba_0") + F.col("proba_1") + F.col("proba_2")).alias("proba_sum")))
+
+
+@query("fit_ridge_one_feature", W(ORDERS_ML, """
+m AS (SELECT AVG(c_acctbal) AS mx, AVG(o_totalprice) AS my, COVAR_POP(c_acctbal, o_totalprice) / (VAR_POP(c_acctbal) + 1000000.0) AS b FROM orders_ml)""") + """
+SELECT o_orderkey, ROUND(my + b * (c_acctbal - mx), 2) AS y_pred FROM orders_ml, m""")
+def q_ridge(spark, d):
+    """Linear model with l1_ratio 0 on one unscaled feature: the closed-form ridge solution."""
+    from pyspark.ml.feature import VectorAssembler
+    df = fx.orders_ml(spark, d).select("o_orderkey", "c_acctbal", F.col("o_totalprice").alias("label"))
+    x = VectorAssembler(inputCols=["c_acctbal"], outputCol="features").transform(df)
+    m = fit_model(RG.FAMILIES["regression"]["linear"], {"alpha": 1e6, "l1_ratio": 0.0}, x, model_context(x, "regression", 1))
+    return rounded(scored_frame(m.transform(x), "regression", keep=["o_orderkey"]).select("o_orderkey", "y_pred"), 2)
+
+
+@query("feature_importance_sum", "SELECT 1.0::DOUBLE AS total, CAST(1 AS INTEGER) AS sorted")
+def q_importance_sum(spark, d):
+    """Importances of the status forest sum to 1 and come in descending order."""
+    rows = [r["importance"] for r in q_feature_importance(spark, d).collect()]
+    return rounded(spark.createDataFrame([(float(sum(rows)), int(rows == sorted(rows, reverse=True)))], "total double, sorted int"))
+
+
 @query("search_leaderboard")
 def q_search(spark, d):
-    """Random search (4 draws) for logistic C on docs_ml, 3 stratified folds, macro F1."""
+    """Random search (4 draws) for logistic C on docs_ml, 5 stratified folds, macro F1."""
     folds = _docs_folds(spark, d, "logistic", weight=True)
-    res = SE.random_search(RG.classification_registry()["logistic"], folds, "classification", ["doc_id"],
+    res = SE.random_search(RG.FAMILIES["classification"]["logistic"], folds, "classification", ["doc_id"],
                            "f1_macro", n_iter=4)
     return SE.leaderboard_frame(spark, [res]).drop("seconds")
 
 
 @query("halving_leaderboard")
 def q_halving(spark, d):
-    """Successive halving (factor 3) over 4 random-forest draws on orders_ml, accuracy."""
-    folds = _orders_folds(spark, d, "rf")
-    spec = RG.classification_registry()["rf"]
-    spec.space = {"numTrees": [10, 20], "maxDepth": [3, 5], "minInstancesPerNode": [1],
-                  "featureSubsetStrategy": ["sqrt"]}
-    res = SE.halving_search(spec, folds, "classification", ["o_orderkey"], "accuracy", n_iter=4)
+    """Successive halving (factor 3) over 4 draws from the registry's forest space on docs_ml, accuracy."""
+    folds = _docs_folds(spark, d, "rf")
+    spec = RG.FAMILIES["classification"]["rf"]
+    res = SE.halving_search(spec, folds, "classification", ["doc_id"], "accuracy", n_iter=4)
     return SE.leaderboard_frame(spark, [res]).drop("seconds")
 
 
@@ -1078,11 +1108,11 @@ def q_halving(spark, d):
 def q_calibrate(spark, d):
     """Isotonic calibration of logistic probabilities per fold, averaged (docs_ml): fold
     models and isotonic maps share one preprocessor's feature space."""
-    df = SP.stratified_folds(fx.docs_ml(spark, d), "quality", ["doc_id"], k=3, out="fold")
+    df = SP.stratified_folds(fx.docs_ml(spark, d), "quality", ["doc_id"], k=5, out="fold")
     pre = PP.Preprocessor(DOCS_FEATS, "logistic", "classification", _pre_no_power()).fit(df)
     x = pre.transform(df).select("doc_id", "fold", F.col("quality").cast("double").alias("label"), "features")
-    folds = SE.folds_of_matrix(x, "fold", 3, "classification", len(pre.feature_names))
-    cal = CA.calibrate(RG.classification_registry()["logistic"], {"C": 1.0}, folds)
+    folds = SE.folds_of_matrix(x, "fold", 5, "classification", len(pre.feature_names))
+    cal = CA.calibrate(RG.FAMILIES["classification"]["logistic"], {"C": 1.0}, folds)
     return CA.calibrated_scores(cal, x, ["doc_id"]).drop("proba")
 
 
@@ -1138,13 +1168,15 @@ def q_raw_to_proba(spark, d):
 
 @query("stacking")
 def q_stacking(spark, d):
-    """Stacking logistic + random forest on docs_ml (3 folds): out-of-fold base probabilities
+    """Stacking logistic + random forest on docs_ml (5 folds): out-of-fold base probabilities
     feed a logistic meta model."""
     folds = _docs_folds(spark, d, "rf")
-    reg = RG.classification_registry()
+    reg = RG.FAMILIES["classification"]
     bases = [(reg["logistic"], {"C": 1.0}), (reg["rf"], {"numTrees": 20, "maxDepth": 5})]
-    meta_model, meta, cols, _ = EN.stacking(bases, folds, "classification", ["doc_id"])
-    return EN.stacked_oof_scores(meta_model, meta, ["doc_id"], "classification").drop("proba")
+    model, meta = EN.stacking(bases, folds, "classification", ["doc_id"])
+    out = scored_frame(model.meta.transform(meta), "classification", keep=["doc_id"]).drop("proba")
+    SE.release(folds)
+    return out
 
 
 @query("feature_importance")
@@ -1211,9 +1243,9 @@ def q_prune(spark, d):
 
 @query("learning_curve")
 def q_learning_curve(spark, d):
-    """Logistic learning curve on docs_ml: 5 nested training fractions × 3 folds, accuracy."""
+    """Logistic learning curve on docs_ml: 5 nested training fractions × 5 folds, accuracy."""
     folds = _docs_folds(spark, d, "logistic")
-    return EX.learning_curve(RG.classification_registry()["logistic"], {"C": 1.0}, folds, "classification",
+    return EX.learning_curve(RG.FAMILIES["classification"]["logistic"], {"C": 1.0}, folds, "classification",
                              ["doc_id"], "accuracy")
 
 
@@ -1263,60 +1295,67 @@ def q_svd(spark, d):
 # ---------------------------------------------------------------------------
 from .operators import holdout as HO  # noqa: E402
 from .operators import train as TR  # noqa: E402
+from .plans.options import changed  # noqa: E402
 
 
-def docs_config(budget: int = 2, folds: int = 3, models=("logistic", "rf"), calibrate: bool = True) -> SystemConfig:
-    cfg = SystemConfig()
-    cfg.data.target = "quality"
-    cfg.data.key = ["doc_id"]
-    cfg.data.features = ["lang", "source", "n_chars", "toxic", "text"]
-    cfg.cv.folds = folds
-    cfg.cv.n_iter_search = budget
-    cfg.train.model_names = list(models)
-    cfg.train.calibrate = calibrate
-    cfg.train.mode = "custom"
-    cfg.preprocess.power_transform = False
-    return cfg
-
-
-def train_docs(spark, d, budget: int = 2, folds: int = 3, models=("logistic", "rf"), calibrate: bool = True):
-    df = fx.docs_ml(spark, d)
-    return TR.train_system(df, docs_config(budget, folds, models, calibrate), budget_scale=0.05)
+def docs_options(draws: int = 2, models=("logistic", "rf", "gbt"), **more):
+    """Options of the documents runs: the registry's full spaces, five folds, ``draws`` draws a model."""
+    return changed(TR.RunOptions(), data__target="quality", data__key=["doc_id"],
+                   data__features=["lang", "source", "n_chars", "toxic", "text"], cv__n_iter_search=draws,
+                   cv__parallelism=4, train__model_names=list(models), **more)
 
 
 @query("train_report")
 def q_train_report(spark, d):
-    """Automatic training run on docs_ml (target quality): plan, CV search of logistic and
-    random forest, OOF metrics, calibration, refit. Returns the leaderboard."""
-    res = train_docs(spark, d)
-    return res.leaderboard.drop("seconds")
+    """Automatic training run on docs_ml (target quality): plan, CV search of logistic regression, random
+    forest and boosted trees, OOF metrics, resampling as planned, calibration, refit. Returns the leaderboard."""
+    return TR.train_system(fx.docs_ml(spark, d), docs_options()).leaderboard.drop("seconds")
 
 
 @query("score_holdout")
 def q_score_holdout(spark, d):
     """Train on docs_ml rows outside fold 0 of a 5-fold split, score fold 0 as holdout with the
     best-F1 threshold; predictions (doc_id, y, y_pred, y_score)."""
+    return _holdout(spark, d)[0]
+
+
+def _holdout(spark, d):
     df = SP.stratified_folds(fx.docs_ml(spark, d), "quality", ["doc_id"], k=5, seed=7, out="hfold")
     train = df.where("hfold != 0").drop("hfold")
     hold = df.where("hfold = 0").drop("hfold")
-    res = TR.train_system(train, docs_config(models=("logistic",)), budget_scale=0.05)
-    preds, _ = HO.score_holdout(res.bundle, hold, threshold="f1")
-    return preds
+    res = TR.train_system(train, docs_options(models=("logistic",)))
+    return HO.score_holdout(res.bundle, hold, threshold="f1")
+
+
+@query("holdout_rows", W(DOCS_ML, f"""
+h AS (SELECT doc_id, quality, (row_number() OVER (PARTITION BY quality ORDER BY {H('doc_id', 7)}, doc_id) - 1) % 5 AS f FROM docs_ml)""") + """
+SELECT doc_id, quality AS y, 1 AS by_threshold FROM h WHERE f = 0""")
+def q_holdout_rows(spark, d):
+    """The rows and labels that holdout scoring emits, and whether every prediction is the emitted score at
+    the used threshold."""
+    preds, res = _holdout(spark, d)
+    t = float(res["metrics"]["used_threshold"])
+    return preds.select("doc_id", "y", ((F.col("y_score") >= t).cast("int") == F.col("y_pred")).cast("int").alias("by_threshold"))
 
 
-@query("stream_score")
+@query("stream_score", W(DOCS_ML) + """
+SELECT CAST(COUNT(*) AS BIGINT) AS n_rows, CAST(COUNT(*) AS BIGINT) AS n_predictions, 4 AS status FROM docs_ml""")
 def q_stream_score(spark, d):
     """Incremental scoring: a model trained on docs_ml scores the documents ⋈ labels rows that
-    arrive as files (availableNow trigger, checkpointed); returns the per-batch status table."""
+    arrive as files, one file a batch (availableNow trigger, checkpointed); returns the totals over the
+    batches' status and prediction tables."""
     import uuid
     from .session import checkpoint_dir
     from .streaming.score import stream_score
     base = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    res = train_docs(spark, d, models=("logistic",), calibrate=False)
     src = fx.docs_ml(spark, d)
+    res = TR.train_system(src, docs_options(models=("logistic",), train__calibrate=False))
     src.repartition(4).write.mode("overwrite").parquet(f"{base}/incoming")
-    stream_score(spark, res.bundle, f"{base}/incoming", src.schema, f"{base}/checkpoint", f"{base}/out")
-    return spark.read.parquet(f"{base}/out/status").select("batch_id", "n_rows", "status")
+    stream_score(spark, res.bundle, f"{base}/incoming", src.schema, f"{base}/checkpoint", f"{base}/out", max_files_per_trigger=1)
+    done = spark.read.parquet(f"{base}/out/predictions").groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"))
+    # all rows of the source, each scored once, over the batches
+    return spark.read.parquet(f"{base}/out/status").join(done, "batch_id").agg(
+        F.sum("n_rows").alias("n_rows"), F.sum("n").alias("n_predictions"), F.max("status").cast("int").alias("status"))
 
 
 # ---------------------------------------------------------------------------

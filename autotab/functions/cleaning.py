@@ -22,6 +22,11 @@ TRUE_WORDS = ["y", "yes", "si", "s", "true", "1"]
 FALSE_WORDS = ["n", "no", "false", "0"]
 
 
+def named(name: str) -> Column:
+    """The column of that very name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def blank_to_null(c: Column) -> Column:
     return F.when(c.rlike(BLANK_PATTERN), F.lit(None).cast("string")).otherwise(c)
 
@@ -38,7 +43,7 @@ def clean_frame(df: DataFrame, tokens: bool = False) -> DataFrame:
     """Blank/whitespace strings → NULL (plus pandas missing tokens if ``tokens``); NaN → NULL."""
     out = []
     for f in df.schema.fields:
-        c = F.col(f.name)
+        c = named(f.name)
         if isinstance(f.dataType, StringType):
             e = blank_to_null(c)
             if tokens:

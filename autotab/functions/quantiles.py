@@ -16,19 +16,21 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .cleaning import named
+
 DEFAULT_BINS = 4096
 DEFAULT_MAX_COLLECT = 20_000
 
 
 def _clean(df: DataFrame, col: str) -> DataFrame:
-    x = F.col(col).cast("double")
+    x = named(col).cast("double")
     return df.select(x.alias("__x")).where(F.col("__x").isNotNull() & ~F.isnan("__x"))
 
 
 def _stats(df: DataFrame, cols: list[str]) -> dict:
     aggs = []
     for i, c in enumerate(cols):
-        x = F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+        x = F.when(~F.isnan(named(c).cast("double")), named(c).cast("double"))
         aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
     r = df.agg(*aggs).first()
     return {c: (int(r[f"n{i}"]), r[f"lo{i}"], r[f"hi{i}"]) for i, c in enumerate(cols)}
@@ -58,17 +60,20 @@ def multi_order_statistics(df: DataFrame, requests: dict[str, list[int]], bins:
             brackets.setdefault(br, []).append(cr[1])
         pending = {}
         small, big = [], []
-        for br, rs in brackets.items():
+        fetched = 0
+        for br, rs in sorted(brackets.items(), key=lambda b: b[0][4]):
             c, lo, hi, below, cnt = br
             if lo == hi:
                 out.update({(c, r): lo for r in rs})
-            elif cnt <= max_collect:
+            elif fetched + cnt <= max_collect:  # a bound for all columns together
+                fetched += cnt
                 small.append((br, rs))
             else:
                 big.append((br, rs))
+        width = max(64, min(bins, bins * 64 // max(1, len(big))))
         if small:
-            tags = [F.when((F.col(br[0]).cast("double") >= br[1]) & (F.col(br[0]).cast("double") <= br[2]),
-                           F.struct(F.lit(i).alias("b"), F.col(br[0]).cast("double").alias("x")))
+            tags = [F.when((named(br[0]).cast("double") >= br[1]) & (named(br[0]).cast("double") <= br[2]),
+                           F.struct(F.lit(i).alias("b"), named(br[0]).cast("double").alias("x")))
                     for i, (br, _) in enumerate(small)]
             got: dict[int, list] = {}
             for row in df.select(F.explode(F.array(*tags)).alias("t")).where(F.col("t").isNotNull()).select("t.*").collect():
@@ -80,9 +85,9 @@ def multi_order_statistics(df: DataFrame, requests: dict[str, list[int]], bins:
             tags = []
             for i, (br, _) in enumerate(big):
                 c, lo, hi = br[0], br[1], br[2]
-                x = F.col(c).cast("double")
+                x = named(c).cast("double")
                 scale = (x / 2 - lo / 2) / (hi / 2 - lo / 2)  # halves avoid overflow of hi - lo
-                bucket = F.least(F.floor(scale * bins), F.lit(bins - 1)).cast("int")
+                bucket = F.least(F.floor(scale * width), F.lit(width - 1)).cast("int")
                 tags.append(F.when((x >= lo) & (x <= hi), F.struct(F.lit(i).alias("b"), bucket.alias("k"), x.alias("x"))))
             hist = (df.select(F.explode(F.array(*tags)).alias("t")).where(F.col("t").isNotNull()).select("t.*")
                     .groupBy("b", "k").agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("lo"), F.max("x").alias("hi"))
@@ -164,7 +169,7 @@ def modes(df: DataFrame, cols: list[str]) -> dict[str, object]:
     str_cols = [c for c in cols if types[c] == "string"]
     other = [c for c in cols if c not in str_cols]
     if str_cols:
-        long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).alias("v"))
+        long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("k"), named(c).alias("v"))
                                               for c in str_cols])).alias("kv")).select("kv.k", "kv.v")
         res = (long.where(F.col("v").isNotNull()).groupBy("k", "v").agg(F.count(F.lit(1)).alias("c"))
                .groupBy("k").agg(F.min(F.struct((-F.col("c")).alias("nc"), F.col("v"))).alias("m"))
@@ -172,8 +177,8 @@ def modes(df: DataFrame, cols: list[str]) -> dict[str, object]:
         for r in res:
             out[r["k"]] = r["m"]["v"]
     for c in other:
-        r = (df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("c"))
-             .agg(F.min(F.struct((-F.col("c")).alias("nc"), F.col(c).alias("v"))).alias("m")).first())
+        r = (df.where(named(c).isNotNull()).groupBy(named(c).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+             .agg(F.min(F.struct((-F.col("c")).alias("nc"), F.col("v"))).alias("m")).first())
         out[c] = r["m"]["v"] if r and r["m"] is not None else None
     for c in cols:
         out.setdefault(c, None)

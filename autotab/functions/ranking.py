@@ -17,7 +17,7 @@ from .lookup import null_safe_join
 
 
 def hash_rank(df: DataFrame, hash_col: str, tie_cols: list[str], by: list[str] | None = None,
-              out: str = "rank", size_col: str | None = None, bits: int = 12) -> DataFrame:
+              out: str = "rank", size_col: str | None = None, bits: int = 16) -> DataFrame:
     """0-based rank of each row within ``by`` ordered by (hash_col, *tie_cols).
 
     ``hash_col`` must be a uniform non-negative 60-bit hash (``keys.row_hash``),
@@ -43,26 +43,23 @@ def hash_rank(df: DataFrame, hash_col: str, tie_cols: list[str], by: list[str] |
              .drop("__hbkt", "__off"))
 
 
-SINGLE_TASK_ROWS = 200_000
+#: Grouped rows that one bucket of a prefix sum should hold.
+BUCKET_ROWS = 100_000
 
 
-def range_bounds(df: DataFrame, col: str, n_buckets: int, accuracy: int = 10_000,
-                 single_task_rows: int = SINGLE_TASK_ROWS) -> list[float]:
-    """Approximate range-partition bounds of ``col`` (a bounded list of n_buckets-1 values);
-    empty when the input is small enough for one window task."""
-    if n_buckets <= 1:
+def range_bounds(df: DataFrame, col: str, n_buckets: int | None = None, accuracy: int = 10_000) -> list[float]:
+    """Approximate range-partition bounds of ``col``: as many buckets as the rows and the shuffle
+    partitions ask for, at most ``accuracy``."""
+    n = n_buckets or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.count() // BUCKET_ROWS)
+    n = min(n, accuracy)
+    if n <= 1:
         return []
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    row = df.select(F.percentile_approx(F.col(col).cast("double"), probs, accuracy).alias("b"),
-                    F.count(F.lit(1)).alias("n")).first()
-    if row is None or row["n"] <= single_task_rows:
-        return []
-    vals = row["b"] if row["b"] is not None else []
-    return sorted({float(v) for v in vals if v is not None})
+    b = df.agg(F.percentile_approx(F.col(col).cast("double"), [i / n for i in range(1, n)], accuracy)).first()[0]
+    return sorted({float(v) for v in b or [] if v is not None})
 
 
 def prefix_sums(g: DataFrame, order_col: str, value_cols: list[str], by: list[str] | None = None,
-                descending: bool = False, n_buckets: int = 64, inclusive: bool = True,
+                descending: bool = False, n_buckets: int | None = None, inclusive: bool = True,
                 prefix: str = "cum_") -> DataFrame:
     """Running sums of ``value_cols`` within ``by`` in the order of ``order_col``.
 
@@ -72,20 +69,16 @@ def prefix_sums(g: DataFrame, order_col: str, value_cols: list[str], by: list[st
     """
     by = list(by or [])
     okey = (-F.col(order_col).cast("double")) if descending else F.col(order_col).cast("double")
-    d = g.withColumn("__ok", okey)
-    bounds = range_bounds(d, "__ok", n_buckets)
-    if not bounds:  # small input: one window partition per group, no offsets needed
-        frame_end = Window.currentRow if inclusive else -1
-        wr = Window.partitionBy(*by).orderBy("__ok").rowsBetween(Window.unboundedPreceding, frame_end)
-        for v in value_cols:
-            d = d.withColumn(f"{prefix}{v}", F.coalesce(F.sum(v).over(wr), F.lit(0)))
-        return d.drop("__ok")
-    # large input: write the grouped rows once to the shared checkpoint folder, so the
-    # totals, the offsets and the bucket windows below read it instead of recomputing it
+    # the grouped rows are written once to the shared checkpoint folder, so the bounds, the
+    # totals, the offsets and the bucket windows below read them instead of recomputing them
     from ..session import cut_lineage
-    d = cut_lineage(d)
-    splits = [float("-inf"), *bounds, float("inf")]
-    d = Bucketizer(splits=splits, inputCol="__ok", outputCol="__bk", handleInvalid="keep").transform(d)
+    d = cut_lineage(g.withColumn("__ok", okey))
+    bounds = range_bounds(d, "__ok", n_buckets)
+    if bounds:
+        splits = [float("-inf"), *bounds, float("inf")]
+        d = Bucketizer(splits=splits, inputCol="__ok", outputCol="__bk", handleInvalid="keep").transform(d)
+    else:
+        d = d.withColumn("__bk", F.lit(0.0))
     tot = d.groupBy(*by, "__bk").agg(*[F.sum(v).alias(f"__t_{v}") for v in value_cols])
     wb = Window.partitionBy(*by).orderBy("__bk")
     offs = tot.select(*by, "__bk", *[(F.sum(f"__t_{v}").over(wb) - F.col(f"__t_{v}")).alias(f"__o_{v}")

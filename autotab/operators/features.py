@@ -13,23 +13,33 @@ import math
 
 from pyspark.ml import Estimator, Model
 from pyspark.ml.feature import FeatureHasher, VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions.lookup import null_safe_join
+from ..functions.cleaning import named
+from ..functions.lookup import max_broadcast_bytes, null_safe_join, table_bytes
 from ..session import cut_lineage
 from ..functions.quantiles import medians, modes, multi_quantiles
-from .profile import categorical_columns, distinct_counts, null_counts, numeric_columns
+from .profile import at_least_distinct, categorical_columns, null_counts, numeric_columns
 
 OTHER = "__OTHER__"
 NA_TOKEN = "__NA__"
 
 
 def _small(table: DataFrame, state: dict) -> bool:
-    """Whether a fitted lookup may be broadcast: its row count, taken once at fit time, is within bound."""
-    from ..functions.lookup import max_broadcast_rows
-    return state.get("table_rows", 1 << 62) <= max_broadcast_rows(table.sparkSession)
+    """Whether a fitted lookup may be broadcast: its size in bytes, taken once at fit time, is within bound."""
+    return state.get("table_bytes", 1 << 62) <= max_broadcast_bytes(table.sparkSession)
+
+
+def value_key(c: Column) -> Column:
+    """Fixed-width key of a value's text (16 bytes, NULL stays NULL): lookups never move or hold whole texts."""
+    return F.unhex(F.md5(c.cast("string")))
+
+
+def value_rows(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(column, value key) of every cell."""
+    return df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), value_key(named(c)).alias("value")) for c in cols])).alias("e")).select("e.*")
 
 
 class _Fitted(Model):
@@ -46,7 +56,7 @@ class _Fitted(Model):
 
 class MissingIndicatorsModel(_Fitted):
     def _transform(self, df):
-        return df.select("*", *[F.col(c).isNull().cast("int").alias(f"MI__{c}") for c in self.state["cols"]
+        return df.select("*", *[named(c).isNull().cast("int").alias(f"MI__{c}") for c in self.state["cols"]
                                 if c in df.columns])
 
 
@@ -78,7 +88,7 @@ class OrdinalMapper(_Fitted):
         for c, m in self.state["mappings"].items():
             if c in df.columns and m:
                 lut = F.create_map(*[x for k, v in m.items() for x in (F.lit(k), F.lit(v))])
-                out = out.withColumn(c, lut[F.col(c).cast("string")])
+                out = out.withColumn(c, lut[named(c).cast("string")])
         return out
 
 
@@ -91,11 +101,9 @@ class FrequencyEncoderModel(_Fitted):
         for c in self.state["cols"]:
             if c not in df.columns:
                 continue
-            m = freq.where(F.col("column") == c).select(F.col("value").alias(f"__fv_{c}"),
-                                                         F.col("freq").alias(f"__ff_{c}"))
-            out = out.withColumn(f"__fv_{c}", F.col(c).cast("string"))
-            out = null_safe_join(out, m, [f"__fv_{c}"], how="left", broadcast=_small(m, self.state))
-            out = out.withColumn(c, F.coalesce(F.col(f"__ff_{c}"), F.lit(0.0))).drop(f"__fv_{c}", f"__ff_{c}")
+            m = freq.where(F.col("column") == c).select(F.col("value").alias("__fv"), F.col("freq").alias("__ff"))
+            out = null_safe_join(out.withColumn("__fv", value_key(named(c))), m, ["__fv"], how="left", broadcast=_small(m, self.state))
+            out = out.withColumn(c, F.coalesce("__ff", F.lit(0.0))).drop("__fv", "__ff")
         return out
 
 
@@ -112,17 +120,16 @@ class FrequencyEncoder(Estimator):
                              if isinstance(f.dataType, StringType) and f.name not in self.exclude]
         if not cand:
             return FrequencyEncoderModel({"cols": []}, {})
-        dc = {r["column"]: r["n_distinct"] for r in distinct_counts(df, cand).collect()}
-        cols = [c for c in cand if dc[c] >= int(self.threshold)]
+        many = at_least_distinct(df, cand, int(self.threshold))
+        cols = [c for c in cand if many[c]]
         if not cols:
             return FrequencyEncoderModel({"cols": []}, {})
         n = df.count()
-        long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
-                                             for c in cols])).alias("e")).select("e.*")
+        long = value_rows(df, cols)
         # the fitted map is written to the shared checkpoint folder: scoring plans no
         # longer carry the training lineage, and a lost executor does not re-run the fit
         freq = cut_lineage(long.groupBy("column", "value").agg((F.count(F.lit(1)) / F.lit(float(n))).alias("freq")))
-        return FrequencyEncoderModel({"cols": cols, "n": n, "table_rows": freq.count()}, {"freq": freq})
+        return FrequencyEncoderModel({"cols": cols, "n": n, "table_bytes": table_bytes(freq)}, {"freq": freq})
 
 
 # --- T3 / T4 rare categories ------------------------------------------------
@@ -134,12 +141,9 @@ class RareCategoryGrouperModel(_Fitted):
         for c in self.state["cols"]:
             if c not in df.columns:
                 continue
-            k = keep.where(F.col("column") == c).select(F.col("value").alias(f"__kv_{c}"),
-                                                         F.lit(1).alias(f"__kk_{c}"))
-            out = out.withColumn(f"__kv_{c}", F.col(c).cast("string"))
-            out = null_safe_join(out, k, [f"__kv_{c}"], how="left", broadcast=_small(k, self.state))
-            out = out.withColumn(c, F.when(F.col(f"__kk_{c}").isNull(), F.lit(OTHER)).otherwise(F.col(c)))
-            out = out.drop(f"__kv_{c}", f"__kk_{c}")
+            k = keep.where(F.col("column") == c).select(F.col("value").alias("__kv"), F.lit(1).alias("__kk"))
+            out = null_safe_join(out.withColumn("__kv", value_key(named(c))), k, ["__kv"], how="left", broadcast=_small(k, self.state))
+            out = out.withColumn(c, F.when(F.col("__kk").isNull(), F.lit(OTHER)).otherwise(named(c))).drop("__kv", "__kk")
         return out
 
 
@@ -155,11 +159,10 @@ class RareCategoryGrouper(Estimator):
         cols = self.cols or [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
         n = df.count()
         bound = self.min_freq * n if self.min_freq < 1.0 else int(self.min_freq)
-        long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
-                                             for c in cols])).alias("e")).select("e.*")
+        long = value_rows(df, cols)
         keep = cut_lineage(long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
                            .where(F.col("cnt") >= F.lit(bound)).select("column", "value"))
-        return RareCategoryGrouperModel({"cols": cols, "bound": bound, "table_rows": keep.count()}, {"keep": keep})
+        return RareCategoryGrouperModel({"cols": cols, "bound": bound, "table_bytes": table_bytes(keep)}, {"keep": keep})
 
 
 def collapse_rare_categories(df: DataFrame, col: str, min_freq: float = 0.01, min_count: int | None = None,
@@ -182,7 +185,7 @@ def auto_hash_columns(df: DataFrame, cols=None, min_len: float = 20.0, min_ratio
     cols = list(cols or [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)])
     aggs = [F.count(F.lit(1)).alias("__n")]
     for i, c in enumerate(cols):
-        aggs += [F.avg(F.length(F.col(c))).alias(f"__l{i}"), F.count_distinct(F.col(c)).alias(f"__d{i}")]
+        aggs += [F.avg(F.length(named(c))).alias(f"__l{i}"), F.count_distinct(named(c)).alias(f"__d{i}")]
     a = df.agg(*aggs)
     long = a.select("__n", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"__l{i}").alias("avg_len"),
                                                         F.col(f"__d{i}").alias("nd")) for i, c in enumerate(cols)])).alias("e"))
@@ -211,11 +214,11 @@ class HashingEncoderModel(_Fitted):
         cols = self.state["cols"]
         if not cols:
             return df
-        tmp = df.select("*", *[F.coalesce(F.col(c).cast("string"), F.lit(NA_TOKEN)).alias(f"__h_{c}") for c in cols])
+        tmp = df.select("*", *[F.coalesce(named(c).cast("string"), F.lit(NA_TOKEN)).alias(f"__h_{c}") for c in cols])
         fh = FeatureHasher(inputCols=[f"__h_{c}" for c in cols], outputCol=self.state["output"],
                            numFeatures=self.state["n_features"])
         # FeatureHasher names tokens by input column; rename back so tokens read column=value
-        out = fh.transform(tmp.select(*df.columns, *[F.col(f"__h_{c}") for c in cols]))
+        out = fh.transform(tmp.select(*map(named, df.columns), *[named(f"__h_{c}") for c in cols]))
         return out.drop(*[f"__h_{c}" for c in cols])
 
 
@@ -233,7 +236,7 @@ class NumericImputer(Estimator):
         if self.strategy == "median":
             vals = medians(df, cols) if cols else {}
         elif self.strategy == "mean":
-            r = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in cols]).first() if cols else {}
+            r = df.agg(*[F.avg(named(c).cast("double")).alias(c) for c in cols]).first() if cols else {}
             vals = {c: r[c] for c in cols}
         elif self.strategy == "most_frequent":
             vals = modes(df, cols)
@@ -269,7 +272,7 @@ class ImputerModel(_Fitted):
         repl = {}
         for c, v in self.state["values"].items():
             if c in df.columns:
-                base = F.col(c).cast(t)
+                base = named(c).cast(t)
                 repl[c] = base if v is None else F.coalesce(base, F.lit(v).cast(t))
         return df.withColumns(repl) if repl else df
 
@@ -311,7 +314,7 @@ def yeo_johnson_loglik(df: DataFrame, cols: list[str], grid) -> DataFrame:
     per_col = grid if isinstance(grid, dict) else {c: grid for c in cols}
     aggs = []
     for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
+        x = named(c).cast("double")
         ok = x.isNotNull() & ~F.isnan(x)
         psi = F.when(ok, array_to_vector(F.array(*[yeo_johnson_expr(x, float(v)) for v in per_col[c]])))
         aggs += [Summarizer.metrics("variance", "count").summary(psi).alias(f"__m{i}"),
@@ -357,8 +360,8 @@ class YeoJohnson(Estimator):
         stats = {}
         if self.standardize and cols:
             r = df.agg(*[x for i, c in enumerate(cols) for x in (
-                F.avg(yeo_johnson_expr(F.col(c).cast("double"), lams[c])).alias(f"m{i}"),
-                F.stddev_pop(yeo_johnson_expr(F.col(c).cast("double"), lams[c])).alias(f"s{i}"))]).first()
+                F.avg(yeo_johnson_expr(named(c).cast("double"), lams[c])).alias(f"m{i}"),
+                F.stddev_pop(yeo_johnson_expr(named(c).cast("double"), lams[c])).alias(f"s{i}"))]).first()
             stats = {c: (r[f"m{i}"], r[f"s{i}"]) for i, c in enumerate(cols)}
         return YeoJohnsonModel({"lambdas": lams, "stats": stats})
 
@@ -369,7 +372,7 @@ class YeoJohnsonModel(_Fitted):
         for c, lam in self.state["lambdas"].items():
             if c not in df.columns:
                 continue
-            e = yeo_johnson_expr(F.col(c).cast("double"), lam)
+            e = yeo_johnson_expr(named(c).cast("double"), lam)
             if c in self.state["stats"]:
                 m, s = self.state["stats"][c]
                 s = 1.0 if not s else s
@@ -391,8 +394,8 @@ class StandardScalerPop(Estimator):
         cols = list(self.cols if self.cols is not None else numeric_columns(df))
         if not cols:
             return ScalerModel({"stats": {}})
-        r = df.agg(*[x for i, c in enumerate(cols) for x in (F.avg(F.col(c).cast("double")).alias(f"m{i}"),
-                                                               F.stddev_pop(F.col(c).cast("double")).alias(f"s{i}"))]).first()
+        r = df.agg(*[x for i, c in enumerate(cols) for x in (F.avg(named(c).cast("double")).alias(f"m{i}"),
+                                                               F.stddev_pop(named(c).cast("double")).alias(f"s{i}"))]).first()
         return ScalerModel({"stats": {c: (r[f"m{i}"], r[f"s{i}"]) for i, c in enumerate(cols)}})
 
 
@@ -401,12 +404,12 @@ class ScalerModel(_Fitted):
         repl = {}
         for c, (m, s) in self.state["stats"].items():
             if c in df.columns:
-                repl[c] = (F.col(c).cast("double") - F.lit(m if m is not None else 0.0)) / F.lit(s if s else 1.0)
+                repl[c] = (named(c).cast("double") - F.lit(m if m is not None else 0.0)) / F.lit(s if s else 1.0)
         return df.withColumns(repl) if repl else df
 
 
 def column_variances(df: DataFrame, cols: list[str]) -> dict[str, float]:
-    r = df.agg(*[F.var_pop(F.col(c).cast("double")).alias(f"v{i}") for i, c in enumerate(cols)]).first()
+    r = df.agg(*[F.var_pop(named(c).cast("double")).alias(f"v{i}") for i, c in enumerate(cols)]).first()
     return {c: r[f"v{i}"] for i, c in enumerate(cols)}
 
 
@@ -431,19 +434,12 @@ class DropColumnsModel(_Fitted):
 
 # --- T13 / T14 categorical encodings ------------------------------------------
 
-MAX_LITERAL_CATEGORIES = 1000
-
-
 def _categories(df: DataFrame, cols: list[str]) -> dict[str, list[str]]:
-    """Sorted distinct non-null values per column (bounded; raises beyond the literal limit)."""
+    """Sorted distinct non-null values per column: one name per output column, as many as there are."""
     if not cols:
         return {}
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), named(c).cast("string").alias("value"))
                                          for c in cols])).alias("e")).select("e.*").where(F.col("value").isNotNull())
-    cnt = long.groupBy("column").agg(F.count_distinct("value").alias("k")).collect()
-    big = [r["column"] for r in cnt if r["k"] > MAX_LITERAL_CATEGORIES]
-    if big:
-        raise ValueError(f"too many categories for literal encoding in {big}; frequency-encode them first")
     rows = long.groupBy("column").agg(F.array_sort(F.collect_set("value")).alias("vals")).collect()
     out = {r["column"]: list(r["vals"]) for r in rows}
     return {c: out.get(c, []) for c in cols}
@@ -467,14 +463,14 @@ class OneHotModel(_Fitted):
 
     def _transform(self, df):
         cats = self.state["categories"]
-        new = [F.coalesce((F.col(c).cast("string") == F.lit(v)).cast("double"), F.lit(0.0)).alias(f"{c}={v}")
+        new = [F.coalesce((named(c).cast("string") == F.lit(v)).cast("double"), F.lit(0.0)).alias(f"{c}={v}")
                for c, vs in cats.items() for v in vs]
         keep = [F.col(f"`{c}`") for c in df.columns if c not in cats]
         return df.select(*keep, *new)
 
 
 class OrdinalEncode(Estimator):
-    """Sorted training categories → 0..K-1 (as double); unknown → −1."""
+    """Sorted training categories → 0..K-1 (as double); unknown → −1. The codes are a fitted table."""
 
     def __init__(self, cols=None):
         super().__init__()
@@ -482,21 +478,25 @@ class OrdinalEncode(Estimator):
 
     def _fit(self, df):
         cols = list(self.cols if self.cols is not None else categorical_columns(df))
-        return OrdinalEncodeModel({"categories": _categories(df, cols)})
+        if not cols:
+            return OrdinalEncodeModel({"cols": []})
+        long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), named(c).cast("string").alias("text")) for c in cols])).alias("e")).select("e.*")
+        codes = long.where(F.col("text").isNotNull()).distinct()
+        by = Window.partitionBy("column").orderBy("text")
+        codes = cut_lineage(codes.select("column", value_key(F.col("text")).alias("value"), (F.row_number().over(by) - 1).cast("double").alias("code")))
+        return OrdinalEncodeModel({"cols": cols, "table_bytes": table_bytes(codes)}, {"codes": codes})
 
 
 class OrdinalEncodeModel(_Fitted):
     def _transform(self, df):
-        repl = {}
-        for c, vs in self.state["categories"].items():
+        out = df
+        for c in self.state["cols"]:
             if c not in df.columns:
                 continue
-            if vs:
-                lut = F.create_map(*[x for i, v in enumerate(vs) for x in (F.lit(v), F.lit(float(i)))])
-                repl[c] = F.coalesce(lut[F.col(c).cast("string")], F.lit(-1.0))
-            else:
-                repl[c] = F.lit(-1.0)
-        return df.withColumns(repl) if repl else df
+            m = self.tables["codes"].where(F.col("column") == c).select(F.col("value").alias("__ov"), F.col("code").alias("__oc"))
+            out = null_safe_join(out.withColumn("__ov", value_key(named(c))), m, ["__ov"], how="left", broadcast=_small(m, self.state))
+            out = out.withColumn(c, F.coalesce("__oc", F.lit(-1.0))).drop("__ov", "__oc")
+        return out
 
 
 # --- T16 mutual information ---------------------------------------------------
@@ -505,16 +505,16 @@ def bin_expressions(df: DataFrame, cols: list[str], n_bins: int = 10) -> dict:
     """MI bin per column: the value itself (as text) for non-numeric columns or ≤ n_bins
     distinct values, else the number of inner decile edges strictly below the value.
     Distinct counts and all decile edges come from shared scans."""
-    nd = {r["column"]: r["n_distinct"] for r in distinct_counts(df, cols).collect()}
-    nums = set(numeric_columns(df))
-    cont = [c for c in cols if c in nums and nd[c] > n_bins]
+    nums = [c for c in numeric_columns(df) if c in set(cols)]
+    wide = at_least_distinct(df, nums, n_bins + 1)
+    cont = [c for c in cols if wide.get(c)]
     edges = multi_quantiles(df, cont, [i / n_bins for i in range(1, n_bins)]) if cont else {}
     out = {}
     for c in cols:
         if c not in edges:
-            out[c] = F.col(c).cast("string")
+            out[c] = named(c).cast("string")
             continue
-        x = F.col(c).cast("double")
+        x = named(c).cast("double")
         b = sum((F.when(x > F.lit(e), 1).otherwise(0) for e in edges[c]), F.lit(0))
         out[c] = F.when(x.isNull(), F.lit(None).cast("string")).otherwise(b.cast("string"))
     return out
@@ -546,13 +546,13 @@ def select_k_best_mi(df: DataFrame, features: list[str], target: str, k: int, ta
     return mi.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
 
 
-def auto_k(n_features: int, rounding: str = "trunc") -> int:
-    """min(max(10, 0.6·d), 80) — truncation or banker's rounding of 0.6·d."""
+def auto_k(n_features: int, rounding: str = "trunc", least: int = 10, most: int = 80) -> int:
+    """0.6·d (truncated or rounded half to even) within [least, most]."""
     if n_features <= 0:
-        return 10
+        return least
     v = n_features * 0.6
     v = int(v) if rounding == "trunc" else int(round(v))
-    return min(max(10, v), 80)
+    return min(max(least, v), most)
 
 
 def clamp_k(k: int, d: int) -> int:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_quantiles
 from ..functions.ranking import prefix_sums
+from ..session import cut_lineage
 
 # Fixed value: probability clipping used by the reference's log loss (float64 machine epsilon).
 LOG_LOSS_EPS = 2.220446049250313e-16
@@ -28,7 +29,7 @@ def score_groups(df: DataFrame, label: str = "y", score: str = "score", by=None)
     """(by..., s, p, n): positives / negatives per distinct score."""
     by = list(by or [])
     yv = F.col(label).cast("long")
-    return (df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
+    return (df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")) & F.col(label).isNotNull())
               .groupBy(*by, F.col(score).cast("double").alias("s"))
               .agg(F.sum(yv).alias("p"), F.sum(1 - yv).alias("n")))
 
@@ -101,22 +102,15 @@ def f1_macro(df: DataFrame, y_true: str = "y", y_pred: str = "y_pred", by=None)
     return f1_per_label(df, y_true, y_pred, by).groupBy(*by).agg(F.avg("f1").alias("f1_macro"))
 
 
-def confusion_matrix(df: DataFrame, y_true: str = "y", y_pred: str = "y_pred",
-                     max_labels: int = 1000) -> DataFrame:
-    """Dense confusion matrix in long form (y_true, y_pred, n) over sorted labels, zeros included.
-
-    One aggregate gives the non-zero cells (at most labels² rows, checked against
-    ``max_labels``); the dense grid is filled in from those cells."""
-    spark = df.sparkSession
-    t, p = F.col(y_true).cast("string"), F.col(y_pred).cast("string")
-    cells = (df.groupBy(t.alias("y_true"), p.alias("y_pred")).agg(F.count(F.lit(1)).alias("n"))
-             .limit(max_labels * max_labels + 1).collect())
-    labels = sorted({c["y_true"] for c in cells} | {c["y_pred"] for c in cells}, key=lambda v: (v is None, v))
-    if len(labels) > max_labels:
-        raise ValueError(f"confusion matrix over more than {max_labels} labels")
-    got = {(c["y_true"], c["y_pred"]): c["n"] for c in cells}
-    rows = [(a, b, int(got.get((a, b), 0))) for a in labels for b in labels]
-    return spark.createDataFrame(rows, "y_true string, y_pred string, n long")
+def confusion_matrix(df: DataFrame, y_true: str = "y", y_pred: str = "y_pred") -> DataFrame:
+    """Dense confusion matrix in long form (y_true, y_pred, n) over all labels, zeros included: every label
+    is paired with the array of labels, then the counted cells are joined in."""
+    cells = cut_lineage(df.groupBy(F.col(y_true).cast("string").alias("y_true"), F.col(y_pred).cast("string").alias("y_pred")).agg(F.count(F.lit(1)).alias("n")))
+    seen = cells.select(F.explode(F.array("y_true", "y_pred")).alias("label")).distinct()
+    whole = Window.partitionBy(F.lit(0))
+    grid = seen.withColumn("row", F.collect_list(F.struct("label")).over(whole)).select(F.col("label").alias("t"), F.explode("row.label").alias("p"))
+    return grid.join(cells, F.col("t").eqNullSafe(F.col("y_true")) & F.col("p").eqNullSafe(F.col("y_pred")), "left").select(
+        F.col("t").alias("y_true"), F.col("p").alias("y_pred"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def _totals(groups: DataFrame) -> tuple[int, int]:

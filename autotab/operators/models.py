@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.proba import softmax_array
-from ..plans.registry import ModelSpec
+from ..plans.registry import Family
 
 
 def scored_frame(pred: DataFrame, task: str, keep: list[str], label: str = "label") -> DataFrame:
@@ -30,7 +30,7 @@ def scored_frame(pred: DataFrame, task: str, keep: list[str], label: str = "labe
     return pred.select(*out)
 
 
-def fit_model(spec: ModelSpec, params: dict, train: DataFrame, ctx: dict):
+def fit_model(spec: Family, params: dict, train: DataFrame, ctx: dict):
     est = spec.build(params, ctx)
     return est.fit(train)
 

@@ -4,14 +4,42 @@ Spark ML Estimator. Each stage fits on the output of the previous ones."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.ml import Estimator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.config import PreprocessConfig
+from ..functions.cleaning import named
 from . import features as FT
-from .profile import distinct_counts, numeric_columns, skewness
+from .profile import at_least_distinct, correlation_filter, numeric_columns, skewness
+
+
+@dataclass(frozen=True)
+class PreprocessOptions:
+    power_transform: bool | str = "auto"     # "auto": the skewed continuous columns
+    scale_for: tuple[str, ...] = ("linear", "logistic", "mlp")
+    one_hot_for: tuple[str, ...] | None = ("linear", "logistic", "mlp")
+    freq_encode_high_card: bool = True
+    high_card_threshold: int = 50
+    numeric_imputer: str = "median"
+    categorical_imputer: str = "most_frequent"
+    drop_low_variance: bool = False
+    low_variance_threshold: float = 0.0
+    select_k_best: int | str | None = None
+    select_k_bounds: tuple[int, int] = (10, 80)
+    correlation_filter: bool = False
+    correlation_threshold: float = 0.98
+    ordinal_mappings: dict[str, dict[str, int]] | None = None
+    rare_min_freq: float | None = None
+    hash_text: bool = False
+    hash_n_features: int = 512
+    svd_components: int | None = None
+
+
+#: The assembled vector before a projection.
+WIDE = "__wide"
 
 
 class PreprocessorModel(FT._Fitted):
@@ -37,17 +65,16 @@ class PreprocessorModel(FT._Fitted):
 
     def _transform(self, df):
         d = self.transform_columns(df)
-        names = self.state["names"]
-        inputs = [f"`{n}`" if False else n for n in names]
-        parts = list(inputs)
+        # the assembler reads columns of its own, so display names may hold anything
+        parts = [f"__f{i}" for i in range(len(self.state["names"]))]
+        d = d.withColumns({p: named(n) for p, n in zip(parts, self.state["names"], strict=True)}) if parts else d
+        extra = []
         if self.hash_stage is not None:
             d = self.hash_stage.transform(d)
-            parts.append(self.hash_stage.state["output"])
+            extra = [self.hash_stage.state["output"]]
         out = self.state["output"]
-        d = VectorAssembler(inputCols=parts, outputCol=out, handleInvalid="keep").transform(d)
-        if self.svd is not None:
-            d = self.svd.transform(d.withColumnRenamed(out, "__pre_svd")).drop("__pre_svd")
-        return d
+        d = VectorAssembler(inputCols=parts + extra, outputCol=out if self.svd is None else WIDE, handleInvalid="keep").transform(d).drop(*parts)
+        return d if self.svd is None else self.svd.transform(d).drop(WIDE)
 
 
 class Preprocessor(Estimator):
@@ -58,11 +85,11 @@ class Preprocessor(Estimator):
     information with ``target``."""
 
     def __init__(self, features: list[str], family: str = "logistic", task: str = "classification",
-                 cfg: PreprocessConfig | None = None, target: str | None = None, select_k: int | None = None,
+                 cfg: PreprocessOptions | None = None, target: str | None = None, select_k: int | None = None,
                  output: str = "features"):
         super().__init__()
         self.features, self.family, self.task = list(features), family, task
-        self.cfg = cfg or PreprocessConfig()
+        self.cfg = cfg or PreprocessOptions()
         self.target, self.select_k, self.output = target, select_k, output
 
     def _fit(self, df):
@@ -80,7 +107,7 @@ class Preprocessor(Estimator):
             hashed = [r["column"] for r in FT.auto_hash_columns(d, cats).where("hashed = 1").collect()]
             cats = [c for c in cats if c not in hashed]
         if cfg.freq_encode_high_card and cats:
-            st = FT.FrequencyEncoder(threshold=cfg.high_card_threshold, cols=None, exclude=hashed).fit(d.select(*cats))
+            st = FT.FrequencyEncoder(threshold=cfg.high_card_threshold, cols=None, exclude=hashed).fit(d.select(*map(named, cats)))
             if st.state["cols"]:
                 stages.append(st)
                 d = st.transform(d)
@@ -88,13 +115,19 @@ class Preprocessor(Estimator):
         nums = [c for c in feats if c in set(numeric_columns(d)) and c not in hashed]
         binary, cont = [], []
         if nums:
-            dc = {r["column"]: r["n_distinct"] for r in distinct_counts(d, nums).collect()}
+            wide = at_least_distinct(d, nums, 3)
             for c in nums:
-                (binary if c.startswith("MI__") or dc[c] <= 2 else cont).append(c)
+                (binary if c.startswith("MI__") or not wide[c] else cont).append(c)
         if nums:
             st = FT.NumericImputer(cols=nums, strategy=cfg.numeric_imputer).fit(d)
             stages.append(st)
             d = st.transform(d)
+        if cfg.correlation_filter and len(nums) > 1:
+            drop = [r["column"] for r in correlation_filter(d, nums, cfg.correlation_threshold).where("dropped = 1").collect()]
+            st = FT.DropColumnsModel({"drop": sorted(drop)})
+            stages.append(st)
+            d = st.transform(d)
+            cont, binary = ([c for c in x if c not in drop] for x in (cont, binary))
         if cont:
             if cfg.power_transform is True:
                 pcols = cont
@@ -141,11 +174,11 @@ class Preprocessor(Estimator):
         hash_stage = None
         if hashed:
             hash_stage = FT.HashingEncoder(cols=hashed, n_features=cfg.hash_n_features, output="__hash").fit(d)
-        model = PreprocessorModel(stages, names, self.output, hash_stage)
+        model = PreprocessorModel(stages, names, self.output if not cfg.svd_components else WIDE, hash_stage)
         if cfg.svd_components:
             from .svd import TruncatedSVD
-            tmp = model.transform(df)
-            model.svd = TruncatedSVD(k=cfg.svd_components, inputCol=self.output, outputCol=self.output).fit(tmp)
+            model.svd = TruncatedSVD(k=cfg.svd_components, inputCol=WIDE, outputCol=self.output).fit(model.transform(df))
+            model.state["output"] = self.output
         return model
 
 
@@ -164,7 +197,7 @@ def export_matrix(pre: PreprocessorModel, df: DataFrame, label: str, key: list[s
 def align_columns(df: DataFrame, expected: list[tuple[str, str]]) -> DataFrame:
     """Reorder to the training columns: missing → typed NULL, extra columns dropped."""
     have = set(df.columns)
-    return df.select(*[F.col(c).cast(t).alias(c) if c in have else F.lit(None).cast(t).alias(c) for c, t in expected])
+    return df.select(*[named(c).cast(t).alias(c) if c in have else F.lit(None).cast(t).alias(c) for c, t in expected])
 
 
 def feature_schema(df: DataFrame) -> DataFrame:

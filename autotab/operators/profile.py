@@ -10,10 +10,11 @@ import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import (BooleanType, ByteType, DateType, DecimalType, DoubleType, FloatType,
-                               IntegerType, LongType, NumericType, ShortType, StringType,
+from pyspark.sql.types import (ByteType, DateType, DecimalType, DoubleType, FloatType,
+                               IntegerType, LongType, ShortType, StringType,
                                TimestampNTZType, TimestampType)
 
+from ..functions.cleaning import named
 from ..functions.lookup import null_safe_join
 from ..functions.ranking import top_n_per_group
 
@@ -50,7 +51,7 @@ def null_counts(df: DataFrame, cols=None) -> DataFrame:
     """(column, n_null, null_frac) for every column, from one aggregate."""
     cols = list(cols or df.columns)
     agg = df.agg(F.count(F.lit(1)).alias("__n"),
-                 *[F.sum(F.col(c).isNull().cast("long")).alias(f"__c{i}") for i, c in enumerate(cols)])
+                 *[F.sum(named(c).isNull().cast("long")).alias(f"__c{i}") for i, c in enumerate(cols)])
     long = agg.select("__n", F.explode(F.array(*[F.struct(F.lit(c).alias("column"),
                                                           F.col(f"__c{i}").alias("n_null"))
                                                  for i, c in enumerate(cols)])).alias("e"))
@@ -77,16 +78,12 @@ def drop_sparse(df: DataFrame, target: str | None = None, threshold: float = 0.9
     return df.drop(*drop), drop
 
 
-def missing_indicator_columns(df: DataFrame, cols=None) -> list[str]:
-    return [r["column"] for r in null_counts(df, cols).where("n_null > 0").orderBy("column").collect()]
-
-
 # --- values -------------------------------------------------------------------
 
 def value_counts(df: DataFrame, cols: list[str], dropna: bool = True) -> DataFrame:
     """(column, value, count) with values rendered as text; combined map-side per value."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"),
-                                                  F.col(c).cast("string").alias("value"))
+                                                  named(c).cast("string").alias("value"))
                                          for c in cols])).alias("e")).select("e.*")
     if dropna:
         long = long.where(F.col("value").isNotNull())
@@ -105,8 +102,8 @@ def distinct_counts(df: DataFrame, cols: list[str], with_null: bool = False) ->
     """(column, n_distinct[, has_null]) from one aggregate."""
     aggs = [F.count(F.lit(1)).alias("__n")]
     for i, c in enumerate(cols):
-        aggs.append(F.count_distinct(F.col(c)).alias(f"__d{i}"))
-        aggs.append(F.max(F.col(c).isNull().cast("int")).alias(f"__z{i}"))
+        aggs.append(F.count_distinct(named(c)).alias(f"__d{i}"))
+        aggs.append(F.max(named(c).isNull().cast("int")).alias(f"__z{i}"))
     a = df.agg(*aggs)
     long = a.select("__n", F.explode(F.array(*[F.struct(F.lit(c).alias("column"),
                                                         F.col(f"__d{i}").alias("nd"),
@@ -116,6 +113,23 @@ def distinct_counts(df: DataFrame, cols: list[str], with_null: bool = False) ->
     return long.select("e.column", nd.cast("long").alias("n_distinct"), F.col("__n").alias("n_rows"))
 
 
+def at_least_distinct(df: DataFrame, cols: list[str], threshold: int, with_null: bool = False) -> dict[str, bool]:
+    """Whether each column has ``threshold`` distinct values or more. One sketch aggregate settles the columns
+    far from the threshold without shuffling a value; only those near it are counted, and they have few values."""
+    if not cols:
+        return {}
+    r = df.agg(*[F.approx_count_distinct(named(c)).alias(f"d{i}") for i, c in enumerate(cols)],
+               *[F.max(named(c).isNull().cast("int")).alias(f"z{i}") for i, c in enumerate(cols)]).first()
+    need = {c: threshold - (int(r[f"z{i}"] or 0) if with_null else 0) for i, c in enumerate(cols)}
+    out = {c: r[f"d{i}"] > 2 * threshold + 20 for i, c in enumerate(cols)}
+    near = [c for c in cols if not out[c]]
+    if near:
+        long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), named(c).cast("string").alias("value")) for c in near])).alias("e")).select("e.*")
+        n = {x["column"]: x["n"] for x in long.where(F.col("value").isNotNull()).distinct().groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+        out.update({c: n.get(c, 0) >= need[c] for c in near})
+    return out
+
+
 def id_like_columns(df: DataFrame, patterns=None, ratio: float = 0.9) -> DataFrame:
     """Columns whose name matches a pattern (case-insensitive search) and whose
     distinct share exceeds ``ratio``: (column, n_distinct, unique_ratio, is_id)."""
@@ -140,9 +154,9 @@ def column_roles(df: DataFrame, exclude=()) -> DataFrame:
     cats = categorical_columns(df, exclude)
     rows = [(c, "categorical", "categorical") for c in cats]
     if nums:
-        d = {r["column"]: r["n_distinct"] for r in distinct_counts(df, nums).collect()}
+        wide = at_least_distinct(df, nums, 3)
         for c in nums:
-            rows.append((c, "numeric", "binary" if c.startswith("MI__") or d[c] <= 2 else "continuous"))
+            rows.append((c, "numeric", "binary" if c.startswith("MI__") or not wide[c] else "continuous"))
     return _small_frame(spark, rows, "column string, kind string, role string")
 
 
@@ -150,30 +164,18 @@ def column_roles(df: DataFrame, exclude=()) -> DataFrame:
 DATE_TEXT = r"^\s*\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2}(\.\d+)?)?)?\s*$"
 
 
-def date_columns(df: DataFrame, key: str, sample: int = 200, share: float = 0.8) -> DataFrame:
-    """(column, parsed_frac, is_date): timestamp/date columns, or string columns where
-    more than ``share`` of a ``sample`` of non-null values (the first by md5(key)) parse."""
-    from ..functions.keys import row_hash
-    spark = df.sparkSession
-    rows = []
-    str_cols = []
-    for f in df.schema.fields:
-        if isinstance(f.dataType, (TimestampType, TimestampNTZType, DateType)):
-            rows.append((f.name, 1.0, 1))
-        elif isinstance(f.dataType, StringType):
-            str_cols.append(f.name)
-    res = _small_frame(spark, rows, "column string, parsed_frac double, is_date int")
-    if not str_cols:
-        return res
-    h = df.select(row_hash(key, seed=0).alias("__h"), F.col(key).alias("__k"), *str_cols)
-    long = h.select("__h", "__k", F.explode(F.array(*[F.struct(F.lit(c).alias("column"),
-                                                                F.col(c).alias("v")) for c in str_cols])).alias("e")) \
-            .select("__h", "__k", "e.column", "e.v").where(F.col("v").isNotNull())
-    smp = top_n_per_group(long, ["column"], [F.col("__h"), F.col("__k")], sample, spread_col="__k")
-    ok = (F.col("v").rlike(DATE_TEXT) & F.expr("try_to_timestamp(trim(v))").isNotNull()).cast("double")
-    agg = smp.groupBy("column").agg(F.avg(ok).alias("parsed_frac"))
-    return res.unionByName(agg.select("column", "parsed_frac",
-                                      (F.col("parsed_frac") > F.lit(share)).cast("int").alias("is_date")))
+def date_columns(df: DataFrame, share: float = 0.8) -> DataFrame:
+    """(column, parsed_frac, is_date): timestamp/date columns, or string columns where more than
+    ``share`` of all non-null values parse; one aggregate over the table."""
+    kinds = (TimestampType, TimestampNTZType, DateType)
+    rows = [(f.name, 1.0, 1) for f in df.schema.fields if isinstance(f.dataType, kinds)]
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
+    if texts:
+        ok = [F.avg(F.when(named(c).isNotNull(), (named(c).rlike(DATE_TEXT) & F.try_to_timestamp(F.trim(named(c))).isNotNull()).cast("double"))).alias(f"p{i}")
+              for i, c in enumerate(texts)]
+        r = df.agg(*ok).first()
+        rows += [(c, r[f"p{i}"], int(r[f"p{i}"] > share)) for i, c in enumerate(texts) if r[f"p{i}"] is not None]
+    return _small_frame(df.sparkSession, rows, "column string, parsed_frac double, is_date int")
 
 
 def group_like_columns(df: DataFrame, hints=None, max_ratio: float = 0.5) -> DataFrame:
@@ -194,8 +196,7 @@ def detect_task(df: DataFrame, target: str, override: str | None = None, max_cla
     """classification iff the target has ≤ max_classes distinct non-null values."""
     if override in ("classification", "regression"):
         return override
-    n = df.agg(F.count_distinct(F.col(target)).alias("d")).first()["d"]
-    return "classification" if n <= max_classes else "regression"
+    return "regression" if at_least_distinct(df, [target], max_classes + 1)[target] else "classification"
 
 
 def detect_task_relative(df: DataFrame, target: str, override: str | None = None) -> str:
@@ -205,7 +206,7 @@ def detect_task_relative(df: DataFrame, target: str, override: str | None = None
     f = df.schema[target]
     if not isinstance(f.dataType, NUMERIC_TYPES):
         return "classification"
-    r = df.agg(F.count_distinct(F.col(target)).alias("d"), F.count(F.lit(1)).alias("n")).first()
+    r = df.agg(F.count_distinct(named(target)).alias("d"), F.count(F.lit(1)).alias("n")).first()
     return "classification" if r["d"] <= max(20, int(0.05 * r["n"])) else "regression"
 
 
@@ -224,7 +225,7 @@ def task_table(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def class_counts(df: DataFrame, target: str) -> DataFrame:
     """(label, n) with NULL counted as its own class."""
-    return df.groupBy(F.col(target).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    return df.groupBy(named(target).alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def class_imbalance(df: DataFrame, target: str) -> DataFrame:
@@ -255,7 +256,7 @@ def skewness(df: DataFrame, cols=None, threshold: float = 1.0) -> DataFrame:
     cols = list(cols or numeric_columns(df))
     aggs = []
     for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
+        x = named(c).cast("double")
         aggs += [F.skewness(x).alias(f"__s{i}"), F.count(x).alias(f"__n{i}"), F.var_pop(x).alias(f"__v{i}")]
     a = df.agg(*aggs)
     long = a.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"__s{i}").alias("g"),
@@ -286,7 +287,7 @@ def correlation_matrix(df: DataFrame, cols=None) -> DataFrame:
     for a, b in pairs:
         if a < b:
             idx[(a, b)] = len(idx)
-    aggs = [F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"__r{i}") for (a, b), i in idx.items()]
+    aggs = [F.corr(named(a).cast("double"), named(b).cast("double")).alias(f"__r{i}") for (a, b), i in idx.items()]
     r = df.agg(*aggs)
     structs = []
     for a, b in pairs:
@@ -324,15 +325,8 @@ def rare_categories(df: DataFrame, cols=None, min_freq: float = 0.01, min_count:
 
 
 def dtype_counts(df: DataFrame) -> dict[str, int]:
+    """Columns per type name."""
     out: dict[str, int] = {}
     for _, t in df.dtypes:
         out[t] = out.get(t, 0) + 1
     return out
-
-
-def is_boolean(df: DataFrame, c: str) -> bool:
-    return isinstance(df.schema[c].dataType, BooleanType)
-
-
-def is_numeric(df: DataFrame, c: str) -> bool:
-    return isinstance(df.schema[c].dataType, NumericType) and not isinstance(df.schema[c].dataType, BooleanType)

@@ -32,11 +32,6 @@ def kfold(df: DataFrame, key: list[str], k: int = 5, seed: int = 42, out: str =
     return r.withColumn(out, (F.col("__rank") % k).cast("int")).drop("__h", "__rank")
 
 
-def hash_fold(df: DataFrame, key: list[str], k: int = 5, seed: int = 42, out: str = "fold") -> DataFrame:
-    """Shuffle-free fold: md5(key#seed) mod k (sizes only approximately equal)."""
-    return df.withColumn(out, F.pmod(row_hash(*key, seed=seed), F.lit(k)).cast("int"))
-
-
 def stratified_split(df: DataFrame, label: str, key: list[str], valid_frac: float = 0.2, seed: int = 42,
                      out: str = "is_valid") -> DataFrame:
     """Per class, the first ceil(valid_frac·n_class) rows in md5 order are validation rows."""
@@ -46,12 +41,6 @@ def stratified_split(df: DataFrame, label: str, key: list[str], valid_frac: floa
 
 
 def sample_rows(df: DataFrame, key: list[str], n: int, seed: int = 42) -> DataFrame:
-    """Exactly min(n, rows) rows: the first n by md5(key#seed), ranked without one global sort."""
-    r = _ranked(df, key, seed, None)
-    return r.where(F.col("__rank") < n).drop("__h", "__rank")
-
-
-def nested_fraction(df: DataFrame, key: list[str], frac: float, seed: int = 42) -> DataFrame:
-    """Nested random subset (frac1 < frac2 ⇒ subset): rows whose md5 unit draw < frac."""
-    from ..functions.keys import unit_uniform
-    return df.where(unit_uniform(*key, seed=seed) < F.lit(float(frac)))
+    """Exactly min(n, rows) rows: the first n by md5(key#seed). Spark plans it as a top-n, so each task
+    passes on n rows at most."""
+    return df.withColumn("__h", row_hash(*key, seed=seed)).orderBy("__h", *key).limit(n).drop("__h")

@@ -4,12 +4,15 @@ The d×d Gram matrix XᵀX is assembled from JVM-side statistics — Pearson
 correlations (``ml.stat.Correlation``), per-column means and sample standard
 deviations (``ml.stat.Summarizer``): XᵀX = (n−1)·D·R·D + n·μμᵀ. Its
 eigen-decomposition on the driver (d×d, bounded by the feature count) gives V and
-the singular values; projection x·V_k runs as array expressions.
+the singular values; projection x·V_k is one matrix product per Arrow batch.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.ml import Estimator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Correlation, Summarizer
@@ -58,7 +61,11 @@ class TruncatedSVDModel(_Fitted):
         return len(self.state["components"])
 
     def _transform(self, df):
-        x = vector_to_array(F.col(self.state["inputCol"]))
-        proj = [F.aggregate(F.zip_with(x, F.array(*[F.lit(c) for c in comp]), lambda a, b: a * b),
-                            F.lit(0.0), lambda acc, v: acc + v) for comp in self.state["components"]]
-        return df.withColumn(self.state["outputCol"], array_to_vector(F.array(*proj)))
+        v = np.array(self.state["components"]).T
+
+        def project(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for x in batches:
+                yield pd.Series(list(np.stack(x.to_numpy()) @ v)) if len(x) else pd.Series([], dtype=object)
+
+        out = F.pandas_udf(project, "array<double>")(vector_to_array(F.col(self.state["inputCol"])))
+        return df.withColumn(self.state["outputCol"], array_to_vector(out))

@@ -1,34 +1,74 @@
 """Full training run: clean → profile → plan → per-model CV search → OOF metrics →
-leaderboard → blend / calibrate → refit → report."""
+leaderboard → blend / early stop / calibrate → refit → report and files."""
 
 from __future__ import annotations
 
-import json
 import logging
 import time
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cleaning import clean_frame
-from ..plans.config import SystemConfig
-from ..plans.plan import build_auto_plan, plan_profile
-from ..plans.registry import registry
+from ..functions.cleaning import clean_frame, named
+from ..plans.options import plain
+from ..plans.plan import TrainingPlan, make_plan, plan_profile
+from ..plans.registry import FAMILIES
 from ..session import cut_lineage
+from ..sources.sinks import save_bundle, write_json, write_table
 from ..sources.tables import strip_column_names
 from . import metrics as M
 from . import profile as P
-from .calibrate import calibrate
+from .calibrate import calibrate, gbt_early_stop
+from .ensemble import BlendModel, Member, blend_scored
 from .features import MissingIndicators
 from .labels import encode_target, index_labels
-from .models import feature_importance, fit_model, model_context, scored_frame
-from .preprocess import Preprocessor
-from .search import folds_of_matrix, leaderboard_frame, oof_predictions, prepare_folds, release, search
-from .split import kfold, stratified_folds
+from .models import feature_importance, fit_model, model_context
+from .preprocess import Preprocessor, PreprocessOptions, feature_schema
+from .search import SearchOptions, SearchResult, folds_of_matrix, leaderboard_frame, oof_predictions, prepare_folds, release, search
+from .smote import smote
+from .split import kfold, sample_rows, stratified_folds
 
 log = logging.getLogger("autotab")
+LABEL, FOLD, WEIGHT = "__label", "__fold", "__w"
+
+
+@dataclass(frozen=True)
+class DataOptions:
+    target: str | None = None
+    key: tuple[str, ...] = ()                 # stable row key: folds and samples hang on it
+    features: tuple[str, ...] | None = None
+    drop_id_like: bool = True
+    id_patterns: tuple[str, ...] = tuple(P.ID_PATTERNS)
+    high_na_threshold: float = 0.95
+    sample_rows: int | None = None
+    leak_columns: tuple[str, ...] = ()
+
+
+@dataclass(frozen=True)
+class TrainOptions:
+    task: str | None = None
+    model_names: tuple[str, ...] | None = None
+    include_mlp: bool = False
+    class_weight: str | None = None
+    resample: bool | None = None              # None: the plan decides
+    primary_metric: str | None = None
+    search_strategy: str | None = None        # "random" or "halving"
+    auto_plan: bool = True                    # may the profile decide what is not set?
+    calibrate: bool = True
+    ensemble_top_n: int = 1
+    early_stopping: bool = False
+    early_stopping_rounds: int = 200
+    output_dir: str | None = None
+
+
+@dataclass(frozen=True)
+class RunOptions:
+    data: DataOptions = field(default_factory=DataOptions)
+    preprocess: PreprocessOptions = field(default_factory=PreprocessOptions)
+    cv: SearchOptions = field(default_factory=SearchOptions)
+    train: TrainOptions = field(default_factory=TrainOptions)
 
 
 @dataclass
@@ -38,42 +78,47 @@ class TrainedBundle:
     target: str
     expected: list[tuple[str, str]]
     indicators: object
-    pre: object
-    model: object
-    model_name: str
+    members: list[Member]
     calibrated: object | None = None
     labels_info: dict = field(default_factory=dict)
     n_classes: int | None = None
 
+    @property
+    def model_name(self) -> str:
+        return "+".join(m.name for m in self.members)
+
     def score(self, df: DataFrame) -> DataFrame:
-        """Scored frame (key, y?, y_pred, proba, score) for aligned, cleaned input."""
+        """Scored frame (key, y, y_pred, proba, score) for aligned, cleaned input; y is NULL without labels."""
         d = self.indicators.transform(df)
-        x = self.pre.transform(d)
-        has_y = "label" in x.columns
-        if not has_y:
-            x = x.withColumn("label", F.lit(None).cast("double"))
-        if self.calibrated is not None:
-            out = self.calibrated.transform(x)
-            return out.select(*self.key, F.col("label").cast("int").alias("y"), F.col("prediction").cast("int").alias("y_pred"),
-                              "proba", F.element_at("proba", 2).alias("score"))
-        return scored_frame(self.model.transform(x), self.task, keep=self.key)
+        if len(self.members) > 1:
+            return BlendModel(self.members, None, self.task).score(d, self.key)
+        only = self.members[0]
+        if self.calibrated is None:
+            return only.score(d, self.task, self.key)
+        x = only.pre.transform(d)
+        x = x if "label" in x.columns else x.withColumn("label", F.lit(None).cast("double"))
+        return self.calibrated.transform(x).select(*self.key, F.col("label").cast("int").alias("y"), F.col("prediction").cast("int").alias("y_pred"),
+                                                   "proba", F.element_at("proba", 2).alias("score"))
 
 
 @dataclass
 class TrainResult:
     report: dict
     leaderboard: DataFrame
-    oof: DataFrame | None
+    oof: DataFrame
     bundle: TrainedBundle
     importances: list
+    plan: TrainingPlan
 
 
-def prepare_training_frame(df: DataFrame, cfg: SystemConfig):
-    """Name trim, blank → NULL, target check, sparse / feature / ID / leak column drops."""
-    dc = cfg.data
+def prepare_training_frame(df: DataFrame, opts: RunOptions):
+    """Name trim, blank → NULL, target check, row sample, sparse / feature / ID / leak column drops."""
+    dc = opts.data
     d = clean_frame(strip_column_names(df))
     if dc.target not in d.columns:
         raise ValueError(f"target column {dc.target!r} not in columns: {d.columns}")
+    if dc.sample_rows:
+        d = sample_rows(d, list(dc.key), dc.sample_rows, opts.cv.random_state)
     d, dropped_sparse = P.drop_sparse(d, dc.target, dc.high_na_threshold)
     feats = [c for c in d.columns if c != dc.target and c not in dc.key]
     if dc.features is not None:
@@ -83,155 +128,207 @@ def prepare_training_frame(df: DataFrame, cfg: SystemConfig):
         feats = list(dc.features)
     dropped_id = []
     if dc.drop_id_like and dc.id_patterns:
-        ids = P.id_like_columns(d.select(*feats), dc.id_patterns).where("is_id = 1").collect()
+        ids = P.id_like_columns(d.select(*map(named, feats)), dc.id_patterns).where("is_id = 1").collect()
         dropped_id = [r["column"] for r in ids]
     feats = [c for c in feats if c not in dropped_id and c not in dc.leak_columns]
-    nnull = d.where(F.col(dc.target).isNull()).count()
+    nnull = d.where(named(dc.target).isNull()).count()
     if nnull:
         log.warning("dropping %d rows with NULL target", nnull)
-        d = d.where(F.col(dc.target).isNotNull())
+        d = d.where(named(dc.target).isNotNull())
     info = {"dropped_sparse": dropped_sparse, "dropped_id_like": dropped_id, "null_target_rows": nnull}
-    return d.select(*dc.key, dc.target, *feats), feats, info
-
-
-def _family_kind(family: str, cfg: SystemConfig) -> tuple:
-    return (family in (cfg.preprocess.scale_for or []), family in (cfg.preprocess.one_hot_for or []))
-
-
-def train_system(df: DataFrame, cfg: SystemConfig, budget_scale: float = 1.0) -> TrainResult:
-    spark = df.sparkSession
-    t0 = time.time()
-    dc = cfg.data
-    if not dc.key:
-        raise ValueError("a stable row key (cfg.data.key) is required")
-    d, feats, info = prepare_training_frame(df, cfg)
-    task = P.detect_task(d, dc.target, cfg.train.task)
-    if task == "regression" and not isinstance(d.schema[dc.target].dataType, P.NUMERIC_TYPES):
-        k = d.agg(F.count_distinct(dc.target).alias("k")).first()["k"]
-        if k <= 20:
-            task = "classification"
-    mapping_df = None
-    if task == "classification":
-        if isinstance(d.schema[dc.target].dataType, P.NUMERIC_TYPES):
-            d, mapping_df = index_labels(d, dc.target, out="__label")
-        else:
-            d, mapping_df = encode_target(d, dc.target, out="__label")
-    else:
-        d = d.withColumn("__label", F.col(dc.target).cast("double"))
-    mapping = {r["label"]: r["index"] for r in mapping_df.collect()} if mapping_df is not None else None
-    ind = MissingIndicators(cols=feats).fit(d)
-    d = ind.transform(d)
-    feats = feats + [f"MI__{c}" for c in ind.state["cols"]]
+    return d.select(*map(named, [*dc.key, dc.target, *feats])), feats, info
+
+
+def label_column(d: DataFrame, target: str, override: str | None):
+    """(frame with LABEL, task, mapping label → index or None)."""
+    task = P.detect_task(d, target, override)
+    numeric = isinstance(d.schema[target].dataType, P.NUMERIC_TYPES)
+    if task == "regression" and numeric:
+        return d.withColumn(LABEL, named(target).cast("double")), task, None
+    d, m = index_labels(d, target, out=LABEL) if numeric else encode_target(d, target, out=LABEL)
+    return d, "classification", {r["label"]: r["index"] for r in m.collect()}
+
+
+def training_rows(x: DataFrame, plan: TrainingPlan, key: list[str], seed: int) -> DataFrame:
+    return smote(x, "label", key, seed=seed).drop("synthetic", "copy") if plan.resample else x
+
+
+def train_system(df: DataFrame, opts: RunOptions) -> TrainResult:
+    spark, t0, key = df.sparkSession, time.time(), list(opts.data.key)
+    if not key:
+        raise ValueError("a stable row key (data.key) is required")
+    d, feats, info = prepare_training_frame(df, opts)
+    d, task, mapping = label_column(d, opts.data.target, opts.train.task)
+    indicators = MissingIndicators(cols=feats).fit(d)
+    expected = [(c, t) for c, t in d.dtypes if c in {*feats, opts.data.target, *key}]
+    d = indicators.transform(d)
+    feats = feats + [f"MI__{c}" for c in indicators.state["cols"]]
     d = d.persist(StorageLevel.MEMORY_AND_DISK)
-    profile = plan_profile(d.select(*feats), d, "__label", cfg.preprocess.high_card_threshold)
-    n_classes = None
-    if task == "classification":
-        n_classes = int(d.agg(F.max("__label")).first()[0]) + 1
-    plan = build_auto_plan(profile, cfg, task, n_classes)
-    metric = plan.primary_metric
-    folds_col = "__fold"
-    if task == "classification":
-        d = stratified_folds(d, "__label", dc.key, cfg.cv.folds, cfg.cv.random_state, out=folds_col)
-    else:
-        d = kfold(d, dc.key, cfg.cv.folds, cfg.cv.random_state, out=folds_col)
-    weight_col = None
-    if task == "classification" and plan.class_weight == "balanced":
-        d = P.balanced_weights(d, "__label", out="__w")
-        weight_col = "__w"
+    profile = plan_profile(d.select(*map(named, feats)), d, LABEL, opts.preprocess.high_card_threshold)
+    n_classes = len(mapping) if mapping is not None else None
+    plan = make_plan(profile, opts, task, n_classes)
+    d = stratified_folds(d, LABEL, key, opts.cv.folds, opts.cv.random_state, out=FOLD) if n_classes else kfold(d, key, opts.cv.folds, opts.cv.random_state, out=FOLD)
+    # synthetic rows make the classes alike, so row weights are for runs without them
+    weighted = plan.class_weight == "balanced" and not plan.resample
+    if weighted:
+        d = P.balanced_weights(d, LABEL, out=WEIGHT)
     # the prepared training table (clean, labels, indicators, folds, weights) is written once
     # to the shared checkpoint folder: every fold, candidate and refit reads it with a short
     # plan, and a lost executor recomputes from here instead of from the raw input
     prepared = cut_lineage(d)
     d.unpersist()
-    d = prepared
-    reg = registry(task, profile["n_samples"])
-    results, fold_cache, oofs = [], {}, {}
-    sel_k = plan.preprocess["select_k_best"] if cfg.preprocess.select_k_best not in (None, 0) else None
-    for name in plan.model_names:
-        spec = reg[name]
-        kind = _family_kind(spec.family, cfg)
-        if kind not in fold_cache:
-            fold_cache[kind] = prepare_folds(d, dc.key, "__label", feats, spec.family, task, cfg.cv.folds,
-                                             folds_col, weight_col if spec.supports_weight else None,
-                                             cfg.preprocess, sel_k, cut=False)
-        folds = fold_cache[kind]
-        n_iter = max(1, int(round(plan.model_iters[name] * budget_scale)))
-        ts = time.time()
-        res = search(spec, folds, task, dc.key, metric, n_iter, plan.search_strategy, cfg.cv.random_state,
-                     cfg.cv.parallelism)
-        if res.oof is None:
-            res.oof = oof_predictions(spec, res.best_params, folds, task, dc.key).persist(StorageLevel.MEMORY_AND_DISK)
-        oofs[name] = res.oof
-        res.seconds = time.time() - ts
-        results.append(res)
-    results.sort(key=lambda r: -r.best_score)
+    pre_opts = replace(opts.preprocess, power_transform=opts.preprocess.power_transform if plan.preprocess["power_transform"] else False)
+    run = Run(opts, plan, prepared, feats, key, task, weighted, pre_opts, n_classes)
+    results = run.search_all()
     best = results[0]
-    best_spec = reg[best.model]
-    kind = _family_kind(best_spec.family, cfg)
-    metrics_best = oof_metrics(best.oof, task, n_classes)
-    # refit the winner on all rows
-    pre = Preprocessor(feats, best_spec.family, task, cfg.preprocess, target="__label", select_k=sel_k).fit(d)
-    allx = pre.transform(d).select(*dc.key, F.col("__label").alias("label"), folds_col,
-                                   *([weight_col] if weight_col and best_spec.supports_weight else []), "features")
-    allx = allx.persist(StorageLevel.MEMORY_AND_DISK)
-    ctx = model_context(allx, task, len(pre.feature_names), weight_col if best_spec.supports_weight else None)
-    model = fit_model(best_spec, best.best_params, allx, ctx)
-    calibrated = None
-    one_vs_rest = best_spec.family == "gbt" and (n_classes or 2) > 2  # margins only, no probabilities
-    if task == "classification" and cfg.train.calibrate and best_spec.probabilistic and not one_vs_rest:
-        cal_folds = folds_of_matrix(allx, folds_col, cfg.cv.folds, task, len(pre.feature_names),
-                                    weight_col if best_spec.supports_weight else None)
-        calibrated = calibrate(best_spec, best.best_params, cal_folds)
-    importances = feature_importance(model, pre.feature_names)
-    expected = [(c, t) for c, t in df.dtypes if c in set(feats) | {dc.target} | set(dc.key)]
-    labels_info = {"mapping": mapping, "classes": sorted(mapping, key=mapping.get) if mapping else None}
-    bundle = TrainedBundle(task, list(dc.key), dc.target, expected, ind, pre, model, best.model, calibrated,
-                           labels_info, n_classes)
-    lb = leaderboard_frame(spark, results)
+    chosen = results[:plan.ensemble_top_n]
+    members, calibrated, importances = run.refit(chosen)
+    oof = best.oof if len(chosen) == 1 else run.blend_oof(chosen)
+    bundle = TrainedBundle(task, key, opts.data.target, expected, indicators, members, calibrated,
+                           {"mapping": mapping, "classes": sorted(mapping, key=mapping.get) if mapping else None}, n_classes)
+    board = leaderboard_frame(spark, results)
     report = {
-        "task": task, "primary_metric": metric,
-        "best_models": [{"model": r.model, "family": reg[r.model].family, "cv_primary_score": r.best_score,
-                         "params": r.best_params,
-                         "metrics": metrics_best if r is best else None} for r in results],
-        "labels_info": labels_info, "plan": plan.to_dict(), "cleaning": info,
-        "n_features_in": len(feats), "n_features_out": len(pre.feature_names), "seconds": time.time() - t0,
+        "task": task, "primary_metric": plan.primary_metric, "final_model": bundle.model_name,
+        "best_models": [{"model": r.model, "family": r.model, "cv_primary_score": r.best_score, "params": r.best_params,
+                         "metrics": oof_metrics(r.oof, task, n_classes)} for r in results],
+        "metrics": oof_metrics(oof, task, n_classes), "labels_info": bundle.labels_info, "plan": plan.to_dict(), "cleaning": info,
+        "resampled": plan.resample, "early_stopping_rounds": run.rounds, "n_features_in": len(feats),
+        "n_features_out": sum(len(m.pre.feature_names) for m in members), "seconds": time.time() - t0,
     }
-    for kind_folds in fold_cache.values():
-        release(kind_folds)
-    d.unpersist()
-    allx.unpersist()
-    if cfg.train.output_dir:
-        write_artifacts(spark, cfg.train.output_dir, report, lb, best.oof, importances)
-    return TrainResult(report, lb, best.oof, bundle, importances)
+    result = TrainResult(report, board, oof, bundle, importances, plan)
+    if calibrated is not None:
+        scored = bundle.score(prepared.withColumn("label", F.col(LABEL).cast("double"))).persist(StorageLevel.MEMORY_AND_DISK)
+        report["calibrated_in_sample"] = quality_of_scores(scored, n_classes)
+        scored.unpersist()
+    if opts.train.output_dir:
+        write_run(spark, opts, result, expected)
+    return result
+
+
+@dataclass
+class Run:
+    """What the steps of one run share."""
+
+    opts: RunOptions
+    plan: TrainingPlan
+    rows: DataFrame
+    feats: list[str]
+    key: list[str]
+    task: str
+    weighted: bool
+    pre_opts: PreprocessOptions
+    n_classes: int | None
+    rounds: int | None = None
+
+    @property
+    def select_k(self) -> int | None:
+        return self.plan.preprocess["select_k_best"] if self.opts.preprocess.select_k_best not in (None, 0) else None
+
+    def family(self, name: str):
+        return FAMILIES[self.task][name]
+
+    def weight_of(self, name: str) -> str | None:
+        return WEIGHT if self.weighted and self.family(name).weighted else None
+
+    def needs(self, name: str) -> tuple:
+        """Models with equal needs share their folds."""
+        return name in (self.pre_opts.scale_for or ()), name in (self.pre_opts.one_hot_for or ()), self.weight_of(name)
+
+    def search_all(self) -> list[SearchResult]:
+        """One kind of folds at a time; its matrices go before the next kind is prepared."""
+        cv, out = self.opts.cv, []
+        for needs in dict.fromkeys(map(self.needs, self.plan.model_names)):
+            names = [n for n in self.plan.model_names if self.needs(n) == needs]
+            folds = prepare_folds(self.rows, self.key, LABEL, self.feats, names[0], self.task, cv.folds, FOLD, needs[2], self.pre_opts,
+                                  self.select_k, cut=False, resample=self.plan.resample, seed=cv.random_state)
+            for name in names:
+                began = time.time()
+                res = search(self.family(name), folds, self.task, self.key, self.plan.primary_metric, self.plan.model_iters[name],
+                             self.plan.search_strategy, cv.random_state, cv.parallelism, cv.halving_factor)
+                kept = cut_lineage(res.oof if res.oof is not None else oof_predictions(self.family(name), res.best_params, folds, self.task, self.key))
+                if res.oof is not None:
+                    res.oof.unpersist()
+                res.oof, res.seconds = kept, time.time() - began
+                out.append(res)
+                if self.opts.train.output_dir:
+                    write_json(self.rows.sparkSession, f"{self.opts.train.output_dir.rstrip('/')}/partial/{name}",
+                               {"model": name, "params": res.best_params, "cv_primary_score": res.best_score, "seconds": res.seconds})
+            release(folds)
+        return sorted(out, key=lambda r: -r.best_score)
+
+    def refit(self, chosen: list[SearchResult]) -> tuple[list[Member], object | None, list]:
+        """Members fitted on all rows, the calibration of a single one, importances of the first."""
+        members, calibrated, importances = [], None, []
+        for res in chosen:
+            spec, weight = self.family(res.model), self.weight_of(res.model)
+            pre = Preprocessor(self.feats, res.model, self.task, self.pre_opts, target=LABEL, select_k=self.select_k).fit(self.rows)
+            x = pre.transform(self.rows).select(*self.key, F.col(LABEL).cast("double").alias("label"), FOLD, *([weight] if weight else []), "features")
+            x = x.persist(StorageLevel.MEMORY_AND_DISK)
+            train = training_rows(x, self.plan, self.key, self.opts.cv.random_state)
+            ctx = model_context(train, self.task, len(pre.feature_names), weight)
+            many = res.model == "gbt" and (self.n_classes or 2) > 2  # margins only, no probabilities
+            if self.plan.early_stopping and res.model == "gbt" and not many:
+                params = {k: v for k, v in res.best_params.items() if k != "maxIter"}
+                model, self.rounds = gbt_early_stop(x, self.key, self.task, max_iter=self.opts.train.early_stopping_rounds, train_rows=train, **params)
+            else:
+                model = fit_model(spec, res.best_params, train, ctx)
+            members.append(Member(res.model, pre, model))
+            if not importances:
+                importances = feature_importance(model, pre.feature_names)
+            if len(chosen) == 1 and self.plan.do_calibration and spec.proba and not many:
+                calibrated = calibrate(spec, res.best_params, folds_of_matrix(x, FOLD, self.opts.cv.folds, self.task, len(pre.feature_names), weight))
+            x.unpersist()
+        return members, calibrated, importances
+
+    def blend_oof(self, chosen: list[SearchResult]) -> DataFrame:
+        col = "proba" if self.n_classes else "y_pred"
+        mean = blend_scored([r.oof for r in chosen], self.key, None, self.task, col)
+        d = mean.join(chosen[0].oof.select(*self.key, "y", "fold"), self.key)
+        return cut_lineage(d.withColumn("y_pred", F.col("y_pred").cast("int")).withColumn("score", F.element_at("proba", 2)) if self.n_classes else d)
+
+
+def quality_of_scores(scored: DataFrame, n_classes: int | None) -> dict:
+    if (n_classes or 2) == 2:
+        return {"brier": M.brier(scored, "y", "score").first()[0], "log_loss": M.log_loss_binary(scored, "y", "score").first()["log_loss"]}
+    return {"log_loss": M.log_loss_multi(scored, "y", "proba").first()["log_loss"]}
 
 
 def oof_metrics(oof: DataFrame, task: str, n_classes: int | None) -> dict:
     if task == "regression":
         r = M.regression_metrics(oof, "y", "y_pred").first()
         return {"rmse": r["rmse"], "mae": r["mae"], "r2": r["r2"]}
-    out = {"accuracy": M.accuracy(oof).first()["accuracy"], "f1_macro": M.f1_macro(oof).first()["f1_macro"]}
+    out = {"accuracy": M.accuracy(oof).first()["accuracy"], "f1_macro": M.f1_macro(oof).first()["f1_macro"]} | quality_of_scores(oof, n_classes)
     if (n_classes or 2) == 2:
         out["roc_auc"] = M.roc_auc(oof, "y", "score").first()["roc_auc"]
         out["avg_precision"] = M.average_precision(oof, "y", "score").first()["avg_precision"]
-        out["log_loss"] = M.log_loss_binary(oof, "y", "score").first()["log_loss"]
+        out["best_f1_threshold"] = M.best_threshold_f1(oof, "y", "score").first()["threshold"]
+        out["youden_threshold"] = M.best_threshold_youden(oof, "y", "score").first()["threshold"]
     else:
         out["roc_auc_ovr"] = M.roc_auc_ovr(oof, "y", "proba").first()["roc_auc_ovr"]
-        out["log_loss"] = M.log_loss_multi(oof, "y", "proba").first()["log_loss"]
     return out
 
 
-def write_artifacts(spark, out_dir: str, report: dict, lb: DataFrame, oof: DataFrame | None, importances):
-    """Report JSON (as a one-line text file), leaderboard, OOF predictions and importances;
-    any Hadoop file system path works."""
-    base = out_dir.rstrip("/")
-    spark.createDataFrame([(json.dumps(report, default=str),)], "value string").coalesce(1) \
-        .write.mode("overwrite").text(f"{base}/report")
-    lb.coalesce(1).write.mode("overwrite").json(f"{base}/leaderboard")
-    if oof is not None:
-        o = oof
-        if "proba" in o.columns:
-            o = o.withColumn("proba", F.col("proba"))
-        o.write.mode("overwrite").parquet(f"{base}/oof_predictions")
-    if importances:
-        spark.createDataFrame(importances, "feature string, importance double").coalesce(1) \
-            .write.mode("overwrite").json(f"{base}/feature_importance")
+def oof_table(oof: DataFrame, n_classes: int | None) -> DataFrame:
+    """y_true, y_pred and, for classes, proba_0 .. proba_{K-1}."""
+    proba = [F.element_at("proba", j + 1).alias(f"proba_{j}") for j in range(n_classes or 0)]
+    return oof.select(F.col("y").alias("y_true"), "y_pred", *proba)
+
+
+def write_run(spark, opts: RunOptions, result: TrainResult, expected: list[tuple[str, str]]) -> None:
+    """Everything a later session needs: options, feature schema, target mapping, plan, report, leaderboard, OOF
+    predictions, importances, a readme and the bundle itself; any Hadoop file system path works."""
+    base, b = opts.train.output_dir.rstrip("/"), result.bundle
+    write_json(spark, f"{base}/options", plain(opts))
+    write_json(spark, f"{base}/target_mapping", b.labels_info)
+    write_json(spark, f"{base}/plan", result.plan.to_dict())
+    write_json(spark, f"{base}/report", result.report)
+    write_table(feature_schema(spark.createDataFrame([], ", ".join(f"`{c}` {t}" for c, t in expected))).coalesce(1), f"{base}/features_schema", "json")
+    write_table(result.leaderboard.coalesce(1), f"{base}/leaderboard", "json")
+    write_table(oof_table(result.oof, b.n_classes), f"{base}/oof_predictions")
+    if result.importances:
+        write_table(spark.createDataFrame(result.importances, "feature string, importance double").coalesce(1), f"{base}/feature_importance", "json")
+    lines = [f"task: {b.task}", f"target: {b.target}", f"final model: {b.model_name}", f"primary metric: {result.plan.primary_metric}",
+             *(f"{k}: {v}" for k, v in result.report["metrics"].items())]
+    write_table(spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1), f"{base}/readme", "text")
+    save_bundle(spark, b, f"{base}/bundle")
+

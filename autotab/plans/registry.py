@@ -1,184 +1,133 @@
-"""Model registry: Spark ML estimators with search spaces.
+"""Model families: for every task the builders of Spark ML estimators, their search spaces and budgets.
 
-The reference's three boosting libraries share one role here: Spark's GBT
-(multiclass through one-vs-rest). Tree counts are scaled to values that make
-sense for distributed training.
+A builder takes (params, ctx) and returns an unfitted estimator; ``ctx`` holds the sizes that some of
+them need (rows, weight sum, classes, features). Boosting is Spark's GBT, one-vs-rest beyond two classes.
 """
 
 from __future__ import annotations
 
 import hashlib
 import itertools
-from dataclasses import dataclass, field
-from typing import Any, Callable
+import math
+from collections.abc import Callable
+from dataclasses import dataclass
+from typing import Any
 
-from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
-                                       OneVsRest, RandomForestClassifier)
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 
-
-@dataclass
-class ModelSpec:
-    name: str
-    task: str
-    family: str
-    build: Callable[..., Any]            # build(params, ctx) -> Spark estimator
-    space: dict[str, list] = field(default_factory=dict)
-    supports_weight: bool = True
-    probabilistic: bool = True
-    boosting: bool = False
+COLUMNS = {"featuresCol": "features", "labelCol": "label"}
+SEED = 42
 
 
-def size_bucket(n_samples: int | None) -> str:
-    n = int(n_samples or 0)
-    return "large" if n >= 100_000 else "medium" if n >= 10_000 else "small"
+@dataclass(frozen=True)
+class Family:
+    name: str
+    build: Callable[[dict, dict], Any]
+    space: dict[str, list]
+    share: float                 # of the search budget, relative to the other families
+    weighted: bool = True        # takes row weights
+    proba: bool = True           # gives class probabilities
+    most_draws: int | None = None
+    offered: bool = True         # a candidate unless asked for by name
 
 
-def _rf_space(bucket: str) -> dict[str, list]:
-    trees = {"small": [50, 100, 150], "medium": [100, 150, 200], "large": [150, 200, 300]}[bucket]
-    return {"numTrees": trees, "maxDepth": [6, 10, 16], "minInstancesPerNode": [1, 2, 4],
-            "featureSubsetStrategy": ["sqrt", "log2", "all"]}
+FAMILIES: dict[str, dict[str, Family]] = {"classification": {}, "regression": {}}
 
 
-def _gbt_space(bucket: str) -> dict[str, list]:
-    iters = {"small": [30, 60, 100], "medium": [60, 100, 150], "large": [100, 150, 200]}[bucket]
-    return {"maxIter": iters, "maxDepth": [3, 5, 7], "stepSize": [0.05, 0.1, 0.2],
-            "subsamplingRate": [0.7, 0.85, 1.0]}
+def family(task: str, name: str, space: dict[str, list], share: float, **traits):
+    def add(build):
+        FAMILIES[task][name] = Family(name, build, space, share, **traits)
+        return build
+    return add
 
 
-def _w(ctx) -> dict:
-    """weightCol only when a weight column is in use (None would be passed to the JVM as null)."""
+def row_weights(ctx: dict) -> dict:
+    """weightCol only where one is in use (None would reach the JVM as null)."""
     return {"weightCol": ctx["weight_col"]} if ctx.get("weight_col") else {}
 
 
-def _logistic(params, ctx):
-    c = float(params.get("C", 1.0))
-    wsum = float(ctx.get("weight_sum") or ctx.get("n_rows") or 1.0)
-    return LogisticRegression(featuresCol="features", labelCol="label", **_w(ctx),
-                              regParam=1.0 / (c * wsum), elasticNetParam=0.0, standardization=False,
-                              maxIter=int(params.get("maxIter", 100)), family="auto")
+FOREST = {"numTrees": [50, 100, 200], "maxDepth": [6, 10, 16], "minInstancesPerNode": [1, 2, 4], "featureSubsetStrategy": ["sqrt", "log2", "all"]}
+BOOSTING = {"maxIter": [30, 60, 100], "maxDepth": [3, 5, 7], "stepSize": [0.05, 0.1, 0.2], "subsamplingRate": [0.7, 0.85, 1.0]}
+#: Boosting fits take the longest, so no search draws more of them.
+BOOSTING_DRAWS = 12
 
 
-def _elasticnet(params, ctx):
-    alpha, l1 = float(params.get("alpha", 1.0)), float(params.get("l1_ratio", 0.5))
-    std_y = float(ctx.get("std_y") or 1.0)
-    a, b = alpha * l1, alpha * (1 - l1) * std_y
-    reg = a + b
-    return LinearRegression(featuresCol="features", labelCol="label", **_w(ctx),
-                            regParam=reg, elasticNetParam=(a / reg if reg > 0 else 0.0), standardization=False,
-                            solver="normal" if l1 == 0 else "auto", maxIter=200)
-
+@family("classification", "logistic", {"C": [1e-3, 1e-2, 1e-1, 1, 10, 100]}, share=1.0)
+def logistic(params, ctx):
+    weight = float(ctx.get("weight_sum") or ctx.get("n_rows") or 1.0)
+    return LogisticRegression(**COLUMNS, **row_weights(ctx), regParam=1.0 / (float(params.get("C", 1.0)) * weight), elasticNetParam=0.0,
+                              standardization=False, maxIter=int(params.get("maxIter", 2000)))
 
-def _rf_cls(params, ctx):
-    return RandomForestClassifier(featuresCol="features", labelCol="label", **_w(ctx),
-                                  seed=42, **params)
 
+@family("classification", "rf", FOREST, share=1.2)
+def forest_classifier(params, ctx):
+    return RandomForestClassifier(**COLUMNS, **row_weights(ctx), seed=SEED, **params)
 
-def _rf_reg(params, ctx):
-    return RandomForestRegressor(featuresCol="features", labelCol="label", **_w(ctx),
-                                 seed=42, **params)
 
+@family("classification", "gbt", BOOSTING, share=1.8, most_draws=BOOSTING_DRAWS)
+def boosted_classifier(params, ctx):
+    one = GBTClassifier(**COLUMNS, **row_weights(ctx), seed=SEED, **params)
+    if int(ctx.get("n_classes") or 2) <= 2:
+        return one
+    return OneVsRest(classifier=one, **COLUMNS, parallelism=2, **row_weights(ctx))
 
-def _gbt_cls(params, ctx):
-    g = GBTClassifier(featuresCol="features", labelCol="label", **_w(ctx),
-                      seed=42, **params)
-    if int(ctx.get("n_classes") or 2) > 2:
-        return OneVsRest(classifier=g, featuresCol="features", labelCol="label",
-                         parallelism=2, **_w(ctx))
-    return g
 
-
-def _gbt_reg(params, ctx):
-    return GBTRegressor(featuresCol="features", labelCol="label", **_w(ctx),
-                        seed=42, **params)
-
-
-def _mlp(params, ctx):
+@family("classification", "mlp", {"hidden": [64, 128], "maxIter": [100, 200]}, share=1.4, weighted=False, offered=False)
+def perceptron(params, ctx):
     layers = [int(ctx["n_features"]), int(params.get("hidden", 128)), int(ctx.get("n_classes") or 2)]
-    return MultilayerPerceptronClassifier(featuresCol="features", labelCol="label", layers=layers, seed=42,
-                                          maxIter=int(params.get("maxIter", 200)),
-                                          stepSize=float(params.get("stepSize", 0.03)))
+    return MultilayerPerceptronClassifier(**COLUMNS, layers=layers, seed=SEED, maxIter=int(params.get("maxIter", 200)), stepSize=float(params.get("stepSize", 0.03)))
 
 
-def classification_registry(n_samples: int | None = None) -> dict[str, ModelSpec]:
-    b = size_bucket(n_samples)
-    return {
-        "logistic": ModelSpec("logistic", "classification", "logistic", _logistic,
-                              {"C": [1e-3, 1e-2, 1e-1, 1, 10, 100]}),
-        "rf": ModelSpec("rf", "classification", "rf", _rf_cls, _rf_space(b)),
-        "gbt": ModelSpec("gbt", "classification", "gbt", _gbt_cls, _gbt_space(b), boosting=True),
-        "mlp": ModelSpec("mlp", "classification", "mlp", _mlp, {"hidden": [64, 128], "maxIter": [100, 200]},
-                         supports_weight=False),
-    }
+@family("regression", "linear", {"alpha": [1e-4, 1e-3, 1e-2, 1e-1, 1.0, 10.0], "l1_ratio": [0.0, 0.2, 0.5, 0.8, 1.0]}, share=1.0, proba=False)
+def elastic_net(params, ctx):
+    """Spark scales the penalty's l2 part by the label's spread; alpha and l1_ratio are meant without."""
+    alpha, l1 = float(params.get("alpha", 1.0)), float(params.get("l1_ratio", 0.5))
+    lasso, ridge = alpha * l1, alpha * (1 - l1) * float(ctx.get("std_y") or 1.0)
+    return LinearRegression(**COLUMNS, **row_weights(ctx), regParam=lasso + ridge, elasticNetParam=lasso / (lasso + ridge) if lasso + ridge else 0.0,
+                            standardization=False, solver="normal", maxIter=200)
 
 
-def regression_registry(n_samples: int | None = None) -> dict[str, ModelSpec]:
-    b = size_bucket(n_samples)
-    return {
-        "linear": ModelSpec("linear", "regression", "linear", _elasticnet,
-                            {"alpha": [1e-4, 1e-3, 1e-2, 1e-1, 1.0, 10.0], "l1_ratio": [0.0, 0.2, 0.5, 0.8, 1.0]},
-                            probabilistic=False),
-        "rf": ModelSpec("rf", "regression", "rf", _rf_reg, _rf_space(b), probabilistic=False),
-        "gbt": ModelSpec("gbt", "regression", "gbt", _gbt_reg, _gbt_space(b), probabilistic=False, boosting=True),
-    }
+@family("regression", "rf", FOREST, share=1.2, proba=False)
+def forest_regressor(params, ctx):
+    return RandomForestRegressor(**COLUMNS, **row_weights(ctx), seed=SEED, **params)
 
 
-def registry(task: str, n_samples: int | None = None) -> dict[str, ModelSpec]:
-    return classification_registry(n_samples) if task == "classification" else regression_registry(n_samples)
+@family("regression", "gbt", BOOSTING, share=1.8, proba=False, most_draws=BOOSTING_DRAWS)
+def boosted_regressor(params, ctx):
+    return GBTRegressor(**COLUMNS, **row_weights(ctx), seed=SEED, **params)
 
 
 def candidate_models(task: str, include_mlp: bool = False) -> list[str]:
-    names = ["logistic", "rf", "gbt"] if task == "classification" else ["linear", "rf", "gbt"]
-    if include_mlp and task == "classification":
-        names.append("mlp")
-    return names
+    return [n for n, f in FAMILIES[task].items() if f.offered or include_mlp]
 
 
 def space_size(space: dict[str, list]) -> int:
-    n = 1
-    for v in space.values():
-        n *= max(1, len(v))
-    return n
+    return math.prod(max(1, len(v)) for v in space.values())
 
 
 def draw_candidates(space: dict[str, list], n_iter: int, seed: int = 42, cap: int | None = None) -> list[dict]:
     """Seeded distinct draw of parameter combinations from the grid (md5 order)."""
     if not space:
         return [{}]
-    keys = sorted(space)
-    combos = [dict(zip(keys, vals)) for vals in itertools.product(*[space[k] for k in keys])]
-    n = min(n_iter, len(combos))
-    if cap is not None:
-        n = min(n, cap)
-
-    def h(c):
-        return hashlib.md5(f"{seed}|{sorted(c.items())}".encode()).hexdigest()
-    return sorted(combos, key=h)[:max(1, n)]
-
-
-# Search-budget weights per family.
-FAMILY_WEIGHTS = {"logistic": 1.0, "rf": 1.2, "gbt": 1.8, "xgb": 1.8, "lgbm": 1.8, "mlp": 1.4,
-                  "linear": 1.0, "catboost": 1.8}
-
-
-def distribute_iters(models: list[str], total_budget: int | None, n_samples: int) -> dict[str, int]:
-    """Split a search budget across models by family weight (boosting +0.4 when n ≥ 5000),
-    at least 3 each, then spread the residual round-robin."""
-    if not total_budget or total_budget <= 0:
-        total_budget = 30
-    w = dict(FAMILY_WEIGHTS)
-    if n_samples >= 5000:
-        for k in ("xgb", "lgbm", "gbt"):
-            w[k] += 0.4
-    ws = [max(w.get(m, 1.0), 0.1) for m in models]
-    tot = sum(ws)
-    iters = [max(int(round_half_even(x / tot * total_budget)), 3) for x in ws]
-    diff = int(total_budget - sum(iters))
-    for i in range(abs(diff)):
-        j = i % len(iters)
-        iters[j] = max(iters[j] + (1 if diff > 0 else -1), 1)
-    return dict(zip(models, iters))
-
-
-def round_half_even(x: float) -> float:
-    return float(round(x))
+    names = sorted(space)
+    combos = [dict(zip(names, values, strict=True)) for values in itertools.product(*(space[n] for n in names))]
+    n = min(n_iter, len(combos), cap if cap is not None else len(combos))
+    return sorted(combos, key=lambda c: hashlib.md5(f"{seed}|{sorted(c.items())}".encode()).hexdigest())[:max(1, n)]
+
+
+def split_budget(task: str, models: list[str], total: int, least: int = 3) -> dict[str, int]:
+    """``total`` draws dealt out by the families' shares with the largest-remainder method; a family gets
+    ``least`` draws at any rate, paid by the largest others, as far as the total reaches."""
+    shares = [FAMILIES[task][m].share if m in FAMILIES[task] else 1.0 for m in models]
+    exact = [total * s / sum(shares) for s in shares]
+    draws = [math.floor(x) for x in exact]
+    by_remainder = sorted(range(len(models)), key=lambda i: (draws[i] - exact[i], i))
+    for i in by_remainder[:total - sum(draws)]:
+        draws[i] += 1
+    floor = max(1, min(least, total // max(1, len(models))))
+    for i in range(len(models)):
+        while draws[i] < floor and max(draws) > floor:
+            draws[draws.index(max(draws))] -= 1
+            draws[i] += 1
+    return {m: max(1, d) for m, d in zip(models, draws, strict=True)}

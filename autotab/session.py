@@ -48,10 +48,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts.
 
     Reads ``spark.checkpoint.dir`` from the session (on a cluster this names a
-    shared file system). Only when it is unset, as in local tests, a scratch
-    folder is created and registered.
+    shared file system). Where it is unset, a local session gets a scratch folder of its
+    own, as in tests; on a cluster that would be the driver's disk, so it is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not d and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="autotab-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.sparkContext.setCheckpointDir(d)

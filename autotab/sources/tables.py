@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.cleaning import NULL_TOKENS, blank_to_null, token_to_null
+from ..functions.cleaning import NULL_TOKENS, blank_to_null, named, token_to_null
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -31,16 +31,14 @@ def infer_types(df: DataFrame) -> DataFrame:
         return df
     aggs = []
     for c in str_cols:
-        v = F.trim(F.col(c))
-        aggs += [F.count(F.col(c)).alias(f"n__{c}"),
+        aggs += [F.count(named(c)).alias(f"n__{c}"),
                  F.count(F.expr(f"try_cast(trim(`{c}`) AS BIGINT)")).alias(f"i__{c}"),
                  F.count(F.expr(f"try_cast(trim(`{c}`) AS DOUBLE)")).alias(f"d__{c}")]
-        del v
     st = df.agg(*aggs).first()
     out = []
     for c, t in df.dtypes:
         if t != "string":
-            out.append(F.col(c))
+            out.append(named(c))
             continue
         n, ni, nd = st[f"n__{c}"], st[f"i__{c}"], st[f"d__{c}"]
         if n > 0 and ni == n:
@@ -48,20 +46,21 @@ def infer_types(df: DataFrame) -> DataFrame:
         elif n > 0 and nd == n:
             out.append(F.expr(f"try_cast(trim(`{c}`) AS DOUBLE)").alias(c))
         else:
-            out.append(F.col(c))
+            out.append(named(c))
     return df.select(*out)
 
 
-def read_csv(spark: SparkSession, path: str, schema=None, infer: bool = True) -> DataFrame:
-    """CSV with header. All cells are read as text, pandas' missing tokens and
-    blank/whitespace cells become NULL, then numeric types are inferred (or an
-    explicit ``schema`` is applied)."""
-    raw = (spark.read.option("header", True).option("inferSchema", False)
-           .option("nullValue", None).option("emptyValue", "").csv(path))
+def read_csv(spark: SparkSession, path: str, schema=None, infer: bool = True, multi_line: bool = True) -> DataFrame:
+    """CSV with header. Quoted cells may hold separators, doubled quotes and, with ``multi_line``, line
+    breaks (a file is then read by one task; without, large files are split). All cells are read as
+    text, pandas' missing tokens and blank/whitespace cells become NULL, then numeric types are
+    inferred (or an explicit ``schema`` is applied)."""
+    raw = (spark.read.option("header", True).option("inferSchema", False).option("multiLine", multi_line)
+           .option("quote", '"').option("escape", '"').option("nullValue", None).option("emptyValue", "").csv(path))
     raw = strip_column_names(raw)
-    raw = raw.select(*[token_to_null(blank_to_null(F.col(c))).alias(c) for c in raw.columns])
+    raw = raw.select(*[token_to_null(blank_to_null(named(c))).alias(c) for c in raw.columns])
     if schema is not None:
-        return raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+        return raw.select(*[named(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
     return infer_types(raw) if infer else raw
 
 

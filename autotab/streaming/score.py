@@ -26,25 +26,29 @@ def stream_score(spark: SparkSession, bundle, source: str, schema, checkpoint: s
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.load(source)
 
+    def put(rows: DataFrame, table: str, epoch: int) -> None:
+        # a replayed batch overwrites its own folder, so it never stands twice
+        rows.write.mode("overwrite").parquet(f"{out_dir}/{table}/batch_id={epoch}")
+
+    def status(epoch: int, n, acc, code: int, error: str | None) -> None:
+        put(spark.createDataFrame([(n, acc, code, error)], "n_rows long, accuracy double, status int, error string"), "status", epoch)
+
     def batch(df: DataFrame, epoch: int):
+        scored = None
         try:
             d = prepare_holdout(bundle, df)
-            sc = bundle.score(d).persist()
-            n = sc.count()
-            acc = None
+            scored = bundle.score(d).persist()
+            n, acc = scored.count(), None
             if "label" in d.columns and n:
-                acc = M.accuracy(sc.where(F.col("y").isNotNull())).first()["accuracy"]
-            keep = [*bundle.key, "y", "y_pred"] + (["score"] if "score" in sc.columns else [])
-            sc.select(*keep).withColumn("batch_id", F.lit(epoch)).write.mode("append").parquet(f"{out_dir}/predictions")
-            status = (epoch, n, acc, STATUS_DONE, None)
-            sc.unpersist()
-        except Exception as e:  # noqa: BLE001 - recorded as an error status row, then re-raised
-            status = (epoch, None, None, STATUS_ERROR, repr(e)[:500])
-            spark.createDataFrame([status], "batch_id long, n_rows long, accuracy double, status int, error string") \
-                .write.mode("append").parquet(f"{out_dir}/status")
+                acc = M.accuracy(scored.where(F.col("y").isNotNull())).first()["accuracy"]
+            put(scored.select(*bundle.key, "y", "y_pred", *(["score"] if "score" in scored.columns else [])), "predictions", epoch)
+            status(epoch, n, acc, STATUS_DONE, None)
+        except Exception as e:  # noqa: BLE001 - recorded as an error status, then re-raised
+            status(epoch, None, None, STATUS_ERROR, repr(e))
             raise
-        spark.createDataFrame([status], "batch_id long, n_rows long, accuracy double, status int, error string") \
-            .write.mode("append").parquet(f"{out_dir}/status")
+        finally:
+            if scored is not None:
+                scored.unpersist()
 
     q = (stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())

@@ -63,16 +63,24 @@ def test_confusion_matrix_dense(spark):
     assert len(cm) == 9 and cm[("a", "c")] == 1 and cm[("c", "a")] == 0
 
 
-def test_prefix_sums_bucketed_equals_single(spark):
+def test_prefix_sums_in_any_number_of_buckets(spark):
     from autotab.functions.ranking import prefix_sums
     rows = [(float(i % 997) / 997.0, i % 3) for i in range(5000)]
     g = spark.createDataFrame(rows, "s double, v long").groupBy("s").agg(F.sum("v").alias("v"))
-    a = {r["s"]: r["cum_v"] for r in prefix_sums(g, "s", ["v"], n_buckets=16).collect()}
-    import autotab.functions.ranking as R
-    old = R.SINGLE_TASK_ROWS
-    R.SINGLE_TASK_ROWS = 0
-    try:
-        b = {r["s"]: r["cum_v"] for r in prefix_sums(g, "s", ["v"], n_buckets=16).collect()}
-    finally:
-        R.SINGLE_TASK_ROWS = old
-    assert a == b
+    want, total = {}, 0
+    for r in g.orderBy("s").collect():
+        total += r["v"]
+        want[r["s"]] = total
+    for n in (1, 2, 16, None):
+        assert {r["s"]: r["cum_v"] for r in prefix_sums(g, "s", ["v"], n_buckets=n).collect()} == want
+
+
+def test_nan_scores_stay_out(spark):
+    df = spark.createDataFrame([(0, float("nan")), (1, 0.9), (0, 0.1), (1, 0.8)], "y int, score double")
+    assert M.roc_auc(df).first()["roc_auc"] == 1.0
+
+
+def test_confusion_matrix_of_many_labels(spark):
+    df = spark.range(1100).selectExpr("CAST(id AS STRING) AS y", "CAST((id + 1) % 1100 AS STRING) AS y_pred")
+    r = M.confusion_matrix(df).agg(F.count("*").alias("cells"), F.sum("n").alias("n")).first()
+    assert (r["cells"], r["n"]) == (1100 * 1100, 1100)

@@ -3,61 +3,65 @@
 import pytest
 
 from autotab.plans import registry as RG
-from autotab.plans.config import SystemConfig
-from autotab.plans.plan import build_auto_plan
+from autotab.operators.train import RunOptions
+from autotab.plans.options import build, changed, plain
+from autotab.plans.plan import make_plan
 
 
-def test_distribute_iters_reference_budget():
-    it = RG.distribute_iters(["logistic", "rf", "gbt"], 90, 399)
-    assert sum(it.values()) == 90 and it == {"logistic": 23, "rf": 27, "gbt": 40}
-    it2 = RG.distribute_iters(["logistic", "rf"], 2, 10)
-    assert all(v >= 1 for v in it2.values())
+def test_budget_follows_the_shares():
+    assert RG.split_budget("classification", ["logistic", "rf", "gbt"], 90) == {"logistic": 23, "rf": 27, "gbt": 40}
+    assert RG.split_budget("classification", ["logistic", "rf"], 2) == {"logistic": 1, "rf": 1}
+    for total in range(1, 60):
+        for models in (["logistic"], ["logistic", "gbt"], ["logistic", "rf", "gbt", "mlp"]):
+            got = RG.split_budget("classification", models, total)
+            assert min(got.values()) >= min(3, max(1, total // len(models))) and (sum(got.values()) == total or total < len(models))
 
 
 def test_candidates_and_registry():
     assert RG.candidate_models("classification") == ["logistic", "rf", "gbt"]
+    assert RG.candidate_models("classification", True) == ["logistic", "rf", "gbt", "mlp"]
     assert RG.candidate_models("regression") == ["linear", "rf", "gbt"]
-    assert set(RG.registry("regression")) == {"linear", "rf", "gbt"}
-    assert RG.size_bucket(9_999) == "small" and RG.size_bucket(10_000) == "medium" and RG.size_bucket(10 ** 5) == "large"
 
 
 def test_draw_candidates_distinct_and_capped():
-    space = RG.classification_registry()["gbt"].space
-    c = RG.draw_candidates(space, 30, seed=42, cap=12)
+    f = RG.FAMILIES["classification"]["gbt"]
+    c = RG.draw_candidates(f.space, 30, seed=42, cap=f.most_draws)
     assert len(c) == 12 and len({str(sorted(x.items())) for x in c}) == 12
-    assert c == RG.draw_candidates(space, 30, seed=42, cap=12)
+    assert c == RG.draw_candidates(f.space, 30, seed=42, cap=12)
 
 
 def test_plan_rules():
     prof = {"n_samples": 20_000, "n_features": 5, "n_num": 2, "n_cat": 3, "skewed_num_cols_sample": [],
             "high_card_cat_cols": [], "imbalance_ratio": 1.2, "task": "classification"}
-    p = build_auto_plan(prof, SystemConfig())
-    assert p.primary_metric == "roc_auc" and p.class_weight is None and p.search_strategy == "halving"
-    assert not p.resample and not p.preprocess["power_transform"]
-    prof["imbalance_ratio"] = 3.0
-    prof["n_samples"] = 1000
-    p = build_auto_plan(prof, SystemConfig())
-    assert p.primary_metric == "f1_macro" and p.class_weight == "balanced" and p.resample
-
-
-def test_config_round_trip():
-    cfg = SystemConfig()
-    cfg.data.target = "y"
-    assert SystemConfig.from_dict(cfg.to_dict()) == cfg
+    p = make_plan(prof, RunOptions())
+    assert p.primary_metric == "roc_auc" and p.class_weight is None and p.search_strategy == "random"
+    assert not p.resample and not p.preprocess["power_transform"] and set(p.rationale) >= {"primary_metric", "resample"}
+    unlike = prof | {"imbalance_ratio": 3.0, "skewed_num_cols_sample": ["a"]}
+    p = make_plan(unlike, RunOptions())
+    assert p.primary_metric == "f1_macro" and p.class_weight == "balanced" and p.resample and p.preprocess["power_transform"]
+    assert make_plan(unlike | {"n_samples": 10**9}, RunOptions()).to_dict() == p.to_dict() | {"dataset_profile": unlike | {"n_samples": 10**9}}
+    own = make_plan(unlike, changed(RunOptions(), train__resample=False, train__primary_metric="accuracy", train__search_strategy="halving"))
+    assert (own.resample, own.primary_metric, own.search_strategy) == (False, "accuracy", "halving")
+    assert not make_plan(unlike, changed(RunOptions(), train__auto_plan=False)).resample
+
+
+def test_options_round_trip():
+    o = changed(RunOptions(), data__target="y", data__key=["k"], cv__folds=3)
+    assert build(RunOptions, plain(o)) == o and o.data.key == ("k",)
+    assert build(RunOptions, {"cv": {"folds": 4}}).cv.folds == 4
+    with pytest.raises(ValueError, match="unknown options"):
+        build(RunOptions, {"cv": {"fold": 4}})
+    with pytest.raises(ValueError, match="unknown option"):
+        changed(o, cv__fold=4)
 
 
 def test_target_and_feature_guards(spark):
     from autotab.operators.train import prepare_training_frame
     df = spark.createDataFrame([(1, "a", 0)], "k int, f string, y int")
-    cfg = SystemConfig()
-    cfg.data.key = ["k"]
-    cfg.data.target = "missing"
     with pytest.raises(ValueError, match="target column"):
-        prepare_training_frame(df, cfg)
-    cfg.data.target = "y"
-    cfg.data.features = ["nope"]
+        prepare_training_frame(df, changed(RunOptions(), data__key=["k"], data__target="missing"))
     with pytest.raises(ValueError, match="not found"):
-        prepare_training_frame(df, cfg)
+        prepare_training_frame(df, changed(RunOptions(), data__key=["k"], data__target="y", data__features=["nope"]))
 
 
 def test_strip_names_and_collisions(spark):
@@ -76,3 +80,16 @@ def test_read_csv_tokens_and_types(spark, tmp_path):
     assert df.columns == ["id", "x", "c"]
     assert dict(df.dtypes) == {"id": "bigint", "x": "double", "c": "string"}
     assert [r["c"] for r in df.orderBy("id").collect()] == ["a", None, None]
+
+
+def test_read_csv_quotes_and_line_breaks(spark, tmp_path):
+    from autotab.sources.tables import read_csv
+    p = tmp_path / "q.csv"
+    p.write_text('id,x\n1,"line one\nline two"\n2,"say ""hi"", twice"\n')
+    assert [(r.id, r.x) for r in read_csv(spark, str(p)).orderBy("id").collect()] == [(1, "line one\nline two"), (2, 'say "hi", twice')]
+
+
+def test_positive_label_order(spark):
+    from autotab.operators.labels import positive_label
+    df = spark.createDataFrame([("True",), ("Y",), ("Y",)], "y string")
+    assert positive_label(df, "y").first()[0] == "Y"
