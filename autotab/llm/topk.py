@@ -88,8 +88,9 @@ def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return (q @ c.T).astype(np.int64) if top < EXACT else q.astype(np.int64) @ c.astype(np.int64).T
 
 
-def best(ids: np.ndarray, scores: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    keep = ids != own
+def best(ids: np.ndarray, scores: np.ndarray, own: int, k: int, bound: float) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of the scores that reach the bound; lower ones cannot be among the query's k best."""
+    keep = (ids != own) & (scores >= bound)
     ids, scores = ids[keep], scores[keep]
     if len(ids) > 4 * k:  # all scores that reach the k-th highest, ties included
         some = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
@@ -123,7 +124,7 @@ def search_block(q_ids, q, bounds, c_ids, c, k):
         if pick is None:
             by_length.setdefault(least, []).append(i)
         else:
-            yield (q_ids[i], *best(c_ids[pick], products(q[i:i + 1], c[pick])[0], q_ids[i], k))
+            yield (q_ids[i], *best(c_ids[pick], products(q[i:i + 1], c[pick])[0], q_ids[i], k, bounds[i]))
     longest = max(by_length, default=0)
     chosen = [i for some in by_length.values() for i in some]
     if longest and chosen:
@@ -131,7 +132,7 @@ def search_block(q_ids, q, bounds, c_ids, c, k):
         prefix_of = {i: n for n, rows in by_length.items() for i in rows}
         for row, i in zip(some, chosen, strict=True):
             n = prefix_of[i]
-            yield (q_ids[i], *best(c_ids[:n], row[:n], q_ids[i], k))
+            yield (q_ids[i], *best(c_ids[:n], row[:n], q_ids[i], k, bounds[i]))
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
