@@ -1,6 +1,6 @@
 """Mixing sources to target weights with a multivariate-hypergeometric splitting tree.
 
-Every source's documents stand in a permuted order (hash of the id); the mix draws the first
+Every source's documents stand in a permuted order (hash of id and text); the mix draws the first
 target words of that order, going round at most twice. The drawn documents are cut to blocks
 of about ``BLOCK_WORDS`` words, and the exact number of blocks of each source is its quota. A
 binary tree parts the quotas among the output shards: at every node the left half of the blocks
@@ -14,8 +14,7 @@ rows, so a source with a third of all rows is summed by many tasks. One row per
 the tree, one number per source and shard) is all that stands together.
 
 Cases: a NULL or wordless text has size 0 and counts as taken with 0 words; a NULL source is a
-source of its own, last in order; equal ids are ordered by size, equal rows are interchangeable
-and each drawn by itself; an empty table gives an empty table. Other columns pass through;
+source of its own, last in order; equal rows are drawn each by itself; an empty table gives an empty table. Other columns pass through;
 those called like one that the operator adds (``ADDED``) are replaced.
 """
 
@@ -27,13 +26,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import HASH_BITS, row_hash
+from ..functions.lookup import sized
 from ..functions.ranking import hash_rank
 from ..session import cut_lineage
 from .common import WORD, carried, restored, table, whole_text
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 BLOCK_WORDS, SHARD_BLOCKS, RANGE_ROWS, SEED = 4096, 1024, 8192, 17
-ADDED = ["size", "source_key", "source_size", "target", "row_hash", "position", "words_before", "epoch", "block", "shard"]
+ADDED = ["size", "row_key", "source_key", "source_size", "target", "position", "words_before", "epoch", "block", "shard"]
 
 
 def size_of(text: Column) -> Column:
@@ -58,24 +58,37 @@ def source_targets(sized: DataFrame) -> DataFrame:
     return s.select("source", "source_key", "source_size", "rows", target.alias("target"))
 
 
-def positions(docs: DataFrame, sources: DataFrame) -> DataFrame:
-    """Every document with its source's row, its rank and the words before it in the permuted source."""
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with size and row_key, equal for equal ids with equal texts only."""
+    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.md5(whole_text()), F.lit(f"#{SEED}")))
+    return docs.withColumn("size", size_of(whole_text())).withColumn("row_key", key)
+
+
+def positions(narrow: DataFrame, sources: DataFrame) -> DataFrame:
+    """Every row (row_key, source, size) with its source's row, its rank in the permuted source (position), the words
+    before it and its number among equal rows (twin)."""
     n = sources.agg(F.sum("rows")).first()[0] or 0
     bits = min(30, max(0, (n // RANGE_ROWS).bit_length()))
     src = sources.select(F.col("source").alias("__source"), "source_key", "source_size", "target")
-    d = docs.join(src, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    d = d.withColumn("row_hash", row_hash("doc_id", seed=SEED)).withColumn("__range", F.shiftright("row_hash", HASH_BITS - bits) if bits else F.lit(0).cast("long"))
+    d = narrow.join(sized(src), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+    top = md5_prefix("row_key")
+    d = d.withColumn("__range", F.shiftright(top, HASH_BITS - bits) if bits else F.lit(0).cast("long"))
     keys = ["source_key", "__range"]
-    narrow = d.groupBy(*keys).agg(F.sum("size").alias("__w"), F.count(F.lit(1)).alias("__n"))
+    sums = d.groupBy(*keys).agg(F.sum("size").alias("__w"), F.count(F.lit(1)).alias("__n"))
     run = Window.partitionBy("source_key").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = narrow.select(*keys, *[F.coalesce(F.sum(c).over(run), F.lit(0)).alias(c) for c in ("__w", "__n")])
-    inside = Window.partitionBy(*keys).orderBy("row_hash", F.col("doc_id").asc_nulls_first(), "size")
+    offsets = sums.select(*keys, *[F.coalesce(F.sum(c).over(run), F.lit(0)).alias(c) for c in ("__w", "__n")])
+    inside, twins = Window.partitionBy(*keys).orderBy("row_key", "size"), Window.partitionBy(*keys, "row_key").orderBy("size")
     d = d.join(offsets, keys)
-    return (d.withColumn("position", F.row_number().over(inside) - 1 + F.col("__n"))
+    return (d.withColumn("position", F.row_number().over(inside) - 1 + F.col("__n")).withColumn("twin", F.row_number().over(twins))
             .withColumn("words_before", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size") + F.col("__w"))
             .drop("__range", "__w", "__n"))
 
 
+def md5_prefix(col: str) -> Column:
+    """The first HASH_BITS bits of an md5 in hexadecimal, as a number."""
+    return F.conv(F.substring(col, 1, HASH_BITS // 4), 16, 10).cast("long")
+
+
 def drawn(placed: DataFrame) -> DataFrame:
     """One row per drawn document and epoch, with the block in which it starts."""
     start = F.col("words_before") + F.col("epoch") * F.col("source_size")
@@ -114,36 +127,47 @@ def assign_shards(blocks: DataFrame, seed: int = SEED) -> DataFrame:
     return permuted.join(ranks, ["source_key", "rank"]).select("source_key", "block", "shard")
 
 
+def draws(narrow: DataFrame) -> DataFrame:
+    """One row for each time a row of ``narrow`` (row_key, source, size) is taken, with its block and shard."""
+    sources = cut_lineage(source_targets(narrow))
+    placed = cut_lineage(drawn(positions(narrow.select("row_key", "source", "size"), sources)))
+    return placed.join(assign_shards(cut_lineage(placed.select("source_key", "block").distinct())), ["source_key", "block"])
+
+
 def mix(docs: DataFrame) -> DataFrame:
     """The drawn documents, one row for each time a document is taken, with ``ADDED``; ordered by
-    (shard, hash) they are the shuffled shards. ``docs`` brings ``size`` or ``text``."""
-    keep = ["doc_id", "source", *[c for c in ("text", "size") if c in docs.columns and (c == "text" or "text" not in docs.columns)]]
-    sized = carried(docs.drop(*[c for c in ADDED if c not in keep]), *keep)
-    sized = sized if "size" in keep else sized.withColumn("size", size_of(whole_text()))
-    narrow = cut_lineage(sized.select("doc_id", "source", "size"))
-    sources = cut_lineage(source_targets(narrow))
-    blocks = cut_lineage(drawn(positions(narrow, sources)).select("source_key", "block").distinct())
-    out = drawn(positions(sized, sources)).join(assign_shards(blocks), ["source_key", "block"])
-    return restored(out, [*[c for c in docs.columns if c not in ADDED], *ADDED])
+    (shard, hash) they are the shuffled shards. Who is drawn is settled without the texts, which are
+    dealt out once to meet their draws."""
+    rows = keyed(carried(docs.drop(*[c for c in ADDED if c not in ("doc_id", "source", "text")]), "doc_id", "source", "text"))
+    narrow = cut_lineage(rows.select("row_key", "source", "size"))
+    taken = cut_lineage(draws(narrow))
+    times = [c for c in ADDED if c not in ("size", "source_key", "row_key")]
+    by_row = taken.groupBy("source_key", "row_key").agg(F.collect_list(F.struct("twin", *times)).alias("times"))
+    keys = sized(taken.select(F.col("source").alias("__source"), "source_key").distinct())
+    d = rows.join(keys, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+    d = d.withColumn("__twin", F.row_number().over(Window.partitionBy("source_key", "row_key").orderBy("size"))).join(by_row, ["source_key", "row_key"])
+    d = d.withColumn("__time", F.explode(F.filter("times", lambda t: t["twin"] == F.col("__twin")))).select("*", *[F.col(f"__time.{c}").alias(c) for c in times])
+    return restored(d, [*[c for c in docs.columns if c not in ADDED], *ADDED])
 
 
 def shuffled(mixed: DataFrame) -> DataFrame:
-    """The mix in the order of its shards, every shard shuffled by a hash."""
-    order = row_hash("source_key", "position", "epoch", seed="order")
-    return mixed.repartitionByRange("shard", order).sortWithinPartitions("shard", order)
+    """The mix dealt out by shard, every shard in the order of a hash."""
+    return mixed.repartition("shard").sortWithinPartitions("shard", row_hash("source_key", "position", "epoch", seed="order"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized = cut_lineage(table(spark, sf_dir, "documents").select("doc_id", "source", size_of(whole_text()).alias("size")))
-    taken = mix(sized).groupBy("source_key", "position").agg(F.sum("size").alias("taken"))
-    every = positions(sized, cut_lineage(source_targets(sized)))
-    return every.join(taken, ["source_key", "position"], "left").select(
+    rows = cut_lineage(keyed(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text"))
+    taken = draws(rows).groupBy("source_key", "row_key", "twin").agg(F.sum("size").alias("taken"))
+    sources = sized(source_targets(rows).select(F.col("source").alias("__source"), "source_key", "source_size", "target"))
+    every = rows.join(sources, F.col("source").eqNullSafe(F.col("__source"))).withColumn(
+        "twin", F.row_number().over(Window.partitionBy("source_key", "row_key").orderBy("size")))
+    return every.join(taken, ["source_key", "row_key", "twin"], "left").select(
         "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 OP10_SQL = r"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-                  CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '#17'), 1, 15) AS BIGINT) AS h FROM documents),
+                  md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, '')) || '#17') AS h FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM s),
 w AS (SELECT *, [5, 2, 1][CAST((k - 1) % 3 + 1 AS INT)] AS w, 2 * source_size AS cap, 1.5::DOUBLE * CAST(sum(source_size) OVER () AS DOUBLE) AS total FROM r),
@@ -151,7 +175,7 @@ c AS (SELECT *, cap * sum(w) OVER (ORDER BY cap::DOUBLE / w, k ROWS BETWEEN CURR
           <= (total - coalesce(sum(cap) OVER (ORDER BY cap::DOUBLE / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * w AS capped FROM w),
 t AS (SELECT source, k, source_size, CASE WHEN capped THEN CAST(cap AS DOUBLE) ELSE
           (total - CAST(sum(CASE WHEN capped THEN cap ELSE 0 END) OVER () AS DOUBLE)) / CAST(sum(CASE WHEN capped THEN 0 ELSE w END) OVER () AS DOUBLE) * w END AS target FROM c),
-p AS (SELECT d.*, t.source_size, t.target, CAST(sum(size) OVER (PARTITION BY t.k ORDER BY h, d.doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS p
+p AS (SELECT d.*, t.source_size, t.target, CAST(sum(size) OVER (PARTITION BY t.k ORDER BY h, size ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS p
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, CAST(CASE WHEN 2 * p + size <= 2 * target THEN size ELSE 0 END
        + CASE WHEN 2 * (p + source_size) + size <= 2 * target THEN size ELSE 0 END AS BIGINT) AS taken FROM p
