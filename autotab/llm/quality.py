@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from ..functions.lookup import sized
 from ..session import cut_lineage
 from .common import SPACES, carried, map_texts, restored, table
 
@@ -171,9 +172,9 @@ def fit_cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "lang", a
 
 
 def judge(measured: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> DataFrame:
-    """``measured`` with base_failed and kept. The cutoffs have one row per stratum; Spark broadcasts
-    them below its size threshold and shuffles both sides above it."""
-    joined = measured.join(cutoffs, F.col(stratum).eqNullSafe(F.col("stratum")), "left")
+    """``measured`` with base_failed and kept. The cutoffs have one row per stratum; they are broadcast
+    if their measured size is within the bound, else both sides are shuffled."""
+    joined = measured.join(sized(cutoffs), F.col(stratum).eqNullSafe(F.col("stratum")), "left")
     hit = F.lit(False)
     for n, x in signals().items():
         hit = hit | F.coalesce(x > F.col(f"cut_{n}"), F.lit(False))
@@ -183,7 +184,7 @@ def judge(measured: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> Dat
 
 def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the rules keep, with their columns as they were."""
-    cutoffs = cut_lineage(fit_cutoffs(with_counts(docs.select("doc_id", "lang", "text"), keep_text=False), labels))
+    cutoffs = fit_cutoffs(with_counts(docs.select("doc_id", "lang", "text"), keep_text=False), labels)
     return restored(judge(with_counts(carried(docs, "doc_id", "lang", "text")), cutoffs).where("kept"), docs.columns)
 
 
