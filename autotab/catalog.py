@@ -336,7 +336,7 @@ def q_read_csv(spark, d):
     from .session import checkpoint_dir
     from .sources.tables import read_csv
     path = f"{checkpoint_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
-    (read_table(spark, d, "documents").write.option("header", True).option("quoteAll", True).option("escape", '"')
+    (fx.read_table(spark, d, "documents").write.option("header", True).option("quoteAll", True).option("escape", '"')
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     return read_csv(spark, path).select("doc_id", F.md5("text").alias("text_md5"), "lang", "source", "n_chars")
 

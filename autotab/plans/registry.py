@@ -57,7 +57,7 @@ BOOSTING_DRAWS = 12
 def logistic(params, ctx):
     weight = float(ctx.get("weight_sum") or ctx.get("n_rows") or 1.0)
     return LogisticRegression(**COLUMNS, **row_weights(ctx), regParam=1.0 / (float(params.get("C", 1.0)) * weight), elasticNetParam=0.0,
-                              standardization=False, maxIter=int(params.get("maxIter", 2000)))
+                              standardization=False, maxIter=int(params.get("maxIter", 2000)), tol=float(params.get("tol", 1e-4)))
 
 
 @family("classification", "rf", FOREST, share=1.2)
