@@ -254,7 +254,7 @@ def cut(texts: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(node, text, spans): texts with the windows that occur elsewhere, equal texts counted once. ``docs``: node, text."""
-    found = anchors(docs).repartition("gram")  # dealt out once, for counting and for joining
+    found = stored(anchors(docs))
     occurrence = F.xxhash64("node", "place")
     repeated = found.groupBy("gram").agg(F.min(occurrence).alias("a"), F.max(occurrence).alias("b")).where("a <> b").select("gram")
     places = stored(found.join(repeated.hint("shuffle_hash"), "gram", "left_semi").groupBy("node").agg(F.sort_array(F.collect_set("place")).alias("places")))
