@@ -48,7 +48,7 @@ def row_weights(ctx: dict) -> dict:
 
 
 FOREST = {"numTrees": [50, 100, 200], "maxDepth": [6, 10, 16], "minInstancesPerNode": [1, 2, 4], "featureSubsetStrategy": ["sqrt", "log2", "all"]}
-BOOSTING = {"maxIter": [30, 60, 100], "maxDepth": [3, 5, 7], "stepSize": [0.05, 0.1, 0.2], "subsamplingRate": [0.7, 0.85, 1.0]}
+BOOSTING = {"maxIter": [20, 40, 80], "maxDepth": [3, 4, 6], "stepSize": [0.05, 0.1, 0.2], "subsamplingRate": [0.7, 0.85, 1.0]}
 #: Boosting fits take the longest, so no search draws more of them.
 BOOSTING_DRAWS = 12
 
