@@ -37,7 +37,7 @@ from .tokens import U, joined, mix, word_hashes, words
 START, END, NONE, OWN = 0, 1, 2, 3
 PRIOR = 20.0
 FOLDS, HELD = 7, 2
-BLOCK_CHARS, SHARD_TOKENS = 6_000_000, 2_000_000
+BLOCK_CHARS, SHARD_DOCS, SHARD_TOKENS = 6_000_000, 4096, 2_000_000
 BLOCKS = "block long, kind int, shard int, n long, known long, data array<binary>"
 
 
@@ -57,9 +57,14 @@ def unpack(data: bytes) -> np.ndarray:
     return np.cumsum(x) if data[1] else x
 
 
-def read_blocks(docs: DataFrame) -> DataFrame:
+def word_shard_bits(n_docs: int) -> int:
+    """Bits of a hash that name its word shard: shards follow the documents, 64 to 65 536 of them."""
+    return min(16, max(6, (n_docs // SHARD_DOCS).bit_length()))
+
+
+def read_blocks(docs: DataFrame, bits: int) -> DataFrame:
     """Rows of kind 0: a block (doc ids, held-out flags, words per text, tokens, where words stand in hash order).
-    Rows of kind 1: the block's hashes in hash order and their training counts, by shard of 1/256 of all hashes."""
+    Rows of kind 1: the block's hashes in hash order and their training counts, by shard (the first ``bits`` of a hash)."""
     src = docs.select("doc_id", "held_out", F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,8 +87,7 @@ def read_blocks(docs: DataFrame) -> DataFrame:
                 rows = [(block, 0, 0, len(at) + len(texts), int((1 - held).sum()),
                          [pack(zigzag(ids)), pack(np.array([x is None for x in ids.to_pylist()], dtype=np.int64)), pack(held),
                           pack(np.bincount(text, minlength=len(texts))), pack(number[at]), pack(often)])]
-                top = (h >> U(56)).astype(np.int64)
-                cut = np.searchsorted(top, np.arange(257))
+                cut = np.searchsorted((h >> U(64 - bits)).astype(np.int64), np.arange((1 << bits) + 1))
                 rows += [(block, 1, s, int(train[i:j].sum()), 0, [h[i:j].tobytes(), pack(train[i:j])]) for s, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i]
                 yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=schema)
 
@@ -123,11 +127,11 @@ def word_answers(rows: DataFrame) -> DataFrame:
 class Block:
     """A block with the ids and counts of its words, and its distinct trigrams by shard."""
 
-    def __init__(self, data: list[bytes], answers: list[tuple[int, list[bytes]]], shards: int):
+    def __init__(self, data: list[bytes], answers: list[tuple[int, list[bytes]]], shards: int, bits: int):
         zig, null, self.held, self.lens, token, often = map(unpack, data)
         self.ids, self.null = unzigzag(zig), null.astype(bool)
         answers = sorted(answers, key=lambda a: a[0])
-        ids = [unpack(d[0]) * 256 + s + OWN for s, d in answers]
+        ids = [(unpack(d[0]) << bits) + s + OWN for s, d in answers]
         counts = [unpack(d[1]) for _, d in answers]
         self.word_id = np.concatenate([*ids, np.empty(0, np.int64)])[often]
         self.word_count = np.concatenate([*counts, np.empty(0, np.int64)])[often]
@@ -229,7 +233,8 @@ def trigram_answers(payloads: DataFrame) -> DataFrame:
 
 def score(docs: DataFrame) -> DataFrame:
     """Scores of all ``docs`` (doc_id, text, held_out boolean) under the model of those not held out."""
-    rows = stored(read_blocks(docs))
+    bits = word_shard_bits(docs.count())
+    rows = stored(read_blocks(docs, bits))
     blocks = rows.where("kind = 0")
     found = stored(word_answers(rows.where("kind = 1")))
     tokens, train_docs = (int(x or 0) for x in blocks.agg(F.sum("n"), F.sum("known")).first())
@@ -238,13 +243,13 @@ def score(docs: DataFrame) -> DataFrame:
     shards = -(-tokens // SHARD_TOKENS) or 1
 
     def send(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        b = Block(left["data"][0], list(zip(right["shard"], right["data"], strict=True)), shards)
+        b = Block(left["data"][0], list(zip(right["shard"], right["data"], strict=True)), shards, bits)
         out = [(key[0], 2, s, 0, 0, b.payload(s)) for s in range(shards) if b.cut[s] < b.cut[s + 1]]
         return pd.DataFrame(out, columns=["block", "kind", "shard", "n", "known", "data"])
 
     def finish(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         of = {k: list(zip(r["shard"], r["data"], strict=True)) for k, r in right.groupby("kind")}
-        b = Block(left["data"][0], of.get(1, []), shards)
+        b = Block(left["data"][0], of.get(1, []), shards, bits)
         n_tokens, n_known, base, own = b.score(of.get(2, []), n, known, train_docs)
         return pd.DataFrame({"doc_id": pd.arrays.IntegerArray(b.ids, b.null),
                              "held_out": b.held.astype(bool), "n_tokens": n_tokens, "n_known": n_known, "train_tokens": n, "base_score": base, "score": own})
