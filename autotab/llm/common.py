@@ -82,6 +82,13 @@ def restored(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[F.col("__row").getField(c).alias(c) if c in inside else F.col(f"`{c}`") for c in columns])
 
 
+def release(spark: SparkSession, pause: float = 0.2) -> None:
+    """Lets the driver collect its garbage now, so that shuffle files and checkpoints to which nothing refers go."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(pause)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` as a compressed table in the shared checkpoint folder: what stands before need not run again, and
     the shuffle files of the stages behind it can go (else they stay until the driver collects its garbage)."""
@@ -90,7 +97,5 @@ def stored(df: DataFrame) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     del df
     for _ in range(2):  # plans are dropped first, then what only they referred to
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+        release(spark, 0.5)
     return spark.read.schema(schema).parquet(path)

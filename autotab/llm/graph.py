@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .common import release
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,6 +25,8 @@ def components(edges: DataFrame) -> DataFrame:
         star = (large.join(low, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b"))
                 .unionByName(low.select(F.col("n").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct())
         e = cut_lineage(star)
+        del both, low, large, star
+        release(e.sparkSession)  # else every round's shuffle files and checkpoint stay until the end
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == mark:
             break

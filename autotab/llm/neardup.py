@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import carried, content_key, map_texts, restored, slices, table, whole_text
+from .common import carried, content_key, map_texts, release, restored, slices, table, whole_text
 from .graph import components
 from .tokens import U, mix, shingles
 
@@ -217,13 +217,19 @@ def labels_of(docs: DataFrame) -> DataFrame:
     shared = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub <> other").drop("other")
     member = cut_lineage(keys.join(shared, "key"))  # buckets of two nodes or more
     payload = cut_lineage(docs.select("node", "text").join(member.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
+    del bands, keys, shared
+    release(docs.sparkSession)
 
     nearest = member.where("hub <> node").groupBy("node").agg(F.min("hub").alias("b")).select(F.col("node").alias("a"), "b")
     edges = cut_lineage(verified(nearest, payload))
     label = components(edges)
+    release(docs.sparkSession)
     cluster = components(member.select(F.col("node").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("label", "cluster")
     named = cut_lineage(cluster.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    return components(edges.unionByName(tiled(named, payload)))
+    links = cut_lineage(edges.unionByName(tiled(named, payload)))
+    del member, payload, edges, label, cluster, named, nearest
+    release(docs.sparkSession)
+    return components(links)
 
 
 def classes(docs: DataFrame) -> DataFrame:
