@@ -26,12 +26,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import content_key, map_texts, slices, stored, table, whole_text
-from .tokens import BASE, BASE_INVERSE, U, joined, mix, powers_upto, prefix_hashes
+from .tokens import BASE_INVERSE, U, joined, mix, powers_upto, prefix_hashes
 
 LENGTH, GRAM = 200, 64
 REACH = LENGTH - GRAM  # a window at s holds the grams that start at s .. s + REACH
 #: A task's segments are sorted together in runs of about so many bytes; equal anchors stay in one run.
-RUN_BYTES = 4_000_000
+RUN_BYTES = 1_000_000
 PLACE_BITS = 24
 
 
