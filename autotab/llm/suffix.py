@@ -33,17 +33,29 @@ REACH = LENGTH - GRAM  # a window at s holds the grams that start at s .. s + RE
 #: A task's segments are sorted together in runs of about so many bytes; equal anchors stay in one run.
 RUN_BYTES = 1_000_000
 PLACE_BITS = 24
+#: Grams of long texts are hashed in pieces of so many.
+PIECE = 1 << 21
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
-    s = prefix_hashes(data)
     n = len(data) - GRAM + 1
-    with np.errstate(over="ignore"):
-        return mix((s[GRAM:] - s[:n]) * powers_upto(BASE_INVERSE, n))
+    out = np.empty(n, dtype=U)
+    for a in range(0, n, PIECE):
+        s = prefix_hashes(data[a:a + PIECE + GRAM - 1])
+        k = len(s) - GRAM
+        with np.errstate(over="ignore"):
+            out[a:a + k] = mix((s[GRAM:] - s[:k]) * powers_upto(BASE_INVERSE, k))
+    return out
 
 
 def window_anchors(h: np.ndarray) -> np.ndarray:
-    """For every window start the place of its smallest gram, the leftmost of equals."""
+    """For every window start the place of its smallest gram, the leftmost of equals. Places are packed behind the
+    hashes relative to pieces that overlap by REACH grams, so that they fit in PLACE_BITS however long a text is."""
+    step = (1 << PLACE_BITS) - REACH
+    return np.concatenate([a + piece_anchors(h[a:a + step + REACH]) for a in range(0, max(1, len(h) - REACH), step)])
+
+
+def piece_anchors(h: np.ndarray) -> np.ndarray:
     v = (h >> U(PLACE_BITS) << U(PLACE_BITS)) | np.arange(len(h), dtype=U)
     width = 1
     while 2 * width <= REACH + 1:

@@ -53,3 +53,18 @@ def test_query_equals_brute_force(spark):
     want = Counter((i, *b) for (i, _), b in zip(rows, brute([t for _, t in rows]), strict=True))
     got = suffix.op8_suffix_dedup(spark, d).collect()
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
+
+
+def test_anchors_of_long_texts(monkeypatch):
+    rng = np.random.default_rng(5)
+    passage = rng.integers(97, 123, 400).astype(np.uint8).tobytes()
+    noise = [rng.integers(97, 123, n).astype(np.uint8).tobytes() for n in (300, 5000, 700)]
+    monkeypatch.setattr(suffix, "PLACE_BITS", 10)  # places from 1024 on do not fit
+    monkeypatch.setattr(suffix, "PIECE", 500)
+    data, starts, h, at, anchor = suffix.windows([noise[0] + passage, noise[1] + passage + noise[2]])
+    top = h >> np.uint64(10)
+    assert anchor.tolist() == [s + int(np.argmin(top[s:s + suffix.REACH + 1])) for s in at.tolist()]
+    place = dict(zip(at.tolist(), anchor.tolist(), strict=True))
+    near, far = 300, int(starts[1]) + 5000
+    for k in range(201):  # equal windows have one key, wherever they stand
+        assert h[place[near + k]] == h[place[far + k]]
