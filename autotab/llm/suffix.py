@@ -5,6 +5,9 @@ The work is dealt out so that equal strings meet: each window of LENGTH bytes ha
 GRAM-byte gram with the smallest hash in it, which its content alone determines. Grams are counted
 over all texts; a window whose anchor gram occurs as an anchor only once is unique and goes no further. The rest is cut to segments (windows with one anchor gram, next to each other), equal segments
 are merged before the shuffle and keep their number, and segments of one anchor gram come to one task.
+A gram whose segments exceed RUN_BYTES is split: its windows are dealt out by bands of the anchor's offset in the
+window and the bytes that all windows of a band hold around it, with bands of half the width in each further round until
+every key is bounded; a band of one offset knows its windows whole, so equal windows always meet.
 A task sorts the suffixes of its segments by the difference-cover method: the triples at positions
 1 and 2 modulo 3 are sorted and named, names are sorted recursively until they differ, the suffixes at 0 modulo 3 are merged in by one symbol and the next rank.
 Neighbours in suffix order are compared over their first LENGTH bytes; a class of equal strings
@@ -22,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,11 +34,13 @@ from .tokens import BASE_INVERSE, U, joined, mix, powers_upto, prefix_hashes
 
 LENGTH, GRAM = 200, 64
 REACH = LENGTH - GRAM  # a window at s holds the grams that start at s .. s + REACH
-#: A task's segments are sorted together in runs of about so many bytes; equal anchors stay in one run.
+#: A task's segments are sorted together in runs of about so many bytes; equal keys stay in one run, and keys of more are split.
 RUN_BYTES = 1_000_000
 PLACE_BITS = 24
 #: Grams of long texts are hashed in pieces of so many.
 PIECE = 1 << 21
+#: Rows of a batch of split segments.
+PIECES = 20_000
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -95,16 +101,21 @@ def long_texts(docs: DataFrame) -> DataFrame:
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """(gram, node, place) of the anchors: one of each run of windows, two where the run has several places."""
+    """(gram, node, place, size) of the anchors: one of each run of windows, two where the run has several places;
+    ``size``: bytes of the run."""
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         _, starts, h, at, anchor = windows([t.encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()])
         first, last = runs(at, h[anchor])
-        anchor = np.unique(np.r_[anchor[first], anchor[last]])
+        more = np.flatnonzero(anchor[last] != anchor[first])
+        size = np.r_[at[last] + LENGTH - at[first], np.zeros(len(more), np.int64)]
+        anchor = np.r_[anchor[first], anchor[last][more]]
+        order = np.argsort(anchor, kind="stable")
+        anchor, size = anchor[order], size[order]
         text = np.searchsorted(starts, anchor, side="right") - 1
         return pa.RecordBatch.from_arrays([pa.array(h[anchor].view(np.int64)) if len(anchor) else pa.array([], pa.int64()), b.column(0).take(pa.array(text)),
-                                           pa.array((anchor - starts[text]).astype(np.int32))], names=["gram", "node", "place"])
+                                           pa.array((anchor - starts[text]).astype(np.int32)), pa.array(size.astype(np.int32))], names=["gram", "node", "place", "size"])
 
-    return map_texts(long_texts(docs), run, "gram long, node binary, place int")
+    return map_texts(long_texts(docs), run, "gram long, node binary, place int, size int")
 
 
 def segments(suspects: DataFrame) -> DataFrame:
@@ -207,33 +218,125 @@ def repeated_windows(parts: list[bytes], weights: np.ndarray) -> tuple[np.ndarra
     return part[hit[first]], hit[first] - begin[part[hit[first]]], hit[last] - begin[part[hit[first]]]
 
 
-def sort_segments(distinct: DataFrame) -> DataFrame:
-    """(name, first, last) of the repeated windows; ``distinct``: gram, name, segment, n."""
+def split(parts: list[bytes], width: int) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...], list[bytes]]:
+    """Hits (part, first, last) and pieces (part, start, key, copies) with their bytes: the windows of the parts, dealt out
+    by bands of ``width`` offsets of the anchor in the window and the bytes that all windows of a band hold. Bands of one
+    offset hold windows whole: each different one of a part is a piece, and those that stand twice in the part are hits."""
+    data, starts, _, at, anchor = windows(parts)
+    low = (anchor - at) // width * width
+    begin, end = anchor - low, anchor + LENGTH - np.minimum(low + width - 1, REACH)
+    key = np.empty(len(at), dtype=U)
+    for a in range(0, len(at), PIECE):
+        i, j, base = begin[a:a + PIECE], end[a:a + PIECE], int(at[a])
+        s = prefix_hashes(data[base:int(j.max())])
+        with np.errstate(over="ignore"):
+            key[a:a + PIECE] = mix((s[j - base] - s[i - base]) * powers_upto(BASE_INVERSE, len(s))[i - base] + mix(low[a:a + PIECE].astype(U)))
+    part = np.searchsorted(starts, at, side="right") - 1
+    none = np.empty(0, np.int64)
+    hits, copies = (none, none, none), np.ones(len(at), dtype=np.int64)
+    if width == 1:
+        order = np.lexsort((key, part))
+        new = np.r_[True, (part[order][1:] != part[order][:-1]) | (key[order][1:] != key[order][:-1])]
+        lead = np.empty(len(at), dtype=np.int64)
+        lead[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+        wide = np.lib.stride_tricks.sliding_window_view(data, LENGTH)
+        twice = np.flatnonzero(lead != np.arange(len(at)))
+        twice = twice[[bool((wide[at[i]] == wide[at[lead[i]]]).all()) for i in twice.tolist()]] if len(twice) else twice
+        copies += np.bincount(lead[twice], minlength=len(at))
+        hit = copies > 1
+        hit[twice] = True
+        where = np.flatnonzero(hit)
+        first, last = runs(at[where], part[where])
+        hits = tuple(x.astype(np.int64) for x in (part[where[first]], at[where[first]] - starts[part[where[first]]], at[where[last]] - starts[part[where[first]]]))
+        first = last = np.setdiff1d(np.arange(len(at)), twice)
+    else:
+        first, last = runs(at, key)
+    raw = data.tobytes()
+    pieces = [raw[i:j] for i, j in zip(at[first].tolist(), (at[last] + LENGTH).tolist(), strict=True)]
+    return hits, (part[first], at[first] - starts[part[first]], key[first], copies[first]), pieces
+
+
+def sort_segments(distinct: DataFrame, width: int) -> DataFrame:
+    """Rows without ``piece``: (name, first, last) of the repeated windows of the segments that are not ``hot``. Rows with it: the
+    pieces, by bands of ``width``, of the hot ones, ``first`` being where a piece starts. ``distinct``: gram, name, segment, n, hot."""
+    columns = ["name", "first", "last", "gram", "n", "piece"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, names, parts, n, size = [], [], [], [], 0
 
+        def batch(names, first, last, gram=None, n=None, piece=None) -> pa.RecordBatch:
+            k = len(names)
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)),
+                                               *(pa.nulls(k, pa.int64()) if x is None else pa.array(x.view(np.int64)) for x in (gram, n)),
+                                               pa.nulls(k, pa.binary()) if piece is None else pa.array(piece, pa.binary())], names=columns)
+
         def flush(upto: int) -> pa.RecordBatch:
             part, first, last = repeated_windows(parts[:upto], np.array(n[:upto], dtype=np.int64))
-            out = pa.RecordBatch.from_arrays([pa.array([names[i] for i in part.tolist()], pa.binary()), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], names=["name", "first", "last"])
+            out = batch([names[i] for i in part.tolist()], first, last)
             for x in (grams, names, parts, n):
                 del x[:upto]
             return out
 
-        for b in batches:
-            for g, name, segment, k in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                if size >= RUN_BYTES and g != grams[-1]:
-                    yield flush(len(parts))
-                    size = 0
-                grams.append(g)
-                names.append(name)
-                parts.append(segment)
-                n.append(k)
-                size += len(segment)
+        for wide in batches:
+            for b in slices([wide], 2):
+                hot = b.column(4)
+                cold, large = b.filter(pc.invert(hot)), b.filter(hot)
+                if large.num_rows:
+                    of, weights = large.column(1).to_pylist(), large.column(3).to_numpy()
+                    (part, first, last), (owner, start, key, copies), pieces = split(large.column(2).to_pylist(), width)
+                    if len(part):
+                        yield batch([of[i] for i in part.tolist()], first, last)
+                    for i in range(0, len(pieces), PIECES):
+                        j = slice(i, i + PIECES)
+                        yield batch([of[k] for k in owner[j].tolist()], start[j], start[j], key[j], weights[owner[j]] * copies[j], pieces[j])
+                for g, name, segment, k in zip(*(cold.column(i).to_pylist() for i in range(4)), strict=True):
+                    if size >= RUN_BYTES and g != grams[-1]:
+                        yield flush(len(parts))
+                        size = 0
+                    grams.append(g)
+                    names.append(name)
+                    parts.append(segment)
+                    n.append(k)
+                    size += len(segment)
         if parts:
             yield flush(len(parts))
 
-    dealt = distinct.repartition("gram").sortWithinPartitions("gram").select("gram", "name", "segment", "n")
-    return dealt.mapInArrow(run, "name binary, first int, last int")
+    place = F.when(F.col("hot"), F.xxhash64("name")).otherwise(F.col("gram"))
+    dealt = distinct.select("gram", "name", "segment", "n", "hot").repartition(place).sortWithinPartitions("gram")
+    return dealt.mapInArrow(run, "name binary, first int, last int, gram long, n long, piece binary")
+
+
+def merged(cuts: DataFrame, n) -> DataFrame:
+    """(gram, name, segment, n) of the different segments."""
+    return cuts.groupBy("gram", "name").agg(F.first("segment").alias("segment"), n.alias("n"))
+
+
+def too_large(sizes: DataFrame) -> DataFrame | None:
+    """(gram, hot) of the grams of more than RUN_BYTES; ``sizes``: gram, size. None if there are none."""
+    hot = stored(sizes.where(F.col("size") > RUN_BYTES).select("gram", F.lit(True).alias("hot")))
+    return None if hot.isEmpty() else hot
+
+
+def repeated_parts(distinct: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """(name, first, last) of the repeated windows; ``distinct``: gram, name, segment, n; ``hot``: its grams to split."""
+    rounds, width = [], REACH + 1
+    while True:
+        width = -(-width // 2)
+        marked = distinct.withColumn("hot", F.lit(False)) if hot is None else distinct.join(hot, "gram", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+        rounds.append(stored(sort_segments(marked, width)))
+        if hot is None:
+            break
+        pieces = rounds[-1].where("piece IS NOT NULL").select("gram", F.unhex(F.md5("piece")).alias("name"), F.col("piece").alias("segment"), "n")
+        distinct = merged(pieces, F.sum("n"))
+        sizes = pieces.groupBy("gram", "name").agg(F.first(F.octet_length("segment")).alias("size")).groupBy("gram").agg(F.sum("size").alias("size"))
+        hot = too_large(sizes) if width > 1 else None
+    hits = rounds.pop().select("name", "first", "last")
+    for found in reversed(rounds):  # what is repeated in a piece is so in the segments that hold it
+        inner = hits.select(F.col("name").alias("of"), F.col("first").alias("f"), F.col("last").alias("l"))
+        outer = found.where("piece IS NOT NULL").select("name", F.col("first").alias("start"), F.unhex(F.md5("piece")).alias("of")).join(inner, "of")
+        hits = (outer.select("name", (F.col("start") + F.col("f")).alias("first"), (F.col("start") + F.col("l")).alias("last"))
+                .unionByName(found.where("piece IS NULL").select("name", "first", "last")))
+    return stored(hits) if rounds else hits
 
 
 def cut(texts: DataFrame) -> DataFrame:
@@ -268,12 +371,13 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """(node, text, spans): texts with the windows that occur elsewhere, equal texts counted once. ``docs``: node, text."""
     found = stored(anchors(docs))
     occurrence = F.xxhash64("node", "place")
-    repeated = found.groupBy("gram").agg(F.min(occurrence).alias("a"), F.max(occurrence).alias("b")).where("a <> b").select("gram")
-    places = stored(found.join(repeated.hint("shuffle_hash"), "gram", "left_semi").groupBy("node").agg(F.sort_array(F.collect_set("place")).alias("places")))
+    repeated = stored(found.groupBy("gram").agg(F.min(occurrence).alias("a"), F.max(occurrence).alias("b"), F.sum("size").alias("size"))
+                      .where("a <> b").select("gram", "size"))
+    hot = too_large(repeated)  # equal segments count each here, so no other gram has more
+    places = stored(found.join(repeated.select("gram").hint("shuffle_hash"), "gram", "left_semi").groupBy("node").agg(F.sort_array(F.collect_set("place")).alias("places")))
     suspects = stored(long_texts(docs).join(places.hint("shuffle_hash"), "node").dropDuplicates(["node"]))
     cuts = segments(suspects).withColumn("name", F.unhex(F.md5("segment")))
-    distinct = cuts.groupBy("gram", "name").agg(F.first("segment").alias("segment"), F.count(F.lit(1)).alias("n"))
-    hits = stored(sort_segments(distinct))
+    hits = repeated_parts(merged(cuts, F.count(F.lit(1))), hot)
     spans = (cuts.select("node", "start", "name").join(hits, "name")
              .groupBy("node").agg(F.collect_list(F.struct((F.col("start") + F.col("first")).alias("start"), (F.col("start") + F.col("last") + LENGTH).alias("stop"))).alias("spans")))
     return suspects.select("node", "text").join(stored(spans).hint("shuffle_hash"), "node")

@@ -68,3 +68,23 @@ def test_anchors_of_long_texts(monkeypatch):
     near, far = 300, int(starts[1]) + 5000
     for k in range(201):  # equal windows have one key, wherever they stand
         assert h[place[near + k]] == h[place[far + k]]
+
+
+def test_hot_grams_are_split(spark, docs_of, monkeypatch):
+    random.seed(3)
+    noise = lambda n: "".join(random.choice("abcdeéñ ") for _ in range(n))
+    passage, most = noise(500), 3000
+    texts = [noise(random.randrange(150, 400)) + passage + noise(random.randrange(150, 400)) for _ in range(60)]
+    texts += [noise(100) + " " * random.randrange(100, 2000) + noise(100) for _ in range(20)] + ["x" * 700, "ab" * 1500, noise(90) + "ab" * 900 + "!", passage, None, ""]
+    rows = list(enumerate(texts))
+    sort = suffix.repeated_windows
+
+    def bounded(parts, weights):
+        assert sum(map(len, parts)) <= 2 * most, "a run is not bounded"
+        return sort(parts, weights)
+
+    monkeypatch.setattr(suffix, "RUN_BYTES", most)
+    monkeypatch.setattr(suffix, "repeated_windows", bounded)
+    got = suffix.dedup(docs_of(rows)).collect()
+    want = Counter((i, *b) for (i, _), b in zip(rows, brute(texts), strict=True))
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
