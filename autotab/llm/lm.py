@@ -148,11 +148,13 @@ class Block:
         self.at = at[self.text[at] == self.text[at + 2]] if len(at) else at
         self.gid = np.r_[START, END, NONE, self.word_id]
         width = max(1, len(self.gid).bit_length())
-        assert 3 * width < 63, "a block holds too many distinct words"
-        key = (self.s[self.at + 1] << 2 * width) | (self.s[self.at] << width) | self.s[self.at + 2]
-        key, self.which = np.unique(key, return_inverse=True)
         mask = (1 << width) - 1
-        v, u, w = (self.gid[k] for k in (key >> 2 * width, key >> width & mask, key & mask))
+        pairs, pair = None, (self.s[self.at + 1] << width) | self.s[self.at]
+        if 3 * width >= 63:  # a block with a long text of unlike words: its pairs by their ranks
+            pairs, pair = np.unique(pair, return_inverse=True)
+        key, self.which = np.unique(pair << width | self.s[self.at + 2], return_inverse=True)
+        pair = key >> width if pairs is None else pairs[key >> width]
+        v, u, w = (self.gid[k] for k in (pair >> width, pair & mask, key & mask))
         train = np.bincount(self.which, weights=1.0 - self.held[self.text[self.at]], minlength=len(key)).astype(np.int64)
         with np.errstate(over="ignore"):
             shard = (mix(mix(u.astype(U)) + v.astype(U)) % U(shards)).astype(np.int64)

@@ -90,6 +90,17 @@ def test_scores_equal_brute_force(spark, docs_of, monkeypatch, small):
         assert g[6] == pytest.approx(w[6], abs=1e-3 * w[2])
 
 
+def test_text_of_very_many_distinct_words(spark, docs_of):
+    rows = [(1, " ".join(f"{i:x}" for i in range(1_100_000))), (2, "1 2 3 4 zz"), (3, "a b c a b c")]
+    df = docs_of(rows)
+    held = lm.F.crc32(df.doc_id.cast("string").cast("binary")) % lm.FOLDS == lm.HELD
+    got = sorted(map(tuple, lm.score(df.withColumn("held_out", held)).collect()))
+    for g, w in zip(got, sorted(model(rows)), strict=True):
+        assert g[:5] == w[:5]
+        assert g[5] == pytest.approx(w[5], rel=1e-9)
+        assert g[6] == pytest.approx(w[6], abs=1e-3 * w[2])
+
+
 def test_empty_table(spark, docs_of):
     assert lm.score(docs_of([(1, "x")]).limit(0).withColumn("held_out", lm.F.lit(False))).count() == 0
 
