@@ -1298,8 +1298,8 @@ from .operators import train as TR  # noqa: E402
 from .plans.options import changed  # noqa: E402
 
 
-def docs_options(draws: int = 2, models=("logistic", "rf", "gbt"), **more):
-    """Options of the documents runs: the registry's full spaces, five folds, ``draws`` draws a model."""
+def docs_options(draws: int = TR.RunOptions().cv.n_iter_search, models=("logistic", "rf", "gbt"), **more):
+    """Options of the documents runs: the registry's full spaces, five folds, ``draws`` draws a model (the operator's default)."""
     return changed(TR.RunOptions(), data__target="quality", data__key=["doc_id"],
                    data__features=["lang", "source", "n_chars", "toxic", "text"], cv__n_iter_search=draws,
                    cv__parallelism=4, train__model_names=list(models), **more)

@@ -93,3 +93,13 @@ def test_positive_label_order(spark):
     from autotab.operators.labels import positive_label
     df = spark.createDataFrame([("True",), ("Y",), ("Y",)], "y string")
     assert positive_label(df, "y").first()[0] == "Y"
+
+
+def test_training_run_searches_with_the_default_budget():
+    import __spark_entry__
+    from autotab import catalog
+    from autotab.operators.search import SearchOptions
+    from autotab.plans import registry
+    assert catalog.docs_options().cv.n_iter_search == SearchOptions().n_iter_search == 30
+    assert registry.BOOSTING["maxIter"] == [30, 60, 100] and registry.BOOSTING["maxDepth"] == [3, 5, 7]
+    assert __spark_entry__.FLAGSHIP == "train_report"
