@@ -2,8 +2,9 @@
 speaker as the assistant and the others as named users, with the loss mask on the speaker's turns.
 
 The rendering stays one row per turn and perspective; the character offsets within the whole
-rendering come from prefix sums over runs of ``RUN`` turns, so a conversation that holds a third of
-all rows is rendered by many tasks. Roles named ``system`` set the scene: they keep their role in
+rendering come from prefix sums over runs: range partitions of about ``RUN`` turns at most, in the order of conversation,
+turn, speaker and content. Equal rows are told apart by a salt, so a conversation that holds a third of
+all rows is rendered by many tasks, whatever its turn numbers are. Roles named ``system`` set the scene: they keep their role in
 every perspective and have none of their own.
 
 Cases: a NULL role is the speaker ``unknown``; a NULL text is empty; a NULL conv_id is a
@@ -17,26 +18,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
 
-RUN = 256
+RUN = 65_536
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
+def with_runs(t: DataFrame) -> DataFrame:
+    """``t`` (conv_id, turn, speaker, content) with ``run`` and ``salt``: the rows in order, dealt out to runs that follow each other."""
+    parts = max(int(t.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-t.count() // RUN))
+    t = t.withColumn("salt", F.xxhash64(F.monotonically_increasing_id()))
+    return stored(t.repartitionByRange(parts, "conv_id", "turn", "speaker", "content", "salt").withColumn("run", F.spark_partition_id()))
+
+
 def rotate(turns: DataFrame) -> DataFrame:
     t = turns.select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("speaker"),
                      F.replace(F.coalesce("text", F.lit("")), F.lit("<|im_"), F.lit("< |im_")).alias("content"))
+    t = with_runs(t)
     seats = t.where(F.col("speaker") != "system").select(F.col("conv_id").alias("c"), F.col("speaker").alias("perspective")).distinct()
     d = t.join(seats, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
     mine = F.col("speaker") == F.col("perspective")
     head = F.when(F.col("speaker") == "system", F.lit("system")).when(mine, F.lit("assistant")).otherwise(F.concat(F.lit("user name="), "speaker"))
     d = (d.withColumn("trained", mine).withColumn("head", F.concat(F.lit(OPEN), head, F.lit("\n")))
          .withColumn("tail", F.concat("content", F.lit(CLOSE))).withColumn("rendered", F.concat("head", "tail", F.lit("\n")))
-         .withColumn("run", F.floor(F.coalesce("turn", F.lit(-1)) / RUN)).withColumn("conv", F.struct("conv_id", "perspective")))
+         .withColumn("conv", F.struct("conv_id", "perspective")))
     runs = d.groupBy("conv", "run").agg(F.sum(F.length("rendered")).alias("chars"), F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("conv").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     offsets = runs.select(F.col("conv").alias("oc"), F.col("run").alias("orun"), *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"o_{c}") for c in ("chars", "n")])
-    inside = Window.partitionBy("conv", "run").orderBy(F.col("turn").asc_nulls_first(), "speaker", "content")
+    inside = Window.partitionBy("conv", "run").orderBy(F.col("turn").asc_nulls_first(), "speaker", "content", "salt")
     d = d.join(offsets, F.col("conv").eqNullSafe(F.col("oc")) & (F.col("run") == F.col("orun")))
     d = (d.withColumn("position", F.row_number().over(inside) + F.col("o_n"))
          .withColumn("char_start", F.sum(F.length("rendered")).over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.length("rendered") + F.col("o_chars")))

@@ -32,3 +32,17 @@ def test_offsets_across_runs(spark, monkeypatch):
     assert [r.position for r in rows] == list(range(1, 21))
     whole = "".join(r.rendered for r in rows)
     assert all(whole[r.char_start:].startswith(r.rendered) for r in rows)
+
+
+def test_ties_and_null_turns_spread_over_runs(spark, monkeypatch):
+    monkeypatch.setattr(chat, "RUN", 20)
+    rows = [(None, None, "a", "same") for _ in range(150)] + [(None, 1, "ab"[i % 2], f"x{i % 40}") for i in range(150)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    sizes = [r["count"] for r in chat.with_runs(df.withColumnsRenamed({"role": "speaker", "text": "content"})).groupBy("run").count().collect()]
+    assert len(sizes) > 8 and max(sizes) < 60 and sum(sizes) == 300
+    out = sorted((r for r in chat.rotate(df).collect() if r.perspective == "a"), key=lambda r: r.position)
+    assert [r.position for r in out] == list(range(1, 301))
+    order = sorted(((t is not None, t or 0, s, x) for _, t, s, x in rows))
+    assert [(r.turn is not None, r.turn or 0, r.speaker) for r in out] == [o[:3] for o in order]
+    whole = "".join(r.rendered for r in out)
+    assert all(whole[r.char_start:].startswith(r.rendered) for r in out)
