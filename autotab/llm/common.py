@@ -99,3 +99,9 @@ def stored(df: DataFrame) -> DataFrame:
     for _ in range(2):  # plans are dropped first, then what only they referred to
         release(spark, 0.5)
     return spark.read.schema(schema).parquet(path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a table that this run wrote and that no result reads any more."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
