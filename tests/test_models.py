@@ -9,7 +9,7 @@ from autotab.operators import train as TR
 from autotab.plans.options import changed
 from autotab.sources import fixtures as fx
 from autotab.sources.sinks import load_bundle, save_bundle
-from conftest import SF001
+from paths import SF001
 
 
 @pytest.fixture(scope="module")

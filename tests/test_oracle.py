@@ -5,7 +5,7 @@ import sys
 
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
 
-from conftest import SF001  # noqa: E402
+from paths import SF001  # noqa: E402
 
 FAST = ["metric_roc_auc", "metric_avg_precision", "best_threshold_f1", "best_threshold_youden", "confusion_matrix",
         "calibration_curve", "metric_f1_macro", "metric_roc_auc_ovr", "blend", "profile_nulls", "skewness",

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from autotab.operators import split as SP
-from conftest import SF001
+from paths import SF001
 
 
 def test_stratified_folds_balanced(spark):
