@@ -1124,7 +1124,7 @@ def q_gbt_early_stop(spark, d):
     df = fx.vec_ml(spark, d)
     x = df.select("vec_id", (F.col("label") == 0).cast("double").alias("label"),
                   array_to_vector(F.transform("embedding", lambda v: v.cast("double"))).alias("features"))
-    model, rounds = CA.gbt_early_stop(x, ["vec_id"], "classification", max_iter=50, maxDepth=3)
+    model, rounds = CA.gbt_early_stop(x, ["vec_id"], "classification", maxDepth=3)
     return scored_frame(model.transform(x), "classification", keep=["vec_id"]).drop("proba").withColumn(
         "rounds", F.lit(rounds))
 

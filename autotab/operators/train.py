@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import clean_frame, named
+from ..functions.lookup import table_bytes
 from ..plans.options import plain
 from ..plans.plan import TrainingPlan, make_plan, plan_profile
-from ..plans.registry import FAMILIES
+from ..plans.registry import FAMILIES, draws_made
 from ..session import cut_lineage
 from ..sources.sinks import save_bundle, write_json, write_table
 from ..sources.tables import strip_column_names
@@ -31,6 +32,8 @@ from .smote import smote
 from .split import kfold, sample_rows, stratified_folds
 
 log = logging.getLogger("autotab")
+#: Bytes of the prepared training table that one partition should hold.
+PARTITION_BYTES = 32 << 20
 LABEL, FOLD, WEIGHT = "__label", "__fold", "__w"
 
 
@@ -59,7 +62,8 @@ class TrainOptions:
     calibrate: bool = True
     ensemble_top_n: int = 1
     early_stopping: bool = False
-    early_stopping_rounds: int = 200
+    early_stopping_rounds: int = 2000         # at most
+    early_stopping_patience: int = 50
     output_dir: str | None = None
 
 
@@ -175,7 +179,8 @@ def train_system(df: DataFrame, opts: RunOptions) -> TrainResult:
     # the prepared training table (clean, labels, indicators, folds, weights) is written once
     # to the shared checkpoint folder: every fold, candidate and refit reads it with a short
     # plan, and a lost executor recomputes from here instead of from the raw input
-    prepared = cut_lineage(d)
+    # one partition per PARTITION_BYTES: the fits run many small jobs over it
+    prepared = cut_lineage(d.coalesce(max(1, -(-table_bytes(d.persist(StorageLevel.MEMORY_AND_DISK)) // PARTITION_BYTES))))
     d.unpersist()
     pre_opts = replace(opts.preprocess, power_transform=opts.preprocess.power_transform if plan.preprocess["power_transform"] else False)
     run = Run(opts, plan, prepared, feats, key, task, weighted, pre_opts, n_classes)
@@ -192,7 +197,7 @@ def train_system(df: DataFrame, opts: RunOptions) -> TrainResult:
         "best_models": [{"model": r.model, "family": r.model, "cv_primary_score": r.best_score, "params": r.best_params,
                          "metrics": oof_metrics(r.oof, task, n_classes)} for r in results],
         "metrics": oof_metrics(oof, task, n_classes), "labels_info": bundle.labels_info, "plan": plan.to_dict(), "cleaning": info,
-        "resampled": plan.resample, "early_stopping_rounds": run.rounds, "n_features_in": len(feats),
+        "resampled": plan.resample, "draws": {r.model: len(r.leaderboard) for r in results}, "early_stopping_rounds": run.rounds, "n_features_in": len(feats),
         "n_features_out": sum(len(m.pre.feature_names) for m in members), "seconds": time.time() - t0,
     }
     result = TrainResult(report, board, oof, bundle, importances, plan)
@@ -237,13 +242,14 @@ class Run:
     def search_all(self) -> list[SearchResult]:
         """One kind of folds at a time; its matrices go before the next kind is prepared."""
         cv, out = self.opts.cv, []
+        draws = draws_made(self.task, self.plan.model_iters)
         for needs in dict.fromkeys(map(self.needs, self.plan.model_names)):
             names = [n for n in self.plan.model_names if self.needs(n) == needs]
             folds = prepare_folds(self.rows, self.key, LABEL, self.feats, names[0], self.task, cv.folds, FOLD, needs[2], self.pre_opts,
                                   self.select_k, cut=False, resample=self.plan.resample, seed=cv.random_state)
             for name in names:
                 began = time.time()
-                res = search(self.family(name), folds, self.task, self.key, self.plan.primary_metric, self.plan.model_iters[name],
+                res = search(self.family(name), folds, self.task, self.key, self.plan.primary_metric, draws[name],
                              self.plan.search_strategy, cv.random_state, cv.parallelism, cv.halving_factor)
                 kept = cut_lineage(res.oof if res.oof is not None else oof_predictions(self.family(name), res.best_params, folds, self.task, self.key))
                 if res.oof is not None:
@@ -266,17 +272,17 @@ class Run:
             x = x.persist(StorageLevel.MEMORY_AND_DISK)
             train = training_rows(x, self.plan, self.key, self.opts.cv.random_state)
             ctx = model_context(train, self.task, len(pre.feature_names), weight)
-            many = res.model == "gbt" and (self.n_classes or 2) > 2  # margins only, no probabilities
-            if self.plan.early_stopping and res.model == "gbt" and not many:
+            if self.plan.early_stopping and res.model == "gbt":
                 params = {k: v for k, v in res.best_params.items() if k != "maxIter"}
-                model, self.rounds = gbt_early_stop(x, self.key, self.task, max_iter=self.opts.train.early_stopping_rounds, train_rows=train, **params)
+                model, self.rounds = gbt_early_stop(x, self.key, self.task, max_rounds=self.opts.train.early_stopping_rounds,
+                                                    patience=self.opts.train.early_stopping_patience, train_rows=train, weight=weight, **params)
             else:
                 model = fit_model(spec, res.best_params, train, ctx)
             members.append(Member(res.model, pre, model))
             if not importances:
                 importances = feature_importance(model, pre.feature_names)
-            if len(chosen) == 1 and self.plan.do_calibration and spec.proba and not many:
-                calibrated = calibrate(spec, res.best_params, folds_of_matrix(x, FOLD, self.opts.cv.folds, self.task, len(pre.feature_names), weight))
+            if len(chosen) == 1 and self.plan.do_calibration and spec.proba:
+                calibrated = calibrate(spec, res.best_params, folds_of_matrix(x, FOLD, self.opts.cv.folds, self.task, len(pre.feature_names), weight), key=self.key)
             x.unpersist()
         return members, calibrated, importances
 

@@ -1,7 +1,7 @@
 """Model families: for every task the builders of Spark ML estimators, their search spaces and budgets.
 
 A builder takes (params, ctx) and returns an unfitted estimator; ``ctx`` holds the sizes that some of
-them need (rows, weight sum, classes, features). Boosting is Spark's GBT, one-vs-rest beyond two classes.
+them need (rows, weight sum, classes, features). Boosting is ``operators.boosting``, the rest Spark ML.
 """
 
 from __future__ import annotations
@@ -13,8 +13,8 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 
 COLUMNS = {"featuresCol": "features", "labelCol": "label"}
 SEED = 42
@@ -28,8 +28,8 @@ class Family:
     share: float                 # of the search budget, relative to the other families
     weighted: bool = True        # takes row weights
     proba: bool = True           # gives class probabilities
-    most_draws: int | None = None
     offered: bool = True         # a candidate unless asked for by name
+    together: str | None = None  # how all folds of all candidates are fitted in one run, if they are
 
 
 FAMILIES: dict[str, dict[str, Family]] = {"classification": {}, "regression": {}}
@@ -48,12 +48,11 @@ def row_weights(ctx: dict) -> dict:
 
 
 FOREST = {"numTrees": [50, 100, 200], "maxDepth": [6, 10, 16], "minInstancesPerNode": [1, 2, 4], "featureSubsetStrategy": ["sqrt", "log2", "all"]}
-BOOSTING = {"maxIter": [30, 60, 100], "maxDepth": [3, 5, 7], "stepSize": [0.05, 0.1, 0.2], "subsamplingRate": [0.7, 0.85, 1.0]}
-#: Boosting fits take the longest, so no search draws more of them.
-BOOSTING_DRAWS = 12
+BOOSTING = {"maxIter": [100, 200, 300], "maxDepth": [3, 5, 7], "stepSize": [0.02, 0.05, 0.1], "subsamplingRate": [0.7, 0.85, 1.0],
+            "featureFraction": [0.7, 0.85, 1.0], "minGain": [0.0, 0.1, 0.2]}
 
 
-@family("classification", "logistic", {"C": [1e-3, 1e-2, 1e-1, 1, 10, 100]}, share=1.0)
+@family("classification", "logistic", {"C": [1e-3, 1e-2, 1e-1, 1, 10, 100]}, share=1.0, together="logistic")
 def logistic(params, ctx):
     weight = float(ctx.get("weight_sum") or ctx.get("n_rows") or 1.0)
     return LogisticRegression(**COLUMNS, **row_weights(ctx), regParam=1.0 / (float(params.get("C", 1.0)) * weight), elasticNetParam=0.0,
@@ -65,12 +64,14 @@ def forest_classifier(params, ctx):
     return RandomForestClassifier(**COLUMNS, **row_weights(ctx), seed=SEED, **params)
 
 
-@family("classification", "gbt", BOOSTING, share=1.8, most_draws=BOOSTING_DRAWS)
+def boosted(classes: int | None, params, ctx):
+    from ..operators.boosting import BoostedTrees
+    return BoostedTrees(classes, **COLUMNS, **row_weights(ctx), seed=SEED, **params)
+
+
+@family("classification", "gbt", BOOSTING, share=1.8, together="boosting")
 def boosted_classifier(params, ctx):
-    one = GBTClassifier(**COLUMNS, **row_weights(ctx), seed=SEED, **params)
-    if int(ctx.get("n_classes") or 2) <= 2:
-        return one
-    return OneVsRest(classifier=one, **COLUMNS, parallelism=2, **row_weights(ctx))
+    return boosted(max(2, int(ctx.get("n_classes") or 2)), params, ctx)
 
 
 @family("classification", "mlp", {"hidden": [64, 128], "maxIter": [100, 200]}, share=1.4, weighted=False, offered=False)
@@ -93,9 +94,9 @@ def forest_regressor(params, ctx):
     return RandomForestRegressor(**COLUMNS, **row_weights(ctx), seed=SEED, **params)
 
 
-@family("regression", "gbt", BOOSTING, share=1.8, proba=False, most_draws=BOOSTING_DRAWS)
+@family("regression", "gbt", BOOSTING, share=1.8, proba=False, together="boosting")
 def boosted_regressor(params, ctx):
-    return GBTRegressor(**COLUMNS, **row_weights(ctx), seed=SEED, **params)
+    return boosted(None, params, ctx)
 
 
 def candidate_models(task: str, include_mlp: bool = False) -> list[str]:
@@ -106,14 +107,13 @@ def space_size(space: dict[str, list]) -> int:
     return math.prod(max(1, len(v)) for v in space.values())
 
 
-def draw_candidates(space: dict[str, list], n_iter: int, seed: int = 42, cap: int | None = None) -> list[dict]:
+def draw_candidates(space: dict[str, list], n_iter: int, seed: int = 42) -> list[dict]:
     """Seeded distinct draw of parameter combinations from the grid (md5 order)."""
     if not space:
         return [{}]
     names = sorted(space)
     combos = [dict(zip(names, values, strict=True)) for values in itertools.product(*(space[n] for n in names))]
-    n = min(n_iter, len(combos), cap if cap is not None else len(combos))
-    return sorted(combos, key=lambda c: hashlib.md5(f"{seed}|{sorted(c.items())}".encode()).hexdigest())[:max(1, n)]
+    return sorted(combos, key=lambda c: hashlib.md5(f"{seed}|{sorted(c.items())}".encode()).hexdigest())[:max(1, n_iter)]
 
 
 def split_budget(task: str, models: list[str], total: int, least: int = 3) -> dict[str, int]:
@@ -131,3 +131,18 @@ def split_budget(task: str, models: list[str], total: int, least: int = 3) -> di
             draws[draws.index(max(draws))] -= 1
             draws[i] += 1
     return {m: max(1, d) for m, d in zip(models, draws, strict=True)}
+
+
+def draws_made(task: str, planned: dict[str, int]) -> dict[str, int]:
+    """The planned draws as far as each family's space holds them; what a family cannot use goes to the others by their
+    planned draws, so that all of them are made unless every space is used up."""
+    size = {m: space_size(FAMILIES[task][m].space) for m in planned}
+    made = {m: min(n, size[m]) for m, n in planned.items()}
+    spare = sum(planned.values()) - sum(made.values())
+    while spare > 0 and (open_ := [m for m in planned if made[m] < size[m]]):
+        whole = sum(planned[m] for m in open_)
+        for m in open_:
+            more = min(size[m] - made[m], max(1, spare * planned[m] // whole), spare - (sum(made.values()) - (sum(planned.values()) - spare)))
+            made[m] += max(0, more)
+        spare = sum(planned.values()) - sum(made.values())
+    return made

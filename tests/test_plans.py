@@ -23,11 +23,20 @@ def test_candidates_and_registry():
     assert RG.candidate_models("regression") == ["linear", "rf", "gbt"]
 
 
-def test_draw_candidates_distinct_and_capped():
+def test_draw_candidates_distinct():
     f = RG.FAMILIES["classification"]["gbt"]
-    c = RG.draw_candidates(f.space, 30, seed=42, cap=f.most_draws)
-    assert len(c) == 12 and len({str(sorted(x.items())) for x in c}) == 12
-    assert c == RG.draw_candidates(f.space, 30, seed=42, cap=12)
+    c = RG.draw_candidates(f.space, 30, seed=42)
+    assert len(c) == 30 and len({str(sorted(x.items())) for x in c}) == 30
+    assert c == RG.draw_candidates(f.space, 30, seed=42)
+
+
+def test_unused_draws_go_to_other_families():
+    assert RG.draws_made("classification", {"logistic": 23, "rf": 27, "gbt": 40}) == {"logistic": 6, "rf": 34, "gbt": 50}
+    assert RG.draws_made("classification", {"logistic": 3, "rf": 5}) == {"logistic": 3, "rf": 5}
+    assert RG.draws_made("classification", {"logistic": 60}) == {"logistic": 6}
+    for a in range(1, 40, 3):
+        got = RG.draws_made("classification", {"logistic": a, "rf": 70, "gbt": 5})
+        assert sum(got.values()) == a + 75 and got["logistic"] <= 6 and got["rf"] <= 81
 
 
 def test_plan_rules():
@@ -101,5 +110,5 @@ def test_training_run_searches_with_the_default_budget():
     from autotab.operators.search import SearchOptions
     from autotab.plans import registry
     assert catalog.docs_options().cv.n_iter_search == SearchOptions().n_iter_search == 30
-    assert registry.BOOSTING["maxIter"] == [30, 60, 100] and registry.BOOSTING["maxDepth"] == [3, 5, 7]
+    assert registry.BOOSTING["maxIter"] == [100, 200, 300] and registry.BOOSTING["maxDepth"] == [3, 5, 7]
     assert __spark_entry__.FLAGSHIP == "train_report"
