@@ -59,7 +59,7 @@ def logistic(params, ctx):
                               standardization=False, maxIter=int(params.get("maxIter", 2000)), tol=float(params.get("tol", 1e-4)))
 
 
-@family("classification", "rf", FOREST, share=1.2)
+@family("classification", "rf", FOREST, share=1.2, together="forest")
 def forest_classifier(params, ctx):
     return RandomForestClassifier(**COLUMNS, **row_weights(ctx), seed=SEED, **params)
 
@@ -89,7 +89,7 @@ def elastic_net(params, ctx):
                             standardization=False, solver="normal", maxIter=200)
 
 
-@family("regression", "rf", FOREST, share=1.2, proba=False)
+@family("regression", "rf", FOREST, share=1.2, proba=False, together="forest")
 def forest_regressor(params, ctx):
     return RandomForestRegressor(**COLUMNS, **row_weights(ctx), seed=SEED, **params)
 
