@@ -1043,7 +1043,7 @@ def q_fit_mlp(spark, d):
     x = df.select("vec_id", F.col("label").cast("double").alias("label"),
                   array_to_vector(F.transform("embedding", lambda v: v.cast("double"))).alias("features"))
     ctx = model_context(x, "classification", 64)
-    m = fit_model(RG.FAMILIES["classification"]["mlp"], {"hidden": 32, "maxIter": 50}, x, ctx)
+    m = fit_model(RG.FAMILIES["classification"]["mlp"], {"hidden": 32, "epochs": 40}, x, ctx)
     return scored_frame(m.transform(x), "classification", keep=["vec_id"]).drop("proba", "score")
 
 
@@ -1166,6 +1166,26 @@ def q_raw_to_proba(spark, d):
                               F.element_at("pb", 2).alias("sig")))
 
 
+MI_K_FEATS = ["n_chars", "toxic"]
+
+
+@query("mutual_info_knn", W(DOCS_ML, "b AS (" + union([f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS x, quality AS y FROM docs_ml" for c in MI_K_FEATS]) + ")", """
+c AS (SELECT *, COUNT(*) OVER (PARTITION BY feature, y) AS nc FROM b),
+m AS (SELECT *, LEAST(3, nc - 1) AS k, row_number() OVER () AS id FROM c WHERE nc > 1),
+l AS (SELECT *, list_sort(list_filter([x - lag(x, 1) OVER w, x - lag(x, 2) OVER w, x - lag(x, 3) OVER w, lead(x, 1) OVER w - x, lead(x, 2) OVER w - x, lead(x, 3) OVER w - x],
+                                      lambda d: d IS NOT NULL))[k] AS r FROM m WINDOW w AS (PARTITION BY feature, y ORDER BY x)),
+n AS (SELECT l.id, l.feature, l.k, l.nc, COUNT(*) AS m FROM l JOIN m o ON l.feature = o.feature
+      AND (CASE WHEN l.r > 0 THEN ABS(o.x - l.x) < l.r ELSE o.x = l.x END) GROUP BY ALL),
+h AS (SELECT i AS v, -0.5772156649015329 + COALESCE(SUM(1.0 / (i - 1)) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING), 0) AS psi
+      FROM (SELECT UNNEST(generate_series(2, (SELECT COUNT(*) FROM docs_ml) + 1)) AS i) t UNION ALL SELECT 1, -0.5772156649015329)""") + """
+SELECT n.feature, ROUND(GREATEST(0.0, MAX(hn.psi) + AVG(hk.psi) - AVG(hc.psi) - AVG(hm.psi)), 6) AS mi
+FROM (SELECT *, COUNT(*) OVER (PARTITION BY feature) AS total FROM n) n JOIN h hn ON hn.v = n.total JOIN h hk ON hk.v = n.k JOIN h hc ON hc.v = n.nc JOIN h hm ON hm.v = n.m GROUP BY n.feature""")
+def q_mutual_info_knn(spark, d):
+    """Nearest-neighbour mutual information of numeric features with the quality of labelled documents."""
+    from .operators.mutual import mutual_information_knn
+    return rounded(mutual_information_knn(fx.docs_ml(spark, d), MI_K_FEATS, "quality"))
+
+
 @query("stacking")
 def q_stacking(spark, d):
     """Stacking logistic + random forest on docs_ml (5 folds): out-of-fold base probabilities

@@ -538,9 +538,14 @@ def mutual_information(df: DataFrame, features: list[str], target: str, task: st
     return j.groupBy("feature").agg(F.sum(term).alias("mi"))
 
 
-def select_k_best_mi(df: DataFrame, features: list[str], target: str, k: int, task: str = "classification") -> DataFrame:
-    """Top-k features by mutual information (ties by name): (feature, mi, rank)."""
-    mi = mutual_information(df, features, target, task)
+def select_k_best_mi(df: DataFrame, features: list[str], target: str, k: int, task: str = "classification", estimator: str = "binned") -> DataFrame:
+    """Top-k features by mutual information (ties by name): (feature, mi, rank). ``estimator``: "binned", or "knn" (nearest
+    neighbours; numeric features and classes)."""
+    if estimator == "knn" and task == "classification":
+        from .mutual import mutual_information_knn
+        mi = mutual_information_knn(df, features, target)
+    else:
+        mi = mutual_information(df, features, target, task)
     # one row per feature: the ranking window runs over d rows
     w = Window.orderBy(F.col("mi").desc(), F.col("feature"))
     return mi.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)

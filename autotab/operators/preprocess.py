@@ -29,6 +29,7 @@ class PreprocessOptions:
     low_variance_threshold: float = 0.0
     select_k_best: int | str | None = None
     select_k_bounds: tuple[int, int] = (10, 80)
+    select_k_by: str = "knn"                 # estimator of the mutual information: "knn" or "binned"
     correlation_filter: bool = False
     correlation_threshold: float = 0.98
     ordinal_mappings: dict[str, dict[str, int]] | None = None
@@ -168,7 +169,7 @@ class Preprocessor(Estimator):
         names = cont + binary + cat_out
         if self.select_k and self.target and names:
             k = FT.clamp_k(int(self.select_k), len(names))
-            top = FT.select_k_best_mi(d, names, self.target, k, task=self.task).collect()
+            top = FT.select_k_best_mi(d, names, self.target, k, task=self.task, estimator=cfg.select_k_by).collect()
             keep = {r["feature"] for r in top}
             names = [n for n in names if n in keep]
         hash_stage = None
