@@ -107,3 +107,22 @@ def top_n_per_group(df: DataFrame, group_cols: list[str], order_cols: list, n: i
         d = d.withColumn("__r1", F.row_number().over(w1)).where(F.col("__r1") <= n).drop("__r1", "__sb")
     w2 = Window.partitionBy(*group_cols).orderBy(*order_cols)
     return d.withColumn(out, F.row_number().over(w2)).where(F.col(out) <= n)
+
+
+#: Rows that a range partition of ``range_rank`` should hold.
+RANGE_ROWS = 50_000
+
+
+def range_rank(df: DataFrame, by: list[str], order: list[str], out: str = "rank") -> DataFrame:
+    """0-based rank of each row within ``by`` in the order of ``order`` (any sortable columns, together with ``by`` unique), from
+    range partitions and their counts: no task orders more than its range, however large a group is."""
+    from ..session import cut_lineage
+    keys = [*by, *order]
+    parts = max(1, -(-df.count() // RANGE_ROWS))
+    ranged = cut_lineage(df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("__part", F.spark_partition_id()))
+    counts = ranged.groupBy(*by, "__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = counts.select(*by, "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
+    inside = Window.partitionBy(*by, "__part").orderBy(*order)
+    d = null_safe_join(ranged.withColumn(out, F.row_number().over(inside) - 1), firsts, [*by, "__part"], how="inner")
+    return d.withColumn(out, (F.col(out) + F.col("__first")).cast("bigint")).drop("__part", "__first")

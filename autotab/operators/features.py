@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 
 from pyspark.ml import Estimator, Model
-from pyspark.ml.feature import FeatureHasher, VectorAssembler
+from pyspark.ml.feature import FeatureHasher, OneHotEncoder, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -21,6 +21,7 @@ from ..functions.cleaning import named
 from ..functions.lookup import max_broadcast_bytes, null_safe_join, table_bytes
 from ..session import cut_lineage
 from ..functions.quantiles import medians, modes, multi_quantiles
+from ..functions.ranking import range_rank
 from .profile import at_least_distinct, categorical_columns, null_counts, numeric_columns
 
 OTHER = "__OTHER__"
@@ -469,6 +470,50 @@ class OneHotModel(_Fitted):
         return df.select(*keep, *new)
 
 
+def category_codes(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(column, value key, code): training categories of every column in sorted order as 0 .. K-1, ranked by many tasks."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), named(c).cast("string").alias("text")) for c in cols])).alias("e")).select("e.*")
+    ranked = range_rank(long.where(F.col("text").isNotNull()).distinct(), ["column"], ["text"], out="code")
+    return cut_lineage(ranked.select("column", value_key(F.col("text")).alias("value"), F.col("code").cast("double").alias("code")))
+
+
+class SparseOneHot(Estimator):
+    """One-hot of columns with any number of categories: the category index is a table, every row gets one sparse vector a
+    column (``<c>__onehot``); unknown and NULL → all zeros. Nothing but the number of categories reaches the driver."""
+
+    def __init__(self, cols=None):
+        super().__init__()
+        self.cols = cols
+
+    def _fit(self, df):
+        cols = list(self.cols if self.cols is not None else categorical_columns(df))
+        if not cols:
+            return SparseOneHotModel({"cols": [], "sizes": []})
+        codes = category_codes(df, cols)
+        sizes = {r["column"]: r["n"] for r in codes.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+        return SparseOneHotModel({"cols": cols, "sizes": [int(sizes.get(c, 0)) for c in cols], "table_bytes": table_bytes(codes)}, {"codes": codes})
+
+
+class SparseOneHotModel(_Fitted):
+    def output_columns(self) -> list[str]:
+        return [f"{c}__onehot" for c in self.state["cols"]]
+
+    def feature_names(self) -> list[str]:
+        """``<c>[slot]`` by sorted category."""
+        return [f"{c}[{i}]" for c, n in zip(self.state["cols"], self.state["sizes"], strict=True) for i in range(n)]
+
+    def _transform(self, df):
+        out = df
+        for c, n, vec in zip(self.state["cols"], self.state["sizes"], self.output_columns(), strict=True):
+            m = self.tables["codes"].where(F.col("column") == c).select(F.col("value").alias("__ov"), F.col("code").alias("__oc"))
+            out = null_safe_join(out.withColumn("__ov", value_key(named(c))), m, ["__ov"], how="left", broadcast=_small(m, self.state))
+            # one slot more for what is unknown; the encoder drops the last one
+            out = out.withColumn("__oc", F.coalesce("__oc", F.lit(float(n))))
+            encoder = OneHotEncoder(inputCols=["__oc"], outputCols=[vec], dropLast=True).fit(df.sparkSession.createDataFrame([(float(max(n, 1)),)], "__oc double"))
+            out = encoder.transform(out).drop("__ov", "__oc")
+        return out.drop(*[c for c in self.state["cols"] if c in df.columns])
+
+
 class OrdinalEncode(Estimator):
     """Sorted training categories → 0..K-1 (as double); unknown → −1. The codes are a fitted table."""
 
@@ -480,10 +525,7 @@ class OrdinalEncode(Estimator):
         cols = list(self.cols if self.cols is not None else categorical_columns(df))
         if not cols:
             return OrdinalEncodeModel({"cols": []})
-        long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), named(c).cast("string").alias("text")) for c in cols])).alias("e")).select("e.*")
-        codes = long.where(F.col("text").isNotNull()).distinct()
-        by = Window.partitionBy("column").orderBy("text")
-        codes = cut_lineage(codes.select("column", value_key(F.col("text")).alias("value"), (F.row_number().over(by) - 1).cast("double").alias("code")))
+        codes = category_codes(df, cols)
         return OrdinalEncodeModel({"cols": cols, "table_bytes": table_bytes(codes)}, {"codes": codes})
 
 

@@ -21,6 +21,7 @@ class PreprocessOptions:
     power_transform: bool | str = "auto"     # "auto": the skewed continuous columns
     scale_for: tuple[str, ...] = ("linear", "logistic", "mlp")
     one_hot_for: tuple[str, ...] | None = ("linear", "logistic", "mlp")
+    one_hot_columns: int = 256               # a column with more categories becomes one sparse vector
     freq_encode_high_card: bool = True
     high_card_threshold: int = 50
     numeric_imputer: str = "median"
@@ -44,13 +45,15 @@ WIDE = "__wide"
 
 
 class PreprocessorModel(FT._Fitted):
-    def __init__(self, stages, names, output, hash_stage=None, svd=None):
+    def __init__(self, stages, names, output, hash_stage=None, svd=None, sparse=None):
         super().__init__({"names": names, "output": output})
-        self.stages, self.hash_stage, self.svd = stages, hash_stage, svd
+        self.stages, self.hash_stage, self.svd, self.sparse = stages, hash_stage, svd, sparse
 
     @property
     def feature_names(self) -> list[str]:
         names = list(self.state["names"])
+        if self.sparse is not None:
+            names += self.sparse.feature_names()
         if self.hash_stage is not None:
             names += [f"hash_{i}" for i in range(self.hash_stage.state["n_features"])]
         if self.svd is not None:
@@ -70,11 +73,14 @@ class PreprocessorModel(FT._Fitted):
         parts = [f"__f{i}" for i in range(len(self.state["names"]))]
         d = d.withColumns({p: named(n) for p, n in zip(parts, self.state["names"], strict=True)}) if parts else d
         extra = []
+        if self.sparse is not None:
+            d = self.sparse.transform(d)
+            extra += self.sparse.output_columns()
         if self.hash_stage is not None:
             d = self.hash_stage.transform(d)
-            extra = [self.hash_stage.state["output"]]
+            extra += [self.hash_stage.state["output"]]
         out = self.state["output"]
-        d = VectorAssembler(inputCols=parts + extra, outputCol=out if self.svd is None else WIDE, handleInvalid="keep").transform(d).drop(*parts)
+        d = VectorAssembler(inputCols=parts + extra, outputCol=out if self.svd is None else WIDE, handleInvalid="keep").transform(d).drop(*parts, *(self.sparse.output_columns() if self.sparse is not None else []))
         return d if self.svd is None else self.svd.transform(d).drop(WIDE)
 
 
@@ -149,7 +155,7 @@ class Preprocessor(Estimator):
                 stages.append(st)
                 d = st.transform(d)
                 cont = [c for c in cont if c not in st.state["drop"]]
-        cat_out = []
+        cat_out, sparse = [], None
         if cats:
             st = FT.CategoricalImputer(cols=cats, strategy=cfg.categorical_imputer).fit(d)
             stages.append(st)
@@ -159,6 +165,10 @@ class Preprocessor(Estimator):
                 stages.append(st)
                 d = st.transform(d)
             if cfg.one_hot_for and self.family in cfg.one_hot_for:
+                wide = at_least_distinct(d, cats, cfg.one_hot_columns + 1)
+                if any(wide[c] for c in cats):
+                    sparse = FT.SparseOneHot(cols=[c for c in cats if wide[c]]).fit(d)
+                    cats = [c for c in cats if not wide[c]]
                 st = FT.OneHot(cols=cats).fit(d)
                 cat_out = st.output_columns()
             else:
@@ -175,7 +185,7 @@ class Preprocessor(Estimator):
         hash_stage = None
         if hashed:
             hash_stage = FT.HashingEncoder(cols=hashed, n_features=cfg.hash_n_features, output="__hash").fit(d)
-        model = PreprocessorModel(stages, names, self.output if not cfg.svd_components else WIDE, hash_stage)
+        model = PreprocessorModel(stages, names, self.output if not cfg.svd_components else WIDE, hash_stage, sparse=sparse)
         if cfg.svd_components:
             from .svd import TruncatedSVD
             model.svd = TruncatedSVD(k=cfg.svd_components, inputCol=WIDE, outputCol=self.output).fit(model.transform(df))
