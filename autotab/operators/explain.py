@@ -25,9 +25,9 @@ def permute_column(df: DataFrame, col: str, key: list[str], seed: str) -> DataFr
 
 
 def permutation_importance(score_fn, df: DataFrame, features: list[str], key: list[str], metric: str,
-                           task: str, repeats: int = 5, seed: int = 42, parallelism: int = 4) -> DataFrame:
+                           task: str, repeats: int = 5, seed: int = 42, parallelism: int = 4, top: int | None = 20) -> DataFrame:
     """(feature, importance_mean, importance_std, rank): mean drop of ``metric`` (higher is
-    better) when one feature is permuted, over ``repeats`` seeded permutations.
+    better) when one feature is permuted, over ``repeats`` seeded permutations; the ``top`` first (None: all).
 
     ``score_fn(frame) -> scored frame`` with y and y_pred / score columns."""
     from ..session import cut_lineage
@@ -52,7 +52,7 @@ def permutation_importance(score_fn, df: DataFrame, features: list[str], key: li
         s = math.sqrt(sum((x - m) ** 2 for x in drops) / len(drops))
         rows.append((f, float(m), float(s)))
     rows.sort(key=lambda t: (-t[1], t[0]))
-    return spark.createDataFrame([(f, m, s, i + 1) for i, (f, m, s) in enumerate(rows)],
+    return spark.createDataFrame([(f, m, s, i + 1) for i, (f, m, s) in enumerate(rows[:top])],
                                  "feature string, importance_mean double, importance_std double, rank int")
 
 

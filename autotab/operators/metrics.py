@@ -167,6 +167,17 @@ def f1_by_threshold(df: DataFrame, label: str = "y", score: str = "score", n: in
                      F.when(den == 0, 0.0).otherwise(2.0 * F.col("tp") / den).alias("f1")))
 
 
+def with_positive_score(df: DataFrame, label: str = "y", proba: str = "proba", out: str = "score") -> DataFrame:
+    """The one of two probability columns (array ``proba``) that correlates better with the 0/1 label, as ``out``; the second one
+    in case of doubt (equal, or a column that does not vary)."""
+    p = [F.element_at(proba, i + 1) for i in range(2)]
+    known = F.col(label).isNotNull()
+    y = F.col(label).cast("double")
+    corr = [F.try_divide(F.covar_pop(c, y), F.stddev_pop(c) * F.stddev_pop(y)) for c in p]
+    r = df.where(known).agg(*[F.coalesce(c, F.lit(0.0)).alias(f"c{i}") for i, c in enumerate(corr)]).first()
+    return df.withColumn(out, p[1] if r["c1"] >= r["c0"] else p[0])
+
+
 def best_threshold_f1(df: DataFrame, label: str = "y", score: str = "score", n: int = 101) -> DataFrame:
     """Grid threshold with the best F1; the lowest threshold wins ties."""
     f = f1_by_threshold(df, label, score, n)

@@ -6,9 +6,12 @@ Every statistic over many columns is computed in one aggregate over the table
 
 from __future__ import annotations
 
+import math
 import re
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (ByteType, DateType, DecimalType, DoubleType, FloatType,
                                IntegerType, LongType, ShortType, StringType,
@@ -162,19 +165,49 @@ def column_roles(df: DataFrame, exclude=()) -> DataFrame:
 
 # Fixed value: ISO-like date/time text accepted by the date detector.
 DATE_TEXT = r"^\s*\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2}(\.\d+)?)?)?\s*$"
+CLOCK = r"([ T]\d{1,2}:\d{2}(:\d{2})?)?$"
+#: Date grammars: name, shape of the trimmed text, pattern of its day (None: a number of seconds or milliseconds).
+DATE_GRAMMARS = [
+    ("y-m-d", r"^\d{4}-\d{1,2}-\d{1,2}" + CLOCK, "y-M-d"), ("y/m/d", r"^\d{4}/\d{1,2}/\d{1,2}" + CLOCK, "y/M/d"), ("y.m.d", r"^\d{4}\.\d{1,2}\.\d{1,2}" + CLOCK, "y.M.d"),
+    ("d/m/y", r"^\d{1,2}/\d{1,2}/\d{4}" + CLOCK, "d/M/y"), ("m/d/y", r"^\d{1,2}/\d{1,2}/\d{4}" + CLOCK, "M/d/y"),
+    ("d-m-y", r"^\d{1,2}-\d{1,2}-\d{4}" + CLOCK, "d-M-y"), ("m-d-y", r"^\d{1,2}-\d{1,2}-\d{4}" + CLOCK, "M-d-y"), ("d.m.y", r"^\d{1,2}\.\d{1,2}\.\d{4}" + CLOCK, "d.M.y"),
+    ("d mon y", r"^\d{1,2}[ -][A-Z][a-z]{2}[ -]\d{4}" + CLOCK, "d MMM y"), ("d month y", r"^\d{1,2} [A-Z][a-z]{3,8} \d{4}" + CLOCK, "d MMMM y"),
+    ("mon d, y", r"^[A-Z][a-z]{2} \d{1,2},? \d{4}" + CLOCK, "MMM d y"), ("month d, y", r"^[A-Z][a-z]{3,8} \d{1,2},? \d{4}" + CLOCK, "MMMM d y"),
+    ("ymd", r"^(19|20)\d{2}(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])$", "yyyyMMdd"), ("epoch s", r"^[1-9]\d{8,9}$", None), ("epoch ms", r"^[1-9]\d{11,12}$", None)]
+
+
+def _parses(c: Column, shape: str, pattern: str | None) -> Column:
+    text = F.trim(c)
+    if pattern is None:
+        return text.rlike(shape)
+    # the clock is checked by its shape and range, the day by the calendar
+    day = F.regexp_replace(F.regexp_replace(text, r"[ T]\d{1,2}:\d{2}(:\d{2})?$", ""), r"(?<=[A-Za-z])-|-(?=[A-Za-z])|, ?", " ")
+    clock = F.regexp_extract(text, r"[ T](\d{1,2}):(\d{2})(:(\d{2}))?$", 1)
+    return text.rlike(shape) & F.try_to_timestamp(day, F.lit(pattern)).isNotNull() & ((clock == "") | (clock.try_cast("int") < 24))
+
+
+def date_formats(df: DataFrame, cols=None) -> DataFrame:
+    """(column, format, parsed_frac): the grammar that parses the largest share of a text column's non-null values (ties to
+    the earlier one); one aggregate for all columns and grammars."""
+    texts = list(cols or [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)])
+    grammars = [("iso", lambda c: c.rlike(DATE_TEXT) & F.try_to_timestamp(F.trim(c)).isNotNull())]
+    grammars += [(name, lambda c, shape=shape, pattern=pattern: _parses(c, shape, pattern)) for name, shape, pattern in DATE_GRAMMARS]
+    rows = []
+    if texts:
+        cells = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), named(c).alias("v")) for i, c in enumerate(texts)])).alias("e")).select("e.*").where(F.col("v").isNotNull())
+        for r in cells.groupBy("i").agg(*[F.avg(F.coalesce(ok(F.col("v")), F.lit(False)).cast("double")).alias(f"p{j}") for j, (_, ok) in enumerate(grammars)]).orderBy("i").collect():
+            shares = [r[f"p{j}"] for j in range(len(grammars))]
+            j = max(range(len(shares)), key=lambda j: (shares[j], -j))
+            rows.append((texts[r["i"]], grammars[j][0], float(shares[j])))
+    return _small_frame(df.sparkSession, rows, "column string, format string, parsed_frac double")
 
 
 def date_columns(df: DataFrame, share: float = 0.8) -> DataFrame:
-    """(column, parsed_frac, is_date): timestamp/date columns, or string columns where more than
-    ``share`` of all non-null values parse; one aggregate over the table."""
+    """(column, parsed_frac, is_date): timestamp/date columns, or string columns where one date grammar parses more than
+    ``share`` of all non-null values."""
     kinds = (TimestampType, TimestampNTZType, DateType)
     rows = [(f.name, 1.0, 1) for f in df.schema.fields if isinstance(f.dataType, kinds)]
-    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
-    if texts:
-        ok = [F.avg(F.when(named(c).isNotNull(), (named(c).rlike(DATE_TEXT) & F.try_to_timestamp(F.trim(named(c))).isNotNull()).cast("double"))).alias(f"p{i}")
-              for i, c in enumerate(texts)]
-        r = df.agg(*ok).first()
-        rows += [(c, r[f"p{i}"], int(r[f"p{i}"] > share)) for i, c in enumerate(texts) if r[f"p{i}"] is not None]
+    rows += [(r["column"], r["parsed_frac"], int(r["parsed_frac"] > share)) for r in date_formats(df).collect()]
     return _small_frame(df.sparkSession, rows, "column string, parsed_frac double, is_date int")
 
 
@@ -277,27 +310,66 @@ def high_card_columns(df: DataFrame, cols=None, threshold: int = 50) -> DataFram
     return d.select("column", "n_distinct", (F.col("n_distinct") >= F.lit(threshold)).cast("int").alias("high_card"))
 
 
+#: Columns of a block of the correlation matrix.
+CORR_BLOCK = 128
+
+
 def correlation_matrix(df: DataFrame, cols=None) -> DataFrame:
-    """Pairwise-complete Pearson correlations (col_a, col_b, corr) of numeric columns, one aggregate."""
+    """Pairwise-complete Pearson correlations (col_a, col_b, corr) of numeric columns; NULL where fewer than two rows hold both
+    or one of them does not vary. The plan does not grow with the columns: rows become arrays, tasks add up products of column
+    blocks with their NULL masks, block pairs are added up by key and finished where they meet."""
     cols = list(cols or numeric_columns(df))
-    pairs = [(a, b) for a in cols for b in cols]
     if len(cols) < 2:
         return df.sparkSession.createDataFrame([], "col_a string, col_b string, corr double")
-    idx = {}
-    for a, b in pairs:
-        if a < b:
-            idx[(a, b)] = len(idx)
-    aggs = [F.corr(named(a).cast("double"), named(b).cast("double")).alias(f"__r{i}") for (a, b), i in idx.items()]
-    r = df.agg(*aggs)
-    structs = []
-    for a, b in pairs:
-        if a == b:
-            val = F.lit(1.0)
-        else:
-            key = (a, b) if a < b else (b, a)
-            val = F.col(f"__r{idx[key]}")
-        structs.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), val.alias("corr")))
-    return r.select(F.explode(F.array(*structs)).alias("e")).select("e.*")
+    d, size, schema = len(cols), CORR_BLOCK, "i int, j int, v binary"
+    rows = df.select(F.array(*[F.coalesce(named(c).cast("double"), F.lit(math.nan)) for c in cols]).alias("x"))
+    # values are moved by their column's mean, so that sums of squares keep their digits
+    some = rows.select(F.posexplode("x").alias("i", "v")).where(~F.isnan("v")).groupBy("i").agg(F.avg("v").alias("m"))
+    middle = np.zeros(d)
+    for r in some.collect():
+        middle[r["i"]] = r["m"]
+    starts = range(0, d, size)
+
+    def add(batches):
+        sums = {}
+        for b in batches:
+            x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, d) - middle
+            m = np.isfinite(x).astype(float)
+            x = np.where(m > 0, x, 0.0)
+            for i in starts:
+                for j in starts:
+                    if j >= i:
+                        a, n, c, o = x[:, i:i + size], m[:, i:i + size], x[:, j:j + size], m[:, j:j + size]
+                        v = np.stack([n.T @ o, a.T @ o, n.T @ c, a.T @ c, (a * a).T @ o, n.T @ (c * c)])
+                        sums[i, j] = sums[i, j] + v if (i, j) in sums else v
+        for (i, j), v in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([j], pa.int32()), pa.array([v.tobytes()])], names=["i", "j", "v"])
+
+    def finish(batches):
+        sums = {}
+        for b in batches:
+            for r in b.to_pylist():
+                v = np.frombuffer(r["v"])
+                key = r["i"], r["j"]
+                sums[key] = sums[key] + v if key in sums else v
+        for (i, j), v in sums.items():
+            n, sa, sc, ac, aa, cc = v.reshape(6, min(size, d - i), -1)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                va, vc = aa - sa * sa / n, cc - sc * sc / n
+                corr = (ac - sa * sc / n) / np.sqrt(va * vc)
+            corr = np.where((n > 1) & (va > 1e-12 * (aa + 1e-300)) & (vc > 1e-12 * (cc + 1e-300)), np.clip(corr, -1, 1), np.nan)
+            p, q = (z.ravel() for z in np.indices(corr.shape))
+            value = np.where(i + p == j + q, 1.0, corr.ravel())
+            off = np.flatnonzero(i + p != j + q) if i == j else np.arange(len(p))
+            # a diagonal block holds both halves already
+            ia, ib, vv = (i + p, j + q, value) if i == j else (np.r_[i + p, (j + q)[off]], np.r_[j + q, (i + p)[off]], np.r_[value, value[off]])
+            yield pa.RecordBatch.from_arrays([pa.array(ia, pa.int32()), pa.array(ib, pa.int32()), pa.array(vv, mask=np.isnan(vv))], names=["a", "b", "corr"])
+
+    pairs = len(starts) * (len(starts) + 1) // 2
+    got = rows.mapInArrow(add, schema).repartition(min(pairs, 200), "i", "j").mapInArrow(finish, "a int, b int, corr double")
+    names = df.sparkSession.createDataFrame(list(enumerate(cols)), "at int, name string")
+    one, two = (names.select(F.col("at").alias(k), F.col("name").alias(f"col_{k}")) for k in ("a", "b"))
+    return got.join(F.broadcast(one), "a").join(F.broadcast(two), "b").select("col_a", "col_b", "corr")
 
 
 def correlation_filter(df: DataFrame, cols=None, threshold: float = 0.98) -> DataFrame:
