@@ -48,6 +48,7 @@ def row_weights(ctx: dict) -> dict:
     return {"weightCol": ctx["weight_col"]} if ctx.get("weight_col") else {}
 
 
+# Family shares and the kinds of parameters searched are those that callers know.
 FOREST = {"numTrees": [50, 100, 200], "maxDepth": [6, 10, 16], "minInstancesPerNode": [1, 2, 4], "featureSubsetStrategy": ["sqrt", "log2", "all"]}
 BOOSTING = {"maxIter": [100, 200, 300], "maxDepth": [3, 5, 7], "stepSize": [0.02, 0.05, 0.1], "subsamplingRate": [0.7, 0.85, 1.0],
             "featureFraction": [0.7, 0.85, 1.0], "minGain": [0.0, 0.1, 0.2]}

@@ -28,7 +28,7 @@ HEADLINE = [
     "freq_encode", "impute_numeric", "standard_scale", "one_hot", "yeo_johnson", "mutual_info_topk",
     "preprocess_full", "stratified_folds", "kfold", "sample_rows",
     # modelling
-    "oof_predictions", "permutation_importance", "smote", "train_report",
+    "oof_predictions", "permutation_importance", "smote", "fit_gbt", "calibrate", "mutual_info_knn", "train_report",
 ]
 
 
