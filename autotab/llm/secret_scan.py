@@ -7,7 +7,7 @@ and versions share it; findings then join back to all paths by the blob's addres
 
 Places come from pairing the matches of a rule (``regexp_extract_all``) with the text between
 them (``split`` by the same pattern): both go through the text leftmost and non-overlapping, so
-running lengths give start and end in code points. Matches that fail a rule's length test are
+running lengths give start and end in code points, in time linear in the text. Matches that fail a rule's length test are
 dropped after matching, so they still use up their characters.
 
 Cases: a NULL text is empty and has no findings; empty tables give empty tables; repeated paths
@@ -18,6 +18,7 @@ text pass through; one called ``blob`` or ``findings`` is replaced in ``findings
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,6 +59,8 @@ RULES = (
 )
 BASE = ("assign", "access", "hex")
 MARK = "[SECRET]"
+#: Items appended to one array at a time; code points of a piece of text that is being redacted.
+BLOCK, PIECE = 256, 1024
 SPAN = "struct<start:int,rule:int,kind:string,end:int>"
 LEDGER = f"blob binary, rules array<string>, findings array<{SPAN}>"
 
@@ -66,21 +69,50 @@ def address(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it inside lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(items: Column, zero: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
+    """Array of what ``step`` (state, item) -> (state, emitted) gives out for every item, in order. Appending to
+    an array copies it, so BLOCK items fill an array of their own and only blocks are appended to the result."""
+    empty = F.array().cast(f"array<{kind}>")
+
+    def one(acc: Column, item: Column) -> Column:
+        state, emitted = step(acc["state"], item)
+        return F.struct(state.alias("state"), F.concat(acc["out"], F.array(emitted)).alias("out"))
+
+    def over(xs: Column) -> Column:
+        def block(acc: Column, b: Column) -> Column:
+            done = F.aggregate(F.slice(xs, b * BLOCK + 1, F.lit(BLOCK)), F.struct(acc["state"].alias("state"), empty.alias("out")), one)
+            return bound(done, lambda d: F.struct(d["state"].alias("state"), F.concat(acc["blocks"], F.array(d["out"])).alias("blocks")))
+
+        blocks = F.sequence(F.lit(0), F.floor(F.size(xs) / BLOCK).cast("int"))
+        return F.aggregate(blocks, F.struct(zero.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("blocks")), block, lambda a: F.flatten(a["blocks"]))
+
+    return bound(items, over)
+
+
 def spans_of(text: Column, order: int, rule: Rule) -> Column:
     """array<SPAN> of one rule in ``text``; the pairing work is done only where the rule matches at all."""
     hits = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    gaps = F.split(text, rule.pattern, -1)
-    steps = F.transform(hits, lambda h, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), h.alias("hit")))
+    steps = F.filter(F.arrays_zip(hits.alias("hit"), F.split(text, rule.pattern, -1).alias("gap")), lambda s: s["hit"].isNotNull())
     ok = lambda h: F.length(F.regexp_extract(h, rule.pattern, rule.group) if rule.group else h) >= rule.least
 
-    def step(acc: Column, s: Column) -> Column:
-        start = acc["at"] + s["gap"]
+    def step(at: Column, s: Column) -> tuple[Column, Column]:
+        start = at + F.length(s["gap"])
         end = start + F.length(s["hit"])
         span = F.struct(start.alias("start"), F.lit(order).alias("rule"), F.lit(rule.kind).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(ok(s["hit"]), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+        return end, F.when(ok(s["hit"]), span)
+
+    found = F.filter(running(steps, F.lit(0), step, SPAN), lambda s: s.isNotNull())
+    return F.when(text.rlike(rule.pattern), found).otherwise(F.array().cast(f"array<{SPAN}>"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
-    return F.when(text.rlike(rule.pattern), F.aggregate(steps, zero, step)["spans"]).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+def each_once(spans: Column) -> Column:
+    """``spans`` sorted, equal ones once."""
+    return bound(F.array_sort(spans), lambda xs: F.filter(xs, lambda s, i: (i == 0) | (s != F.get(xs, i - 1))))
 
 
 def scan(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
@@ -120,21 +152,31 @@ def findings_of(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...]
     current = F.array(*[F.lit(r.key) for r in rules])
     record = ledger.where(F.size("findings") > 0).select(
         "blob", F.filter("findings", lambda s: F.array_contains(F.transform(F.array_intersect("rules", current), lambda k: F.split(k, "@")[0]), s["kind"])).alias("f"))
-    merged = record.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("f")))).alias("findings"))
+    merged = record.groupBy("blob").agg(each_once(F.flatten(F.collect_list("f"))).alias("findings"))
     out = addressed.join(merged, "blob", "left").drop("blob")
     return out.withColumn("findings", F.filter(F.coalesce("findings", F.array().cast(f"array<{SPAN}>")), lambda s: s["kind"].isin(kinds)))
 
 
 def redacted(text: Column, findings: Column) -> Column:
-    """``text`` with every stretch covered by findings replaced by MARK."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """``text`` with every stretch covered by findings replaced by MARK. Pieces of PIECE code points are cut once; what
+    stands between two findings is put together from those it touches, so no finding walks through the whole text."""
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    gap = "struct<from:int,to:int>"
+
+    def step(at: Column, s: Column) -> tuple[Column, Column]:
+        return F.greatest(at, s["end"]), F.when(s["start"] >= at, F.struct(at.alias("from"), s["start"].alias("to")))
+
+    def between(ps: Column, a: Column, b: Column) -> Column:
+        first, last = F.floor(a / PIECE).cast("int"), F.floor((b - 1) / PIECE).cast("int")
+        joined = F.array_join(F.slice(ps, first + 1, F.greatest(last - first + 1, F.lit(0))), "")
+        return F.when(b > a, F.substring(joined, a % PIECE + 1, b - a)).otherwise("")
 
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(MARK))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], piece).otherwise(acc["out"]).alias("out"))
+    def whole(ps: Column) -> Column:
+        gaps = F.filter(running(findings, F.lit(0), step, gap), lambda g: g.isNotNull())
+        marked = F.array_join(F.transform(gaps, lambda g: F.concat(between(ps, g["from"], g["to"]), F.lit(MARK))), "")
+        return F.concat(marked, between(ps, F.array_max(F.transform(findings, lambda s: s["end"])), F.length(text)))
 
-    whole = F.aggregate(findings, zero, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return F.when(F.size(findings) > 0, whole).otherwise(text)
+    return F.when(F.size(findings) > 0, bound(pieces, whole)).otherwise(text)
 
 
 def fresh_ledger(spark: SparkSession) -> str:

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from autotab.llm import secret_scan as ss
 
@@ -63,3 +64,20 @@ def test_redaction_keeps_the_rest(spark, docs_of):
     assert out.columns == docs.columns
     assert {r.doc_id: r.text for r in out.collect()} == {1: "say [SECRET]' and [SECRET] 😀 end", 2: "clean", 3: None, 4: "[SECRET]"}
     assert ss.redact_documents(docs.limit(0)).count() == 0
+
+
+def test_many_findings_in_one_text_stay_linear(spark, docs_of):
+    text = " ".join(f"😀 token=abcdefgh{i} " + ("ab" * 20 if i % 7 == 0 else "-") for i in range(30_000))
+    docs = docs_of([(1, text), (2, "token=abcdefgh")])
+    start = time.monotonic()
+    got = {r.doc_id: r for r in ss.findings_of(docs, ss.scan(docs, spark.createDataFrame([], ss.LEDGER))).collect()}
+    out = {r.doc_id: r.text for r in ss.redact_documents(docs).collect()}
+    assert time.monotonic() - start < 60
+    assert ",".join(f"{s.kind}:{s.start}:{s.end}" for s in got[1].findings) == brute(text)
+    assert out == {1: re.sub(r"token=\w+|(ab){20}", "[SECRET]", text), 2: "[SECRET]"}
+
+
+def test_equal_findings_of_two_records_count_once(spark, docs_of):
+    docs = docs_of([(1, "token=abcdefgh " + "ab" * 20)])
+    record = ss.scan(docs, spark.createDataFrame([], ss.LEDGER))
+    assert [s.kind for s in ss.findings_of(docs, record.unionByName(record)).first().findings] == ["assign", "hex"]
