@@ -118,6 +118,7 @@ def scan_text(text: str) -> tuple:
     words = text.encode("utf-8", "surrogatepass").translate(FOLD).split()
     line = f" {b' '.join(words).decode('utf-8', 'surrogatepass')} "
     base, labels, places, worst, tagged = set(), set(), [], [], False
+    seen = at = 0
     for end, (phrase, label) in automaton().iter(line):
         if phrase == TAG:
             tagged = True
@@ -126,7 +127,8 @@ def scan_text(text: str) -> tuple:
         worst.append(openness(label))
         if phrase in BASE:
             base.add(label)
-            places.append(line.count(" ", 0, end - len(phrase)) - 1)
+            seen, at = seen + line.count(" ", at, end), end  # matches come by their ends, so every blank is counted once
+            places.append(seen - 1 - phrase.count(" "))
     if tagged:
         for m in EXPRESSION.finditer(text):
             found = evaluate(m[1])

@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 
@@ -54,3 +55,16 @@ def test_nulls_repeats_and_clashing_names(spark, docs_of):
     assert out.columns == ["doc_id", "lang", "source", "n_chars", *dict(licenses.COLUMNS)]
     assert sorted((r.doc_id or 0, r.n_words, r.labels) for r in out.collect()) == [(0, 0, ""), (1, 0, ""), (2, 4, "mit"), (2, 4, "mit")]
     assert licenses.scan(df.limit(0)).count() == 0
+
+
+def test_many_notices_in_one_text_stay_linear():
+    parts = ["under the mit license", "cc by nc", "filler"]
+    words, want = [], []
+    for i in range(150_000):
+        if i % 3 < 2:
+            want.append(len(words))
+        words += parts[i % 3].split()
+    start = time.monotonic()
+    got = licenses.scan_text(" ".join(words))
+    assert time.monotonic() - start < 5
+    assert got[:4] == (len(words), len(want), want[0], want[-1])
