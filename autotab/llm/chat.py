@@ -10,12 +10,14 @@ every perspective and have none of their own.
 Cases: a NULL role is the speaker ``unknown``; a NULL text is empty; a NULL conv_id is a
 conversation of its own; equal turns are ordered by role and text; repeated rows are rendered
 each; a conversation without participants has no perspective and so no rows; control marks inside
-a text are broken up by a blank; an empty table gives an empty table. Other columns are not taken over.
+a text or a role are broken up by a blank and line breaks in a role become blanks where it is rendered, so
+neither can open a turn (speaker and perspective keep the role as it is); an empty table gives an empty table.
+Other columns are not taken over.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stored, table
@@ -24,6 +26,10 @@ RUN = 65_536
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
+def shown_name(speaker: str) -> Column:
+    return F.translate(F.replace(F.col(speaker), F.lit("<|im_"), F.lit("< |im_")), "\n\r", "  ")
+
+
 def with_runs(t: DataFrame) -> DataFrame:
     """``t`` (conv_id, turn, speaker, content) with ``run`` and ``salt``: the rows in order, dealt out to runs that follow each other."""
     parts = max(int(t.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-t.count() // RUN))
@@ -38,7 +44,7 @@ def rotate(turns: DataFrame) -> DataFrame:
     seats = t.where(F.col("speaker") != "system").select(F.col("conv_id").alias("c"), F.col("speaker").alias("perspective")).distinct()
     d = t.join(seats, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
     mine = F.col("speaker") == F.col("perspective")
-    head = F.when(F.col("speaker") == "system", F.lit("system")).when(mine, F.lit("assistant")).otherwise(F.concat(F.lit("user name="), "speaker"))
+    head = F.when(F.col("speaker") == "system", F.lit("system")).when(mine, F.lit("assistant")).otherwise(F.concat(F.lit("user name="), shown_name("speaker")))
     d = (d.withColumn("trained", mine).withColumn("head", F.concat(F.lit(OPEN), head, F.lit("\n")))
          .withColumn("tail", F.concat("content", F.lit(CLOSE))).withColumn("rendered", F.concat("head", "tail", F.lit("\n")))
          .withColumn("conv", F.struct("conv_id", "perspective")))
@@ -61,7 +67,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP9_SQL = """
 WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, replace(coalesce(text, ''), '<|im_', '< |im_') AS content FROM conversations),
 v AS (SELECT t.*, s.perspective, t.speaker = s.perspective AS trained,
-        '<|im_start|>' || CASE WHEN t.speaker = 'system' THEN 'system' WHEN t.speaker = s.perspective THEN 'assistant' ELSE 'user name=' || t.speaker END || chr(10) AS head
+        '<|im_start|>' || CASE WHEN t.speaker = 'system' THEN 'system' WHEN t.speaker = s.perspective THEN 'assistant' ELSE 'user name=' || translate(replace(t.speaker, '<|im_', '< |im_'), chr(10) || chr(13), '  ') END || chr(10) AS head
       FROM t JOIN (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system') s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
 r AS (SELECT *, head || content || '<|im_end|>' || chr(10) AS rendered FROM v),
 p AS (SELECT *, row_number() OVER o AS position, CAST(sum(length(rendered)) OVER o AS BIGINT) - length(rendered) AS char_start FROM r
