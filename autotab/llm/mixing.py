@@ -5,7 +5,7 @@ target words of that order, going round at most twice. The drawn documents are c
 of about ``BLOCK_WORDS`` words, and the exact number of blocks of each source is its quota. A
 binary tree parts the quotas among the output shards: at every node the left half of the blocks
 is a multivariate-hypergeometric draw from the node's quotas, seeded by the node, so each leaf
-can be computed by itself and reruns agree. A shard takes the next disjoint run of each source's
+can be computed by itself and reruns agree. Draws are exact for any number of blocks. A shard takes the next disjoint run of each source's
 permuted blocks and orders its documents by a hash.
 
 A document is drawn whole if its middle lies before the target, so a source's words miss its
@@ -97,13 +97,32 @@ def drawn(placed: DataFrame) -> DataFrame:
             .withColumn("block", F.floor(start / BLOCK_WORDS).cast("long")))
 
 
+def subset(rng: np.random.Generator, k: int, n: int) -> np.ndarray:
+    """A uniform set of ``k`` of the numbers below ``n``, sorted."""
+    taken = np.empty(0, dtype=np.int64)
+    while len(taken) < k:  # never more new numbers than are missing, so every set is as likely as any other
+        taken = np.union1d(taken, rng.integers(0, n, k - len(taken)))
+    return taken
+
+
+def half_of(rng: np.random.Generator, counts: np.ndarray) -> np.ndarray:
+    """Multivariate-hypergeometric draw of half (rounded down) of all items, of any number: each item goes left by
+    a fair coin, then a uniform set of the surplus, about the root of the number of items, changes sides."""
+    left, want = rng.binomial(counts, 0.5), int(counts.sum()) // 2
+    surplus = int(left.sum()) - want
+    side = left if surplus > 0 else counts - left
+    moved = subset(rng, abs(surplus), int(side.sum()))
+    change = np.bincount(np.searchsorted(np.cumsum(side), moved, side="right"), minlength=len(counts))
+    return left - change if surplus > 0 else left + change
+
+
 def leaf_quota(quota: np.ndarray, shards: int, shard: int, seed: int = SEED) -> np.ndarray:
     """Blocks of every source that a leaf of the splitting tree gets (``shards`` is a power of 2)."""
     low, high, counts = 0, shards, quota.astype(np.int64)
     while high - low > 1:
         middle = (low + high) // 2
         rng = np.random.default_rng([seed, low, high])
-        left = rng.multivariate_hypergeometric(counts, int(counts.sum()) // 2, method="marginals")
+        left = half_of(rng, counts)
         counts, low, high = (left, low, middle) if shard < middle else (counts - left, middle, high)
     return counts
 

@@ -1,5 +1,7 @@
+import math
 from collections import Counter
 
+import duckdb
 import numpy as np
 
 from autotab.llm import mixing
@@ -62,6 +64,45 @@ def test_splitting_tree_is_exact_and_random():
     assert np.allclose(shares.var(0), spread, rtol=0.35, atol=0.5)
 
 
+def test_halves_of_very_many_blocks():
+    quota = np.array([3 * 10**12, 10**9, 0, 7])
+    leaf = mixing.leaf_quota(quota, 1 << 32, 12345)
+    assert 0 <= leaf.min() and abs(int(leaf.sum()) - quota.sum() / 2**32) < 2
+    small = np.array([5, 3, 1])
+    draws = Counter(tuple(mixing.half_of(np.random.default_rng(s), small)) for s in range(6000))
+    for d, n in draws.items():
+        assert sum(d) == 4
+        p = math.prod(math.comb(c, x) for c, x in zip(small.tolist(), d, strict=True)) / math.comb(9, 4)
+        assert abs(n / 6000 - p) < 5 * (p / 6000) ** 0.5
+    assert sorted(mixing.subset(np.random.default_rng(1), 6, 6)) == list(range(6))
+
+
+def test_query_with_nulls_repeats_and_an_empty_table(spark, docs_of, tmp_path):
+    for name, rows in [("full", rows_of()), ("empty", rows_of()[:1])]:
+        folder = tmp_path / name
+        docs = docs_of(rows) if name == "full" else docs_of(rows).limit(0)
+        docs.write.parquet(f"{folder}/documents.parquet")
+        got = [tuple(r) for r in mixing.op10_mixing(spark, str(folder)).collect()]
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet/*.parquet')")
+        want = con.execute(mixing.OP10_SQL).fetchall()
+        show = lambda rows: sorted((str(i), a, b, round(c, 6), t) for i, a, b, c, t in rows)
+        assert len(got) == (len(rows) if name == "full" else 0) and show(got) == show(want)
+
+
+def test_every_shard_of_the_query_holds_its_quota(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 64)
+    monkeypatch.setattr(mixing, "SHARD_BLOCKS", 8)
+    rows = mixing.keyed(docs_of(rows_of()))
+    taken = mixing.draws(rows).groupBy("source_key", "shard").agg(mixing.F.count_distinct("block").alias("n")).collect()
+    keys = sorted({r.source_key for r in taken})
+    quota = np.array([sum(r.n for r in taken if r.source_key == k) for k in keys])
+    shards = 1 << (max(r.shard for r in taken)).bit_length()
+    by = {(r.source_key, r.shard): r.n for r in taken}
+    for s in range(shards):
+        assert [by.get((k, s), 0) for k in keys] == mixing.leaf_quota(quota, shards, s).tolist()
+
+
 def test_blocks_are_disjoint_and_fill_the_quota(spark, docs_of, monkeypatch):
     monkeypatch.setattr(mixing, "BLOCK_WORDS", 64)
     monkeypatch.setattr(mixing, "SHARD_BLOCKS", 8)
