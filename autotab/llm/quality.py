@@ -172,11 +172,8 @@ def labelled_kinds(measured: DataFrame, labels: DataFrame, stratum: str) -> Data
     """Labelled texts by stratum, part and the bins of all signals: the number of distinct texts, good and bad."""
     good = labels.select("doc_id", "quality").where(F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("__id"), F.col("quality").alias("__good"))
 
-    def bin_of(x: Column) -> Column:
-        out = F.lit(len(GRID))
-        for i in reversed(range(len(GRID))):  # the first, loosest cutoff that lies below the value
-            out = F.when(x > GRID[i], F.lit(i)).otherwise(out)
-        return out
+    def bin_of(x: Column) -> Column:  # GRID falls, so the cutoffs that x does not exceed are the first ones
+        return F.size(F.filter(F.array(*map(F.lit, GRID)), lambda g: x <= g))
 
     binned = [bin_of(x.cast("double")).alias(f"bin_{n}") for n, x in signals().items()]
     bins = [f"bin_{n}" for n in signals()]
