@@ -1,9 +1,10 @@
 """Multilayer perceptron for classes: ReLU layers with dropout, mini-batches, Adam.
 
-A step draws a mini-batch by hashing row numbers and adds up its gradient over all blocks of ``matrix.packed``: tasks send
-one vector each, added in a tree of shuffles, and the driver makes the Adam step. Dropout masks follow from the step and the
-row number, so a task that runs again gives the same gradient. Where the matrix fits into one block, its task makes the
-steps of an epoch by itself. Two classes have one output with a sigmoid, more have a softmax.
+A step draws a mini-batch by hashing row numbers. Steps follow each other, so an epoch deals the rows of all blocks of
+``matrix.packed`` out by runs of consecutive mini-batches (one shuffle), and each run is one task that takes ``MERGE`` blocks
+of bytes at most, makes its Adam steps and hands the weights on: jobs follow the bytes, not the steps. Dropout masks follow from the
+step and the row number, so a task that runs again makes the same steps. Where the matrix fits into one block, its task makes
+the steps of an epoch by itself. Two classes have one output with a sigmoid, more have a softmax.
 """
 
 from __future__ import annotations
@@ -16,17 +17,20 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml import Estimator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.proba import argmax
+from . import matrix
 from .boosting import margins_to_proba, probabilities
 from .features import _Fitted
 from .matrix import TRAIN, Block, mixed, packed, rows_of
 
-MERGE = 32
+#: Blocks of bytes that a run of mini-batches holds.
+MERGE = 4
 
 
 @dataclass(frozen=True)
@@ -84,10 +88,13 @@ def masks_of(uid: np.ndarray, o: MlpOptions, step: int) -> list[np.ndarray] | No
     return [(mixed(uid[:, None] * 4096 + np.arange(n)[None, :], o.seed * 31 + step * 64 + layer) >= o.dropout) / (1 - o.dropout) for layer, n in enumerate(o.hidden)]
 
 
-def batch_gradient(b: Block, weights: list[np.ndarray], o: MlpOptions, step: int, steps: int) -> np.ndarray | None:
-    """(loss, weight, gradient) of the block's share of a mini-batch, flat; an epoch's batches part the rows."""
-    epoch, turn = divmod(step, steps)
-    rows = np.flatnonzero(b.train & (np.floor(mixed(b.uid, o.seed * 1_009 + epoch) * steps) == turn))
+def turns_of(b: Block, o: MlpOptions, epoch: int, steps: int) -> np.ndarray:
+    """The mini-batch of every row; an epoch's batches part the rows."""
+    return np.floor(mixed(b.uid, o.seed * 1_009 + epoch) * steps).astype(np.int64)
+
+
+def batch_gradient(b: Block, rows: np.ndarray, weights: list[np.ndarray], o: MlpOptions, step: int) -> np.ndarray | None:
+    """(loss, weight, gradient) of the block's share of a mini-batch, flat."""
     if not len(rows):
         return None
     loss, g = loss_and_gradient(weights, np.nan_to_num(b.x[rows]), b.y[rows], b.w[rows], masks_of(b.uid[rows], o, step))
@@ -111,29 +118,36 @@ class Adam:
             self.weights[i] = w - self.rate * (self.m[i] / (1 - 0.9 ** self.t)) / (np.sqrt(self.v[i] / (1 - 0.999 ** self.t)) + 1e-7)
 
 
-def summed(data: DataFrame, weights: list[np.ndarray], o: MlpOptions, step: int, steps: int, partitions: int) -> np.ndarray | None:
-    """Gradient of one mini-batch over all blocks; tasks' vectors are added ``MERGE`` at a time."""
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-        parts = [g for batch in batches for r in batch.to_pylist() if (g := batch_gradient(Block(r), weights, o, step, steps)) is not None]
+def steps_inside(own: list[Block], adam: Adam, o: MlpOptions, epoch: int, steps: int, turns: range) -> np.ndarray:
+    """The Adam steps of an epoch's mini-batches ``turns``, whose rows are all in ``own``; their summed (loss, weight)."""
+    total, sorted_rows = np.zeros(2), []
+    for b in own:
+        turn = np.where(b.train, turns_of(b, o, epoch, steps), -1)
+        order = np.argsort(turn, kind="stable")
+        sorted_rows.append((b, order, np.searchsorted(turn[order], np.arange(turns.start, turns.stop + 1))))
+    for i, turn in enumerate(turns):
+        parts = [g for b, order, at in sorted_rows if (g := batch_gradient(b, order[at[i]:at[i + 1]], adam.weights, o, epoch * steps + turn)) is not None]
         if parts:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([sum(parts).tobytes()])], names=["i", "v"])
+            adam.step(sum(parts))
+            total += sum(parts)[:2]
+    return total
+
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+def dealt(data: DataFrame, o: MlpOptions, epoch: int, steps: int, run: int) -> DataFrame:
+    """The training rows as blocks per ``run`` consecutive mini-batches of the epoch (column ``g``), each run in one partition."""
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                i, v = r["i"] // MERGE, np.frombuffer(r["v"])
-                sums[i] = sums[i] + v if i in sums else v
-        for i, v in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([v.tobytes()])], names=["i", "v"])
+                b = Block(r)
+                g = np.where(b.train, turns_of(b, o, epoch, steps) // run, -1)
+                for i in np.unique(g[g >= 0]).tolist():
+                    rows = g == i
+                    n = int(rows.sum())
+                    parts = [v[rows].tobytes() for v in (b.uid, b.y, b.w)] + [np.full(n, TRAIN, np.int8).tobytes(), b.x[rows].tobytes()]
+                    yield pa.RecordBatch.from_arrays([pa.array([v], pa.int32()) for v in (i, b.set, n, b.d)] + [pa.array([v]) for v in parts],
+                                                     names=["g", "set", "n", "d", "uid", "y", "w", "role", "x"])
 
-    d = data.mapInArrow(add, "i int, v binary")
-    while partitions > MERGE:
-        d = d.repartition(-(-partitions // MERGE), F.floor(F.col("i") / MERGE)).mapInArrow(merge, "i int, v binary")
-        partitions = -(-partitions // MERGE)
-    got = [np.frombuffer(r["v"]) for r in d.collect()]
-    return sum(got) if got else None
+    return data.mapInArrow(deal, f"g int, {matrix.PACKED}").repartition(-(-steps // run), "g").persist(StorageLevel.MEMORY_AND_DISK)
 
 
 class Perceptron(Estimator):
@@ -147,34 +161,32 @@ class Perceptron(Estimator):
         o, k = self.o, self.classes if self.classes > 2 else 1
         key = self.key or [c for c, t in df.dtypes if t != "vector"]
         blocks, whole = packed([rows_of(df, key, 0, TRAIN, self.weightCol, self.labelCol, self.featuresCol)])
-        data, partitions = blocks.drop("keys"), blocks.rdd.getNumPartitions()
+        data = blocks.drop("keys")
         size = data.agg(F.sum("n").alias("n"), F.max("d").alias("d")).first()
         if not size["n"]:
             raise ValueError("no rows to learn from")
         steps = max(1, -(-size["n"] // o.batchSize))
+        run = steps if whole else min(steps, max(1, MERGE * matrix.BLOCK_BYTES // (8 * max(1, size["d"]) * o.batchSize)))
         adam, lost = Adam(start_weights([size["d"], *o.hidden, k], o.seed), o.learningRate), []
 
-        def epoch_inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = [Block(r) for batch in batches for r in batch.to_pylist()]
-            if own:
-                total = np.zeros(2)
-                for step in range(first, first + steps):
-                    parts = [g for b in own if (g := batch_gradient(b, adam.weights, o, step, steps)) is not None]
-                    if parts:
-                        adam.step(sum(parts))
-                        total += sum(parts)[:2]
-                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((adam, total))])], names=["v"])
+        def inside(adam: Adam, epoch: int, turns: range):
+            def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                own = [Block(r) for batch in batches for r in batch.to_pylist()]
+                if own:
+                    total = steps_inside(own, adam, o, epoch, steps, turns)
+                    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((adam, total))])], names=["v"])
+            return task
 
         for epoch in range(o.epochs):
-            first, total = epoch * steps, np.zeros(2)
-            if whole:
-                adam, total = pickle.loads(data.mapInArrow(epoch_inside, "v binary").collect()[0]["v"])
-            else:
-                for step in range(first, first + steps):
-                    g = summed(data, adam.weights, o, step, steps, partitions)
-                    if g is not None:
-                        adam.step(g)
-                        total += g[:2]
+            total, rows = np.zeros(2), data if whole else dealt(data, o, epoch, steps, run)
+            for g in range(-(-steps // run)):
+                turns = range(g * run, min(steps, (g + 1) * run))
+                mine = rows if whole else rows.where(F.col("g") == g).drop("g")
+                for r in mine.mapInArrow(inside(adam, epoch, turns), "v binary").collect():
+                    adam, part = pickle.loads(r["v"])
+                    total += part
+            if not whole:
+                rows.unpersist()
             lost.append(float(total[0] / max(total[1], 1e-300)))
         blocks.unpersist()
         return PerceptronModel({"classes": self.classes, "weights": [w.tolist() for w in adam.weights], "losses": lost, "features": self.featuresCol})

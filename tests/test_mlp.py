@@ -75,3 +75,17 @@ def test_loss_falls_on_the_embeddings(spark):
     assert m.losses[-1] < 0.7 * m.losses[0] and all(b < a for a, b in zip(m.losses[::10], m.losses[10::10], strict=False))
     p = m.transform(x).select("probability").first()[0]
     assert len(p) == 10 and abs(sum(p) - 1) < 1e-9
+
+
+def test_jobs_follow_the_bytes_not_the_steps(spark, monkeypatch):
+    df = frame(spark, 120)
+    options = {"hidden": (4,), "epochs": 2, "batchSize": 4, "key": ["id"]}
+    one = N.Perceptron(2, **options).fit(df)
+    monkeypatch.setattr(MX, "BLOCK_BYTES", 1000)
+    calls = []
+    monkeypatch.setattr(type(df), "collect", lambda self, f=type(df).collect: calls.append(1) or f(self))
+    many = N.Perceptron(2, **options).fit(df)
+    # 30 steps an epoch out of 2 blocks
+    assert len(calls) < 10
+    assert all(np.abs(np.array(a) - np.array(b)).max() < 1e-9 for a, b in zip(one.state["weights"], many.state["weights"], strict=True))
+    assert np.abs(np.array(one.losses) - many.losses).max() < 1e-9
