@@ -961,6 +961,7 @@ from .operators import calibrate as CA  # noqa: E402
 from .operators import ensemble as EN  # noqa: E402
 from .operators import explain as EX  # noqa: E402
 from .operators import search as SE  # noqa: E402
+from .session import cut_lineage  # noqa: E402
 from .operators.models import feature_importance, fit_model, model_context, scored_frame  # noqa: E402
 from .plans import registry as RG  # noqa: E402
 
@@ -987,6 +988,8 @@ def _orders_folds(spark, d, family, k=5):
 
 
 def _fit_all(spark, df, feats, family, task, label, spec_name, params, key):
+    # every pass of the fits reads the rows: they are written once, so that the joins behind them (and what these broadcast) run once
+    df = cut_lineage(df.select(*dict.fromkeys([*key, label, *feats])))
     pre = PP.Preprocessor(feats, family, task, _pre_no_power()).fit(df)
     x = pre.transform(df).select(*key, F.col(label).cast("double").alias("label"), "features")
     ctx = model_context(x, task, len(pre.feature_names))

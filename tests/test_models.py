@@ -185,3 +185,18 @@ def test_logistic_beats_constant_on_separable_target(spark):
                                      "logistic", {"C": 100.0}, ["o_orderkey"])
     sc = catalog.scored_frame(model.transform(x), "classification", keep=["o_orderkey"])
     assert M.roc_auc(sc, "y", "score").first()["roc_auc"] > 0.95
+
+
+def test_fits_read_their_rows_once(spark):
+    from autotab import catalog as C
+    n, seen = 200, spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+    df = (spark.range(n).select("id", (F.col("id") % 7).cast("double").alias("a"), F.concat(F.lit("c"), F.col("id") % 3).alias("b"), (F.col("id") * 0.5).alias("y"))
+          .mapInPandas(counted, "id long, a double, b string, y double"))
+    pre, model, x = C._fit_all(spark, df, ["a", "b"], "linear", "regression", "y", "linear", {"alpha": 0.01, "l1_ratio": 0.5}, ["id"])
+    # a checkpoint runs its rows twice at most: to compute and to write them
+    assert model.transform(x).count() == n and len(pre.feature_names) == 4 and seen.value <= 2 * n
