@@ -112,3 +112,25 @@ def test_training_run_searches_with_the_default_budget():
     assert catalog.docs_options().cv.n_iter_search == SearchOptions().n_iter_search == 30
     assert registry.BOOSTING["maxIter"] == [100, 200, 300] and registry.BOOSTING["maxDepth"] == [3, 5, 7]
     assert __spark_entry__.FLAGSHIP == "train_report"
+
+
+def test_a_run_reads_its_source_once(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from autotab.operators import train as TR
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def value(i):
+        seen.add(1)
+        return float(i % 7)
+
+    class Stop(Exception):
+        pass
+
+    def stop(self):
+        raise Stop
+    monkeypatch.setattr(TR.Run, "search_all", stop)
+    df = spark.range(120).select("id", (F.col("id") % 2).alias("y"), value("id").alias("v"))
+    with pytest.raises(Stop):
+        TR.train_system(df, changed(TR.RunOptions(), data__target="y", data__key=["id"]))
+    assert seen.value == 120
