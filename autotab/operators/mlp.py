@@ -4,7 +4,8 @@ A step draws a mini-batch by hashing row numbers. Steps follow each other, so an
 ``matrix.packed`` out by runs of consecutive mini-batches (one shuffle), and each run is one task that takes ``MERGE`` blocks
 of bytes at most, makes its Adam steps and hands the weights on: jobs follow the bytes, not the steps. Dropout masks follow from the
 step and the row number, so a task that runs again makes the same steps. Where the matrix fits into one block, its task makes
-the steps of an epoch by itself. Two classes have one output with a sigmoid, more have a softmax.
+the steps of an epoch by itself; one of up to ``HELD_BYTES`` is gathered in one partition, and a task makes the steps of
+``EPOCHS`` epochs. Two classes have one output with a sigmoid, more have a softmax.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from .matrix import TRAIN, Block, mixed, packed, rows_of
 
 #: Blocks of bytes that a run of mini-batches holds.
 MERGE = 4
+#: Bytes of a matrix that one task holds, and epochs that it then makes.
+HELD_BYTES, EPOCHS = 512 << 20, 10
 
 
 @dataclass(frozen=True)
@@ -97,25 +100,31 @@ def batch_gradient(b: Block, rows: np.ndarray, weights: list[np.ndarray], o: Mlp
     """(loss, weight, gradient) of the block's share of a mini-batch, flat."""
     if not len(rows):
         return None
-    loss, g = loss_and_gradient(weights, np.nan_to_num(b.x[rows]), b.y[rows], b.w[rows], masks_of(b.uid[rows], o, step))
+    x = b.x[rows] if b.finite else np.nan_to_num(b.x[rows])
+    loss, g = loss_and_gradient(weights, x, b.y[rows], b.w[rows], masks_of(b.uid[rows], o, step))
     return np.concatenate([[loss, b.w[rows].sum()], *[v.ravel() for v in g]])
 
 
 class Adam:
+    """All weights stand in one vector, ``weights`` are views of it: a step is a few operations however many layers there are."""
+
     def __init__(self, weights: list[np.ndarray], rate: float):
-        self.weights, self.rate, self.t = weights, rate, 0
-        self.m, self.v = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
+        self.rate, self.t, self.shapes = rate, 0, [w.shape for w in weights]
+        self.flat = np.concatenate([np.ravel(w).astype(float) for w in weights])
+        self.m, self.v = np.zeros_like(self.flat), np.zeros_like(self.flat)
+
+    @property
+    def weights(self) -> list[np.ndarray]:
+        ends = np.cumsum([math.prod(s) for s in self.shapes])
+        return [v.reshape(s) for v, s in zip(np.split(self.flat, ends[:-1]), self.shapes, strict=True)]
 
     def step(self, flat: np.ndarray) -> None:
         """One step from summed (loss, weight, gradient)."""
         self.t += 1
-        at, total = 2, max(flat[1], 1e-300)
-        for i, w in enumerate(self.weights):
-            g = flat[at:at + w.size].reshape(w.shape) / total
-            at += w.size
-            # Adam's usual decay rates and epsilon.
-            self.m[i], self.v[i] = 0.9 * self.m[i] + 0.1 * g, 0.999 * self.v[i] + 0.001 * g * g
-            self.weights[i] = w - self.rate * (self.m[i] / (1 - 0.9 ** self.t)) / (np.sqrt(self.v[i] / (1 - 0.999 ** self.t)) + 1e-7)
+        g = flat[2:] / max(flat[1], 1e-300)
+        # Adam's usual decay rates and epsilon.
+        self.m, self.v = 0.9 * self.m + 0.1 * g, 0.999 * self.v + 0.001 * g * g
+        self.flat = self.flat - self.rate * (self.m / (1 - 0.9 ** self.t)) / (np.sqrt(self.v / (1 - 0.999 ** self.t)) + 1e-7)
 
 
 def steps_inside(own: list[Block], adam: Adam, o: MlpOptions, epoch: int, steps: int, turns: range) -> np.ndarray:
@@ -150,6 +159,32 @@ def dealt(data: DataFrame, o: MlpOptions, epoch: int, steps: int, run: int) -> D
     return data.mapInArrow(deal, f"g int, {matrix.PACKED}").repartition(-(-steps // run), "g").persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def gathered(data: DataFrame) -> DataFrame:
+    """The training rows by themselves in one partition, in the order of their numbers: batches of them stay small."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                b = Block(r)
+                ends = np.arange(0, (b.n + 1) * 8 * b.d, 8 * b.d, dtype=np.int32) if b.d else np.zeros(b.n + 1, np.int32)
+                x = pa.Array.from_buffers(pa.binary(), b.n, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(r["x"])])
+                yield pa.RecordBatch.from_arrays([pa.array(b.uid), pa.array(b.y), pa.array(b.w), x], names=["uid", "y", "w", "x"])
+
+    return data.mapInArrow(rows, "uid long, y double, w double, x binary").repartition(1).sortWithinPartitions("uid").persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def held(batches: Iterator[pa.RecordBatch], n: int, d: int) -> Block | None:
+    """The rows of ``gathered`` as one block, without NaN."""
+    b, at = Block.__new__(Block), 0
+    b.finite = True
+    b.set, b.n, b.d, b.uid, b.y, b.w, b.train, b.x = 0, n, d, np.empty(n, np.int64), np.empty(n), np.empty(n), np.ones(n, bool), np.empty((n, d))
+    for batch in batches:
+        end = at + batch.num_rows
+        b.uid[at:end], b.y[at:end], b.w[at:end] = (batch.column(c).to_numpy() for c in ("uid", "y", "w"))
+        b.x[at:end] = np.nan_to_num(np.frombuffer(b"".join(batch.column("x").to_pylist())).reshape(-1, d))
+        at = end
+    return b if at else None
+
+
 class Perceptron(Estimator):
     """MLP classifier as a Spark ML estimator; ``losses`` of the model hold the mean loss of every epoch."""
 
@@ -168,6 +203,8 @@ class Perceptron(Estimator):
         steps = max(1, -(-size["n"] // o.batchSize))
         run = steps if whole else min(steps, max(1, MERGE * matrix.BLOCK_BYTES // (8 * max(1, size["d"]) * o.batchSize)))
         adam, lost = Adam(start_weights([size["d"], *o.hidden, k], o.seed), o.learningRate), []
+        n, d = int(size["n"]), int(size["d"])
+        one = not whole and 8 * n * (d + 3) <= HELD_BYTES
 
         def inside(adam: Adam, epoch: int, turns: range):
             def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +214,22 @@ class Perceptron(Estimator):
                     yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((adam, total))])], names=["v"])
             return task
 
-        for epoch in range(o.epochs):
+        def epochs_of(adam: Adam, first: int, last: int):
+            def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                b = held(batches, n, d)
+                if b is not None:
+                    totals = [steps_inside([b], adam, o, epoch, steps, range(steps)) for epoch in range(first, last)]
+                    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((adam, totals))])], names=["v"])
+            return task
+
+        if one:
+            rows = gathered(data)
+            for first in range(0, o.epochs, EPOCHS):
+                for r in rows.mapInArrow(epochs_of(adam, first, min(o.epochs, first + EPOCHS)), "v binary").collect():
+                    adam, totals = pickle.loads(r["v"])
+                    lost += [float(t[0] / max(t[1], 1e-300)) for t in totals]
+            rows.unpersist()
+        for epoch in range(0 if one else o.epochs):
             total, rows = np.zeros(2), data if whole else dealt(data, o, epoch, steps, run)
             for g in range(-(-steps // run)):
                 turns = range(g * run, min(steps, (g + 1) * run))

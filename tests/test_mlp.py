@@ -89,3 +89,19 @@ def test_jobs_follow_the_bytes_not_the_steps(spark, monkeypatch):
     assert len(calls) < 10
     assert all(np.abs(np.array(a) - np.array(b)).max() < 1e-9 for a, b in zip(one.state["weights"], many.state["weights"], strict=True))
     assert np.abs(np.array(one.losses) - many.losses).max() < 1e-9
+
+
+def test_one_task_makes_the_epochs_of_a_matrix_that_it_can_hold(spark, monkeypatch):
+    df = frame(spark, 120)
+    options = {"hidden": (4,), "epochs": 7, "batchSize": 4, "key": ["id"]}
+    monkeypatch.setattr(MX, "BLOCK_BYTES", 1000)
+    monkeypatch.setattr(N, "EPOCHS", 4)
+    calls = []
+    monkeypatch.setattr(type(df), "collect", lambda self, f=type(df).collect: calls.append(1) or f(self))
+    held = N.Perceptron(2, **options).fit(df)
+    # jobs follow the epochs in tens (here fours), not the runs of mini-batches
+    assert len(calls) < 6
+    monkeypatch.setattr(N, "HELD_BYTES", 0)
+    dealt = N.Perceptron(2, **options).fit(df)
+    assert all(np.abs(np.array(a) - np.array(b)).max() < 1e-9 for a, b in zip(held.state["weights"], dealt.state["weights"], strict=True))
+    assert len(held.losses) == 7 and np.abs(np.array(held.losses) - dealt.losses).max() < 1e-9
