@@ -114,3 +114,18 @@ def test_svd_matches_numpy(spark):
     assert m.state["singular_values"] == pytest.approx(list(s), rel=1e-6)
     out = np.array([r["svd"].toArray() for r in m.transform(df).orderBy("i").collect()])
     assert np.abs(out).sum(axis=0) == pytest.approx(np.abs(x @ np.array(m.state["components"]).T).sum(axis=0))
+
+
+def test_a_grid_of_lambdas_as_text_equals_the_column_expressions(spark):
+    df = spark.createDataFrame([(v,) for v in (-3.5, -1.0, 0.0, 0.25, 1e6, None)], "`a``b` double")
+    for lam in (-2.0, -0.30000000000000004, 0.0, 1e-05, 0.7, 1.0, 1.9, 2.0):
+        text = FT.yeo_johnson_sql("CAST(`a``b` AS DOUBLE)", lam)
+        assert df.selectExpr(text).collect() == df.select(FT.yeo_johnson_expr(F.col("`a``b`"), lam)).collect()
+
+
+def test_categories_keep_their_quotes_and_backslashes(spark):
+    values = ["a'b\\n", "é`", 'ü\n"', "x"]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "`c``d` string")
+    m = FT.OneHot(cols=["c`d"]).fit(df)
+    got = [list(r) for r in m.transform(df).collect()]
+    assert got == [[float(v == c) for c in sorted(values)] for v in values] + [[0.0] * 4]
