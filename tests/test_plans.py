@@ -134,3 +134,42 @@ def test_a_run_reads_its_source_once(spark, monkeypatch):
     with pytest.raises(Stop):
         TR.train_system(df, changed(TR.RunOptions(), data__target="y", data__key=["id"]))
     assert seen.value == 120
+
+
+def test_folds_hold_keys_in_place_of_long_texts(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from autotab.operators import preprocess as PP
+    from autotab.operators import train as TR
+
+    class Stop(Exception):
+        pass
+
+    def stop(self):
+        raise Stop(self)
+    monkeypatch.setattr(TR.Run, "search_all", stop)
+    df = spark.range(700).select("id", (F.col("id") % 2).alias("y"), F.when(F.col("id") % 50 > 0, F.concat(F.repeat(F.lit("word "), 20), (F.col("id") % 500).cast("string"))).alias("text"),
+                                 F.concat(F.repeat(F.lit("few "), 30), (F.col("id") % 3).cast("string")).alias("few"))
+    opts = changed(TR.RunOptions(), data__target="y", data__key=["id"], data__features=["text", "few"])
+    with pytest.raises(Stop) as caught:
+        TR.train_system(df, opts)
+    run = caught.value.args[0]
+    types = dict(run.rows.dtypes)
+    assert types["text"] == "binary" and types["few"] == "string" and run.pre_opts.keyed == ("text",)
+    feats = ["text", "few"]
+    keyed = PP.Preprocessor(feats, "logistic", "classification", run.pre_opts).fit(run.rows)
+    plain = PP.Preprocessor(feats, "logistic", "classification", PP.PreprocessOptions(power_transform=run.pre_opts.power_transform)).fit(df)
+    assert keyed.feature_names == plain.feature_names
+    got, same, want = ({r.id: r.features for r in m.transform(x).collect()} for m, x in ((keyed, run.rows), (keyed, df), (plain, df)))
+    # the model takes keys and texts alike
+    assert len(got) == len(same) == len(want) == 700
+    assert all(abs(a - b) < 1e-9 for i, v in want.items() for x in (got, same) for a, b in zip(v, x[i], strict=True))
+
+
+def test_folds_write_the_columns_that_they_need(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from autotab.operators import search as SE
+    written = []
+    monkeypatch.setattr(SE, "cut_lineage", lambda d, f=SE.cut_lineage: written.append(d.columns) or f(d))
+    df = spark.range(60).select("id", (F.col("id") % 2).alias("y"), (F.col("id") % 7).cast("double").alias("v"), F.repeat(F.lit("text "), 100).alias("text"), (F.col("id") % 3).cast("int").alias("fold"))
+    folds = SE.prepare_folds(df, ["id"], "y", ["v", "gone"], "rf", "classification", 3)
+    assert written[0] == ["id", "y", "v", "fold"] and sum(f.valid.count() for f in folds) == 60
